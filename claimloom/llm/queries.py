@@ -29,9 +29,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.byte_bpe import encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = encode(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_byte_level_bpe": op8_byte_level_bpe,
 }
 
 ORACLES: dict[str, str] = {}
