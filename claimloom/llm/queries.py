@@ -37,10 +37,65 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.decontaminate import contamination
+
+    found = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        "n_items",
+        "items_sha256",
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op10_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.repair import round_trip
+
+    found = round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe,
+    "op10_repair_token_shards": op10_repair_token_shards,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words as the decontamination query defines them, windows as joined strings.
+_OP3 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), q AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i
+        FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM q), p AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)
+), m AS (
+  SELECT p.doc_id, p.n, p.i, q.item_id FROM p JOIN q ON p.s = q.s AND p.n = q.n
+), hits AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM m) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": _OP3,
+}
