@@ -115,3 +115,61 @@ class Chunks:
         total = np.concatenate([[0], np.cumsum(tail_values[self.codes])]) if len(self.codes) else np.zeros(1, np.int64)
         ends = np.cumsum(self.counts)
         return head_values[self.first] + total[ends] - total[ends - self.counts]
+
+
+class Words:
+    """Texts cut at white space, with each distinct word numbered once; text ``i`` owns ``counts[i]`` of ``codes``."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = defaultdict(count().__next__)
+        codes, counts = [], []
+        for text in texts:
+            words = text.split()
+            counts.append(len(words))
+            if words:
+                codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.distinct = list(number)
+        self.counts = np.array(counts, np.int64)
+        self.codes = np.concatenate(codes) if codes else np.empty(0, np.int32)
+        self.ends = np.cumsum(self.counts)
+        self.starts = self.ends - self.counts
+
+    def owner(self) -> np.ndarray:
+        """The text that each word belongs to."""
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text: the sum over its words of their values (one value per word, not per distinct word)."""
+        total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+        return total[self.ends] - total[self.starts]
+
+    def highest(self, values: np.ndarray, empty: float) -> np.ndarray:
+        out = np.full(len(self.counts), empty)
+        has = self.counts > 0
+        if has.any():
+            out[has] = np.maximum.reduceat(values, self.starts[has])
+        return out
+
+
+def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each class, chosen by a hash of ``key``: the same ones on every run."""
+    parts = [rows.where(F.col(label) == c).orderBy(F.xxhash64(key), key).limit(most) for c in (0, 1)]
+    return parts[0].union(parts[1])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last column of ``x`` is the constant and isn't shrunk."""
+    w = np.zeros(x.shape[1])
+    shrink = np.full(x.shape[1], ridge)
+    shrink[-1] = 1e-3
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        w = w + step * min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))

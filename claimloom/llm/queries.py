@@ -6,7 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import load
+from claimloom.llm.common import load, train_row
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm import quality
+
+    docs = load(spark, sf_dir, "documents")
+    model = quality.train(docs, load(spark, sf_dir, "labels").where(train_row()))
+    return _judged(quality.score(docs, model), 0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm import toxicity
+
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels").where(train_row()))
+    return _judged(toxicity.score(docs, model), 0.5)
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (~train_row("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +86,8 @@ def op10_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op10_repair_token_shards": op10_repair_token_shards,
