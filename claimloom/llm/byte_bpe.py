@@ -12,7 +12,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,14 @@ from claimloom.llm.common import Chunks, text_segments
 #: Words of more bytes are merged by a heap in Python; a fold would take time in the square of the length.
 LONGEST_FOLD = 192
 #: Text bytes of a segment: the larger, the fewer words are folded in more than one segment.
-SEGMENT = 28 << 20
-_ID_BITS = 65536
+SEGMENT = 12 << 20
+#: Documents whose words are folded beforehand, and how many of those words are remembered at most.
+MEMO_DOCS, MEMO_WORDS = 12_000, 150_000
+_RANK_BITS = 17
+#: Marks of one byte that often end a chunk of letters and are a word of their own there.
+_STOPS = frozenset(".,;:!?")
+#: A cell of no row: its owner is beyond all ids.
+_EMPTY = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,38 +42,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], int]:
-    """A perfect hash table of all pairs of ids that merge: (slots, shifts, modulus of the key).
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """All pairs of ids that merge, as displaced rows in one array: (cells, place of each id's row).
 
-    Slot ``(key % modulus + shifts[key % len(shifts)]) % len(slots)`` holds ``key * 65536 + rank`` for
-    ``key = left * 65536 + right``, or -1.
+    Cell ``rows[left] + right`` holds ``left * 2**17 + rank`` if the pair merges; another owner's cell or _EMPTY else.
     """
-    keys, merged = [], []
+    of: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                keys.append(left * _ID_BITS + right)
-                merged.append(rank)
-    size = max(8, 2 * len(keys) | 1)
-    n_shifts = max(2, len(keys) // 2) | 1
-    buckets: dict[int, list[int]] = {}
-    for k, key in enumerate(keys):
-        buckets.setdefault(key % n_shifts, []).append(k)
-    modulus = size
-    while any(len({keys[k] % modulus % size for k in m}) < len(m) for m in buckets.values() if len(m) > 1):
-        modulus += 2
-    slots = [-1] * size
-    shifts = [0] * n_shifts
-    for bucket, members in sorted(buckets.items(), key=lambda b: -len(b[1])):
-        bases = [keys[k] % modulus for k in members]
-        shift = 0
-        while any(slots[(base + shift) % size] >= 0 for base in bases):
-            shift = (shift + 7919) % size
-        shifts[bucket] = shift
-        for k, base in zip(members, bases):
-            slots[(base + shift) % size] = keys[k] * _ID_BITS + merged[k]
-    return slots, shifts, modulus
+                of.setdefault(left, []).append((right, rank))
+    n_ids = max(ranks.values(), default=0) + 1
+    room = 4 * sum(map(len, of.values())) + 1
+    cells = [_EMPTY] * (room + n_ids)
+    rows = [0] * n_ids
+    turn = 0
+    for left, members in sorted(of.items(), key=lambda row: -len(row[1])):
+        while any(cells[turn + right] != _EMPTY for right, _ in members):
+            turn = (turn + 7919) % room
+        rows[left] = turn
+        for right, rank in members:
+            cells[turn + right] = left << _RANK_BITS | rank
+    return cells, rows
 
 
 def _literal(values: list[int], kind: str) -> Column:
@@ -75,27 +74,24 @@ def _literal(values: list[int], kind: str) -> Column:
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of a word (array of byte values, not empty) by ranked merges, as a column expression."""
-    slots, shifts, modulus = pair_table(ranks)
-    n_slots, n_shifts = len(slots), len(shifts)
-    table, moved = _literal(slots, "bigint"), _literal(shifts, "bigint")
+    table, places = pair_table(ranks)
+    cells, rows = _literal(table, "bigint"), _literal(places, "int")
     of_byte = _literal([ranks.get(bytes([b]), -1) for b in range(256)], "int")
 
     def merge_once(state: Column) -> Column:
         ids = state["ids"]
 
         def rated(left: Column, k: Column) -> Column:
-            key = left.cast("bigint") * _ID_BITS + F.get(ids, k + 1)
-            slot = (key % modulus + F.get(moved, (key % n_shifts).cast("int"))) % n_slots
-            # below 2**28 only where the slot holds this very key: then it is rank * 4096 + position
-            return (F.get(table, slot.cast("int")) - key * _ID_BITS) * 4096 + k
+            # rank * 4096 + position where the cell is this row's own; at least 2**29 where it isn't
+            cell = F.get(cells, F.get(rows, left) + F.get(ids, k + 1))
+            return F.shiftleft(cell.bitwiseXOR(F.shiftleft(left.cast("bigint"), _RANK_BITS)), 12).bitwiseOR(k.cast("bigint"))
 
-        pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), rated)
-        best = F.array_min(F.filter(pairs, lambda v: (v >= 0) & (v < _ID_BITS * 4096)))
+        best = F.array_min(F.transform(F.slice(ids, 1, F.size(ids) - 1), rated))
 
         def apply(b: Column) -> Column:
-            at = (b % 4096).cast("int")
-            rank = F.floor(b / 4096).cast("int")
-            return F.when(b.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(
+            at = b.bitwiseAND(F.lit(4095)).cast("int")
+            rank = F.shiftright(b, 12).cast("int")
+            return F.when((b < 0) | (b >= 1 << (_RANK_BITS + 12)), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(
                 F.struct(
                     F.concat(
                         F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids))
@@ -153,12 +149,19 @@ def _ragged(lists: list, kind) -> tuple[np.ndarray, np.ndarray]:
     return flat, sizes
 
 
-def _gather(flat: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenation of the picked ragged rows, and their sizes."""
-    starts = np.cumsum(sizes) - sizes
-    n = sizes[picks]
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[picks], n)
-    return flat[at], n
+class _Rows:
+    """Ragged rows as one flat array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes.astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, picks: np.ndarray) -> np.ndarray:
+        """The picked rows one after another."""
+        n = self.sizes[picks]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.starts[picks] - (ends - n), n)]
 
 
 _ranks: dict[int, dict[bytes, int]] = {}
@@ -176,43 +179,48 @@ _SEGMENT = (
 )
 
 
-def _cut(spec, pattern: str, kind: str):
-    """Texts -> one row per segment with its dictionary of distinct words; words outside the ranks come last."""
+def _cut(spec, pattern: str, memo):
+    """Texts -> one row per segment with its dictionary of distinct words; words that need folding come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
         ranks = _worker_ranks(spec)
+        folded_before = memo.value if memo is not None else {}
         for ids, raw in text_segments(batches, SEGMENT):
             cut = Chunks([t.decode("utf-8", "replace") if t else "" for t in raw])
-            number: dict[str, int] = {}
-            words: list[bytes] = []
-
-            def codes_of(chunk: str) -> list[int]:
-                out = []
-                for word in find(chunk):
-                    code = number.get(word)
-                    if code is None:
-                        code = number[word] = len(words)
-                        words.append(word.encode())
-                    out.append(code)
-                return out
-
-            head = _ragged([codes_of(c) for c in cut.heads], np.int32)
-            tail = _ragged([codes_of(" " + c) for c in cut.tails], np.int32)
+            number: dict[str, int] = defaultdict(count().__next__)
+            code = number.__getitem__
+            head = _ragged([list(map(code, find(c))) for c in cut.heads], np.int32)
+            flat: list[int] = []
+            sizes_of = np.ones(len(cut.tails), np.int64)
+            for k, chunk in enumerate(cut.tails):
+                if chunk.isalpha():
+                    flat.append(code(" " + chunk))
+                elif chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+                    flat.append(code(" " + chunk[:-1]))
+                    flat.append(code(chunk[-1]))
+                    sizes_of[k] = 2
+                else:
+                    found = find(" " + chunk)
+                    flat.extend(map(code, found))
+                    sizes_of[k] = len(found)
+            tail = (np.array(flat, np.int32), sizes_of)
+            words = [w.encode() for w in number]
             known: list[list[int]] = []
             place = np.empty(len(words), np.int32)
             rest: list[bytes] = []
             where: list[int] = []
             for k, word in enumerate(words):
                 rank = ranks.get(word)
-                if rank is None and len(word) <= LONGEST_FOLD:
+                got = [rank] if rank is not None else folded_before.get(word)
+                if got is None and len(word) <= LONGEST_FOLD:
                     where.append(k)
                     rest.append(word)
                 else:
                     place[k] = len(known)
-                    known.append([rank] if rank is not None else merge_long(word, ranks))
+                    known.append(got if got is not None else merge_long(word, ranks))
             place[where] = np.arange(len(rest)) + len(known)
             known_flat, known_sizes = _ragged(known, np.int32)
             sizes = np.fromiter(map(len, rest), np.int32, len(rest))
@@ -246,8 +254,7 @@ def _joined(spec, with_ids: bool):
         pieces: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
-        piece_flat = np.frombuffer(b"".join(pieces), np.uint8)
-        piece_sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        piece = _Rows(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
         for batch in batches:
             for row in range(batch.num_rows):
                 col = {n: batch.column(k)[row] for k, n in enumerate(batch.schema.names)}
@@ -255,21 +262,21 @@ def _joined(spec, with_ids: bool):
                 folded = col["folded"].values
                 flat = np.concatenate([blob("known", np.int32), np.asarray(folded.flatten()).astype(np.int32)])
                 sizes = np.concatenate([blob("known_sizes", np.int64), np.asarray(folded.value_lengths()).astype(np.int64)])
-                chunk_ids = []
+                words = _Rows(flat, sizes)
+                chunks = []
                 for part in ("head", "tail"):
-                    word_sizes = blob(f"{part}_sizes", np.int64)
-                    ids, per_word = _gather(flat, sizes, blob(f"{part}_words", np.int32))
-                    ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum(word_sizes)]
-                    chunk_ids.append((ids, np.diff(ends, prepend=0)))
+                    picks, n_words = blob(f"{part}_words", np.int32), blob(f"{part}_sizes", np.int64)
+                    ends = np.concatenate([[0], np.cumsum(words.sizes[picks])])[np.cumsum(n_words)]
+                    chunks.append(_Rows(words.joined(picks), np.diff(ends, prepend=0)))
                 first, counts, codes = blob("first", np.int64), blob("counts", np.int64), blob("codes", np.int32)
                 ends = np.cumsum(counts)
                 keys = col["ids"].values
                 out: dict[str, list] = {"n": [], "ids": [], "sha": [], "back": []}
                 for k in range(len(first)):
-                    start, _ = _gather(*chunk_ids[0], first[k : k + 1])
-                    rest, _ = _gather(*chunk_ids[1], codes[ends[k] - counts[k] : ends[k]])
+                    start = chunks[0].joined(first[k : k + 1])
+                    rest = chunks[1].joined(codes[ends[k] - counts[k] : ends[k]])
                     ids = np.concatenate([start, rest]).astype("<u4")
-                    text, _ = _gather(piece_flat, piece_sizes, ids)
+                    text = piece.joined(ids)
                     out["n"].append(len(ids))
                     out["sha"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                     out["back"].append(text.tobytes() if with_ids else hashlib.sha256(text.tobytes()).hexdigest())
@@ -306,16 +313,22 @@ def encode(
     columns are ignored; an empty table gives an empty table.
     """
     ranks = read_ranks(ranks_path)
-    spec = docs.sparkSession.sparkContext.broadcast(ranks)
-    spec.id = hash(tuple(sorted(ranks.items())[:64])) ^ len(ranks)
-    held = _Spec(spec, spec.id)
+    context = docs.sparkSession.sparkContext
+    held = _Spec(context.broadcast(ranks), hash((len(ranks), *list(ranks)[-3:])))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows.mapInArrow(_cut(held, pattern, kind), _SEGMENT.format(kind=kind))
-    folded = cut.select(
-        *(c for c in cut.columns if c != "words"),
-        F.transform("words", lambda word: fold_merges(word, ranks)).alias("folded"),
-    )
+    schema = _SEGMENT.format(kind=kind)
+    fold = F.transform("words", lambda word: fold_merges(word, ranks)).alias("folded")
+    # the commonest words of a few documents are folded once instead of in every segment; this changes no id
+    few = rows.limit(MEMO_DOCS).mapInArrow(_cut(held, pattern, None), schema)
+    common = (
+        few.select(F.explode("words").alias("word"))
+        .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MEMO_WORDS)
+        .agg(F.collect_list("word").alias("words")).select("words", fold).first()
+    )
+    memo = context.broadcast({bytes(w): list(ids) for w, ids in zip(common["words"], common["folded"])})
+    cut = rows.mapInArrow(_cut(held, pattern, memo), schema)
+    folded = cut.select(*(c for c in cut.columns if c != "words"), fold)
     schema = "n_tokens bigint, ids array<int>, decoded binary" if not digests else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return folded.mapInArrow(_joined(held, not digests), f"id {kind}, {schema}")
 
