@@ -34,6 +34,29 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+#: Fixed rules of the url query: (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.urls import filter_urls
+
+    return filter_urls(load(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.pii import KINDS, detect, text_of_spans
+
+    found = detect(load(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(k) for k in KINDS),
+        F.sha2(text_of_spans("base").cast("binary"), 256).alias("base_sha256"),
+        text_of_spans("spans").alias("spans"),
+    )
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimloom.llm.simhash import near_duplicates
 
@@ -87,9 +110,11 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_url_filter": op4_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe,
+    "op9_pii": op9_pii,
     "op10_repair_token_shards": op10_repair_token_shards,
 }
 
@@ -123,6 +148,24 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_OP4 = r"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS k FROM pages
+), s AS (
+  SELECT page_id, CASE WHEN k > 0 THEN translate(regexp_extract(substr(url, k + 3), '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN k > 0 THEN regexp_extract(substr(url, k + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u
+), r(verdict, h, p) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), m AS (
+  SELECT s.*, h || p AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS place
+  FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE place = 1
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_url_filter": _OP4,
     "op3_benchmark_decontamination": _OP3,
 }
