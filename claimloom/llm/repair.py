@@ -10,7 +10,9 @@ can be expanded without the others.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ ROUNDS = 4
 RULES_PER_ROUND = 4096
 #: A pair must occur so often to get a rule.
 LEAST_USES = 8
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 20 << 20
 _BUCKETS = 1 << 20
 _GAP = -1
 
@@ -115,21 +117,64 @@ _memo: dict[str, bytes] = {}
 MEMO = 400_000
 
 
+#: A sign that stands between words encoded in one call; words that hold it are encoded alone.
+_BETWEEN = "\u00ae"
+_STOPS = frozenset(".,;:!?")
+
+
+def _fresh(tok, words: list[str]) -> dict[str, bytes]:
+    """Ids of words as bytes; many words share a call, kept apart by a sign that always is one id of its own."""
+    sign = tok.encode(_BETWEEN, add_special_tokens=False).ids
+    plain = [w for w in words if _BETWEEN not in w] if len(sign) == 1 else []
+    out: dict[str, bytes] = {}
+    for at in range(0, len(plain), 50_000):
+        part = plain[at : at + 50_000]
+        texts = [f" {_BETWEEN} ".join([*part[k : k + 64], ""]) for k in range(0, len(part), 64)]
+        ids = np.array([i for e in tok.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        stops = np.flatnonzero(ids == sign[0])
+        raw, start = ids.tobytes(), 0
+        for word, stop in zip(part, (4 * stops).tolist()):
+            out[word] = raw[start:stop]
+            start = stop + 4
+    for word in words:
+        if word not in out:
+            out[word] = np.array(tok.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
+    return out
+
+
 def _encoded(tok, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the chunks one after another, and how many each has."""
-    missing = [c for c in chunks if c not in _memo]
-    if len(_memo) + len(missing) > MEMO:
-        _memo.clear()
-        missing = chunks
-    found: dict[str, bytes] = {}
-    for at in range(0, len(missing), 20_000):
-        part = missing[at : at + 20_000]
-        for chunk, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            found[chunk] = np.array(e.ids, np.int32).tobytes()
-    _memo.update((c, v) for c, v in found.items() if len(c) <= 64)
-    blobs = [_memo[c] if c in _memo else found[c] for c in chunks]
+    """Ids of the chunks one after another, and how many each has.
+
+    The tokenizer lower-cases and never joins letters and marks, so plain words are looked up in lower case and
+    without the mark at their end.
+    """
+    number: dict[str, int] = defaultdict(count().__next__)
+    code = number.__getitem__
+    flat: list[int] = []
+    parts = np.ones(len(chunks), np.int64)
+    for k, chunk in enumerate(chunks):
+        if chunk.isalpha():
+            flat.append(code(chunk.lower() if chunk.isascii() or max(chunk) <= "\u00ff" else chunk))
+        elif chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+            word = chunk[:-1]
+            flat.append(code(word.lower() if word.isascii() or max(word) <= "\u00ff" else word))
+            flat.append(code(chunk[-1]))
+            parts[k] = 2
+        else:
+            flat.append(code(chunk))
+    words = list(number)
+    blobs = [_memo.get(w) for w in words]
+    missing = [w for w, got in zip(words, blobs) if got is None]
+    if missing:
+        found = _fresh(tok, missing)
+        if len(_memo) + len(missing) > MEMO:
+            _memo.clear()
+        _memo.update((w, v) for w, v in found.items() if len(w) <= 64)
+        blobs = [found[w] if got is None else got for w, got in zip(words, blobs)]
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    return np.frombuffer(b"".join(blobs), np.int32), sizes
+    picks = np.array(flat, np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes[picks])])[np.cumsum(parts)]
+    return _gather(np.frombuffer(b"".join(blobs), np.int32), sizes, picks), np.diff(ends, prepend=0)
 
 
 def _gather(flat: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.ndarray:
@@ -145,8 +190,8 @@ def _shards(spec, end_id: int, schema_names: list[str]):
         base = max(tok.get_vocab_size(with_added_tokens=True), end_id + 1)
         part = TaskContext.get().partitionId()
         for shard, (doc_ids, raw) in enumerate(text_segments(batches, SHARD_BYTES)):
-            # this tokenizer drops white space, so any single blank is a safe place to cut
-            cut = Chunks([t.decode("utf-8", "replace") if t else "" for t in raw], anywhere=True)
+            # this tokenizer drops white space, so any blank or line end is a safe place to cut
+            cut = Chunks([t.decode("utf-8", "replace").replace("\n", " ") if t else "" for t in raw], anywhere=True)
             head_flat, head_sizes = _encoded(tok, cut.heads)
             tail_flat, tail_sizes = _encoded(tok, cut.tails)
             ends = np.cumsum(cut.counts)
