@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import load, train_row
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.embeddings import near_duplicates
+
+    found = near_duplicates(load(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimloom.llm import quality
 
@@ -107,6 +114,7 @@ def op10_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -165,7 +173,22 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE place = 1
 """
 
+_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(u, w) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN l ON r.w = l.u
+), c AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = c.u LEFT JOIN n ON vec_id = n.u
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": _OP1,
     "op4_url_filter": _OP4,
     "op3_benchmark_decontamination": _OP3,
 }
