@@ -26,9 +26,9 @@ from claimloom.llm.common import Chunks, text_segments
 #: Words of more bytes are merged by a heap in Python; a fold would take time in the square of the length.
 LONGEST_FOLD = 192
 #: Text bytes of a segment: the larger, the fewer words are folded in more than one segment.
-SEGMENT = 12 << 20
-#: Documents whose words are folded beforehand, and how many of those words are remembered at most.
-MEMO_DOCS, MEMO_WORDS = 12_000, 150_000
+SEGMENT = 8 << 20
+#: Documents whose words are folded beforehand, and how many of those words are remembered at most; both bound memory and change no result.
+MEMO_DOCS, MEMO_WORDS = 12_000, 100_000
 _RANK_BITS = 17
 #: Marks of one byte that often end a chunk of letters and are a word of their own there.
 _STOPS = frozenset(".,;:!?")
@@ -320,7 +320,8 @@ def encode(
     schema = _SEGMENT.format(kind=kind)
     fold = F.transform("words", lambda word: fold_merges(word, ranks)).alias("folded")
     # the commonest words of a few documents are folded once instead of in every segment; this changes no id
-    few = rows.limit(MEMO_DOCS).mapInArrow(_cut(held, pattern, None), schema)
+    share = min(1.0, MEMO_DOCS / max(1, docs.count()))
+    few = rows.sample(share, seed=7).mapInArrow(_cut(held, pattern, None), schema)
     common = (
         few.select(F.explode("words").alias("word"))
         .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MEMO_WORDS)

@@ -64,16 +64,14 @@ def text_segments(batches: Iterator[pa.RecordBatch], limit: int = SEGMENT_BYTES)
         values = batch.column(1)
         if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
             values = values.cast(pa.large_binary())
-        start = 0
-        for k, value in enumerate(values.to_pylist()):
-            texts.append(value)
-            size += len(value) if value else 0
+        for at in range(0, batch.num_rows, 256):
+            part = values.slice(at, 256).to_pylist()
+            texts += part
+            ids.append(batch.column(0).slice(at, 256))
+            size += sum(len(t) for t in part if t)
             if size >= limit:
-                ids.append(batch.column(0).slice(start, k + 1 - start))
                 yield pa.concat_arrays(ids), texts
-                ids, texts, size, start = [], [], 0, k + 1
-        if start < batch.num_rows:
-            ids.append(batch.column(0).slice(start))
+                ids, texts, size = [], [], 0
     if texts:
         yield pa.concat_arrays(ids), texts
 

@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm import byte_bpe, decontaminate, pii, simhash, toxicity
 from claimloom.llm.common import load, train_row
@@ -57,7 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(bad, F.sha2(docs["text"], 256) == bad["id"], "left_anti")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _redacted(text: pd.Series, kinds: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
     return pd.Series(
         [
