@@ -113,8 +113,18 @@ def expand(sequence: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         s = out
 
 
+def expand_all(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The same for a whole shard: every rule is expanded once, then all symbols are looked up in one pass."""
+    if not len(rules):
+        return np.asarray(sequence, np.int32)
+    table = np.concatenate([np.arange(base, dtype=np.int32), expand(rules.reshape(-1), rules, base)])
+    sizes = np.ones(base + len(rules), np.int64)
+    sizes[base:] = lengths
+    return _gather(table, sizes, np.asarray(sequence, np.int64))
+
+
 _memo: dict[str, bytes] = {}
-MEMO = 400_000
+MEMO = 500_000
 
 
 #: A sign that stands between words encoded in one call; words that hold it are encoded alone.
@@ -167,9 +177,9 @@ def _encoded(tok, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     missing = [w for w, got in zip(words, blobs) if got is None]
     if missing:
         found = _fresh(tok, missing)
-        if len(_memo) + len(missing) > MEMO:
-            _memo.clear()
-        _memo.update((w, v) for w, v in found.items() if len(w) <= 64)
+        # the commonest words come early; when the memo is full it stays as it is
+        room = max(0, MEMO - len(_memo))
+        _memo.update([(w, v) for w, v in found.items() if len(w) <= 64][:room])
         blobs = [found[w] if got is None else got for w, got in zip(words, blobs)]
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     picks = np.array(flat, np.int64)
@@ -252,7 +262,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             col = {n: batch.column(k)[row] for k, n in enumerate(batch.schema.names)}
             blob = lambda n, kind: np.frombuffer(col[n].as_buffer(), kind)
             starts, sizes = blob("doc_starts", np.int64), blob("doc_sizes", np.int64)
-            ids = expand(blob("sequence", np.int32), blob("rules", np.int32).reshape(-1, 2), col["base"].as_py())
+            rules = blob("rules", np.int32).reshape(-1, 2)
+            ids = expand_all(blob("sequence", np.int32), rules, blob("lengths", np.int64), col["base"].as_py())
             ends = np.cumsum(sizes)
             raw = ids.astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
