@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -15,35 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes gathered before a segment is processed; bounds a Python worker's memory.
-SEGMENT_BYTES = 12 << 20
-
+from claimloom.storage import scratch, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+__all__ = ["Chunks", "Words", "bounded_sample", "load", "logistic", "scratch", "shared_folder", "sigmoid", "stored", "text_segments", "train_row"]
 
-    Only where the setting is absent (tests, a laptop) a local folder is chosen.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "claimloom-shared")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text bytes gathered before a segment is processed; bounds a Python worker's memory.
+SEGMENT_BYTES = 12 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
