@@ -192,7 +192,7 @@ _SCAN_VALUES = ", ".join(f"('{a}', '{skills.aliases()[a]}')" for a in skills.pro
 
 @query(f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) || CASE doc_id % 3 WHEN 0 THEN ' java script and mentorship' WHEN 1 THEN ' redis, sql' ELSE '' END AS low FROM documents)
  SELECT doc_id, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS skills FROM t
- LEFT JOIN (VALUES {_SCAN_VALUES}) a(alias, name) ON regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_])' || alias || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY doc_id""")
+ LEFT JOIN (VALUES {_SCAN_VALUES}) a(alias, name) ON contains(low, alias) AND regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_])' || alias || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY doc_id""")
 def skill_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("doc_id") % 3 == 0, " java script and mentorship").when(F.col("doc_id") % 3 == 1, " redis, sql").otherwise("")
     body = F.concat(F.coalesce("text", F.lit("")), tail)
