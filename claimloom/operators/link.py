@@ -33,9 +33,11 @@ def records(claims: DataFrame) -> DataFrame:
 
 def identifier_edges(recs: DataFrame) -> DataFrame:
     """(u, v): each record tied to the least record that shares an id, address or number; linear in identifiers."""
-    tagged = F.array(
-        *(F.transform(F.col(n), lambda v, n=n: F.struct(F.lit(n).alias("kind"), v.alias("value"))) for n in _IDS)
-    )
+
+    def tagged_as(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    tagged = F.array(*map(tagged_as, _IDS))
     owned = recs.select("rid", F.explode(F.flatten(tagged)).alias("id")).select("rid", "id.kind", "id.value")
     least = owned.groupBy("kind", "value").agg(F.min("rid").alias("v"), F.count("*").alias("n")).where("n > 1")
     return owned.join(least, ["kind", "value"]).select(F.col("rid").alias("u"), "v").where("u != v")
