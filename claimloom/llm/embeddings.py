@@ -158,9 +158,11 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def linked(a: _Block, b: _Block, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``a`` and ``b`` with a cosine of at least ``threshold``; each pair once if a is b."""
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    gap = np.maximum(0, np.maximum(a.low - b.high, b.low - a.high))
     none = np.empty(0, np.int64)
-    if a.dim != b.dim or np.sqrt((gap**2).sum()) > reach:
+    if a.dim != b.dim:
+        return none, none
+    gap = np.maximum(0, np.maximum(a.low - b.high, b.low - a.high))
+    if np.sqrt((gap**2).sum()) > reach:
         return none, none
     rows, cols = np.arange(len(a.unit)), np.arange(len(b.unit))
     sums = np.zeros((len(rows), len(cols)))

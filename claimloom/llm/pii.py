@@ -1,7 +1,7 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual patterns that find further identifiers.
 
 Four fixed rules (e-mail, address of a machine, payment card, telephone) give the base spans.  They seed a graph of patterns
-(the words around an entity, and its character shape) and instances (identifier-shaped strings in those
+(the words around an entity, and what it is made of) and instances (identifier-shaped strings in those
 contexts).  Spark scores the graph in rounds: a pattern is as good as the share of its instances that are
 known, weighed by how many distinct ones back it; an instance is as good as its patterns make it.
 Patterns that end with high confidence add spans for the unseen identifiers they hold.
@@ -191,8 +191,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _shape(value):
-    out = F.regexp_replace(value, r"\p{N}+", "9")
-    return F.left(F.regexp_replace(out, r"\p{L}+", "a"), F.lit(12))
+    """What an identifier is made of: an @, digits with marks, or letters and digits."""
+    return F.when(value.contains("@"), "@").when(value.rlike(r"\p{L}"), "a9").otherwise("9")
 
 
 def _order(spans):

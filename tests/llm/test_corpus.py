@@ -80,7 +80,7 @@ def test_long_lists_link_like_short_ones(spark):
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     got = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()
     near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
-    assert {tuple(sorted(r)) for r in got} <= set(near)
+    # a tile's forest may tie fingerprints that hang together only through others, never any that do not
     assert least_reachable(signed, [tuple(r) for r in got]) == least_reachable(signed, near)
 
 
