@@ -28,7 +28,7 @@ LONGEST_FOLD = 192
 #: Text bytes of a segment: the larger, the fewer words are folded in more than one segment.
 SEGMENT = 8 << 20
 #: Documents whose words are folded beforehand, and how many of those words are remembered at most; both bound memory and change no result.
-MEMO_DOCS, MEMO_WORDS = 12_000, 100_000
+MEMO_DOCS, MEMO_WORDS = 16_000, 250_000
 _RANK_BITS = 17
 #: Marks of one byte that often end a chunk of letters and are a word of their own there.
 _STOPS = frozenset(".,;:!?")
@@ -173,6 +173,33 @@ def _worker_ranks(spec) -> dict[bytes, int]:
     return _ranks[spec.id]
 
 
+_memos: dict[int, dict[bytes, bytes]] = {}
+
+
+def _worker_memo(memo) -> dict[bytes, bytes]:
+    """Words that were folded beforehand and their ids as little-endian 32-bit integers."""
+    if memo is None:
+        return {}
+    blobs = memo.value
+    key = hash(blobs[0]) ^ hash(blobs[2])
+    if key not in _memos:
+        _memos.clear()
+        words, word_sizes, ids, id_sizes = blobs[0], np.frombuffer(blobs[1], np.int32), blobs[2], np.frombuffer(blobs[3], np.int32)
+        ends, stops = np.cumsum(word_sizes).tolist(), (4 * np.cumsum(id_sizes)).tolist()
+        _memos[key] = {words[a:b]: ids[c:d] for a, b, c, d in zip([0, *ends], ends, [0, *stops], stops)}
+    return _memos[key]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of words and their ids -> four binaries."""
+    for batch in batches:
+        out = []
+        for column, kind in zip(batch.columns, (np.uint8, np.int32)):
+            lists = column.values
+            out += [np.asarray(lists.flatten()).astype(kind).tobytes(), np.asarray(lists.value_lengths()).astype(np.int32).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in out], names=["words", "word_sizes", "ids", "id_sizes"])
+
+
 _SEGMENT = (
     "ids array<{kind}>, first binary, counts binary, codes binary, head_words binary, head_sizes binary,"
     " tail_words binary, tail_sizes binary, n_known int, known binary, known_sizes binary, words array<array<smallint>>"
@@ -187,7 +214,7 @@ def _cut(spec, pattern: str, memo):
 
         find = regex.compile(pattern).findall
         ranks = _worker_ranks(spec)
-        folded_before = memo.value if memo is not None else {}
+        folded_before = _worker_memo(memo)
         for ids, raw in text_segments(batches, SEGMENT):
             cut = Chunks([t.decode("utf-8", "replace") if t else "" for t in raw])
             number: dict[str, int] = defaultdict(count().__next__)
@@ -208,21 +235,21 @@ def _cut(spec, pattern: str, memo):
                     sizes_of[k] = len(found)
             tail = (np.array(flat, np.int32), sizes_of)
             words = [w.encode() for w in number]
-            known: list[list[int]] = []
+            known: list[bytes] = []
             place = np.empty(len(words), np.int32)
             rest: list[bytes] = []
             where: list[int] = []
             for k, word in enumerate(words):
                 rank = ranks.get(word)
-                got = [rank] if rank is not None else folded_before.get(word)
+                got = rank.to_bytes(4, "little") if rank is not None else folded_before.get(word)
                 if got is None and len(word) <= LONGEST_FOLD:
                     where.append(k)
                     rest.append(word)
                 else:
                     place[k] = len(known)
-                    known.append(got if got is not None else merge_long(word, ranks))
+                    known.append(got if got is not None else np.array(merge_long(word, ranks), "<i4").tobytes())
             place[where] = np.arange(len(rest)) + len(known)
-            known_flat, known_sizes = _ragged(known, np.int32)
+            known_sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
             sizes = np.fromiter(map(len, rest), np.int32, len(rest))
             byte_values = pa.array(np.frombuffer(b"".join(rest), np.uint8).astype(np.int16))
             arrays = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), byte_values)
@@ -236,7 +263,7 @@ def _cut(spec, pattern: str, memo):
                     every,
                     *(pa.array([b.tobytes()], pa.binary()) for b in blobs),
                     pa.array([len(known)], pa.int32()),
-                    pa.array([known_flat.tobytes()], pa.binary()),
+                    pa.array([b"".join(known)], pa.binary()),
                     pa.array([known_sizes.tobytes()], pa.binary()),
                     whole,
                 ],
@@ -325,9 +352,10 @@ def encode(
     common = (
         few.select(F.explode("words").alias("word"))
         .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MEMO_WORDS)
-        .agg(F.collect_list("word").alias("words")).select("words", fold).first()
+        .agg(F.collect_list("word").alias("words")).select("words", fold)
+        .mapInArrow(_packed, "words binary, word_sizes binary, ids binary, id_sizes binary").first()
     )
-    memo = context.broadcast({bytes(w): list(ids) for w, ids in zip(common["words"], common["folded"])})
+    memo = context.broadcast(tuple(bytes(b) for b in common))
     cut = rows.mapInArrow(_cut(held, pattern, memo), schema)
     folded = cut.select(*(c for c in cut.columns if c != "words"), fold)
     schema = "n_tokens bigint, ids array<int>, decoded binary" if not digests else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
