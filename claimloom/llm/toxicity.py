@@ -105,7 +105,7 @@ def project(words: list[str], table: np.ndarray) -> np.ndarray:
     """Products of the words' normalised maps with each row of ``table``: (words, rows)."""
     out = np.zeros((len(words), table.shape[0]))
     turned = np.ascontiguousarray(table.T)
-    for at, codes in _by_length(words, 2048 if table.shape[0] > 1 else 16384):
+    for at, codes in _by_length(words, 256 if table.shape[0] > 1 else 16384):
         size = np.zeros(len(at))
         total = np.zeros((len(at), table.shape[0]))
         for subs, real, weight in _subsequences(codes):
@@ -211,15 +211,19 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: i
     rng = np.random.default_rng(seed)
     seen = [Counter(), Counter()]
     heads = [Counter(), Counter()]
-    for text, label in zip(texts, labels):
-        words = {n for w in set(text.lower().split()) if 3 <= len(n := normal(w)) <= PIECE}
-        seen[label].update(words)
-        heads[label].update({w[:k] for w in words for k in range(4, min(9, len(w)))})
+    least = 2 if n1 < 100 else 3
+    for label in (1, 0):
+        for text in (t for t, y1 in zip(texts, labels) if y1 == label):
+            words = {n for w in set(text.lower().split()) if 3 <= len(n := normal(w)) <= PIECE}
+            seen[label].update(words)
+            starts = {w[:k] for w in words for k in range(5, min(9, len(w)))}
+            heads[label].update(starts if label else starts & heads[1].keys())
+        if label:  # rarer starts are never asked for
+            heads[1] = Counter({h: c for h, c in heads[1].items() if c >= 2 * least})
 
     def odds(at: list[Counter], w: str) -> float:
         return np.log((at[1][w] + 0.3) / (n1 + 1)) - np.log((at[0][w] + 0.3) / (n0 + 1))
 
-    least = 2 if n1 < 100 else 3
     strong = {w: odds(seen, w) * np.sqrt(c) for w, c in seen[1].items() if c >= least and odds(seen, w) > 1.6}
     stems = {h for h, c in heads[1].items() if c >= 2 * least and len(h) >= 5 and odds(heads, h) > 1.6}
     kin = [w for w in seen[1] if w not in strong and any(w[:k] in stems for k in range(5, min(9, len(w)))) and odds(seen, w) > 0.5]
