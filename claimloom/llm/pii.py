@@ -127,31 +127,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(occurring: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, pattern, score) of confident patterns from rows (kind or null, value, pattern).
 
-    A pattern's score is the mean belief in its distinct instances, times n / (n + 1) for n known ones; an
-    instance that a base rule knows has belief 1, any other the belief 1 - prod(1 - score) over its patterns
-    that reached the threshold.
+    A pattern is scored for each kind that backs it: the mean belief in its distinct instances, times n / (n + 1)
+    for n known ones of that kind.  An instance that a base rule knows has belief 1 in its own kind and 0 in the
+    others, any other the belief 1 - prod(1 - score) over its patterns that reached the threshold for the kind.
     """
-    edges = occurring.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    kinds = edges.where("kind is not null").groupBy("pattern").agg(
-        F.max_by("kind", "value").alias("as_kind"), F.count("*").alias("backing"), F.min("kind").alias("low"), F.max("kind").alias("high")
-    )
-    kinds = kinds.where((F.col("backing") >= LEAST_BACKING) & (F.col("low") == F.col("high")))
-    graph = stored(edges.join(kinds.select("pattern", "as_kind", "backing"), "pattern"), "pii-graph")
-    belief = F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)
+    edges = occurring.groupBy("pattern", "value").agg(F.collect_set("kind").alias("kinds"))
+    backed = edges.select("pattern", F.explode("kinds").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("backing"))
+    graph = stored(edges.join(backed.where(F.col("backing") >= LEAST_BACKING), "pattern"), "pii-graph")
+    seeded = F.array_contains("kinds", F.col("kind")).cast("double")
     scores = None
     for _ in range(rounds):
-        rows = graph if scores is None else graph.join(scores, "value", "left")
-        now = belief if scores is None else F.greatest(belief, F.coalesce("known", F.lit(0.0)))
-        patterns = rows.groupBy("pattern", "as_kind", "backing").agg(F.avg(now).alias("mean"))
+        rows = graph if scores is None else graph.join(scores, ["value", "kind"], "left")
+        now = seeded if scores is None else F.when(F.size("kinds") > 0, seeded).otherwise(F.coalesce("known", F.lit(0.0)))
+        patterns = rows.groupBy("pattern", "kind", "backing").agg(F.avg(now).alias("mean"))
         patterns = patterns.withColumn("score", F.col("mean") * F.col("backing") / (F.col("backing") + 1))
         sure = patterns.where(F.col("score") >= LEAST_SCORE)
         scores = (
-            graph.join(sure.select("pattern", "score"), "pattern")
-            .groupBy("value")
+            graph.join(sure.select("pattern", "kind", "score"), ["pattern", "kind"])
+            .groupBy("value", "kind")
             .agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("known"))
         )
-    return stored(sure.select(F.col("as_kind").alias("kind"), "pattern", "score"), "pii-patterns")
-
+    return stored(sure.select("kind", "pattern", "score"), "pii-patterns")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,8 +187,15 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _shape(value):
-    """What an identifier is made of: an @, digits with marks, or letters and digits."""
-    return F.when(value.contains("@"), "@").when(value.rlike(r"\p{L}"), "a9").otherwise("9")
+    """What an identifier is made of: an @, letters and digits, four dotted numbers, or digits as of a telephone or a card."""
+    digits = F.length(F.regexp_replace(value, r"\P{N}", ""))
+    return (
+        F.when(value.contains("@"), "@")
+        .when(value.rlike(r"\p{L}"), "a9")
+        .when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "9.9.9.9")
+        .when(value.rlike(r"[+()]") | (digits < 13), "+9")
+        .otherwise("9")
+    )
 
 
 def _order(spans):

@@ -215,6 +215,40 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.redact_text("a b@c.de f", [("email", 2, 8)]) == "a <email> f"
 
 
+def luhn_cards(n):
+    return [c for k in range(20 * n) if pii._passes("card", c := f"4111222233{k:06d}")][:n]
+
+
+def found_spans(spark, texts):
+    return [
+        {(s["kind"], t[s["start"] : s["stop"]]) for s in r["spans"]}
+        for r, t in sorted(zip(pii.detect(documents(spark, texts)).orderBy("id").collect(), texts), key=lambda p: p[0]["id"])
+    ]
+
+
+@pytest.mark.parametrize("kind", ["email", "ip", "card", "phone"])
+def test_discovery_of_each_kind_outlives_strays_of_the_others(spark, kind):
+    known = {
+        "email": [f"u{k}@site.org" for k in range(40)],
+        "ip": [f"10.0.{k}.7" for k in range(40)],
+        "card": luhn_cards(40),
+        "phone": [f"+14155550{k:03d}" for k in range(40)],
+    }
+    unseen = {"email": "odd77@localhost", "ip": "10.0.999.7", "card": "4111222233000001", "phone": "415-555-0199"}
+    assert not pii.base_spans(unseen[kind])
+    strays = [v[k] for v in known.values() for k in range(8)]
+    texts = [f"so reach at {v} today" for v in [*known[kind], *strays, unseen[kind]]]
+    assert found_spans(spark, texts)[-1] == {(kind, unseen[kind])}
+
+
+def test_instances_of_other_kinds_count_against_a_pattern(spark):
+    rows = [("ip", f"i{k}", "p") for k in range(30)] + [("card", f"c{k}", "p") for k in range(5)] + [(None, "u", "p")]
+    rows += [("ip", f"i{k}", "q") for k in range(20)] + [("card", f"c{k}", "q") for k in range(20)]
+    table = spark.createDataFrame(rows, "kind string, value string, pattern string")
+    got = {(r["pattern"], r["kind"]): r["score"] for r in pii.learn(table, 1).collect()}
+    assert got == {("p", "ip"): pytest.approx(30 / 36 * 30 / 31)}
+
+
 def toxic_corpus(n):
     rng = random.Random(5)
     calm = ["".join(rng.choice(["an", "the", "re", "on", "is", "ou", "ti"]) for _ in range(rng.randint(1, 3))) for _ in range(200)]
