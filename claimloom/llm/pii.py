@@ -2,18 +2,20 @@
 
 Four fixed rules (e-mail, address of a machine, payment card, telephone) give the base spans.  They seed a graph of patterns
 (the words around an entity, and what it is made of) and instances (identifier-shaped strings in those
-contexts).  Spark scores the graph in rounds: a pattern is as good as the share of its instances that are
+contexts: single tokens of any length, and runs of digits with blanks, brackets, dots and dashes).  Spark scores the graph in rounds: a pattern is as good as the share of its instances that are
 known, weighed by how many distinct ones back it; an instance is as good as its patterns make it.
 Patterns that end with high confidence add spans for the unseen identifiers they hold.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import stored, text_segments
@@ -27,6 +29,8 @@ RULES = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 ROUNDS = 3
+#: Shorter strings are no candidates.
+LEAST_CHARS = 5
 #: A pattern needs so many distinct known instances and such a score to add spans.
 LEAST_BACKING, LEAST_SCORE = 5, 0.8
 _COMPILED = {k: re.compile(r) for k, r in RULES.items()}
@@ -34,7 +38,13 @@ _COMPILED = {k: re.compile(r) for k, r in RULES.items()}
 _MAIL_END = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _MAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SHAPED = re.compile(r"[^\s\"'<>|,;]*[0-9@][^\s\"'<>|,;]*")
-_EDGE = re.compile(r"[^\w@+]+$|^[^\w@+]+")
+#: Digits with marks and blanks, from the first digit of a word on; what precedes it is looked at afterwards.
+_RUN = re.compile(r"(?<![\w@])[0-9][0-9\x20\u00a0().+-]*")
+#: Words of a run that are identifiers by themselves: addresses of machines and numbers as long as a card's.
+_ALONE = re.compile(r"[0-9]+(?:\.[0-9]+){3}|[0-9](?:[().+-]*[0-9]){12,}")
+_QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Longer values are kept as their digests.
+VALUE_CHARS = 64
 
 
 def _luhn(digits: str) -> bool:
@@ -91,35 +101,114 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(before)[-24:], "".join(after)[:16]
 
 
-def occurrences(text: str) -> list[tuple[str | None, int, int, str, str]]:
-    """(kind or None, start, end, value, left context) of base spans and of identifier-shaped strings beside them."""
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Strings without blanks that hold a digit or an @, without the marks at their edges."""
+    for m in _SHAPED.finditer(text):
+        a, b = m.span()
+        while a < b and not (text[a].isalnum() or text[a] in "_@+"):
+            a += 1
+        while b > a and not (text[b - 1].isalnum() or text[b - 1] in "_@+"):
+            b -= 1
+        yield a, b
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A part of a run from its first to its last digit, with pluses and brackets right before it."""
+    first = a
+    while first < b and not text[first].isdecimal():
+        first += 1
+    while b > first and not text[b - 1].isdecimal():
+        b -= 1
+    while first > a and text[first - 1] in "+(":
+        first -= 1
+    return (first, b) if first < b else (b, b)
+
+
+def _runs(text: str, busy: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Maximal runs of digits with blanks and marks between base spans, and their parts between words that stand alone."""
+    k = 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while a > 0 and text[a - 1] in "+(":
+            a -= 1
+        if b < len(text) and (text[b].isalnum() or text[b] in "_@"):
+            # the last digits belong to a word
+            while b > a and text[b - 1].isdecimal():
+                b -= 1
+        while k < len(busy) and busy[k][1] <= a:
+            k += 1
+        at, j = a, k
+        free = []
+        while j < len(busy) and busy[j][0] < b:
+            free.append((at, busy[j][0]))
+            at = max(at, busy[j][1])
+            j += 1
+        for x, y in [*free, (at, b)]:
+            x, y = _trimmed(text, x, y)
+            if x >= y:
+                continue
+            yield x, y
+            bounds = [x]
+            for w in re.finditer(r"[^\x20\u00a0]+", text[x:y]):
+                if _ALONE.fullmatch(w.group()):
+                    bounds += [x + w.start(), x + w.end()]
+            bounds.append(y)
+            for c, d in zip(bounds[::2], bounds[1::2]) if len(bounds) > 2 else ():
+                c, d = _trimmed(text, c, d)
+                if c < d:
+                    yield c, d
+
+
+def occurrences(text: str) -> list[tuple[str | None, int, int, str, str, str]]:
+    """(kind or None, start, end, value, left and right context) of base spans and of identifier-shaped strings beside them.
+
+    Identifier-shaped are single tokens and runs of several words; these may overlap one another, but no base span.
+    """
     spans = base_spans(text)
-    taken = sorted((a, b) for _, a, b in spans)
+    busy: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if busy and a < busy[-1][1]:
+            busy[-1] = (busy[-1][0], max(b, busy[-1][1]))
+        else:
+            busy.append((a, b))
     out = []
     for kind, a, b in spans:
         out.append((kind, a, b, text[a:b], *_context(text, a, b)))
-    k = 0
-    for m in _SHAPED.finditer(text) if any(c.isdigit() for c in text) or "@" in text else ():
-        cut = _EDGE.sub("", m.group())
-        a = m.start() + m.group().find(cut)
-        b = a + len(cut)
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        near = taken[max(0, k - 4) : k + 4]
-        if 5 <= len(cut) <= 64 and not any(x < b and a < y for x, y in near):
-            out.append((None, a, b, cut, *_context(text, a, b)))
+    if not ("@" in text or any(c.isdigit() for c in text)):
+        return out
+    ends = [b for _, b in busy]
+    for a, b in sorted({*_tokens(text), *_runs(text, busy)}):
+        k = bisect_right(ends, a)
+        if b - a >= LEAST_CHARS and not (k < len(busy) and busy[k][0] < b):
+            out.append((None, a, b, text[a:b], *_context(text, a, b)))
     return out
 
 
-_FOUND = "array<struct<kind:string,start:int,stop:int,value:string,left:string,right:string>>"
+def shape(value: str) -> str:
+    """What an identifier is made of: an @, letters and digits, four dotted numbers, or digits as of a telephone or a card."""
+    if "@" in value:
+        return "@"
+    if any(map(str.isalpha, value)):
+        return "a9"
+    if _QUAD.fullmatch(value):
+        return "9.9.9.9"
+    return "+9" if any(c in value for c in "+()") or sum(map(str.isnumeric, value)) < 13 else "9"
+
+
+def _short(value: str) -> str:
+    return value if len(value) <= VALUE_CHARS else hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()
+
+
+_FOUND = "array<struct<kind:string,start:int,stop:int,value:string,left:string,right:string,shape:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = ("kind", "start", "stop", "value", "left", "right")
+    fields = ("kind", "start", "stop", "value", "left", "right", "shape")
     kind = pa.list_(pa.struct([(f, pa.int32() if f in ("start", "stop") else pa.string()) for f in fields]))
     for ids, raw in text_segments(batches):
         found = [
-            [dict(zip(fields, o)) for o in occurrences(t.decode("utf-8", "replace"))] if t else [] for t in raw
+            [dict(zip(fields, (*o[:3], _short(o[3]), *o[4:], shape(o[3])))) for o in occurrences(t.decode("utf-8", "replace"))] if t else []
+            for t in raw
         ]
         yield pa.RecordBatch.from_arrays([ids, pa.array(found, kind)], names=["id", "found"])
 
@@ -161,7 +250,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scanned = stored(rows.mapInArrow(_scan, f"id {kind}, found {_FOUND}"), "pii-found")
     # a pattern: context on the left with the shape, or on the right with the shape
     flat = scanned.where("size(found) > 0").select(F.explode("found").alias("o"))
-    shaped = _shape(F.col("o.value"))
+    shaped = F.col("o.shape")
     sides = F.explode(
         F.array(F.concat(F.lit("<"), F.col("o.left"), F.lit("\t"), shaped), F.concat(F.lit(">"), F.col("o.right"), F.lit("\t"), shaped))
     )
@@ -175,6 +264,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .join(sure, "pattern")
         .groupBy("row", F.col("o.start").alias("start"), F.col("o.stop").alias("stop"))
         .agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        # a part of a longer find of its kind is the same identifier
+        .withColumn("reach", F.max("stop").over(Window.partitionBy("row", "kind").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)))
+        .where("reach is null or reach < stop")
         .groupBy("row")
         .agg(F.collect_list(F.struct("kind", "start", "stop")).alias("more"))
     )
@@ -186,18 +278,6 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def _shape(value):
-    """What an identifier is made of: an @, letters and digits, four dotted numbers, or digits as of a telephone or a card."""
-    digits = F.length(F.regexp_replace(value, r"\P{N}", ""))
-    return (
-        F.when(value.contains("@"), "@")
-        .when(value.rlike(r"\p{L}"), "a9")
-        .when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "9.9.9.9")
-        .when(value.rlike(r"[+()]") | (digits < 13), "+9")
-        .otherwise("9")
-    )
-
-
 def _order(spans):
     """Spans sorted by kind as listed, then start."""
     ranked = F.transform(

@@ -241,6 +241,37 @@ def test_discovery_of_each_kind_outlives_strays_of_the_others(spark, kind):
     assert found_spans(spark, texts)[-1] == {(kind, unseen[kind])}
 
 
+def test_identifiers_of_several_words_and_long_ones_are_found(spark):
+    cards = [" ".join(c[k : k + 4] for k in range(0, 16, 4)) for c in luhn_cards(60)]
+    mail = "n" * 90 + "7@localhost"
+    cases = [
+        ("dial", "phone", [f"+1 (415) 555-0{k:03d}" for k in range(60)], {"(826) 555-4081": "(826) 555-4081", "826 555 4081": "826 555 4081"}),
+        ("pay", "card", cards, {"4111 2222 3300 0001": "4111 2222 3300 0001", "4111-2222-3300-0001": "4111-2222-3300-0001"}),
+        ("mail", "email", [f"u{k}@site.org" for k in range(60)], {mail: mail}),
+    ]
+    texts, want = [], []
+    for word, kind, known, unseen in cases:
+        for v in known:
+            texts.append(f"please {word} {v} x{word}")
+            want.append({(kind, v)})
+        for given, v in unseen.items():
+            texts.append(f"please {word} {given} x{word}")
+            want.append({(kind, v)})
+    texts.append("please dial +1 (826) 555-4081 190.137.223.204 y")
+    want.append({("ip", "190.137.223.204"), ("phone", "+1 (826) 555-4081")})
+    texts.append("please dial 826 555 4081 9111222233000001 y")
+    want.append({("phone", "826 555 4081")})
+    assert found_spans(spark, texts) == want
+
+
+def test_candidates_of_odd_runs():
+    read = lambda t: {v for k, _, _, v, *_ in pii.occurrences(t) if k is None}
+    assert read("a1 415 555 0132nd (12) 34-56. b") == {"415 555", "(12) 34-56", "34-56", "0132nd"}
+    assert read("12345 67890") == {"12345", "67890", "12345 67890"}
+    assert read("((+1 23") == {"((+1 23"} and read("1.2.3.4 . ( ) 56") == set() and read("5" * 200) == {"5" * 200}
+    assert pii.occurrences("1 " * 20000) and pii.occurrences("(" * 20000 + "-" * 20000 + "1") == []
+
+
 def test_instances_of_other_kinds_count_against_a_pattern(spark):
     rows = [("ip", f"i{k}", "p") for k in range(30)] + [("card", f"c{k}", "p") for k in range(5)] + [(None, "u", "p")]
     rows += [("ip", f"i{k}", "q") for k in range(20)] + [("card", f"c{k}", "q") for k in range(20)]
