@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SEGMENT_BYTES, scratch, text_segments
+from claimloom.llm.common import SEGMENT_BYTES, scratch, stored, text_segments
 
 WINDOW = 10
 #: Benchmark words that one broadcast holds; larger benchmarks are searched block after block.
@@ -294,21 +294,28 @@ def contamination(
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    report = f"id {kind}, n_words bigint, starts array<bigint>, stops array<bigint>, items array<string>"
+    report = "id {kind}, n_words bigint, starts array<bigint>, stops array<bigint>, items array<string>"
     blocks = list(_broadcast_blocks(spark, query_blocks(items, item_id_col, item_text_col, width)))
     if not blocks:
         blocks = [spark.sparkContext.broadcast(Windows([], width))]
-    found = None
-    for held in blocks:
-        index = build_index(docs, held.value.vocabulary, id_col, text_col)
-        part = index.mapInArrow(_reports(held), report)
-        found = part if found is None else found.union(part)
-    if len(blocks) > 1:
-        found = found.groupBy("id", "n_words").agg(
+    if len(blocks) == 1:
+        index = build_index(docs, blocks[0].value.vocabulary, id_col, text_col)
+        found = index.mapInArrow(_reports(blocks[0]), report.format(kind=kind))
+    else:
+        # ids may repeat or be null, so the results of blocks are put together by a number that each row is written with
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+        found = None
+        for held in blocks:
+            index = build_index(rows, held.value.vocabulary, "row", "text")
+            part = index.mapInArrow(_reports(held), report.format(kind="bigint"))
+            found = part if found is None else found.union(part)
+        found = found.groupBy(F.col("id").alias("row"), "n_words").agg(
             F.flatten(F.collect_list("starts")).alias("starts"),
             F.flatten(F.collect_list("stops")).alias("stops"),
             F.flatten(F.collect_list("items")).alias("items"),
         )
+        found = found.join(rows.select("row", "id"), "row").select("id", "n_words", "starts", "stops", "items")
     return found.mapInArrow(
         _summary,
         f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string,"

@@ -163,6 +163,19 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert decontaminate.contamination(empty(spark), table).count() == 0
 
 
+def test_blocks_of_queries_keep_rows_of_repeated_and_null_ids_apart(spark, monkeypatch):
+    items = [(k, prose(14)) for k in range(4)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = [t for _, t in items] + [prose(14), items[0][1], None, None]
+    rows = [(7, t) for t in texts] + [(None, t) for t in texts] + [(1, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted((str(i), *brute_contamination(t, items)) for i, t in rows)
+    for words in (1 << 20, 12):  # one block of queries, several
+        monkeypatch.setattr(decontaminate, "QUERY_WORDS", words)
+        got = decontaminate.contamination(docs, table).collect()
+        assert sorted((str(r["id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == want
+
+
 def test_phrase_and_proximity_matches(spark):
     item = "one two three four five six seven eight nine ten"
     near = "one two three four five x six seven eight nine y ten"
