@@ -5,7 +5,8 @@ of every token whose term occurs in the benchmark.  It is written to the shared
 benchmark's windows to the segments in blocks of bounded size.  In a segment each window starts with
 the posting list of its rarest term, moved to the window's start, and is intersected with the offset-adjusted
 lists of the other terms, rarest first, until every list has agreed: exact phrases.  Windows of which
-all terms lie within ``slop`` extra words of an occurrence of the rarest one are proximity matches.
+all terms, each as often as the window has it, lie in any order in a span of ``slop`` extra words around an
+occurrence of the rarest one are proximity matches.
 """
 
 from __future__ import annotations
@@ -179,33 +180,48 @@ class _Segment:
             outs.append((window, start))
         return np.concatenate([w for w, _ in outs]), np.concatenate([s for _, s in outs])
 
+    def count(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Postings of each term from ``low`` to ``high``, both included."""
+        base = term * self.span
+        return np.searchsorted(self.keys, base + high, "right") - np.searchsorted(self.keys, base + low, "left")
+
     def near(self, q: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, anchor) where all terms occur within size + slop words around the rarest one, in one document."""
+        """(window, anchor) where size + slop words of one document hold an occurrence of the rarest term and all other terms.
+
+        A term that the window repeats must occur as often.
+        """
         if not len(self.keys):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         order, alive = self.ranked(q)
-        window, anchor = self.anchors(q, order, alive)
-        doc = np.searchsorted(self.starts, anchor, "right") - 1
-        reach = q.size[window] + slop - 1
-        low = np.maximum(anchor - reach, self.starts[doc])
-        high = np.minimum(anchor + reach, self.starts[doc + 1] - 1)
-        nearest_low, nearest_high = anchor.copy(), anchor.copy()
-        ok = np.ones(len(window), bool)
-        for k in range(q.terms.shape[1]):
-            term = q.terms[window, k]
-            asked = term >= 0
-            i = np.searchsorted(self.keys, np.where(asked, term, 0) * self.span + anchor)
-            after = np.where(i < len(self.keys), self.keys[np.minimum(i, len(self.keys) - 1)] - term * self.span, -1)
-            before = np.where(i > 0, self.keys[np.maximum(i - 1, 0)] - term * self.span, -1)
-            right = (after >= anchor) & (after <= high)
-            left = (before >= low) & (before <= anchor)
-            use_right = right & (~left | (after - anchor <= anchor - before))
-            at = np.where(use_right, after, before)
-            ok &= ~asked | left | right
-            nearest_low = np.where(asked & ok, np.minimum(nearest_low, at), nearest_low)
-            nearest_high = np.where(asked & ok, np.maximum(nearest_high, at), nearest_high)
-        ok &= nearest_high - nearest_low <= reach
-        return window[ok], anchor[ok]
+        outs = []
+        for part in np.array_split(alive, max(1, len(alive) // 256)):
+            window, anchor = self.anchors(q, order, part)
+            doc = np.searchsorted(self.starts, anchor, "right") - 1
+            first, last = self.starts[doc], self.starts[doc + 1] - 1
+            reach = q.size[window] + slop - 1
+            for k in range(q.terms.shape[1]):
+                ok = self._enough(q, window, k, np.maximum(anchor - reach, first), np.minimum(anchor + reach, last))
+                window, anchor, first, last, reach = (x[ok] for x in (window, anchor, first, last, reach))
+            # spans by start, the lowest first; an anchor that has its span is done
+            for back in range(int(reach.max(initial=-1)), -1, -1):
+                start = anchor - back
+                live = np.flatnonzero(back <= reach)
+                for k in range(q.terms.shape[1]):
+                    low, high = np.maximum(start[live], first[live]), np.minimum(start[live] + reach[live], last[live])
+                    live = live[self._enough(q, window[live], k, low, high)]
+                outs.append((window[live], anchor[live]))
+                rest = np.ones(len(window), bool)
+                rest[live] = False
+                window, anchor, first, last, reach = (x[rest] for x in (window, anchor, first, last, reach))
+        window, anchor = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*outs) if outs else ((), ())))
+        order = np.lexsort((anchor, window))
+        return window[order], anchor[order]
+
+    def _enough(self, q: Windows, window: np.ndarray, k: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the ``k``-th term of each window occurs from ``low`` to ``high`` as often as in the window."""
+        term = q.terms[window, k]
+        needed = (q.terms[window] == term[:, None]).sum(axis=1)
+        return (term < 0) | (self.count(np.maximum(term, 0), low, high) >= needed)
 
 
 def _scalars(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -372,8 +388,8 @@ def matches(
 ) -> DataFrame:
     """(id, item, kind, position): phrase matches by start, proximity matches by their rarest term's place.
 
-    A window is matched by proximity where each of its terms has an occurrence nearest to an occurrence
-    of the rarest one within ``size + slop`` words; windows that the document holds as a phrase are not repeated.
+    A window is matched by proximity at an occurrence of its rarest term where some ``size + slop`` words in a row hold
+    that and all other terms, each as often as the window has it; windows that the document holds as a phrase are not repeated.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()

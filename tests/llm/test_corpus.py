@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -184,6 +185,29 @@ def test_phrase_and_proximity_matches(spark):
     assert {(r["id"], r["kind"]) for r in got} == {(0, "phrase"), (1, "proximity"), (3, "phrase")}
 
 
+def brute_proximity(text, item, slop):
+    words, q = text.split(), item.split()
+    n = min(10, len(q))
+    for k in range(max(1, len(q) - n + 1)):
+        need = Counter(q[k : k + n])
+        if any(not need - Counter(words[p : p + n + slop]) for p in range(max(1, len(words) - n - slop + 1))):
+            return True
+    return False
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(4)
+    items = [(1, "A B C D E F G H I R"), (2, "a a b c d e f g h i"), (3, "p q"), (4, " ".join(rng.choice("stuvw") for _ in range(12)))]
+    texts = ["A x x x x R B C D E F A G H I", "a b c d e f g h i", "i a h g f e d c b z a", "p x x x x q", "p x x x x x q", "A B C D E x x x x x F G H I R"]
+    texts += [" ".join(rng.choice("stuvwxy") for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    for slop in (0, 4):
+        got = {(r["id"], r["item"]) for r in decontaminate.matches(documents(spark, texts), table, slop).collect()}
+        want = {(k, str(i)) for k, t in enumerate(texts) for i, item in items if brute_proximity(t, item, slop)}
+        assert got == want
+    assert {(0, "1"), (2, "2"), (3, "3")} <= want and not {(1, "2"), (4, "3"), (5, "1")} & want
+
+
 def test_url_rules(spark):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
     given = ["http://a.net/", "http://EXAMPLE.net/en/x", "http://x.example.net/de", "https://example.com/de/?q", "http://example.com/de", "http://notexample.com/de/",
