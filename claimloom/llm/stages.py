@@ -35,19 +35,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id.
+    """Exactly one row of each group of near copies stays: the one with the least doc_id, then the least digest of its text.
 
-    Of rows that repeat a doc_id one stays.  Rows without a doc_id stay only where no document of their group has one.
+    Rows without a doc_id come last in that order.  Rows of one doc_id with texts that are no near copies all stay.
     """
-    found = simhash.near_duplicates(docs)
-    ids = found.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    alone = found.where("id is null and component is null").select("fp").distinct()
-    prints = simhash.fingerprints(nameless.withColumn("key", F.sha2("text", 256)), "key").join(alone, "fp", "left_semi")
-    keys = prints.select(F.coalesce("id", F.lit("")).alias("key")).distinct()
-    rest = nameless.withColumn("key", F.coalesce(F.sha2("text", 256), F.lit(""))).join(keys, "key", "left_semi")
-    return named.unionByName(rest.select(docs.columns)).select(docs.columns)
+    # a group hangs on the text alone, so rows are known by their texts' digests, and each text is joined once
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    keyed = docs.withColumn("_key", digest).withColumn("_rest", F.xxhash64(*others) if others else F.lit(0).cast("bigint"))
+    groups = simhash.near_duplicates(docs.select(digest.alias("key"), "text"), "key").select(F.col("id").alias("_key"), "component").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("_key").alias("key"), F.col("_rest").alias("rest"))
+    least = keyed.groupBy("_key").agg(F.min(order).alias("best")).join(groups, "_key").groupBy("component").agg(F.min("best").alias("best"))
+    best = least.select("best.*")
+    same = (keyed["_key"] == best["key"]) & keyed["doc_id"].eqNullSafe(best["id"]) & (keyed["_rest"] == best["rest"])
+    return keyed.join(best, same, "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -416,6 +416,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+def test_each_group_of_near_copies_keeps_one_row(spark):
+    from claimloom.llm import stages
+
+    x, y, z = ("red green blue one two three", "north south east west up down", "alpha beta gamma delta eta")
+    rows = [(3, y, "a"), (5, y, "a"), (5, x, "b"), (6, z, "c"), (6, z, "b"), (6, z, "b"), (None, z, "a"), (None, "lone words here now", "a"), (None, "lone words here now", "a"), (8, None, "a"), (9, "", "a")]
+    want = [(3, y, "a"), (5, x, "b"), (8, None, "a"), (None, "lone words here now", "a")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if parts > 1 else rows, "doc_id bigint, text string, lang string").repartition(parts)
+        got = [tuple(r) for r in stages.drop_near_copies(spark, docs, "").collect()]
+        assert sorted((r for r in got if r[1] != z), key=str) == sorted(want, key=str)
+        assert [r[:2] for r in got if r[1] == z] == [(6, z)]
+
+
 def test_components(spark):
     from claimloom.llm.components import components
 
