@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from claimloom.functions import dates, phones, places, skills, text
 from claimloom.operators import enrich, fuse, link
 from claimloom.plans import project
 from claimloom.plans.tables import CLAIMS_SQL, CLUSTERS_SQL, FUSED_SQL, claims_from_tables, load
+from claimloom.sources import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,6 +280,54 @@ def lookahead_next_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.coalesce(*ahead)).alias("answer"))
 
 
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN coalesce(CASE WHEN r1 != 'user' THEN t1 END, CASE WHEN r2 != 'user' THEN t2 END) END AS answer FROM (
+ SELECT conv_id, turn, role, lead(role, 1) OVER w AS r1, lead(text, 1) OVER w AS t1, lead(role, 2) OVER w AS r2, lead(text, 2) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))""")
+def lookahead_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``lookahead_next_lines``, with the whole text that follows."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    ahead = [F.when(F.lead("role", n).over(w) != "user", F.lead("text", n).over(w)) for n in (1, 2)]
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.coalesce(*ahead)).alias("answer"))
+
+
+def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): whole documents under headings, one of them repeated, with a school whose name stands in the text."""
+    whole = F.coalesce("text", F.lit(""))
+    entry = F.concat(F.lit("B.S. in "), F.coalesce("lang", F.lit("x")), F.lit(", 2014 - 2018"))
+    parts = [whole, F.lit("Education:"), entry, F.lit("GPA 3.9"), whole, F.lit(" SUMMARY "), whole, F.lit("education"), entry, whole]
+    return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("text"))
+
+
+def _sections(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for doc_id, body in zip(frame["doc_id"], frame["text"]):
+            for name, lines in resume.sections([line.strip() for line in body.splitlines()]).items():
+                out.append((doc_id, name, len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+        yield pd.DataFrame(out, columns=["doc_id", "section", "n_lines", "lines_sha256"])
+
+
+@query()
+def resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each section by the résumé reader, as count and digest; its headings and trimming have no SQL form here."""
+    return _resumes(spark, sf_dir).mapInPandas(_sections, "doc_id bigint, section string, n_lines int, lines_sha256 string")
+
+
+def _schools(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for doc_id, body in zip(frame["doc_id"], frame["text"]):
+            lines = [line.strip() for line in body.splitlines()]
+            for k, school in enumerate(resume.schools(resume.sections(lines).get("education", []), lines)):
+                out.append((doc_id, k, school["institution"], school["degree"], school["field"], school["end_year"]))
+        yield pd.DataFrame(out, columns=["doc_id", "pos", "institution", "degree", "field", "end_year"])
+
+
+@query()
+def resume_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schools by the résumé reader, which looks ahead for the institution."""
+    return _resumes(spark, sf_dir).mapInPandas(_schools, "doc_id bigint, pos int, institution string, degree string, field string, end_year int")
+
+
 _SCALAR = lambda f: f"(SELECT value FROM scalars s WHERE s.cluster = c.cluster AND s.field_path = '{f}')"
 
 

@@ -1,5 +1,6 @@
 """Linking, fusion, projection and files, with the cases that results must keep."""
 
+import hashlib
 import json
 import zipfile
 from decimal import Decimal
@@ -264,3 +265,65 @@ def test_arriving_files(spark, tmp_path):
         (folder / f"{name}.csv").write_text(f"id,name\n{key},Ann {name}\n")
         follow(spark, str(folder), str(tmp_path / "claims"), str(tmp_path / "ck"), lambda p, _: seen.append(p.count())).awaitTermination()
     assert seen == [1, 2]
+
+
+RESUME_TEXTS = ["First College, Town\nmore about it\nSkills\na, b", "\n\nSummary:\n MBA 2001\nlast line", "GPA 1\nGPA 2\nFar College", None, "  Experience  \nx"]
+
+
+@pytest.fixture
+def resume_folder(spark, tmp_path):
+    rows = [(k, t, "en") for k, t in enumerate(RESUME_TEXTS)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def resume_lines(text):
+    entry = "B.S. in en, 2014 - 2018"
+    whole = text or ""
+    body = "\n".join([whole, "Education:", entry, "GPA 3.9", whole, " SUMMARY ", whole, "education", entry, whole])
+    return [line.strip() for line in body.splitlines()]
+
+
+def brute_sections(lines):
+    headings = {"education": "education", "summary": "summary", "skills": "skills", "experience": "experience"}
+    opened = [headings.get(line.lower().rstrip(":")) for line in lines]
+    at = [next((o for o in opened[k::-1] if o), "header") for k in range(len(lines))]
+    return {s: [x for x, o, a in zip(lines, opened, at) if a == s and not o] for s in {"header", *filter(None, opened)}}
+
+
+def test_registered_sections_against_brute_force(spark, resume_folder):
+    from claimloom.plans.queries import QUERIES
+
+    got = {(r["doc_id"], r["section"]): (r["n_lines"], r["lines_sha256"]) for r in QUERIES["resume_sections"](spark, resume_folder).collect()}
+    want = {}
+    for k, t in enumerate(RESUME_TEXTS):
+        for s, lines in brute_sections(resume_lines(t)).items():
+            want[k, s] = (len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    assert got == want
+
+
+def test_registered_schools_look_two_lines_ahead(spark, resume_folder):
+    from claimloom.plans.queries import QUERIES
+
+    got = {}
+    for r in QUERIES["resume_schools"](spark, resume_folder).orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append((r["institution"], r["degree"], r["field"], r["end_year"]))
+    for k, t in enumerate(RESUME_TEXTS):
+        lines, want = brute_sections(resume_lines(t))["education"], []
+        for n, line in enumerate(lines):
+            if line.startswith("B.S."):
+                ahead = [x for x in lines[n + 1 : n + 3] if x and "GPA" not in x]
+                # the next entry is no institution
+                found = ahead[0].split(",")[0] if ahead and not ahead[0].startswith("B.S.") else None
+                want.append((found, "B.S.", "en", 2018))
+        assert got[k] == want, t
+    assert got[0][0][0] == "First College" and got[2][0][0] is None
+
+
+def test_answers_that_differ_late_stay_apart(spark, tmp_path):
+    from claimloom.plans.queries import QUERIES
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "x" * 600 + "a"), (2, 0, "user", "q"), (2, 1, "user", "r"), (2, 2, "assistant", "x" * 600 + "b")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["conv_id"], r["turn"]): r["answer"] for r in QUERIES["lookahead_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): rows[1][3], (1, 1): None, (2, 0): rows[4][3], (2, 1): rows[4][3], (2, 2): None}
