@@ -29,7 +29,7 @@ def _parser() -> argparse.ArgumentParser:
 def _run(args: argparse.Namespace) -> int:
     from claimloom import engine, render
     from claimloom.operators import enrich, link
-    from claimloom.sources.files import claims_of, read_files
+    from claimloom.sources.files import claims_of, prose_of, read_files
 
     config = OutputConfig.from_file(args.config) if args.config and not args.default else default_config()
     spark = engine.session()
@@ -42,12 +42,7 @@ def _run(args: argparse.Namespace) -> int:
             print(f"possible over-merge: {', '.join(row['candidate_ids'])}", file=sys.stderr)
     settings = config.enrichment
     if args.enrich and settings and settings.enabled:
-        from pyspark.sql import functions as F
-
-        raw = read_files(spark, args.input)
-        stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
-        prose = raw.where("lower(path) rlike '\\\\.(txt|text|md)$'").select(F.lit("notes").alias("source"), stem.alias("record_key"), F.col("path").alias("seq"), "text")
-        given = enrich.answers(enrich.contexts(profiles, claims, prose), spark.read.parquet(args.enrich), settings.model)
+        given = enrich.answers(enrich.contexts(profiles, claims, prose_of(read_files(spark, args.input))), spark.read.parquet(args.enrich), settings.model)
         profiles = enrich.fill(profiles, given, settings.model, settings.fields)
     if args.format not in ("json", "ndjson"):
         print(f"unknown format {args.format!r}", file=sys.stderr)

@@ -275,6 +275,33 @@ def parsed(raw: DataFrame) -> DataFrame:
     return routed.mapInPandas(_parse, PARSED)
 
 
+def _prose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for path, text, content, kind in frame[["path", "text", "content", "kind"]].itertuples(index=False):
+            key = PurePosixPath(path).stem
+            try:
+                if kind == "resume":
+                    text = resume_text(path, bytes(content))
+                elif kind == "github":
+                    user = json.loads(text)["user"]
+                    key = user["login"] if isinstance(user.get("login"), str) and user["login"] else key
+                    text = user.get("bio")
+            except Exception:  # noqa: BLE001, S112  a broken file has no prose; its reason is kept with its claims
+                continue
+            if isinstance(text, str) and text.strip():
+                out.append((kind, key, path, text))
+        yield pd.DataFrame(out, columns=["source", "record_key", "seq", "text"])
+
+
+def prose_of(raw: DataFrame) -> DataFrame:
+    """(source, record_key, seq, text): the prose of notes, of résumés and of the bios of code-hosting users."""
+    notes = F.lower("path").rlike(r"\.(txt|text|md)$")
+    kind = F.when(notes, "notes").otherwise(kind_of(F.col("path"), F.col("text")))
+    routed = raw.withColumn("kind", kind).where(F.col("kind").isin("notes", "resume", "github"))
+    return routed.mapInPandas(_prose, "source string, record_key string, seq string, text string")
+
+
 def normalized(rows: DataFrame) -> DataFrame:
     """Parser rows -> claims: every raw string through the column expression that ``how`` names; what fails is no claim."""
     rows = rows.where("error is null")

@@ -327,3 +327,17 @@ def test_answers_that_differ_late_stay_apart(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(r["conv_id"], r["turn"]): r["answer"] for r in QUERIES["lookahead_whole_texts"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0): rows[1][3], (1, 1): None, (2, 0): rows[4][3], (2, 1): rows[4][3], (2, 2): None}
+
+
+def test_context_holds_prose_of_notes_resumes_and_bios(spark, tmp_path):
+    words = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "cv.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{words}"><w:body><w:p><w:r><w:t>Ann Lee</w:t></w:r></w:p><w:p><w:r><w:t>ann@x.io builds</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "hub.json").write_text(json.dumps({"user": {"login": "annlee", "name": "Ann Lee", "email": "ann@x.io", "bio": "Likes trees"}, "repos": [], "languages": {}}))
+    (tmp_path / "n.txt").write_text("Name: Ann Lee\nann@x.io called")
+    (tmp_path / "bad.docx").write_text("no archive")
+    (tmp_path / "bad.json").write_text('{"user" "repos"')
+    c = files.claims_of(spark, [str(tmp_path)])
+    prose = files.prose_of(files.read_files(spark, [str(tmp_path)]))
+    context = enrich.contexts(engine.build_profiles(c), c, prose).collect()
+    assert [r["context"] for r in context] == ["[source: resume]\nAnn Lee\nann@x.io builds\n\n[source: github]\nLikes trees\n\n[source: notes]\nName: Ann Lee\nann@x.io called"]
