@@ -1,8 +1,8 @@
 """Token-id output compressed by Re-Pair grammars, one per shard, with random-access decoding.
 
 Documents are range-partitioned by id, encoded, closed with an end id, and packed into shards.  In a shard frequent
-neighbouring pairs are replaced by nonterminals, round after round; a round replaces a bounded number of the
-most frequent pairs at once, leftmost first where they overlap.  No pair crosses a document.  A shard stores its rules,
+neighbouring pairs are replaced by nonterminals, round after round, until no pair is frequent; a round replaces many of
+the most frequent pairs at once, the more frequent one where two overlap.  No pair crosses a document.  A shard stores its rules,
 the expansion length of each rule, the compressed sequence and each document's place in it, so one document
 can be expanded without the others.
 """
@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import Chunks, scratch, text_segments
 from claimloom.llm.token_counts import tokenizer
 
-#: Grammar rounds and rules added in a round at most.
-ROUNDS = 4
+#: A round replaces at least so many of the most frequent pairs, if there are, and all that are half as frequent as the first.
 RULES_PER_ROUND = 4096
 #: A pair must occur so often to get a rule.
 LEAST_USES = 8
@@ -50,42 +49,67 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
     keep[gap] = False
     s[keep] = ids
     rules = np.empty((0, 2), np.int32)
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         a, b = s[:-1], s[1:]
+        # buckets only leave out pairs that cannot be frequent; what is left is counted exactly
         code = (a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-        code[(a == _GAP) | (b == _GAP)] = 0
-        uses = np.bincount(code, minlength=_BUCKETS)
-        uses[0] = 0
-        top = np.argpartition(uses, -RULES_PER_ROUND)[-RULES_PER_ROUND:]
-        top = top[uses[top] >= LEAST_USES]
-        if not len(top):
+        code[(a == _GAP) | (b == _GAP)] = _BUCKETS
+        uses = np.bincount(code, minlength=_BUCKETS + 1)
+        uses[_BUCKETS] = 0
+        # the fullest buckets first; only if they hold no frequent pair all others
+        for low in dict.fromkeys((max(LEAST_USES, _least(uses)), LEAST_USES)):
+            at = np.flatnonzero(uses[code] >= low)
+            pairs = a[at].astype(np.int64) << 32 | b[at]
+            distinct, n = np.unique(pairs, return_counts=True)
+            distinct, n = distinct[n >= LEAST_USES], n[n >= LEAST_USES]
+            if len(n):
+                break
+        else:
             break
-        rule_of = np.full(_BUCKETS, -1, np.int32)
-        rule_of[top] = np.arange(len(top))
-        at = np.flatnonzero(rule_of[code] >= 0)
-        rule = rule_of[code[at]]
-        # a bucket stands for one of its pairs: the first one
-        first = np.zeros(len(top), np.int64)
-        first[rule[::-1]] = at[::-1]
-        pair = np.stack([a[first], b[first]], axis=1)
-        same = (a[at] == pair[rule, 0]) & (b[at] == pair[rule, 1])
-        at, rule = at[same], rule[same]
-        fresh = np.diff(at, prepend=-2) != 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        taken = (np.arange(len(at)) - run) % 2 == 0
-        at, rule = at[taken], rule[taken]
+        least = _least(n)
+        at, rule, chosen = _places(at, pairs, distinct[n >= least], n[n >= least])
         s[at] = base + len(rules) + rule
         left = np.ones(len(s), bool)
         left[at + 1] = False
         s = s[left]
-        rules = np.concatenate([rules, pair.astype(np.int32)])
+        rules = np.concatenate([rules, np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1).astype(np.int32)])
     gaps = np.flatnonzero(s == _GAP)
     starts = np.concatenate([[0], gaps[:-1] + 1]) - np.arange(len(gaps)) if len(gaps) else np.empty(0, np.int64)
     return s[s != _GAP], starts.astype(np.int64), rules
 
 
+def _least(n: np.ndarray) -> float:
+    """The use that puts a pair among those of a round."""
+    return min(n.max() / 2, np.partition(n, -RULES_PER_ROUND)[-RULES_PER_ROUND]) if len(n) > RULES_PER_ROUND else 0
+
+
+def _places(at: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, pairs): where pairs of ``chosen``, which occur ``n`` times, are replaced.
+
+    Of two that overlap the more frequent one is, of equally frequent ones that with the less hash, so copies of a passage
+    are cut alike; in runs of one pair the leftmost.  Pairs that are replaced at less than half of LEAST_USES places are
+    left out; the first of all never is.
+    """
+    mixed = chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rank = np.empty(len(chosen), np.int64)
+    rank[np.lexsort((mixed, -n))] = np.arange(len(chosen))
+    k = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+    same = chosen[k] == pairs
+    at, rule = at[same], k[same]
+    place, touch = rank[rule], np.diff(at) == 1
+    free = np.ones(len(at), bool)
+    free[1:] &= ~(touch & (place[:-1] < place[1:]))
+    free[:-1] &= ~(touch & (place[1:] < place[:-1]))
+    at, rule = at[free], rule[free]
+    fresh = np.diff(at, prepend=-2) != 1
+    run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    taken = (np.arange(len(at)) - run) % 2 == 0
+    at, rule = at[taken], rule[taken]
+    used = np.bincount(rule, minlength=len(chosen)) >= LEAST_USES // 2
+    ok = used[rule]
+    return at[ok], (np.cumsum(used) - 1)[rule[ok]], chosen[used]
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule stands for; a rule only uses earlier ones."""
     out = np.ones(len(rules), np.int64)

@@ -137,6 +137,27 @@ def test_grammar_expands_to_its_input(ids):
     assert repair.expand(s[starts[1] :], rules, 100).tolist() == ids[sizes[0] :]
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    passage = list(range(64))
+    ids = np.array((passage + [99]) * 100, np.int32)
+    s, _, rules = repair.compress(ids, np.array([len(ids)]), 100)
+    assert repair.expand(s, rules, 100).tolist() == ids.tolist()
+    assert len(s) < 20 and repair.expansion_lengths(rules, 100).max() >= 65
+    assert max(Counter(zip(s[:-1].tolist(), s[1:].tolist())).values()) < repair.LEAST_USES
+
+
+def test_frequent_pair_behind_a_rare_one_of_its_bucket_gets_the_rule():
+    code = lambda a, b: ((a * 0x9E3779B1 ^ b * 0x85EBCA6B) & 0xFFFFFFFF) >> 12
+    first, rare, frequent = {}, None, None
+    for a in range(2000):
+        for b in range(2000, 2004):
+            if (old := first.setdefault(code(a, b), (a, b))) != (a, b) and old[0] != a and old[1] != b and code(a, b):
+                rare, frequent = old, (a, b)
+    docs = [rare, *[frequent] * 20]
+    s, _, rules = repair.compress(np.array(docs, np.int32).reshape(-1), np.full(len(docs), 2), 5000)
+    assert rules.tolist() == [list(frequent)] and s.tolist() == [*rare, *[5000] * 20]
+
+
 def brute_contamination(text, items):
     words = [w.decode() for w in decontaminate.words_of(text.encode() if text else None)]
     hit, found = set(), set()
