@@ -1,9 +1,10 @@
 """Byte-level BPE: ranked merges folded by Spark over the byte arrays of distinct words.
 
-Arrow functions only prepare and apply the dictionary of a segment of texts: they cut texts into the words of the
-pattern, number the distinct ones, and later put the ids of each text together.  Between them, in the
-same stage and without a shuffle, ``aggregate`` folds merges over each distinct word, taking the
-least-ranked neighbouring pair each time.  The rank map is a literal: a perfect hash table over pairs
+Texts are handled in blocks of some megabytes.  An Arrow function cuts the texts of a block into the words of the pattern and
+returns a row for each distinct word, then rows of texts as numbers of words.  In the same stage and without a
+shuffle, ``aggregate`` folds merges over each distinct word, taking the least-ranked neighbouring pair
+each time, and concatenates the binary pieces of the ids it got.  A second Arrow function, which gets the rows in the same
+order, puts ids and pieces of each text together.  The rank map is a literal: a perfect hash table over pairs
 of ids, so that a look-up costs one array access instead of a scan of a Spark map.
 """
 
@@ -18,22 +19,20 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from claimloom.llm.common import Chunks, text_segments
+from claimloom.llm.common import text_segments
 
-#: Words of more bytes are merged by a heap in Python; a fold would take time in the square of the length.
+#: Words of more bytes are merged by a heap in Python, with the same ids; a fold would take time in the square of the length.
 LONGEST_FOLD = 192
-#: Text bytes of a segment: the larger, the fewer words are folded in more than one segment.
-SEGMENT = 8 << 20
-#: Documents whose words are folded beforehand, and how many of those words are remembered at most; both bound memory and change no result.
-MEMO_DOCS, MEMO_WORDS = 16_000, 250_000
+#: Text bytes of a block: the larger, the fewer words are folded in more than one block.
+BLOCK = 16 << 20
+#: Distinct words of a row batch, and word numbers of a row of texts, that an Arrow function returns at once.
+_WORDS_AT_ONCE, _CODES_AT_ONCE = 8192, 1 << 18
 _RANK_BITS = 17
-#: Marks of one byte that often end a chunk of letters and are a word of their own there.
-_STOPS = frozenset(".,;:!?")
-#: A cell of no row: its owner is beyond all ids.
-_EMPTY = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,10 +41,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int | None], list[int]]:
     """All pairs of ids that merge, as displaced rows in one array: (cells, place of each id's row).
 
-    Cell ``rows[left] + right`` holds ``left * 2**17 + rank`` if the pair merges; another owner's cell or _EMPTY else.
+    Cell ``rows[left] + right`` holds ``left * 2**17 + rank`` if the pair merges; another owner's cell, None or
+    nothing (beyond the array) else.  Rows go where all their cells are free, long rows first.
     """
     of: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
@@ -54,22 +54,38 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
             if left is not None and right is not None:
                 of.setdefault(left, []).append((right, rank))
     n_ids = max(ranks.values(), default=0) + 1
-    room = 4 * sum(map(len, of.values())) + 1
-    cells = [_EMPTY] * (room + n_ids)
-    rows = [0] * n_ids
-    turn = 0
+    size = 4 * sum(map(len, of.values())) + n_ids
+    owned = np.full(size, -1, np.int64)
+    rows = np.zeros(n_ids, np.int64)
+    single = []
+    start = 0
     for left, members in sorted(of.items(), key=lambda row: -len(row[1])):
-        while any(cells[turn + right] != _EMPTY for right, _ in members):
-            turn = (turn + 7919) % room
-        rows[left] = turn
-        for right, rank in members:
-            cells[turn + right] = left << _RANK_BITS | rank
-    return cells, rows
-
-
-def _literal(values: list[int], kind: str) -> Column:
-    """An array literal: the cast of a split string, which Catalyst folds to a constant."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+        if len(members) == 1:
+            single.append((left, *members[0]))
+            continue
+        rights, found = (np.array(x, np.int64) for x in zip(*members))
+        # from where the last row went on, around the array
+        for at in range(0, size - n_ids, 64):
+            turns = (start + at + np.arange(64)) % (size - n_ids)
+            fits = np.flatnonzero((owned[turns[:, None] + rights] < 0).all(axis=1))
+            if len(fits):
+                break
+        else:
+            raise ValueError("no room for a row of the rank map")
+        start = rows[left] = turns[fits[0]]
+        owned[start + rights] = left << _RANK_BITS | found
+    if single:
+        lefts, rights, found = np.array(single, np.int64).T
+        places = np.flatnonzero(owned < 0)[: len(lefts)]
+        rows[lefts] = places - rights
+        owned[places] = lefts << _RANK_BITS | found
+    last = int(np.flatnonzero(owned >= 0)[-1]) + 1 if of else 0
+    return [c if c >= 0 else None for c in owned[:last].tolist()], rows.tolist()
+
+
+def _literal(values, kind: str) -> Column:
+    """An array literal: the cast of a split string, which Catalyst folds to a constant; None is null."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast(f"array<{kind}>")
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
@@ -82,7 +98,7 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
         ids = state["ids"]
 
         def rated(left: Column, k: Column) -> Column:
-            # rank * 4096 + position where the cell is this row's own; at least 2**29 where it isn't
+            # rank * 4096 + position where the cell is this row's own; at least 2**29 where it is another's; null where it is nobody's
             cell = F.get(cells, F.get(rows, left) + F.get(ids, k + 1))
             return F.shiftleft(cell.bitwiseXOR(F.shiftleft(left.cast("bigint"), _RANK_BITS)), 12).bitwiseOR(k.cast("bigint"))
 
@@ -91,14 +107,13 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
         def apply(b: Column) -> Column:
             at = b.bitwiseAND(F.lit(4095)).cast("int")
             rank = F.shiftright(b, 12).cast("int")
-            return F.when((b < 0) | (b >= 1 << (_RANK_BITS + 12)), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(
+            return F.when(
+                b < 1 << (_RANK_BITS + 12),
                 F.struct(
-                    F.concat(
-                        F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids))
-                    ).alias("ids"),
+                    F.concat(F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids))).alias("ids"),
                     (F.size(ids) <= 2).alias("done"),
-                )
-            )
+                ),
+            ).otherwise(F.struct(ids.alias("ids"), F.lit(True).alias("done")))
 
         return F.get(F.transform(F.array(best), apply), F.lit(0))
 
@@ -114,6 +129,26 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     )
 
 
+def concat_pieces(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that an array of ids stands for, as a column expression; unknown ids give nothing, null gives null."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    every = F.lit(b"".join(pieces))
+    ends = np.cumsum([len(p) for p in pieces], dtype=np.int64).tolist() if pieces else []
+    # where a piece starts, and by 2**24 how long it is
+    places = _literal([(e - len(p)) << 24 | len(p) for e, p in zip(ends, pieces)] or [0], "bigint")
+
+    def piece(place: Column) -> Column:
+        return every.substr(F.shiftright(place, 24).cast("int") + 1, place.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))
+
+    return F.aggregate(
+        F.transform(ids, lambda k: F.coalesce(F.get(places, k), F.lit(0).cast("bigint"))),
+        F.lit(b""),
+        lambda done, place: F.concat(done, piece(place)),
+    )
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for one long word with a heap of pairs: n log n."""
     parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
@@ -143,12 +178,6 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _ragged(lists: list, kind) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for one in lists for x in one), kind, int(sizes.sum()))
-    return flat, sizes
-
-
 class _Rows:
     """Ragged rows as one flat array."""
 
@@ -164,162 +193,116 @@ class _Rows:
         return self.flat[np.arange(total) + np.repeat(self.starts[picks] - (ends - n), n)]
 
 
-_ranks: dict[int, dict[bytes, int]] = {}
-
-
-def _worker_ranks(spec) -> dict[bytes, int]:
-    if spec.id not in _ranks:
-        _ranks[spec.id] = spec.value
-    return _ranks[spec.id]
-
+#: A row is a distinct word of a block (byte values, or the ids of one too long for the fold) or a few texts as word numbers.
+_CUT = "block bigint, word array<smallint>, long array<int>, keys array<{kind}>, counts binary, codes binary"
 
-_memos: dict[int, dict[bytes, bytes]] = {}
 
+def _cut(held, pattern: str, kind: pa.DataType):
+    """Texts -> for each block a row for each distinct word, in the order of their numbers, then rows of texts."""
+    types = [pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(kind), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in _CUT.split(", ")]
 
-def _worker_memo(memo) -> dict[bytes, bytes]:
-    """Words that were folded beforehand and their ids as little-endian 32-bit integers."""
-    if memo is None:
-        return {}
-    blobs = memo.value
-    key = hash(blobs[0]) ^ hash(blobs[2])
-    if key not in _memos:
-        _memos.clear()
-        words, word_sizes, ids, id_sizes = blobs[0], np.frombuffer(blobs[1], np.int32), blobs[2], np.frombuffer(blobs[3], np.int32)
-        ends, stops = np.cumsum(word_sizes).tolist(), (4 * np.cumsum(id_sizes)).tolist()
-        _memos[key] = {words[a:b]: ids[c:d] for a, b, c, d in zip([0, *ends], ends, [0, *stops], stops)}
-    return _memos[key]
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of words and their ids -> four binaries."""
-    for batch in batches:
-        out = []
-        for column, kind in zip(batch.columns, (np.uint8, np.int32)):
-            lists = column.values
-            out += [np.asarray(lists.flatten()).astype(kind).tobytes(), np.asarray(lists.value_lengths()).astype(np.int32).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in out], names=["words", "word_sizes", "ids", "id_sizes"])
-
-
-_SEGMENT = (
-    "ids array<{kind}>, first binary, counts binary, codes binary, head_words binary, head_sizes binary,"
-    " tail_words binary, tail_sizes binary, n_known int, known binary, known_sizes binary, words array<array<smallint>>"
-)
-
-
-def _cut(spec, pattern: str, memo):
-    """Texts -> one row per segment with its dictionary of distinct words; words that need folding come last."""
+    def rows(block: int, n: int, **columns) -> pa.RecordBatch:
+        own = {"block": pa.array(np.full(n, block), pa.int64()), **columns}
+        return pa.RecordBatch.from_arrays([own.get(name, pa.nulls(n, t)) for name, t in zip(names, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        ranks = _worker_ranks(spec)
-        folded_before = _worker_memo(memo)
-        for ids, raw in text_segments(batches, SEGMENT):
-            cut = Chunks([t.decode("utf-8", "replace") if t else "" for t in raw])
+        part = TaskContext.get().partitionId()
+        for turn, (keys, raw) in enumerate(text_segments(batches, BLOCK)):
+            block = part << 32 | turn
             number: dict[str, int] = defaultdict(count().__next__)
             code = number.__getitem__
-            head = _ragged([list(map(code, find(c))) for c in cut.heads], np.int32)
-            flat: list[int] = []
-            sizes_of = np.ones(len(cut.tails), np.int64)
-            for k, chunk in enumerate(cut.tails):
-                if chunk.isalpha():
-                    flat.append(code(" " + chunk))
-                elif chunk[-1:] in _STOPS and chunk[:-1].isalpha():
-                    flat.append(code(" " + chunk[:-1]))
-                    flat.append(code(chunk[-1]))
-                    sizes_of[k] = 2
-                else:
-                    found = find(" " + chunk)
-                    flat.extend(map(code, found))
-                    sizes_of[k] = len(found)
-            tail = (np.array(flat, np.int32), sizes_of)
-            words = [w.encode() for w in number]
-            known: list[bytes] = []
-            place = np.empty(len(words), np.int32)
-            rest: list[bytes] = []
-            where: list[int] = []
-            for k, word in enumerate(words):
-                rank = ranks.get(word)
-                got = rank.to_bytes(4, "little") if rank is not None else folded_before.get(word)
-                if got is None and len(word) <= LONGEST_FOLD:
-                    where.append(k)
-                    rest.append(word)
-                else:
-                    place[k] = len(known)
-                    known.append(got if got is not None else np.array(merge_long(word, ranks), "<i4").tobytes())
-            place[where] = np.arange(len(rest)) + len(known)
-            known_sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-            sizes = np.fromiter(map(len, rest), np.int32, len(rest))
-            byte_values = pa.array(np.frombuffer(b"".join(rest), np.uint8).astype(np.int16))
-            arrays = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), byte_values)
-            whole = pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), arrays)
-            every = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            blobs = [
-                cut.first, cut.counts, cut.codes, place[head[0]], head[1], place[tail[0]], tail[1]
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    every,
-                    *(pa.array([b.tobytes()], pa.binary()) for b in blobs),
-                    pa.array([len(known)], pa.int32()),
-                    pa.array([b"".join(known)], pa.binary()),
-                    pa.array([known_sizes.tobytes()], pa.binary()),
-                    whole,
-                ],
-                names=[c.split()[0] for c in _SEGMENT.split(", ")],
-            )
+            codes: list[np.ndarray] = []
+            for k, text in enumerate(raw):
+                found = find(text.decode("utf-8", "replace")) if text else []
+                raw[k] = None
+                codes.append(np.fromiter(map(code, found), np.int32, len(found)))
+            words = list(number)
+            del number, code
+            for at in range(0, len(words), _WORDS_AT_ONCE):
+                some = [w.encode() for w in words[at : at + _WORDS_AT_ONCE]]
+                far = [len(w) > LONGEST_FOLD for w in some]
+                sizes = np.array([0 if f else len(w) for w, f in zip(some, far)], np.int32)
+                values = np.frombuffer(b"".join(w for w, f in zip(some, far) if not f), np.uint8).astype(np.int16)
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)
+                columns = {"word": pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(far) if any(far) else None)}
+                if any(far):
+                    ranks = held.value
+                    columns["long"] = pa.array([merge_long(w, ranks) if f else None for w, f in zip(some, far)], types[2])
+                yield rows(block, len(some), **columns)
+            del words
+            start = size = 0
+            for k, one in enumerate(codes):
+                size += len(one)
+                if size >= _CODES_AT_ONCE or k == len(codes) - 1:
+                    n = k + 1 - start
+                    yield rows(
+                        block,
+                        1,
+                        keys=pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), keys.slice(start, n)),
+                        counts=pa.array([np.fromiter(map(len, codes[start : k + 1]), np.int64, n).tobytes()], pa.binary()),
+                        codes=pa.array([np.concatenate(codes[start : k + 1]).tobytes()], pa.binary()),
+                    )
+                    start, size = k + 1, 0
 
     return run
 
 
-def _joined(spec, with_ids: bool):
-    """Segments with the ids of their distinct words -> rows of texts."""
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists or binaries one after another, and how many each row has."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8), np.diff(ends)
+    return np.asarray(column.flatten()).astype(kind), np.asarray(column.value_lengths()).astype(np.int64)
+
+
+def _joined(with_ids: bool):
+    """Distinct words with ids and pieces, then texts as numbers of words -> rows of texts."""
+
+    def texts(row: dict, ids_of: _Rows, bytes_of: _Rows) -> pa.RecordBatch:
+        codes, counts = np.frombuffer(row["codes"].as_buffer(), np.int32), np.frombuffer(row["counts"].as_buffer(), np.int64)
+        n_tokens: list[int] = []
+        every: list = []
+        back: list = []
+        stop = 0
+        for n in counts.tolist():
+            picks = codes[stop : stop + n]
+            stop += n
+            ids = ids_of.joined(picks).astype("<i4")
+            text = bytes_of.joined(picks).tobytes()
+            n_tokens.append(len(ids))
+            every.append(ids if with_ids else hashlib.sha256(ids.tobytes()).hexdigest())
+            back.append(text if with_ids else hashlib.sha256(text).hexdigest())
+        kinds = (pa.list_(pa.int32()), pa.binary()) if with_ids else (pa.string(), pa.string())
+        names = ["id", "n_tokens", *(("ids", "decoded") if with_ids else ("ids_sha256", "decoded_sha256"))]
+        columns = [row["keys"].values, pa.array(n_tokens, pa.int64()), pa.array(every, kinds[0]), pa.array(back, kinds[1])]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _worker_ranks(spec)
-        pieces: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token
-        piece = _Rows(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        block = None
+        gathered: list[tuple] = []
+        rows = None
         for batch in batches:
-            for row in range(batch.num_rows):
-                col = {n: batch.column(k)[row] for k, n in enumerate(batch.schema.names)}
-                blob = lambda n, kind: np.frombuffer(col[n].as_buffer(), kind)
-                folded = col["folded"].values
-                flat = np.concatenate([blob("known", np.int32), np.asarray(folded.flatten()).astype(np.int32)])
-                sizes = np.concatenate([blob("known_sizes", np.int64), np.asarray(folded.value_lengths()).astype(np.int64)])
-                words = _Rows(flat, sizes)
-                chunks = []
-                for part in ("head", "tail"):
-                    picks, n_words = blob(f"{part}_words", np.int32), blob(f"{part}_sizes", np.int64)
-                    ends = np.concatenate([[0], np.cumsum(words.sizes[picks])])[np.cumsum(n_words)]
-                    chunks.append(_Rows(words.joined(picks), np.diff(ends, prepend=0)))
-                first, counts, codes = blob("first", np.int64), blob("counts", np.int64), blob("codes", np.int32)
-                ends = np.cumsum(counts)
-                keys = col["ids"].values
-                out: dict[str, list] = {"n": [], "ids": [], "sha": [], "back": []}
-                for k in range(len(first)):
-                    start = chunks[0].joined(first[k : k + 1])
-                    rest = chunks[1].joined(codes[ends[k] - counts[k] : ends[k]])
-                    ids = np.concatenate([start, rest]).astype("<u4")
-                    text = piece.joined(ids)
-                    out["n"].append(len(ids))
-                    out["sha"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    out["back"].append(text.tobytes() if with_ids else hashlib.sha256(text.tobytes()).hexdigest())
-                    if with_ids:
-                        out["ids"].append(ids.astype(np.int32))
-                    if len(out["n"]) >= 512 or k == len(first) - 1:
-                        n = len(out["n"])
-                        cols = [keys.slice(k + 1 - n, n), pa.array(out["n"], pa.int64())]
-                        if with_ids:
-                            cols += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["back"], pa.binary())]
-                            names = ["id", "n_tokens", "ids", "decoded"]
-                        else:
-                            cols += [pa.array(out["sha"]), pa.array(out["back"])]
-                            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                        yield pa.RecordBatch.from_arrays(cols, names=names)
-                        out = {"n": [], "ids": [], "sha": [], "back": []}
+            blocks = np.asarray(batch.column("block"))
+            is_text = ~np.asarray(batch.column("codes").is_null())
+            breaks = np.flatnonzero((np.diff(blocks) != 0) | is_text[1:] | is_text[:-1]) + 1
+            for at, stop in zip([0, *breaks.tolist()], [*breaks.tolist(), batch.num_rows]):
+                if blocks[at] != block:
+                    block, gathered, rows = blocks[at], [], None
+                if not is_text[at]:
+                    piece = batch.slice(at, stop - at)
+                    gathered.append((*_flat(piece.column("ids"), np.int32), *_flat(piece.column("piece"), np.uint8)))
+                    continue
+                if rows is None:
+                    empty = (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64))
+                    flat = [np.concatenate(x) for x in zip(empty, *gathered)]
+                    rows, gathered = (_Rows(flat[0], flat[1]), _Rows(flat[2], flat[3])), []
+                yield texts({n: batch.column(n)[at] for n in ("keys", "counts", "codes")}, *rows)
 
     return run
 
@@ -337,49 +320,23 @@ def encode(
     Returns (id, n_tokens, ids array<int>, decoded binary), or with ``digests`` (id, n_tokens, ids_sha256,
     decoded_sha256) where the ids are hashed as little-endian unsigned 32-bit integers.  A null text
     counts as empty; no special tokens are made; repeated rows and null ids are returned as they come; other
-    columns are ignored; an empty table gives an empty table.
+    columns are ignored, whatever their names; an empty table gives an empty table.
     """
     ranks = read_ranks(ranks_path)
-    context = docs.sparkSession.sparkContext
-    held = _Spec(context.broadcast(ranks), hash((len(ranks), *list(ranks)[-3:])))
-    kind = docs.schema[id_col].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = _SEGMENT.format(kind=kind)
-    fold = F.transform("words", lambda word: fold_merges(word, ranks)).alias("folded")
-    # the commonest words of a few documents are folded once instead of in every segment; this changes no id
-    share = min(1.0, MEMO_DOCS / max(1, docs.count()))
-    few = rows.sample(share, seed=7).mapInArrow(_cut(held, pattern, None), schema)
-    common = (
-        few.select(F.explode("words").alias("word"))
-        .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MEMO_WORDS)
-        .agg(F.collect_list("word").alias("words")).select("words", fold)
-        .mapInArrow(_packed, "words binary, word_sizes binary, ids binary, id_sizes binary").first()
-    )
-    memo = context.broadcast(tuple(bytes(b) for b in common))
-    cut = rows.mapInArrow(_cut(held, pattern, memo), schema)
-    folded = cut.select(*(c for c in cut.columns if c != "words"), fold)
+    cut = rows.mapInArrow(_cut(held, pattern, to_arrow_type(kind)), _CUT.format(kind=kind.simpleString()))
+    ids = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), ranks)).otherwise(F.col("long"))
+    folded = cut.select("block", ids.alias("ids"), "keys", "counts", "codes")
+    decoded = folded.select("*", concat_pieces(F.col("ids"), ranks).alias("piece"))
     schema = "n_tokens bigint, ids array<int>, decoded binary" if not digests else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return folded.mapInArrow(_joined(held, not digests), f"id {kind}, {schema}")
-
-
-class _Spec:
-    """A broadcast rank map and a name by which a Python worker remembers it."""
-
-    def __init__(self, broadcast, name: int):
-        self.broadcast, self.id = broadcast, name
-
-    @property
-    def value(self) -> dict[bytes, int]:
-        return self.broadcast.value
+    return decoded.mapInArrow(_joined(not digests), f"id {kind.simpleString()}, {schema}")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary): the concatenation of the ids' byte pieces; unknown ids give nothing, null gives null."""
-    ranks = read_ranks(ranks_path)
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    table = F.split(F.lit(",".join(pieces)), ",")
-    return encoded.withColumn(
-        "decoded", F.unhex(F.array_join(F.transform(ids_col, lambda k: F.coalesce(F.get(table, k), F.lit(""))), ""))
-    )
+    """Adds ``decoded`` (binary): the concatenation of the ids' byte pieces; unknown ids give nothing, null gives null.
+
+    An empty array gives no bytes; a column ``decoded`` that is there already is replaced; other columns and all rows stay.
+    """
+    return encoded.withColumn("decoded", concat_pieces(F.col(ids_col), read_ranks(ranks_path)))
