@@ -1,8 +1,8 @@
 """Files of all kinds -> claims.
 
 Files are read whole, routed to the first kind whose rule fits, and taken apart by a small parser per kind inside an
-Arrow function that isolates failures: a broken file gives no claims and never stops a run.  Parsers only find
-strings; normalising them is left to column expressions over all claims at once.
+Arrow function that isolates failures, résumés by column expressions once their text is read: a broken file gives no claims and
+never stops a run.  Parsers only find strings; normalising them is left to column expressions over all claims at once.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from claimloom.functions.phones import normalize_phone, phones_in
 from claimloom.functions.places import normalize_country, split_location
 from claimloom.functions.skills import canonical_skill, skills_in
 from claimloom.functions.text import EMAIL, blank_to_null, clean_email, emails_in
+from claimloom.schema import EDUCATION, EXPERIENCE
 from claimloom.sources import resume
 from claimloom.storage import stored
 
@@ -47,8 +48,7 @@ RAW = "path string, text string, content binary"
 #: Parser output: a raw string per claim and how it is to be read; ``lower`` is the confidence of a name that is no known skill.
 PARSED = (
     "source string, record_key string, file_seq string, seq bigint, field_path string, raw string, num double,"
-    " exp struct<company:string,title:string,start:string,end:string,summary:string>,"
-    " edu struct<institution:string,degree:string,field:string,end_year:int>,"
+    f" exp {EXPERIENCE}, edu {EDUCATION},"
     " how string, confidence double, lower double, method string, error string"
 )
 _COLUMNS = [c.split()[0] for c in re.sub(r"struct<[^>]*>", "struct", PARSED).split(",")]
@@ -212,26 +212,6 @@ def parse_notes(stem: str, text: str) -> list[dict]:
     return out
 
 
-def parse_resume(stem: str, text: str) -> list[dict]:
-    out: list[dict] = []
-    claims = _Claims(out, "resume", stem, "regex_extraction")
-    if not text.strip():
-        return out
-    found = resume.take_apart(text)
-    claims.add("full_name", found["name"], 0.7)
-    claims.add("emails", text, 0.8, "emails")
-    claims.add("phones", text, 0.8, "phones")
-    for field, url in found["links"]:
-        claims.add(field, url, 0.75)
-    for job in found["experience"]:
-        claims.add("experience", job.pop("dates"), 0.7, "dates", exp=job)
-    for school in found["education"]:
-        claims.add("education", None, 0.7, edu=school)
-    for skill in found["skills"]:
-        claims.add("skills", skill, 0.7, "skill", 0.5)
-    return out
-
-
 def resume_text(path: str, content: bytes) -> str:
     """Lines of a document; pages of a PDF only where a reader is installed; anything unreadable is empty."""
     suffix = PurePosixPath(path).suffix.lower()
@@ -250,18 +230,16 @@ def resume_text(path: str, content: bytes) -> str:
 
 #: Parsers by kind: (stem, text) -> claims.  Add one and a rule in :func:`kind_of` to read another kind.
 PARSERS: dict[str, Callable[[str, str], list[dict]]] = {
-    "csv_recruiter": parse_csv, "ats_json": parse_ats, "github": parse_github, "resume": parse_resume, "notes": parse_notes,
+    "csv_recruiter": parse_csv, "ats_json": parse_ats, "github": parse_github, "notes": parse_notes,
 }
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out: list[dict] = []
-        for path, text, content, kind in frame[["path", "text", "content", "kind"]].itertuples(index=False):
+        for path, text, kind in frame[["path", "text", "kind"]].itertuples(index=False):
             stem = PurePosixPath(path).stem
             try:
-                if kind == "resume":
-                    text = resume_text(path, bytes(content))
                 got = PARSERS[kind](stem, text) if kind in PARSERS and text else []
             except Exception as e:  # one bad file must not stop the others; the reason is kept
                 got = [{"error": f"{type(e).__name__}: {e}", "source": kind}]
@@ -271,8 +249,61 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parsed(raw: DataFrame) -> DataFrame:
     """Raw strings of all files; rows with ``error`` tell which file could not be read and why."""
-    routed = raw.withColumn("kind", kind_of(F.col("path"), F.col("text"))).where("kind is not null")
-    return routed.mapInPandas(_parse, PARSED)
+    routed = raw.withColumn("kind", kind_of(F.col("path"), F.col("text")))
+    others = routed.where("kind is not null and kind != 'resume'").drop("content").mapInPandas(_parse, PARSED)
+    return others.unionByName(resume_rows(routed.where("kind = 'resume'")))
+
+
+def _read_resumes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for path, content in frame[["path", "content"]].itertuples(index=False):
+            try:
+                out.append((path, PurePosixPath(path).stem, resume_text(path, bytes(content)), None))
+            except Exception as e:  # noqa: BLE001  one bad file must not stop the others; the reason is kept
+                out.append((path, PurePosixPath(path).stem, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(out, columns=["path", "stem", "text", "error"])
+
+
+def resume_rows(raw: DataFrame) -> DataFrame:
+    """Parser rows of résumés: Python only opens the files, their text is taken apart by columns."""
+    read = raw.select("path", "content").mapInPandas(_read_resumes, "path string, stem string, text string, error string")
+    found = resume.take_apart(read)
+    nothing = {name: F.lit(None).cast(kind) for name, kind in (("exp", EXPERIENCE), ("edu", EDUCATION), ("raw", "string"), ("lower", "double"))}
+
+    def claim(turn: int, field: Column, confidence: float, how: str = "text", **more: Column) -> Column:
+        # kinds of claims in a fixed order, then their order in the text
+        own = nothing | more
+        at = own.pop("at", F.lit(0))
+        return F.struct(
+            (F.lit(turn << 28) + at).cast("bigint").alias("seq"),
+            field.alias("field_path"),
+            own["raw"].alias("raw"),
+            own["exp"].cast(EXPERIENCE).alias("exp"),
+            own["edu"].cast(EDUCATION).alias("edu"),
+            F.lit(how).alias("how"),
+            F.lit(confidence).alias("confidence"),
+            own["lower"].alias("lower"),
+        )
+
+    text, none = F.col("text"), F.lit(None).cast("string")
+    each = lambda items, one: F.transform(F.col(f"found.{items}"), one)
+    job = lambda j: F.struct(j["company"].alias("company"), j["title"].alias("title"), *(none.alias(n) for n in ("start", "end", "summary")))
+    name = F.array(claim(0, F.lit("full_name"), 0.7, raw=F.col("found.name")))
+    whole = F.array(claim(1, F.lit("emails"), 0.8, "emails", raw=text), claim(2, F.lit("phones"), 0.8, "phones", raw=text))
+    some = F.concat(
+        F.when(F.col("found.name").isNotNull(), name).otherwise(F.slice(name, 1, 0)),
+        whole,
+        each("links", lambda u, k: claim(3, u["field"], 0.75, raw=u["url"], at=k)),
+        each("jobs", lambda j, k: claim(4, F.lit("experience"), 0.7, "dates", raw=j["dates"], exp=job(j), at=k)),
+        each("schools", lambda e, k: claim(5, F.lit("education"), 0.7, edu=e, at=k)),
+        each("skills", lambda s, k: claim(6, F.lit("skills"), 0.7, "skill", raw=s, lower=F.lit(0.5), at=k)),
+    )
+    told = found.where("error is not null or trim(text) != ''")
+    rows = told.select("path", "stem", "error", F.explode_outer(F.when(F.col("error").isNull(), some)).alias("c"))
+    own = {"source": F.lit("resume"), "record_key": F.col("stem"), "file_seq": F.col("path"), "num": F.lit(None).cast("double"),
+           "method": F.lit("regex_extraction"), "error": F.col("error")}
+    return rows.select(*((own[n] if n in own else F.col(f"c.{n}")).alias(n) for n in _COLUMNS))
 
 
 def _prose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,7 +376,7 @@ def normalized(rows: DataFrame) -> DataFrame:
         "source",
         "record_key",
         # order of the file, then of the claim in it, then of the value in the claim
-        (F.dense_rank().over(_by_file()) * (1 << 40) + F.col("seq") * (1 << 16) + F.col("_pos")).cast("bigint").alias("seq"),
+        (F.dense_rank().over(_by_file()).cast("bigint") * (1 << 48) + F.col("seq") * (1 << 16) + F.col("_pos")).alias("seq"),
         F.col("_item.field").alias("field_path"),
         F.col("_item.value").alias("value_str"),
         F.col("num").alias("value_num"),

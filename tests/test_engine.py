@@ -174,13 +174,43 @@ LINES = ["Ann B. Lee", "Data Engineer", "ann@x.io | (415) 555-0132", "github.com
          "", "EDUCATION", "B.S. in Physics, MIT, 2018", "Class XII 2014", "GPA: 9", "City School, Town", "SKILLS", "Languages: Python, Golang (2y)"]
 
 
-def test_resume_structure():
-    got = resume.take_apart("\n".join(LINES))
+def test_resume_structure(spark):
+    rows = spark.createDataFrame([("\n".join(LINES),), (None,), ("",)], "text string")
+    got, nothing, empty = (r["found"] for r in resume.take_apart(rows).collect())
     assert got["name"] == "Ann B. Lee"
-    assert got["links"] == [("links.github", "https://github.com/annlee")]
-    assert [(e["title"], e["company"], e["dates"]) for e in got["experience"]] == [("Engineer", "Acme Corp", "Jan 2021 - Present")]
-    assert [(e["institution"], e["degree"], e["field"], e["end_year"]) for e in got["education"]] == [("MIT", "B.S.", "Physics", 2018), ("City School", "Class XII", None, 2014)]
+    assert [tuple(u) for u in got["links"]] == [("links.github", "https://github.com/annlee")]
+    assert [(e["title"], e["company"], e["dates"]) for e in got["jobs"]] == [("Engineer", "Acme Corp", "Jan 2021 - Present")]
+    assert [(e["institution"], e["degree"], e["field"], e["end_year"]) for e in got["schools"]] == [("MIT", "B.S.", "Physics", 2018), ("City School", "Class XII", None, 2014)]
     assert got["skills"] == ["Python", "Golang"]
+    assert nothing == empty == (None, [], [], [], [])
+
+
+def test_resume_of_another_layout(spark):
+    text = """Ann Lee — Data Lead
+ann@x.io · https://linkedin.com/in/ann-lee/ · https://ann.example.org, https://b.example.org).
+SUMMARY:
+Builds things
+Work Experience
+Senior Engineer – Acme  Jan 2020 – Present
+• Led 2019 - 2020
+Analyst at Beta (2015 to 2017)
+2011 - 2012
+Education
+B.Tech in Physics 2014 – 2018
+CGPA 9.1
+Town University, City
+MBA 2020
+Class XII 2013
+skills
+Tools: Git, Docker (2y) / k8s | c++;
+- Java •  Spring
+a very long line of prose that is certainly not the name of any skill at all"""
+    got = resume.take_apart(spark.createDataFrame([(text,)], "text string")).first()["found"]
+    assert got["name"] == "Ann Lee"
+    assert [tuple(u) for u in got["links"]] == [("links.linkedin", "https://linkedin.com/in/ann-lee"), ("links.portfolio", "https://ann.example.org"), ("links.other", "https://b.example.org")]
+    assert [tuple(j) for j in got["jobs"]] == [("Senior Engineer", "Acme", "Jan 2020 – Present"), ("Analyst", "Beta", "2015 to 2017")]
+    assert [tuple(e) for e in got["schools"]] == [("Town University", "B.Tech", "Physics", 2018), (None, "MBA", None, 2020), (None, "Class XII", None, 2013)]
+    assert got["skills"] == ["Git", "Docker", "k8s", "c++", "Java", "Spring"]
 
 
 def test_files_to_text(spark, tmp_path):
