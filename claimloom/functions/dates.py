@@ -11,52 +11,69 @@ from claimloom.functions.text import strip
 ONGOING = (
     "present", "current", "currently", "now", "ongoing", "to date", "todate", "till date", "tilldate", "to present", "date",
 )
-_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 _NAME = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 _YEAR = r"(\d{4})"
 _DAY = r"\d{1,2}(?:st|nd|rd|th)?"
-#: (pattern, group of the year, group of the month or 0, whether the month is a name)
+#: Forms of one date; Y stands for the year, M for a month's number, N for its name, D for a day.
 _FORMS = (
-    (rf"{_YEAR}", 1, 0, False),
-    (rf"{_YEAR}[-/.](\d{{1,2}})(?:[-/.]\d{{1,2}})?(?:[t ]\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?z?)?", 1, 2, False),
-    (rf"(\d{{1,2}})[-/.]{_YEAR}", 2, 1, False),
-    (rf"(\d{{1,2}})[-/.]\d{{1,2}}[-/.]{_YEAR}", 2, 1, False),
-    (rf"{_NAME}\.?,?[ /-]*{_YEAR}", 2, 1, True),
-    (rf"{_YEAR},?[ /-]*{_NAME}\.?", 1, 2, True),
-    (rf"{_NAME}\.? {_DAY},? {_YEAR}", 2, 1, True),
-    (rf"{_DAY}[ -]{_NAME}\.?,?[ -]{_YEAR}", 2, 1, True),
+    "Y",
+    r"Y[-/.]M(?:[-/.]\d{1,2})?(?:[t ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?z?)?",
+    r"M[-/.]Y",
+    r"M[-/.]\d{1,2}[-/.]Y",
+    r"N\.?,?[ /-]*Y",
+    r"Y,?[ /-]*N\.?",
+    r"N\.? D,? Y",
+    r"D[ -]N\.?,?[ -]Y",
 )
 
 
+def _whole() -> tuple[str, str]:
+    """One pattern of all forms, and what replaces a match: year, dash, month; groups of other forms are empty."""
+    groups: dict[str, list[int]] = {"Y": [], "M": [], "N": []}
+    parts = []
+    n = 0
+    for form in _FORMS:
+        out = ""
+        for c in form:
+            if c in groups:
+                n += 1
+                groups[c].append(n)
+                out += {"Y": _YEAR, "M": r"(\d{1,2})", "N": _NAME}[c]
+            else:
+                out += _DAY if c == "D" else c
+        parts.append(out)
+    refs = lambda *kinds: "".join(f"${k}" for kind in kinds for k in groups[kind])
+    return rf"\A(?:{'|'.join(parts)})\z", f"={refs('Y')}-{refs('M', 'N')}"
+
+
 def year_month(c: Column) -> Column:
     """``YYYY-MM`` of one date; January where only a year is given; null for anything else and outside 1900 to 2100."""
-    t = F.lower(strip(c))
-    out = None
-    for pattern, year, month, named in _FORMS:
-        whole = rf"\A{pattern}\z"
-        y = F.regexp_extract(t, whole, year)
-        if not month:
-            m = F.lit("01")
-        elif named:
-            m = F.left(F.regexp_extract(t, whole, month), F.lit(3))
-            m = F.lpad(F.array_position(F.array(*map(F.lit, _MONTHS)), m).cast("string"), 2, "0")
-        else:
-            m = F.lpad(F.regexp_extract(t, whole, month), 2, "0")
-        ok = t.rlike(whole) & F.nullif(y, F.lit("")).cast("int").between(1900, 2100) & m.between("01", "12")
-        out = F.when(ok, F.concat(y, F.lit("-"), m)) if out is None else out.when(ok, F.concat(y, F.lit("-"), m))
-    return F.when(~t.isin(*ONGOING), out)
+    whole, told = _whole()
+    text = F.lower(strip(c))
+
+    def read(one: Column) -> Column:
+        # "=2020-3", "=2020-march" or "=2020-"; what fits no form is as it was and doesn't start with "="
+        year, month = F.substring(one, 2, 4), F.substring(one, 7, 3)
+        number = F.when(month == "", "01").when(
+            month.rlike("[a-z]"), F.lpad(((F.instr(F.lit(_MONTHS), month) + 3) / 4).cast("int").cast("string"), 2, "0")
+        ).otherwise(F.lpad(month, 2, "0"))
+        ok = F.startswith(one, F.lit("=")) & year.between("1900", "2100") & number.between("01", "12")
+        return F.when(ok, F.concat(year, F.lit("-"), number))
+
+    # bound once: the pattern is matched a single time
+    plain = F.when(~text.isin(*ONGOING) & ~F.startswith(text, F.lit("=")), F.regexp_replace(text, whole, told))
+    return F.get(F.transform(F.array(plain), read), F.lit(0))
 
 
 def date_range(c: Column) -> Column:
     """struct(start, end) of a range of dates; a single date is a start."""
-    t = F.regexp_replace(c, "[–—−‐‒]", "-")
-    compact = r"(?i)\A\s*(\d{4})\s*-\s*(\d{4}|present|current|now)\s*\z"
-    spaced = r"(?is)\A(.+?)\s+(?:-|to|through|until)\s+(.+)\z"
-    pick = lambda pattern: F.struct(
-        year_month(F.regexp_extract(t, pattern, 1)).alias("start"), year_month(F.regexp_extract(t, pattern, 2)).alias("end")
-    )
-    return (
-        F.when(t.rlike(compact), pick(compact))
-        .when(t.rlike(spaced), pick(spaced))
-        .otherwise(F.struct(year_month(t).alias("start"), F.lit(None).cast("string").alias("end")))
-    )
+    text = F.regexp_replace(strip(c), "[–—−‐‒]", "-")
+    compact = r"(?i)\A(\d{4})\s*-\s*(\d{4}|present|current|now)\z"
+
+    def read(t: Column) -> Column:
+        cut = F.when(t.rlike(compact), F.split(t, "-")).otherwise(F.split(t, r"(?i)\s+(?:-|to|through|until)\s+", 2))
+        return F.transform(cut, year_month)
+
+    both = F.transform(F.array(text), read)
+    return F.get(F.transform(both, lambda d: F.struct(F.get(d, F.lit(0)).alias("start"), F.get(d, F.lit(1)).alias("end"))), F.lit(0))

@@ -134,12 +134,24 @@ def prose_aliases() -> list[str]:
     return [a for a in sorted(aliases()) if len(a) >= LEAST_IN_PROSE and all(c.isalnum() or c.isspace() for c in a)]
 
 
+def _told_by(alias: str) -> list[str]:
+    """Names that a spelling in prose stands for: its own and those of shorter spellings that it starts with."""
+    return sorted({aliases()[a] for a in prose_aliases() if alias == a or alias.startswith(f"{a} ")})
+
+
 def skills_in(text: Column) -> Column:
-    """Canonical skills that a text names as whole words, sorted."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array(*(F.when(low.rlike(rf"(?U)\b{a}\b"), aliases()[a]) for a in prose_aliases()))
-    some = low.rlike(rf"(?U)\b(?:{'|'.join(prose_aliases())})\b")
-    return F.when(some, F.array_sort(F.array_distinct(F.array_compact(found)))).otherwise(F.array().cast("array<string>"))
+    """Canonical skills that a text names as whole words, sorted.
+
+    One pass: at each word the longest spelling that starts there is taken without moving on, so spellings inside
+    it are seen at their own words and those that it starts with are listed with it.
+    """
+    by_first: dict[str, list[str]] = {}
+    for alias in sorted(prose_aliases(), key=lambda a: (-len(a), a)):
+        by_first.setdefault(alias[0], []).append(alias[1:])
+    words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
+    table = F.create_map(*(x for a in prose_aliases() for x in (F.lit(a), F.array(*map(F.lit, _told_by(a))))))
+    seen = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?U)\b(?=({words})\b)"), F.lit(1)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(seen, lambda a: F.try_element_at(table, a)))))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
