@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import company_key, name_key
 from claimloom.schema import LISTS, SCALARS, trust, weight
+from claimloom.storage import stored
 
 # Fixed values, in ten-thousandths: boost per further source and at most, highest confidence, share left after a conflict.
 BOOST, BOOST_MOST, HIGHEST, AFTER_CONFLICT = 500, 1500, 9900, 7000
@@ -82,24 +83,24 @@ def skills(claims: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, struct: str, keys: list[str], subfields: tuple[str, ...], empty_counts: bool) -> DataFrame:
-    """Entries with their resolved subfields: (keys, one struct per subfield, entry support, sources, lineage)."""
+    """Entries with their resolved subfields: (keys, one struct per subfield, entry support, sources, lineage).
+
+    The entry as a whole is resolved with its subfields, as one value that every claim backs.
+    """
+    whole = F.struct(F.lit("").alias("sub"), F.lit("").alias("value"))
+    told = lambda value: value.isNotNull() if empty_counts else value != ""
+    parts = [(f, F.col(f"{struct}.{f}").cast("string")) for f in subfields]
+    each = [F.when(told(v), F.struct(F.lit(f).alias("sub"), v.alias("value"))) for f, v in parts]
     long = rows.select(
-        *keys, "source", "record_key", "seq", "trust", "support", "method", "normalize_method",
-        F.explode(F.array(*(F.struct(F.lit(f).alias("sub"), F.col(f"{struct}.{f}").cast("string").alias("value")) for f in subfields))).alias("s"),
-    ).select("*", "s.sub", "s.value")
-    long = long.where("value is not null" if empty_counts else "value != ''")
-    # keys may be null (an entry without a year), so they are joined null-safe through a struct of text
-    tag = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    won = resolve(long.withColumn("tag", tag), ["tag", "sub"])
-    wide = won.groupBy("tag").agg(
-        *(F.max(F.when(F.col("sub") == f, F.struct("value", "winner", "conflict"))).alias(f) for f in subfields)
-    )
-    whole = rows.groupBy(*keys).agg(
-        F.max("support").alias("support"),
-        F.count_distinct("source").alias("n_sources"),
-        F.collect_set(F.struct("source", "method", "normalize_method")).alias("lineage"),
+        *keys, "source", "record_key", "seq", "trust", "support", "method", "normalize_method", F.explode(F.array_compact(F.array(whole, *each))).alias("s")
+    ).select("*", "s.sub", "s.value")
+    won = resolve(long, [*keys, "sub"])
+    own = lambda f, *names: F.max_by(F.struct(*names), F.col("sub") == f)
+    wide = won.groupBy(*keys).agg(
+        own("", "support", "n_sources", "lineage").alias("whole"),
+        *(F.max(F.when(F.col("sub") == f, F.struct("value", "winner", "conflict"))).alias(f) for f in subfields),
     )
-    return whole.withColumn("tag", tag).join(wide, "tag", "left").drop("tag")
+    return wide.select(*keys, "whole.*", *subfields)
 
 
 def experience(claims: DataFrame) -> DataFrame:
@@ -232,5 +233,5 @@ def _newest(entry: Column, by: str, then: str) -> Column:
 
 
 def fuse(claims: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Profiles of all clusters: (cluster, *PROFILE)."""
-    return Parts(clustered(claims, clusters)).profiles()
+    """Profiles of all clusters: (cluster, *PROFILE); clustered claims are stored once, as every branch reads them."""
+    return Parts(stored(clustered(claims, clusters), "clustered-claims")).profiles()

@@ -66,19 +66,14 @@ def _sequential(stale: bool):
             for n in names:
                 by_name.setdefault(n, set()).add(c)
         for name in sorted(by_name):
-            at_start = by_name[name]
-            if len(at_start) < 2:
-                continue
-            if stale:  # ids only of clusters that still stand by themselves or under a root listed at the start
-                seen = set().union(*(ids[c] for c in root if find(c) in at_start))
-            else:
-                roots = {find(c) for c in at_start}
-                seen = set().union(*(ids[c] for c in root if find(c) in roots))
-            if len(seen) < 2:
-                least = min(find(c) for c in at_start)
-                for c in at_start:
-                    root[find(c)] = least
-                    least = min(least, find(c))
+            roots = {find(c) for c in by_name[name]}
+            # ``stale``: of the clusters as they were, only those that still stand by themselves are looked at
+            seen = set().union(*(ids[r] for r in (roots & by_name[name] if stale else roots)))
+            if len(roots) > 1 and len(seen) < 2:
+                least = min(roots)
+                for r in roots - {least}:
+                    root[r] = least
+                    ids[least] |= ids.pop(r)
         return pd.DataFrame({"cluster": list(root), "merged": [find(c) for c in root]})
 
     return attach
@@ -95,12 +90,16 @@ def attach_by_name(recs: DataFrame, strong: DataFrame, compat: str = "default")
     if compat != "reference":
         named = named.where("name != ''")
     named = named.distinct()
+    ids = own.select("cluster", F.explode("candidate_ids").alias("id")).distinct()
+    if compat != "reference":
+        # clusters only gain ids, so a name that two ids bear already can never link anything
+        torn = named.join(ids, "cluster").groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b")
+        named = named.join(torn, "name", "left_anti")
     shared = named.groupBy("name").agg(F.min("cluster").alias("least"), F.count("*").alias("n")).where("n > 1")
     ties = stored(named.join(shared, "name").select("cluster", "name", "least"), "name-ties")
     group = components(ties.select(F.col("cluster").alias("u"), F.col("least").alias("v"))).select(
         F.col("node").alias("cluster"), F.col("component").alias("super")
     )
-    ids = own.select("cluster", F.explode("candidate_ids").alias("id")).distinct()
     per_super = group.join(ids, "cluster").groupBy("super").agg(F.count_distinct("id").alias("n_ids"))
     judged = stored(group.join(per_super, "super", "left").withColumn("n_ids", F.coalesce("n_ids", F.lit(0))), "name-groups")
     free = judged.where("n_ids < 2").select("cluster", F.col("super").alias("merged"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from claimloom.operators import enrich, fuse, link
 from claimloom.plans import project
 from claimloom.plans.tables import CLAIMS_SQL, CLUSTERS_SQL, FUSED_SQL, claims_from_tables, load
 from claimloom.sources import resume
+from claimloom.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,8 +39,8 @@ def _strong(claims: DataFrame) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> fuse.Parts:
-    claims = claims_from_tables(spark, sf_dir)
-    return fuse.Parts(fuse.clustered(claims, _strong(claims)))
+    claims = stored(claims_from_tables(spark, sf_dir), "claims")
+    return fuse.Parts(stored(fuse.clustered(claims, _strong(claims)), "clustered-claims"))
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,35 +296,22 @@ def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("text"))
 
 
-def _sections(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for doc_id, body in zip(frame["doc_id"], frame["text"]):
-            for name, lines in resume.sections([line.strip() for line in body.splitlines()]).items():
-                out.append((doc_id, name, len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest()))
-        yield pd.DataFrame(out, columns=["doc_id", "section", "n_lines", "lines_sha256"])
-
-
 @query()
 def resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each section by the résumé reader, as count and digest; its headings and trimming have no SQL form here."""
-    return _resumes(spark, sf_dir).mapInPandas(_sections, "doc_id bigint, section string, n_lines int, lines_sha256 string")
-
-
-def _schools(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for doc_id, body in zip(frame["doc_id"], frame["text"]):
-            lines = [line.strip() for line in body.splitlines()]
-            for k, school in enumerate(resume.schools(resume.sections(lines).get("education", []), lines)):
-                out.append((doc_id, k, school["institution"], school["degree"], school["field"], school["end_year"]))
-        yield pd.DataFrame(out, columns=["doc_id", "pos", "institution", "degree", "field", "end_year"])
+    """Lines of each section by the résumé reader, as count and digest; every document has a header, if an empty one."""
+    cut = _resumes(spark, sf_dir).select("doc_id", resume.spans(resume.lines_of(F.col("text"))).alias("spans"))
+    names = cut.select("doc_id", "spans", F.explode(F.array_distinct(F.col("spans.section"))).alias("section"))
+    lines = F.flatten(F.transform(F.filter("spans", lambda s: s["section"] == F.col("section")), lambda s: s["lines"]))
+    return names.select("doc_id", "section", lines.alias("lines")).select(
+        "doc_id", "section", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256")
+    )
 
 
 @query()
 def resume_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schools by the résumé reader, which looks ahead for the institution."""
-    return _resumes(spark, sf_dir).mapInPandas(_schools, "doc_id bigint, pos int, institution string, degree string, field string, end_year int")
+    found = resume.take_apart(_resumes(spark, sf_dir))
+    return found.select("doc_id", F.posexplode("found.schools").alias("pos", "s")).select("doc_id", "pos", "s.*")
 
 
 _SCALAR = lambda f: f"(SELECT value FROM scalars s WHERE s.cluster = c.cluster AND s.field_path = '{f}')"
