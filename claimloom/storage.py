@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests, a laptop) a local folder."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset and the master is local (tests, a laptop) a local folder."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "claimloom-shared")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
