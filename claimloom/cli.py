@@ -42,11 +42,14 @@ def _run(args: argparse.Namespace) -> int:
             print(f"possible over-merge: {', '.join(row['candidate_ids'])}", file=sys.stderr)
     settings = config.enrichment
     if args.enrich and settings and settings.enabled:
-        given = enrich.answers(enrich.contexts(profiles, claims, prose_of(read_files(spark, args.input))), spark.read.parquet(args.enrich), settings.model)
-        profiles = enrich.fill(profiles, given, settings.model, settings.fields)
+        context = enrich.contexts(profiles, claims, prose_of(read_files(spark, args.input)))
+        profiles = enrich.run(profiles, context, args.enrich, settings.model, settings.fields)
     if args.format not in ("json", "ndjson"):
         print(f"unknown format {args.format!r}", file=sys.stderr)
         return 1
+    if args.format == "ndjson" and args.output:
+        render.write_lines(profiles, config, args.output)
+        return 0
     text = (render.render_json if args.format == "json" else render.render_ndjson)(profiles, config)
     if args.output:
         render.write_text(text, args.output)

@@ -85,6 +85,14 @@ class OutputConfig:
         specs = tuple(map(FieldSpec.from_obj, o["fields"]))
         return cls(specs, bool(o.get("include_confidence")), bool(o.get("include_provenance")), missing, enrichment)
 
+    def to_obj(self) -> dict:
+        """The configuration as JSON values that :meth:`from_obj` takes."""
+        fields = [{"path": f.path, "from": f.source_path, "type": f.type, "required": f.required} | {k: v for k, v in (("normalize", f.normalize), ("on_missing", f.on_missing)) if v} for f in self.fields]
+        out = {"fields": fields, "include_confidence": self.include_confidence, "include_provenance": self.include_provenance, "on_missing": self.on_missing}
+        if self.enrichment:
+            out["enrichment"] = {"enabled": self.enrichment.enabled, "model": self.enrichment.model, "fields": list(self.enrichment.fields)}
+        return out
+
     @classmethod
     def from_file(cls, path: str | Path) -> OutputConfig:
         try:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import company_key, content_key, strip
@@ -111,6 +111,25 @@ def fill(profiles: DataFrame, given: DataFrame, model: str, fields: tuple[str, .
     )
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(key, answer) of a cache; one that isn't there yet is empty."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "key string, answer string")
+    return spark.read.parquet(path).select("key", "answer")
+
+
+def run(
+    profiles: DataFrame, context: DataFrame, cache: str, model: str, fields: tuple[str, ...] = ("headline", "summary"),
+    client: Callable[[str], str] | None = None, most: int = LIVE_CALLS,
+) -> DataFrame:
+    """Profiles with gaps filled from the cache at ``cache`` (Parquet); a client's answers are put there first, as they come."""
+    spark = profiles.sparkSession
+    if client is not None:
+        complete(misses(profiles, context, read_cache(spark, cache), model, fields), client, most).write.mode("append").parquet(cache)
+    return fill(profiles, answers(context, read_cache(spark, cache), model), model, fields)
+
+
 def report(before: DataFrame, after: DataFrame, model: str) -> DataFrame:
     """(candidate_id, field, value, confidence, source, method): what was filled."""
     b = before.select("candidate_id", F.col("headline").alias("h0"), F.col("experience").alias("e0"))

@@ -41,6 +41,15 @@ def render_ndjson(profiles: DataFrame, config: OutputConfig) -> str:
     return "".join(project.python_json(r["json"]) + "\n" for r in rows)
 
 
+def write_lines(profiles: DataFrame, config: OutputConfig, path: str) -> None:
+    """The same text as one file of the driver, written line by line: the driver holds one partition at a time."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with target.open("w", encoding="utf-8") as out:
+        for r in ndjson(profiles, config).orderBy("candidate_id", "json").toLocalIterator():
+            out.write(project.python_json(r["json"]) + "\n")
+
+
 def write_ndjson(profiles: DataFrame, config: OutputConfig, path: str) -> None:
     """Lines in order of candidate_id as files of one folder, written by the executors."""
     ndjson(profiles, config).orderBy("candidate_id", "json").select("json").write.text(path)

@@ -65,6 +65,11 @@ def trust(source: Column) -> Column:
     return out.otherwise(0)
 
 
+def trust_for(source: str) -> int:
+    """The same for one name, without Spark."""
+    return TRUST.get("llm" if source.startswith("llm:") else source, 0)
+
+
 def weight(field: Column) -> Column:
     out = F.when(F.lit(False), 0)
     for name, value in WEIGHTS.items():

@@ -11,8 +11,11 @@ import csv
 import io
 import json
 import re
+import warnings
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -24,7 +27,7 @@ from claimloom.functions.dates import date_range
 from claimloom.functions.phones import normalize_phone, phones_in
 from claimloom.functions.places import normalize_country, split_location
 from claimloom.functions.skills import canonical_skill, skills_in
-from claimloom.functions.text import EMAIL, blank_to_null, clean_email, emails_in
+from claimloom.functions.text import BLANKS, EMAIL, blank_to_null, clean_email, emails_in
 from claimloom.schema import EDUCATION, EXPERIENCE
 from claimloom.sources import resume
 from claimloom.storage import stored
@@ -57,38 +60,69 @@ _COLUMNS = [c.split()[0] for c in re.sub(r"struct<[^>]*>", "struct", PARSED).spl
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, text, content) of files and of all files below folders, each once; text is null unless it is UTF-8.
 
-    Paths that do not exist are left out.
+    Paths that do not exist are left out with a warning.  A path that is given twice or lies below another one is read once; this is
+    settled by names, so no content is shuffled.
     """
     jvm = spark._jvm
-    found = []
+    found: dict[str, str] = {}
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            found.append(p)
-    if not found:
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            found[system.resolvePath(path).toString().rstrip("/")] = p
+        else:
+            warnings.warn(f"no such input: {p}", stacklevel=2)
+    whole = [name for name in found if not any(name.startswith(f"{other}/") for other in found)]
+    if not whole:
         return spark.createDataFrame([], RAW)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(found[name] for name in whole))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return raw.select("path", text.alias("text"), "content").dropDuplicates(["path"])
+    return raw.select("path", text.alias("text"), "content")
+
+
+@dataclass(frozen=True)
+class File:
+    """What rules of detection see of a file: its lower-case suffix and its text, as columns."""
+
+    suffix: Column
+    text: Column
+
+    @property
+    def body(self) -> Column:
+        return F.ltrim(self.text, F.lit(BLANKS))
+
+    def has(self, *marks: str) -> Column:
+        """Whether the text holds any of the quoted marks."""
+        return reduce(Column.__or__, (F.contains(self.text, F.lit(f'"{mark}"')) for mark in marks))
+
+
+def _table(f: File) -> Column:
+    first_line = F.get(F.split(f.body, r"\R", 2), F.lit(0))
+    return (f.suffix == ".csv") | (~f.body.rlike(r"\A[\[{]") & first_line.contains(","))
+
+
+#: Rules of detection by kind, in the order in which they are tried; see :func:`register`.
+RULES: dict[str, Callable[[File], Column]] = {
+    "csv_recruiter": _table,
+    "ats_json": lambda f: (f.suffix == ".json") & f.has(*ATS_MARKS),
+    "github": lambda f: (f.suffix == ".json") & f.has("user") & f.has("repos"),
+    "resume": lambda f: f.suffix.isin(".pdf", ".docx", ".doc"),
+    "notes": lambda f: f.suffix.isin(".txt", ".text", ".md"),
+}
 
 
 def kind_of(path: Column, text: Column) -> Column:
-    """The kind of a file; null if no rule fits."""
-    suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\A\s+", "")
-    first_line = F.get(F.split(body, r"\R", 2), F.lit(0))
-    json_like = body.rlike(r"\A[\[{]")
-    has = lambda s: F.contains(F.coalesce(text, F.lit("")), F.lit(s))
-    ats = F.lit(False)
-    for mark in ATS_MARKS:
-        ats = ats | has(f'"{mark}"')
-    return (
-        F.when((suffix == ".csv") | (~json_like & first_line.contains(",")), "csv_recruiter")
-        .when((suffix == ".json") & ats, "ats_json")
-        .when((suffix == ".json") & has('"user"') & has('"repos"'), "github")
-        .when(suffix.isin(".pdf", ".docx", ".doc"), "resume")
-        .when(suffix.isin(".txt", ".text", ".md"), "notes")
-    )
+    """The first kind whose rule fits a file; null if none does."""
+    file = File(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), F.coalesce(text, F.lit("")))
+    return F.coalesce(*(F.when(rule(file), kind) for kind, rule in RULES.items()))
+
+
+def register(kind: str, rule: Callable[[File], Column], parser: Callable[[str, str], list[dict]], first: bool = False) -> None:
+    """Read another kind of files: a rule over columns, and a parser (stem, text) -> claims that the executors can import."""
+    PARSERS[kind] = parser
+    others = {k: r for k, r in RULES.items() if k != kind}
+    RULES.clear()
+    RULES.update({kind: rule, **others} if first else {**others, kind: rule})
 
 
 class _Claims:
@@ -215,7 +249,7 @@ def parse_notes(stem: str, text: str) -> list[dict]:
 def resume_text(path: str, content: bytes) -> str:
     """Lines of a document; pages of a PDF only where a reader is installed; anything unreadable is empty."""
     suffix = PurePosixPath(path).suffix.lower()
-    if suffix == ".docx":
+    if suffix == ".docx" or suffix == ".doc" and zipfile.is_zipfile(io.BytesIO(content)):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ElementTree.fromstring(z.read("word/document.xml"))
         w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -228,19 +262,24 @@ def resume_text(path: str, content: bytes) -> str:
     return ""
 
 
-#: Parsers by kind: (stem, text) -> claims.  Add one and a rule in :func:`kind_of` to read another kind.
+#: Parsers by kind: (stem, text) -> claims; see :func:`register`.
 PARSERS: dict[str, Callable[[str, str], list[dict]]] = {
     "csv_recruiter": parse_csv, "ats_json": parse_ats, "github": parse_github, "notes": parse_notes,
 }
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parser(parsers: dict[str, Callable[[str, str], list[dict]]]):
+    """The parsers travel with the plan, as those that were registered are not known where it runs."""
+    return lambda frames: _parse(frames, parsers)
+
+
+def _parse(frames: Iterator[pd.DataFrame], parsers: dict[str, Callable[[str, str], list[dict]]]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out: list[dict] = []
         for path, text, kind in frame[["path", "text", "kind"]].itertuples(index=False):
             stem = PurePosixPath(path).stem
             try:
-                got = PARSERS[kind](stem, text) if kind in PARSERS and text else []
+                got = parsers[kind](stem, text) if kind in parsers and text else []
             except Exception as e:  # one bad file must not stop the others; the reason is kept
                 got = [{"error": f"{type(e).__name__}: {e}", "source": kind}]
             out += [g | {"file_seq": path} for g in got]
@@ -250,7 +289,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parsed(raw: DataFrame) -> DataFrame:
     """Raw strings of all files; rows with ``error`` tell which file could not be read and why."""
     routed = raw.withColumn("kind", kind_of(F.col("path"), F.col("text")))
-    others = routed.where("kind is not null and kind != 'resume'").drop("content").mapInPandas(_parse, PARSED)
+    others = routed.where("kind is not null and kind != 'resume'").drop("content").mapInPandas(_parser(dict(PARSERS)), PARSED)
     return others.unionByName(resume_rows(routed.where("kind = 'resume'")))
 
 
