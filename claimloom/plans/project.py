@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,38 +211,35 @@ class Issue:
     message: str
 
 
+def _below(kind: T.DataType | None, part: tuple[str, str | None]) -> T.DataType | None:
+    """The type that one part of a path leads to; None if there is nothing."""
+    key, bracket = part
+    inner = kind[key].dataType if isinstance(kind, T.StructType) and key in kind.names else None
+    if bracket is None or inner is None:
+        return inner
+    return inner.elementType if isinstance(inner, T.ArrayType) else None
+
+
 def lint(config: OutputConfig, schema: T.StructType = PROFILE) -> list[Issue]:
-    """Paths that cannot resolve (errors) and types that cannot fit (warnings), sorted; reads no data."""
+    """Paths that lead nowhere (errors) and types that cannot fit (warnings), sorted; needs neither data nor a session."""
     found = []
     for spec in config.fields:
+        issue = lambda severity, message, s=spec: found.append(Issue(severity, s.path, s.source_path, message))
         try:
             parts = segments(spec.source_path)
         except ConfigError as e:
-            found.append(Issue("error", spec.path, spec.source_path, str(e)))
+            issue("error", str(e))
             continue
-        kind: T.DataType = schema
-        many, problem = False, None
-        for key, bracket in parts:
-            if not isinstance(kind, T.StructType):
-                problem = f"cannot access field {key!r}: the preceding segment is not an object"
-            elif key not in kind.names:
-                problem = f"unknown field {key!r}"
-            elif bracket is not None and not isinstance(kind[key].dataType, T.ArrayType):
-                problem = f"field {key!r} is not a list; '[]' / '[index]' is invalid here"
-            if problem:
-                break
-            kind = kind[key].dataType
-            if bracket is not None:
-                kind = kind.elementType
-                many |= bracket == ""
-        if problem:
-            found.append(Issue("error", spec.path, spec.source_path, problem))
+        kinds = list(accumulate(parts, _below, initial=schema))
+        if None in kinds:
+            steps = spec.source_path.split(".")[: kinds.index(None)]
+            issue("error", f"nothing at {'.'.join(steps)!r}: {steps[-1]!r} asked of {kind_name(kinds[len(steps) - 1])}")
             continue
-        name = kind_name(kind)
-        if many and not name.endswith("[]"):
-            name += "[]"
+        name = kind_name(kinds[-1])
+        if any(bracket == "" for _, bracket in parts):
+            name = f"{name.removesuffix('[]')}[]"
         if not fits(spec.type, name):
-            found.append(Issue("warning", spec.path, spec.source_path, f"declared type {spec.type!r} but path resolves to {name!r}"))
+            issue("warning", f"{spec.type!r} declared for what is {name!r}")
     return sorted(found)
 
 

@@ -296,7 +296,19 @@ def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("text"))
 
 
-@query()
+_HEADING_VALUES = ", ".join(f"('{h}', '{s}')" for h, s in resume.HEADINGS.items())
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS w, 'B.S. in ' || coalesce(lang, 'x') || ', 2014 - 2018' AS e FROM documents),
+ b AS (SELECT doc_id, regexp_replace(concat_ws(chr(10), w, 'Education:', e, 'GPA 3.9', w, ' SUMMARY ', w, 'education', e, w), '\\n\\z', '') AS body FROM t),
+ l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM b),
+ s AS (SELECT doc_id, k, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+ h AS (SELECT doc_id, k, line, section AS opened FROM s LEFT JOIN (VALUES {_HEADING_VALUES}) v(heading, section) ON heading = trim(rtrim(lower(line), ':'))),
+ o AS (SELECT *, coalesce(last_value(opened IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k), 'header') AS section FROM h),
+ every AS (SELECT doc_id, section FROM o UNION SELECT doc_id, 'header' FROM t)
+ SELECT doc_id, every.section, CAST(count(k) FILTER (opened IS NULL) AS INT) AS n_lines,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (opened IS NULL), '')) AS lines_sha256
+ FROM every LEFT JOIN o USING (doc_id, section) GROUP BY doc_id, every.section""")
 def resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each section by the résumé reader, as count and digest; every document has a header, if an empty one."""
     cut = _resumes(spark, sf_dir).select("doc_id", resume.spans(resume.lines_of(F.col("text"))).alias("spans"))
@@ -314,6 +326,78 @@ def resume_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("found.schools").alias("pos", "s")).select("doc_id", "pos", "s.*")
 
 
+def _curricula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, found): a résumé of every customer, taken apart."""
+    rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, segment = F.col("c_custkey").cast("string"), F.lower("c_mktsegment")
+    year = lambda start, of: (F.col("c_custkey") % of + start).cast("string")
+    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    lines = [
+        text("Pat ", F.initcap(segment), " | Data Lead"),
+        text("u", key, "@example.com github.com/user", key, "/ https://www.linkedin.com/in/p", key, "/ https://", segment, ".example.org/", key, ". https://more.example.net/", key),
+        F.lit("EXPERIENCE"),
+        text("Engineer, ", segment, " Corp (Jan 2019 - Present)"),
+        text(F.col("n_name"), " Analyst at Firm ", key, "  2011 to 2014"),
+        F.lit("- a bullet 2010 - 2011"),
+        F.lit(" Education: "),
+        text("B.S. in ", segment, ", ", F.col("n_name"), " College, ", year(1990, 30)),
+        text("MBA in ", F.col("n_name"), " 1999 - ", year(2000, 20)),
+        F.lit("GPA 3.5"),
+        text(F.col("n_name"), " School, Town"),
+        text("Class XII ", year(1980, 10)),
+        F.lit("Diploma 1979"),
+        F.lit("Technical Skills"),
+        text("Tools & more: ", segment, ", k8s / c++ (3 years)"),
+        text("- ", F.col("n_name"), "; Python."),
+    ]
+    return resume.take_apart(rows.select("c_custkey", F.concat_ws("\n", *lines).alias("text"))).select("c_custkey", "found")
+
+
+@query("SELECT c_custkey, 'Pat ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS name FROM customer")
+def resume_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curricula(spark, sf_dir).select("c_custkey", F.col("found.name").alias("name"))
+
+
+@query("""SELECT c_custkey, unnest(['links.github', 'links.linkedin', 'links.portfolio', 'links.other']) AS field,
+ unnest(['https://github.com/user' || c_custkey, 'https://linkedin.com/in/p' || c_custkey, 'https://' || lower(c_mktsegment) || '.example.org/' || c_custkey, 'https://more.example.net/' || c_custkey]) AS url FROM customer""")
+def resume_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curricula(spark, sf_dir).select("c_custkey", F.explode("found.links").alias("u")).select("c_custkey", "u.*")
+
+
+@query("""SELECT c_custkey, 0 AS pos, 'Engineer' AS title, lower(c_mktsegment) || ' Corp' AS company, 'Jan 2019 - Present' AS dates FROM customer
+ UNION ALL SELECT c_custkey, 1, n_name || ' Analyst', 'Firm ' || c_custkey, '2011 to 2014' FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def resume_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curricula(spark, sf_dir).select("c_custkey", F.posexplode("found.jobs").alias("pos", "j")).select("c_custkey", "pos", "j.*")
+
+
+@query("""WITH c AS (SELECT c_custkey, lower(c_mktsegment) AS s, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)
+ SELECT c_custkey, 0 AS pos, n || ' College' AS institution, 'B.S.' AS degree, s AS field, CAST(1990 + c_custkey % 30 AS INT) AS end_year FROM c
+ UNION ALL SELECT c_custkey, 1, n || ' School', 'MBA', n, CAST(2000 + c_custkey % 20 AS INT) FROM c
+ UNION ALL SELECT c_custkey, 2, NULL, 'Class XII', NULL, CAST(1980 + c_custkey % 10 AS INT) FROM c
+ UNION ALL SELECT c_custkey, 3, NULL, 'Diploma', NULL, 1979 FROM c""")
+def resume_education(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curricula(spark, sf_dir).select("c_custkey", F.posexplode("found.schools").alias("pos", "e")).select("c_custkey", "pos", "e.*")
+
+
+@query("""SELECT c_custkey, concat_ws(',', lower(c_mktsegment), 'k8s', 'c++', n_name, 'Python') AS skills FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def resume_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curricula(spark, sf_dir).select("c_custkey", F.array_join("found.skills", ",").alias("skills"))
+
+
+@query("""SELECT min('csv_recruiter' || chr(1) || CAST(c_custkey AS VARCHAR)) AS cluster, string_agg('id-' || CAST(c_custkey AS VARCHAR), ',' ORDER BY 'id-' || CAST(c_custkey AS VARCHAR)) AS candidate_ids
+ FROM customer GROUP BY c_custkey // 3 HAVING count(*) > 1""")
+def over_merge_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with ids of their own of whom three share an address."""
+    key = F.col("c_custkey").cast("string")
+    mail = F.concat(F.lit("m"), F.floor(F.col("c_custkey") / 3).cast("string"), F.lit("@example.com"))
+    said = F.array(
+        F.struct(F.lit("candidate_id").alias("field_path"), F.concat(F.lit("id-"), key).alias("value_str")),
+        F.struct(F.lit("emails").alias("field_path"), mail.alias("value_str")),
+    )
+    claims = load(spark, sf_dir, "customer").select(F.lit("csv_recruiter").alias("source"), key.alias("record_key"), F.explode(said).alias("c")).select("source", "record_key", "c.*")
+    return link.over_merged(claims, _strong(claims)).select("cluster", F.array_join("candidate_ids", ",").alias("candidate_ids"))
+
+
 _SCALAR = lambda f: f"(SELECT value FROM scalars s WHERE s.cluster = c.cluster AND s.field_path = '{f}')"
 
 
