@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.storage import scratch, shared_folder, stored
 
-__all__ = ["Chunks", "Words", "bounded_sample", "load", "logistic", "scratch", "shared_folder", "sigmoid", "stored", "text_segments", "train_row"]
+__all__ = [
+    "Chunks", "Words", "bounded_sample", "frugal", "load", "logistic", "scratch", "shared_folder", "sigmoid", "slices", "stored", "text_segments", "train_row", "unused",
+]
 
 #: Text bytes gathered before a segment is processed; bounds a Python worker's memory.
 SEGMENT_BYTES = 12 << 20
@@ -50,6 +55,42 @@ def text_segments(batches: Iterator[pa.RecordBatch], limit: int = SEGMENT_BYTES)
         yield pa.concat_arrays(ids), texts
 
 
+def frugal(run: Callable) -> Callable:
+    """An Arrow function that gives a task's memory back at its end; Spark keeps Python workers for later tasks."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return all_of
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SEGMENT_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Pieces of whole rows, each with its texts (of ``column``, as UTF-8 bytes or None) of up to about ``limit`` bytes or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            gone = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, gone + limit, "right")))
+            part = batch.slice(at, stop - at)
+            yield part, part.column(column).cast(pa.large_binary()).to_pylist()
+            at = stop
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name`` behind as many underscores as it takes to be none of ``columns``; Spark's names don't tell cases apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Chunks:
     """Texts cut before single blanks, with each distinct chunk numbered once.
 

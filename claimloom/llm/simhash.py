@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import stored, text_segments
+from claimloom.llm.common import frugal, stored, text_segments
 from claimloom.llm.components import components
 
 SHINGLE = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): one row per row of ``docs``; a null text counts as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, f"id {kind}, fp bigint")
+    return rows.mapInArrow(frugal(_fingerprints), f"id {kind}, fp bigint")
 
 
 def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:

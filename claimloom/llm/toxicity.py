@@ -11,6 +11,7 @@ A document is judged by its strongest word, the number of words beyond the margi
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,14 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import Words, bounded_sample, logistic, sigmoid, text_segments
+from claimloom.llm.common import Words, bounded_sample, frugal, logistic, sigmoid, text_segments
 
 DECAY = 0.7
 SPAN = 6
 #: Labelled documents of each class that a model is fitted on at most.
 SAMPLE = 3000
-#: Characters taken from one labelled document for fitting at most (scores always use whole texts).
+#: Text bytes scored at once.
+SEGMENT = 6 << 20
+#: Words whose maps span the machine's space.
 LANDMARKS = 192
+#: Bounds on the words that the machine is fitted on, all taken from the sample's whole texts: words that mark toxic documents, words
+#: that start like them, the commonest and other calm words, and calm words that an earlier turn of the fit took for marks.
+MARKED, KIN, COMMON_CALM, OTHER_CALM, HARD = 2000, 2000, 4000, 12_000, 4000
+#: Marked words, and calm words, that the fit sees with letters put in.
+VEILED, DULL = 60, 600
 #: Margins at which a document's words are counted.
 STEPS = (0.0, 0.3, 0.6, 0.9)
 _SIGNALS = 2 * len(STEPS) + 5
@@ -101,15 +109,33 @@ def feature_map(words: list[str]) -> np.ndarray:
     return out
 
 
-def project(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Products of the words' normalised maps with each row of ``table``: (words, rows)."""
-    out = np.zeros((len(words), table.shape[0]))
-    turned = np.ascontiguousarray(table.T)
-    for at, codes in _by_length(words, 256 if table.shape[0] > 1 else 16384):
+class Landmarks:
+    """Maps of a few words without the subsequences that none of them has."""
+
+    def __init__(self, words: list[str]):
+        whole = feature_map(words)
+        own = np.flatnonzero(whole.any(axis=0))
+        self.maps = np.ascontiguousarray(whole[:, own])
+        #: place of each subsequence in ``maps``; the last place is that of all others
+        self.place = np.full(whole.shape[1], len(own), np.int32)
+        self.place[own] = np.arange(len(own))
+        self.turned = np.concatenate([self.maps.T, np.zeros((1, len(words)), np.float32)])
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of the landmarks as one weight per subsequence."""
+        return np.append(weights @ self.maps, 0.0)[self.place]
+
+
+def project(words: list[str], table: np.ndarray | Landmarks) -> np.ndarray:
+    """Products of the words' normalised maps with each row of ``table`` or each landmark: (words, rows)."""
+    few = isinstance(table, Landmarks)
+    turned = table.turned if few else np.ascontiguousarray(table.T)
+    out = np.zeros((len(words), turned.shape[1]))
+    for at, codes in _by_length(words, 256 if turned.shape[1] > 1 else 16384):
         size = np.zeros(len(at))
-        total = np.zeros((len(at), table.shape[0]))
+        total = np.zeros((len(at), turned.shape[1]))
         for subs, real, weight in _subsequences(codes):
-            total += (turned[subs] * real[:, :, None]).sum(axis=1) * weight
+            total += (turned[table.place[subs] if few else subs] * real[:, :, None]).sum(axis=1) * weight
             size += real.sum(axis=1) * weight**2
         out[at] = total / np.sqrt(np.maximum(size, 1e-12))[:, None]
     return out
@@ -187,8 +213,14 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0)
         if active is not None and (now == active).all():
             break
         active = now
-        xa = x[active] * cost[active, None]
-        w = np.linalg.solve(xa.T @ x[active] + np.diag(shrink), xa.T @ y[active])
+        gram, target = np.diag(shrink), np.zeros(x.shape[1])
+        rows = np.flatnonzero(active)
+        for at in range(0, len(rows), 4096):
+            part = x[rows[at : at + 4096]]
+            weighted = part * cost[rows[at : at + 4096], None]
+            gram += weighted.T @ part
+            target += weighted.T @ y[rows[at : at + 4096]]
+        w = np.linalg.solve(gram, target)
     return w
 
 
@@ -227,56 +259,69 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: i
     strong = {w: odds(seen, w) * np.sqrt(c) for w, c in seen[1].items() if c >= least and odds(seen, w) > 1.6}
     stems = {h for h, c in heads[1].items() if c >= 2 * least and len(h) >= 5 and odds(heads, h) > 1.6}
     kin = [w for w in seen[1] if w not in strong and any(w[:k] in stems for k in range(5, min(9, len(w)))) and odds(seen, w) > 0.5]
-    good = sorted(strong, key=lambda w: (-strong[w], w))[:2000]
+    good = sorted(strong, key=lambda w: (-strong[w], w))[:MARKED]
     if not good:
         good = sorted(seen[1], key=lambda w: (-odds(seen, w), w))[:20]
     calm = sorted((w for w in seen[0] if odds(seen, w) < 0.7), key=lambda w: (-seen[0][w], w))
-    calm = calm[:4000] + [calm[k] for k in rng.permutation(max(0, len(calm) - 4000))[:12000] + 4000 if k < len(calm)]
+    rest = COMMON_CALM + rng.permutation(max(0, len(calm) - COMMON_CALM))[:OTHER_CALM]
+    calm = calm[:COMMON_CALM] + [calm[k] for k in rest]
     chosen = good[: landmarks * 2 // 3]
     chosen += [calm[k] for k in np.linspace(0, len(calm) - 1, max(1, landmarks - len(chosen))).astype(int)] if calm else []
-    base = feature_map(chosen)
-    kernel = (base @ base.T).astype(np.float64)
+    base = Landmarks(chosen)
+    kernel = (base.maps @ base.maps.T).astype(np.float64)
     value, vector = np.linalg.eigh(kernel + 1e-6 * np.eye(len(chosen)))
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
     clear = [w for w in good if odds(seen, w) > 3 and len(w) >= 4]
-    veiled = [v for w in clear[:60] for _ in range(4) for v in _disguised(w, rng)]
+    veiled = [v for w in clear[:VEILED] for _ in range(4) for v in _disguised(w, rng)]
     veiled = [n for v in veiled if (n := normal(v))]
-    plus = good + kin[:2000] + veiled
+    plus = good + kin[:KIN] + veiled
     # calm words with letters put in must stay calm
-    dull = [n for w in calm[:600] for v in _disguised(w, rng)[:3] if len(w) >= 4 and (n := normal(v))]
+    dull = [n for w in calm[:DULL] for v in _disguised(w, rng)[:3] if len(w) >= 4 and (n := normal(v))]
     minus = calm + dull
     every = [w for w in seen[0] if odds(seen, w) < 0.7]
     model = None
     for turn in range(4):
-        phi = project(plus + minus, base) @ root
-        x = np.concatenate([phi, np.ones((len(phi), 1))], axis=1)
+        x = np.ones((len(plus) + len(minus), len(chosen) + 1))
+        for at in range(0, len(x), 4096):
+            x[at : at + 4096, :-1] = project((plus + minus)[at : at + 4096], base) @ root
         sign = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
         often = np.concatenate([[np.sqrt(seen[1][w] + 1.0) for w in plus], [np.sqrt(seen[0][w] + 1.0) for w in minus]])
         cost = often * np.where(sign > 0, 0.5 / often[sign > 0].sum(), 0.5 / max(1e-9, often[sign < 0].sum())) * 4000
         w = _machine(x, sign, cost, ridge=0.01)
-        model = Model((root @ w[:-1]) @ base, float(w[-1]), np.zeros(_SIGNALS))
+        model = Model(base.table(root @ w[:-1]), float(w[-1]), np.zeros(_SIGNALS))
         if turn < 3 and every:
             margins = project(every, model.table[None, :])[:, 0] + model.bias
             taken = set(minus)
-            worst = [every[k] for k in np.argsort(-margins, kind="stable")[:4000] if margins[k] > -0.3]
+            worst = [every[k] for k in np.argsort(-margins, kind="stable")[:HARD] if margins[k] > -0.3]
             minus = minus + [v for v in worst if v not in taken]
     model.weights = logistic(model.signals(texts), y.astype(float), ridge=0.3)
     return model
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = sorted((row["doc_id"], row["text"] or "", row["y"]) for batch in batches for row in batch.to_pylist())
+    model = fit([t for _, t, _ in got], [y for _, _, y in got])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` documents of each class of ``labels`` (doc_id, ``label``), chosen by hash of the id."""
+    """Fit on at most ``sample`` documents of each class of ``labels`` (doc_id, ``label``), chosen by hash of the id.
+
+    An id with both labels counts as 1; labels other than 0 and 1, null ids and ids of no document are left out; a null text is empty;
+    rows that repeat an id all count.  One task of an executor gets the sample and fits; only the model comes to the driver.
+    Without any labelled document the model scores all alike.
+    """
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    chosen = bounded_sample(ids.dropDuplicates(["doc_id"]), "y", "doc_id", sample)
+    chosen = bounded_sample(ids.groupBy("doc_id").agg(F.max("y").alias("y")), "y", "doc_id", sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted((r["doc_id"], r["text"] or "", r["y"]) for r in rows.collect())
-    return fit([t for _, t, _ in got], [y for _, _, y in got])
+    found = rows.repartition(1).mapInArrow(frugal(_fitted), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
 def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for ids, raw in text_segments(batches):
+        for ids, raw in text_segments(batches, SEGMENT):
             texts = [t.decode("utf-8", "replace") if t else "" for t in raw]
             yield pa.RecordBatch.from_arrays([ids, pa.array(model.scores(texts))], names=["id", "score"])
 
@@ -291,4 +336,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scored(held), f"id {kind}, score double")
+    return rows.mapInArrow(frugal(_scored(held)), f"id {kind}, score double")
