@@ -22,14 +22,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from claimloom.llm.common import text_segments
+from claimloom.llm.common import frugal, stored, text_segments
 
 #: Words of more bytes are merged by a heap in Python, with the same ids; a fold would take time in the square of the length.
 LONGEST_FOLD = 192
 #: Text bytes of a block: the larger, the fewer words are folded in more than one block.
 BLOCK = 16 << 20
+#: Words that are folded once beforehand at most, the commonest of about so many documents; both bound memory and time, no id hangs on them.
+MEMO_WORDS, MEMO_DOCS = 200_000, 8_000
 #: Distinct words of a row batch, and word numbers of a row of texts, that an Arrow function returns at once.
 _WORDS_AT_ONCE, _CODES_AT_ONCE = 8192, 1 << 18
 _RANK_BITS = 17
@@ -41,10 +44,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def pair_table(ranks: dict[bytes, int]) -> tuple[list[int | None], list[int]]:
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """All pairs of ids that merge, as displaced rows in one array: (cells, place of each id's row).
 
-    Cell ``rows[left] + right`` holds ``left * 2**17 + rank`` if the pair merges; another owner's cell, None or
+    Cell ``rows[left] + right`` holds ``(left + 1) * 2**17 + rank`` if the pair merges; another owner's cell, 0 or
     nothing (beyond the array) else.  Rows go where all their cells are free, long rows first.
     """
     of: dict[int, list[tuple[int, int]]] = {}
@@ -55,7 +58,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int | None], list[int]]:
                 of.setdefault(left, []).append((right, rank))
     n_ids = max(ranks.values(), default=0) + 1
     size = 4 * sum(map(len, of.values())) + n_ids
-    owned = np.full(size, -1, np.int64)
+    owned = np.zeros(size, np.int64)
     rows = np.zeros(n_ids, np.int64)
     single = []
     start = 0
@@ -67,66 +70,55 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int | None], list[int]]:
         # from where the last row went on, around the array
         for at in range(0, size - n_ids, 64):
             turns = (start + at + np.arange(64)) % (size - n_ids)
-            fits = np.flatnonzero((owned[turns[:, None] + rights] < 0).all(axis=1))
+            fits = np.flatnonzero((owned[turns[:, None] + rights] == 0).all(axis=1))
             if len(fits):
                 break
         else:
             raise ValueError("no room for a row of the rank map")
         start = rows[left] = turns[fits[0]]
-        owned[start + rights] = left << _RANK_BITS | found
+        owned[start + rights] = left + 1 << _RANK_BITS | found
     if single:
         lefts, rights, found = np.array(single, np.int64).T
-        places = np.flatnonzero(owned < 0)[: len(lefts)]
+        places = np.flatnonzero(owned == 0)[: len(lefts)]
         rows[lefts] = places - rights
-        owned[places] = lefts << _RANK_BITS | found
-    last = int(np.flatnonzero(owned >= 0)[-1]) + 1 if of else 0
-    return [c if c >= 0 else None for c in owned[:last].tolist()], rows.tolist()
+        owned[places] = lefts + 1 << _RANK_BITS | found
+    return np.trim_zeros(owned, "b").tolist(), rows.tolist()
 
 
 def _literal(values, kind: str) -> Column:
-    """An array literal: the cast of a split string, which Catalyst folds to a constant; None is null."""
-    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast(f"array<{kind}>")
+    """An array literal: the cast of a split string, which Catalyst folds to a constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a word (array of byte values, not empty) by ranked merges, as a column expression."""
+    """Ids of a word (array of byte values, not empty) by ranked merges, as a column expression.
+
+    Steps of the fold take turns: one finds the pair of least rank, the next one merges it, until there is none.
+    """
     table, places = pair_table(ranks)
     cells, rows = _literal(table, "bigint"), _literal(places, "int")
+    owners = _literal([k + 1 << _RANK_BITS for k in range(len(places))], "bigint")
     of_byte = _literal([ranks.get(bytes([b]), -1) for b in range(256)], "int")
+    none = 1 << (_RANK_BITS + 12)
 
-    def merge_once(state: Column) -> Column:
-        ids = state["ids"]
+    def step(state: Column, _: Column) -> Column:
+        ids, best = state["ids"], state["best"]
 
         def rated(left: Column, k: Column) -> Column:
-            # rank * 4096 + position where the cell is this row's own; at least 2**29 where it is another's; null where it is nobody's
-            cell = F.get(cells, F.get(rows, left) + F.get(ids, k + 1))
-            return F.shiftleft(cell.bitwiseXOR(F.shiftleft(left.cast("bigint"), _RANK_BITS)), 12).bitwiseOR(k.cast("bigint"))
-
-        best = F.array_min(F.transform(F.slice(ids, 1, F.size(ids) - 1), rated))
-
-        def apply(b: Column) -> Column:
-            at = b.bitwiseAND(F.lit(4095)).cast("int")
-            rank = F.shiftright(b, 12).cast("int")
-            return F.when(
-                b < 1 << (_RANK_BITS + 12),
-                F.struct(
-                    F.concat(F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids))).alias("ids"),
-                    (F.size(ids) <= 2).alias("done"),
-                ),
-            ).otherwise(F.struct(ids.alias("ids"), F.lit(True).alias("done")))
-
-        return F.get(F.transform(F.array(best), apply), F.lit(0))
-
-    state_type = "struct<ids:array<int>,done:boolean>"
-    start = F.struct(
-        F.transform(word, lambda b: F.get(of_byte, b.cast("int"))).alias("ids"), (F.size(word) <= 1).alias("done")
-    )
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))),
-        start.cast(state_type),
-        lambda state, _: F.when(state["done"], state).otherwise(merge_once(state)).cast(state_type),
-        lambda state: state["ids"],
-    )
+            # rank * 4096 + position where the cell is this row's own; at least ``none`` where it is another's or nobody's; null beyond the table
+            rank = F.get(cells, F.get(rows, left) + F.get(ids, k + 1)).bitwiseXOR(F.get(owners, left))
+            return F.shiftleft(rank, 12).bitwiseOR(k.cast("bigint"))
+
+        found = F.coalesce(F.array_min(F.transform(ids, rated)), F.lit(none).cast("bigint"))
+        at, rank = best.bitwiseAND(F.lit(4095)).cast("int"), F.shiftright(best, 12).cast("int")
+        merged = F.flatten(F.array(F.slice(ids, F.lit(1), at), F.array(rank), F.slice(ids, at + 3, F.size(ids))))
+        look = F.struct(ids.alias("ids"), found.alias("best"))
+        put = F.struct(merged.alias("ids"), F.lit(None).cast("bigint").alias("best"))
+        return F.when(best.isNull(), look).when(best < none, put).otherwise(state)
+
+    start = F.struct(F.transform(word, lambda b: F.get(of_byte, b.cast("int"))).alias("ids"), F.lit(None).cast("bigint").alias("best"))
+    # a search and a merge for each byte but one, and a last search
+    return F.aggregate(F.sequence(F.lit(2), 2 * F.size(word)), start, step, lambda state: state["ids"])
 
 
 def concat_pieces(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -193,17 +185,57 @@ class _Rows:
         return self.flat[np.arange(total) + np.repeat(self.starts[picks] - (ends - n), n)]
 
 
-#: A row is a distinct word of a block (byte values, or the ids of one too long for the fold) or a few texts as word numbers.
-_CUT = "block bigint, word array<smallint>, long array<int>, keys array<{kind}>, counts binary, codes binary"
+_memo: dict[int, dict[bytes, bytes]] = {}
+
+
+def _known(memo) -> dict[bytes, bytes]:
+    """Words that were folded beforehand and their ids as little-endian 32-bit integers; one set is held at a time."""
+    if memo is None:
+        return {}
+    if memo.id not in _memo:
+        _memo.clear()
+        out = _memo[memo.id] = {}
+        for words, word_sizes, ids, id_sizes in memo.value:
+            ends, stops = (np.cumsum(np.frombuffer(sizes, np.int32)).tolist() for sizes in (word_sizes, id_sizes))
+            out.update((words[a:b], ids[4 * c : 4 * d]) for a, b, c, d in zip([0, *ends], ends, [0, *stops], stops))
+    return _memo[memo.id]
+
+
+class _Memo:
+    """Broadcast blobs and a name by which a Python worker remembers what it made of them."""
 
+    def __init__(self, broadcast, name: int):
+        self.broadcast, self.id = broadcast, name
 
-def _cut(held, pattern: str, kind: pa.DataType):
+    @property
+    def value(self) -> list[tuple[bytes, ...]]:
+        return self.broadcast.value
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of words and their ids -> four binaries a batch."""
+    for batch in batches:
+        out = []
+        for column, kind in zip(batch.columns, (np.uint8, np.int32)):
+            flat, sizes = _flat(column, kind)
+            out += [flat.astype(kind).tobytes(), sizes.astype(np.int32).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in out], names=["words", "word_sizes", "ids", "id_sizes"])
+
+
+def _schema(kind: T.DataType) -> T.StructType:
+    """A row is a distinct word of a block (byte values, or ids if they are known) or a few texts as word numbers."""
+    out = T.StructType().add("block", T.LongType()).add("word", T.ArrayType(T.ShortType())).add("known", T.ArrayType(T.IntegerType()))
+    return out.add("keys", T.ArrayType(kind)).add("counts", T.BinaryType()).add("codes", T.BinaryType())
+
+
+def _cut(held, pattern: str, schema: T.StructType, memo=None):
     """Texts -> for each block a row for each distinct word, in the order of their numbers, then rows of texts."""
-    types = [pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(kind), pa.binary(), pa.binary()]
-    names = [c.split()[0] for c in _CUT.split(", ")]
+    types = [to_arrow_type(f.dataType) for f in schema]
+    names = schema.names
 
     def rows(block: int, n: int, **columns) -> pa.RecordBatch:
-        own = {"block": pa.array(np.full(n, block), pa.int64()), **columns}
+        # empty lists instead of nulls: Spark's writer of Arrow goes over all of a column's null lists again at every row
+        own = {"block": pa.array(np.full(n, block), pa.int64()), "keys": pa.array([[]] * n, types[3]), **columns}
         return pa.RecordBatch.from_arrays([own.get(name, pa.nulls(n, t)) for name, t in zip(names, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +243,7 @@ def _cut(held, pattern: str, kind: pa.DataType):
 
         find = regex.compile(pattern).findall
         part = TaskContext.get().partitionId()
+        before = _known(memo)
         for turn, (keys, raw) in enumerate(text_segments(batches, BLOCK)):
             block = part << 32 | turn
             number: dict[str, int] = defaultdict(count().__next__)
@@ -224,15 +257,9 @@ def _cut(held, pattern: str, kind: pa.DataType):
             del number, code
             for at in range(0, len(words), _WORDS_AT_ONCE):
                 some = [w.encode() for w in words[at : at + _WORDS_AT_ONCE]]
-                far = [len(w) > LONGEST_FOLD for w in some]
-                sizes = np.array([0 if f else len(w) for w, f in zip(some, far)], np.int32)
-                values = np.frombuffer(b"".join(w for w, f in zip(some, far) if not f), np.uint8).astype(np.int16)
-                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)
-                columns = {"word": pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(far) if any(far) else None)}
-                if any(far):
-                    ranks = held.value
-                    columns["long"] = pa.array([merge_long(w, ranks) if f else None for w, f in zip(some, far)], types[2])
-                yield rows(block, len(some), **columns)
+                ids = [before.get(w) or (_long(w, held.value) if len(w) > LONGEST_FOLD else b"") for w in some]
+                left = [b"" if i else w for w, i in zip(some, ids)]
+                yield rows(block, len(some), word=_lists(left, np.uint8, pa.int16()), known=_lists(ids, np.int32, pa.int32()))
             del words
             start = size = 0
             for k, one in enumerate(codes):
@@ -251,6 +278,17 @@ def _cut(held, pattern: str, kind: pa.DataType):
     return run
 
 
+def _long(word: bytes, ranks: dict[bytes, int]) -> bytes:
+    return np.array(merge_long(word, ranks), np.int32).tobytes()
+
+
+def _lists(blobs: list[bytes], kind, to: pa.DataType) -> pa.Array:
+    """A list of numbers for each blob."""
+    values = np.frombuffer(b"".join(blobs), kind)
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // values.itemsize
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values).cast(to))
+
+
 def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     """Values of a column of lists or binaries one after another, and how many each row has."""
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
@@ -326,12 +364,24 @@ def encode(
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows.mapInArrow(_cut(held, pattern, to_arrow_type(kind)), _CUT.format(kind=kind.simpleString()))
-    ids = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), ranks)).otherwise(F.col("long"))
+    fold = fold_merges(F.col("word"), ranks)
+    share = min(1.0, MEMO_DOCS / max(1, docs.count()))
+    few = rows.sample(share, seed=7).mapInArrow(frugal(_cut(held, pattern, _schema(kind))), _schema(kind)).where("size(word) > 0")
+    common = few.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MEMO_WORDS)
+    # written first: a plan that adapts is told anew after each stage, and the fold's literals would be told with it
+    common = stored(common.select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "word"), "common-words")
+    blobs = [tuple(map(bytes, row)) for row in common.select("word", fold.alias("ids")).mapInArrow(_packed, "words binary, word_sizes binary, ids binary, id_sizes binary").collect()]
+    memo = _Memo(docs.sparkSession.sparkContext.broadcast(blobs), hash(tuple(blobs)))
+    cut = rows.mapInArrow(frugal(_cut(held, pattern, _schema(kind), memo)), _schema(kind))
+    ids = F.when(F.size("word") > 0, fold).otherwise(F.col("known"))
     folded = cut.select("block", ids.alias("ids"), "keys", "counts", "codes")
     decoded = folded.select("*", concat_pieces(F.col("ids"), ranks).alias("piece"))
-    schema = "n_tokens bigint, ids array<int>, decoded binary" if not digests else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return decoded.mapInArrow(_joined(not digests), f"id {kind.simpleString()}, {schema}")
+    schema = T.StructType().add("id", kind).add("n_tokens", T.LongType())
+    if digests:
+        schema = schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
+    else:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
+    return decoded.mapInArrow(frugal(_joined(not digests)), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
