@@ -112,7 +112,7 @@ def _placed(held):
     return run
 
 
-_BLOCK = "block bigint, dim int, leaf bigint, n int, ids array<{kind}>, copies array<bigint>, raws binary, low array<double>, high array<double>"
+_BLOCK = "block bigint, dim int, leaf bigint, n int, ids array<bigint>, copies array<bigint>, raws binary, low array<double>, high array<double>"
 
 
 def _packed(held):
@@ -188,13 +188,16 @@ def linked(a: _Block, b: _Block, threshold: float) -> tuple[np.ndarray, np.ndarr
     return r, c
 
 
-def _tiles(held_axes, held_blocks, threshold: float, kind: pa.DataType):
+_LINKS = "u bigint, links bigint, v bigint"
+
+
+def _tiles(held_axes, held_blocks, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes = held_axes.value
-        fixed = [(_Block(row, axes), pa.array(row["ids"], kind)) for row in held_blocks.value]
+        fixed = [(_Block(row, axes), pa.array(row["ids"], pa.int64())) for row in held_blocks.value]
         for batch in batches:
             for row in batch.to_pylist():
-                a, a_ids = _Block(row, axes), pa.array(row["ids"], kind)
+                a, a_ids = _Block(row, axes), pa.array(row["ids"], pa.int64())
                 for b, b_ids in fixed:
                     if a.number < b.number:
                         continue
@@ -223,25 +226,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of
     different dimensions link with nothing of each other.  Equal vectors are compared once and counted as often
-    as they occur.  Rows that share an id are one node of a component.  A row with a null id gets the component of
-    its vector's other rows.  Other columns are ignored; an empty table gives an empty table.
+    as they occur, each row by its own vector.  Rows that share an id are one node of a component, whatever their vectors.  A row with
+    a null id is a vector like any other but names no component; where all ids of a component are null, so is its name.
+    Other columns are ignored; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
     context = spark.sparkContext
     kind = vectors.schema[id_col].dataType.simpleString()
     given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = stored(given.mapInArrow(_unit, f"id {kind}, dim int, raw binary"), "vectors")
-    reps = stored(
-        rows.where("raw is not null").groupBy("dim", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"),
-        "vector-classes",
-    )
+    # classes of equal vectors are known by numbers of their own, as ids may repeat or be missing
+    classes = rows.where("raw is not null").groupBy("dim", "raw").agg(F.count("*").alias("copies"))
+    reps = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    valid = stored(rows.where("raw is not null").join(reps, ["dim", "raw"]).select("id", "rep", "copies"), "vector-rows")
     dims = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(16).collect()}
     axes = {}
     for dim, size in dims.items():
         some = reps.where(F.col("dim") == dim).select("raw").orderBy(F.xxhash64("raw")).limit(SAMPLE).collect()
         axes[dim] = Axes(_matrix([r["raw"] for r in some], dim), -(-size // BLOCK))
     held = context.broadcast(axes)
-    placed = stored(_with_leaf(reps, held, kind), "vector-leaves")
+    placed = stored(_with_leaf(reps, held), "vector-leaves")
     counts = sorted((r["dim"], r["leaf"], r["count"]) for r in placed.groupBy("dim", "leaf").count().collect())
     first, number, where = 0, [], []
     for dim, leaf, n in counts:
@@ -258,11 +262,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             placed.join(F.broadcast(plan), ["dim", "leaf"])
             .withColumn("block", block)
             .groupBy("block")
-            .applyInPandas(_packed(held), _BLOCK.format(kind=kind))
+            .applyInPandas(_packed(held), _BLOCK)
         )
         blocks = stored(packed, "vector-blocks")
         paths, at = [], 0
-        arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
         while at < len(number):
             stop, size = at, 0
             while stop < len(number) and size < TILE_BYTES:
@@ -273,28 +276,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             out = scratch(spark, "vector-links")
             later = blocks.where(F.col("block") >= at)
             later = later.repartition(max(2, min(context.defaultParallelism * 4, len(number) - at)), "block")
-            later.mapInArrow(_tiles(held, tile, threshold, arrow_kind), f"u {kind}, links bigint, v {kind}").write.parquet(out)
+            later.mapInArrow(_tiles(held, tile, threshold), _LINKS).write.parquet(out)
             tile.unpersist()
             paths.append(out)
             at = stop
-        found = spark.read.schema(f"u {kind}, links bigint, v {kind}").parquet(*paths)
+        found = spark.read.schema(_LINKS).parquet(*paths)
     if found is None:
-        found = spark.createDataFrame([], f"u {kind}, links bigint, v {kind}")
-    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("others"))
-    comp = components(found.select("u", "v")).withColumnRenamed("node", "rep")
-    classes = stored(
-        reps.join(links, "rep", "left").join(comp, "rep", "left").select(
-            "dim", "raw", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")
-        ),
-        "vector-components",
-    )
-    out = rows.join(classes, ["dim", "raw"], "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component")
+        found = spark.createDataFrame([], _LINKS)
+    others = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("others"))
+    named = valid.where("id is not null")
+    torn = named.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v != last")
+    one_id = named.join(torn, "id").select(F.col("rep").alias("u"), "v")
+    hangs = components(found.select("u", "v").union(one_id)).withColumnRenamed("node", "rep")
+    least = valid.groupBy("rep").agg(F.min("id").alias("least")).join(hangs, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    names = least.groupBy("component").agg(F.min("least").alias("name"))
+    of_class = stored(
+        least.join(names, "component").join(others, "rep", "left").select("rep", F.coalesce("others", F.lit(0)).alias("others"), "name"), "vector-components"
     )
+    out = valid.join(of_class, "rep").select("id", (F.col("copies") - 1 + F.col("others")).alias("n_links"), F.col("name").alias("component"))
+    # a vector that links with nothing still shares the node of its id
+    nodes = out.where("id is not null").select("id", "component").distinct()
+    alone = rows.where("raw is null and id is not null").select("id").join(nodes, "id", "left")
+    alone = alone.select("id", F.lit(0).cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    nameless = rows.where("raw is null and id is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
+    out = out.union(alone).union(nameless)
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 
 
-def _with_leaf(reps: DataFrame, held, kind: str) -> DataFrame:
+def _with_leaf(reps: DataFrame, held) -> DataFrame:
     return reps.select("rep", "dim", "raw", "copies").mapInArrow(
-        _placed(held), f"rep {kind}, dim int, raw binary, copies bigint, leaf bigint"
+        _placed(held), "rep bigint, dim int, raw binary, copies bigint, leaf bigint"
     )
