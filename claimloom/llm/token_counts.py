@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 
@@ -17,12 +18,17 @@ MEMO = 400_000
 #: UTF-8 bytes that one call of the library gets.
 CALL_BYTES = 1 << 20
 
-_tokenizers: dict[int, object] = {}
+_tokenizers: dict[bytes, object] = {}
+
+
+def digest(spec: str) -> bytes:
+    """A name for the JSON text ``spec`` of a tokenizer, by which workers remember what hangs on it."""
+    return hashlib.sha256(spec.encode()).digest()
 
 
 def tokenizer(spec: str):
     """The worker's tokenizer for the JSON text ``spec``, parsed once."""
-    key = hash(spec)
+    key = digest(spec)
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -42,36 +48,38 @@ def encode_lengths(tok, chunks: list[str], call_bytes: int = CALL_BYTES) -> list
     size = 0
     for chunk in chunks:
         batch.append(chunk)
-        size += len(chunk)
+        size += len(chunk) if chunk.isascii() else len(chunk.encode())
         if size >= call_bytes:
             out += [len(e) for e in tok.encode_batch_fast(batch, add_special_tokens=False)]
             batch, size = [], 0
     return out + [len(e) for e in tok.encode_batch_fast(batch, add_special_tokens=False)] if batch else out
 
 
-_memo: dict[str, int] = {}
+_memos: dict[bytes, dict[str, int]] = {}
 
 
-def _counted(tok, chunks: list[str]) -> np.ndarray:
-    missing = [c for c in chunks if c not in _memo]
+def _counted(tok, chunks: list[str], memo: dict[str, int]) -> np.ndarray:
+    missing = [c for c in chunks if c not in memo]
     if missing:
-        if len(_memo) + len(missing) > MEMO:
-            _memo.clear()
+        if len(memo) + len(missing) > MEMO:
+            memo.clear()
             missing = chunks
         found = dict(zip(missing, encode_lengths(tok, missing)))
         kept = {c: n for c, n in found.items() if len(c) <= 64}
-        _memo.update(kept)
-        return np.fromiter((found[c] if c in found else _memo[c] for c in chunks), np.int64, len(chunks))
-    return np.fromiter(map(_memo.__getitem__, chunks), np.int64, len(chunks))
+        memo.update(kept)
+        return np.fromiter((found[c] if c in found else memo[c] for c in chunks), np.int64, len(chunks))
+    return np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks))
 
 
 def _counter(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(spec.value)
+        # a worker may meet several tokenizers, and a chunk has other ids in each
+        memo = _memos.setdefault(digest(spec.value), {})
         for ids, raw in text_segments(batches):
             cut = Chunks([t.decode("utf-8", "replace") if t else "" for t in raw])
             n = cut.sums(
-                np.array(encode_lengths(tok, cut.heads), np.int64), _counted(tok, [" " + c for c in cut.tails])
+                np.array(encode_lengths(tok, cut.heads), np.int64), _counted(tok, [" " + c for c in cut.tails], memo)
             )
             size = pa.array([len(t) if t else 0 for t in raw], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, size, pa.array(n)], names=["id", "n_bytes", "n_tokens"])
