@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import Chunks, scratch, text_segments
-from claimloom.llm.token_counts import tokenizer
+from claimloom.llm.token_counts import digest, tokenizer
 
-#: A round replaces at least so many of the most frequent pairs, if there are, and all that are half as frequent as the first.
-RULES_PER_ROUND = 4096
+#: A round replaces all frequent pairs that occur at least this part as often as the most frequent one.
+SPREAD = 64
 #: A pair must occur so often to get a rule.
 LEAST_USES = 8
 SHARD_BYTES = 20 << 20
@@ -49,24 +49,16 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
     keep[gap] = False
     s[keep] = ids
     rules = np.empty((0, 2), np.int32)
+    newest = None  # rules of the last round, if only pairs with one of them can have become frequent
     while len(s) > 1:
-        a, b = s[:-1], s[1:]
-        # buckets only leave out pairs that cannot be frequent; what is left is counted exactly
-        code = (a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-        code[(a == _GAP) | (b == _GAP)] = _BUCKETS
-        uses = np.bincount(code, minlength=_BUCKETS + 1)
-        uses[_BUCKETS] = 0
-        # the fullest buckets first; only if they hold no frequent pair all others
-        for low in dict.fromkeys((max(LEAST_USES, _least(uses)), LEAST_USES)):
-            at = np.flatnonzero(uses[code] >= low)
-            pairs = a[at].astype(np.int64) << 32 | b[at]
-            distinct, n = np.unique(pairs, return_counts=True)
-            distinct, n = distinct[n >= LEAST_USES], n[n >= LEAST_USES]
-            if len(n):
+        at, pairs, distinct, n = _frequent(s) if newest is None else _counted(s, _touching(s, base + newest))
+        if not len(n):
+            if newest is None:
                 break
-        else:
-            break
-        least = _least(n)
+            newest = None  # a last look at all pairs
+            continue
+        least = n.max() / SPREAD
+        newest = len(rules) if least <= LEAST_USES else None
         at, rule, chosen = _places(at, pairs, distinct[n >= least], n[n >= least])
         s[at] = base + len(rules) + rule
         left = np.ones(len(s), bool)
@@ -78,9 +70,33 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
     return s[s != _GAP], starts.astype(np.int64), rules
 
 
-def _least(n: np.ndarray) -> float:
-    """The use that puts a pair among those of a round."""
-    return min(n.max() / 2, np.partition(n, -RULES_PER_ROUND)[-RULES_PER_ROUND]) if len(n) > RULES_PER_ROUND else 0
+def _counted(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, pair at each, distinct frequent pairs, how often each occurs) among the given places, counted exactly."""
+    pairs = s[at].astype(np.int64) << 32 | s[at + 1]
+    distinct, n = np.unique(pairs, return_counts=True)
+    return at, pairs, distinct[n >= LEAST_USES], n[n >= LEAST_USES]
+
+
+def _frequent(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the whole sequence, but for pairs that are far less frequent than the first of all."""
+    a, b = s[:-1], s[1:]
+    # buckets only leave out pairs that cannot be frequent; what is left is counted exactly
+    code = (a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+    code[(a == _GAP) | (b == _GAP)] = _BUCKETS
+    uses = np.bincount(code, minlength=_BUCKETS + 1)
+    uses[_BUCKETS] = 0
+    # the fullest buckets first; only if they hold no frequent pair all others
+    for low in dict.fromkeys((max(LEAST_USES, uses.max() / SPREAD), LEAST_USES)):
+        found = _counted(s, np.flatnonzero(uses[code] >= low))
+        if len(found[3]):
+            break
+    return found
+
+
+def _touching(s: np.ndarray, first: int) -> np.ndarray:
+    """Places of pairs that hold a symbol from ``first`` on."""
+    fresh = s >= first
+    return np.flatnonzero((fresh[:-1] | fresh[1:]) & (s[:-1] != _GAP) & (s[1:] != _GAP))
 
 
 def _places(at: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +109,12 @@ def _places(at: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, n: np.ndarray
     mixed = chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     rank = np.empty(len(chosen), np.int64)
     rank[np.lexsort((mixed, -n))] = np.arange(len(chosen))
-    k = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+    # of pairs in one bucket the more frequent one counts, the other is left for a later round
+    bucket = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+    of = np.zeros(_BUCKETS, np.int64)
+    worst_first = np.argsort(-rank)
+    of[bucket(chosen[worst_first])] = worst_first
+    k = of[bucket(pairs)]
     same = chosen[k] == pairs
     at, rule = at[same], k[same]
     place, touch = rank[rule], np.diff(at) == 1
@@ -147,7 +168,8 @@ def expand_all(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, bas
     return _gather(table, sizes, np.asarray(sequence, np.int64))
 
 
-_memo: dict[str, bytes] = {}
+_memos: dict[bytes, dict[str, bytes]] = {}
+#: Words whose ids a Python worker remembers for each tokenizer; a bound on memory, without effect on results.
 MEMO = 500_000
 
 
@@ -176,7 +198,7 @@ def _fresh(tok, words: list[str]) -> dict[str, bytes]:
     return out
 
 
-def _encoded(tok, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(tok, chunks: list[str], memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the chunks one after another, and how many each has.
 
     The tokenizer lower-cases and never joins letters and marks, so plain words are looked up in lower case and
@@ -197,13 +219,13 @@ def _encoded(tok, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         else:
             flat.append(code(chunk))
     words = list(number)
-    blobs = [_memo.get(w) for w in words]
+    blobs = [memo.get(w) for w in words]
     missing = [w for w, got in zip(words, blobs) if got is None]
     if missing:
         found = _fresh(tok, missing)
         # the commonest words come early; when the memo is full it stays as it is
-        room = max(0, MEMO - len(_memo))
-        _memo.update([(w, v) for w, v in found.items() if len(w) <= 64][:room])
+        room = max(0, MEMO - len(memo))
+        memo.update([(w, v) for w, v in found.items() if len(w) <= 64][:room])
         blobs = [found[w] if got is None else got for w, got in zip(words, blobs)]
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     picks = np.array(flat, np.int64)
@@ -221,13 +243,14 @@ def _gather(flat: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.ndarra
 def _shards(spec, end_id: int, schema_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(spec.value)
+        memo = _memos.setdefault(digest(spec.value), {})
         base = max(tok.get_vocab_size(with_added_tokens=True), end_id + 1)
         part = TaskContext.get().partitionId()
         for shard, (doc_ids, raw) in enumerate(text_segments(batches, SHARD_BYTES)):
             # this tokenizer drops white space, so any blank or line end is a safe place to cut
             cut = Chunks([t.decode("utf-8", "replace").replace("\n", " ") if t else "" for t in raw], anywhere=True)
-            head_flat, head_sizes = _encoded(tok, cut.heads)
-            tail_flat, tail_sizes = _encoded(tok, cut.tails)
+            head_flat, head_sizes = _encoded(tok, cut.heads, memo)
+            tail_flat, tail_sizes = _encoded(tok, cut.tails, memo)
             ends = np.cumsum(cut.counts)
             sizes = cut.sums(head_sizes, tail_sizes) + 1
             flat = np.concatenate([head_flat, tail_flat, np.array([end_id], np.int32)])
@@ -267,7 +290,9 @@ def write_shards(
     """Encode every whole text and write Re-Pair shards in ascending order of ids to ``path`` (Parquet).
 
     A null text counts as empty and yields the end id alone; equal ids are ordered by text; null ids come
-    first; other columns are ignored.  Special strings inside texts are treated as the library does by default.
+    first; other columns are ignored; an empty table gives no shards.  Special strings inside texts are treated as the library does by
+    default.  The tokenizer must lower-case, drop white space and keep letters and marks apart, as the one this is made for does: texts
+    are cut at blanks and plain words are looked up in lower case.
     """
     spark = docs.sparkSession
     with open(spec_path, encoding="utf-8") as f:
