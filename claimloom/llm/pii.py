@@ -33,11 +33,13 @@ ROUNDS = 3
 LEAST_CHARS = 5
 #: A pattern needs so many distinct known instances and such a score to add spans.
 LEAST_BACKING, LEAST_SCORE = 5, 0.8
-_COMPILED = {k: re.compile(r) for k, r in RULES.items()}
+#: The rule for ips from the first digit on and without going back, which finds the same and takes linear time.
+_COMPILED = {k: re.compile(r) for k, r in RULES.items()} | {"ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")}
 #: Mail names in front of an @, found from the @ on so that long runs of letters are not tried again and again.
 _MAIL_END = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _MAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_SHAPED = re.compile(r"[^\s\"'<>|,;]*[0-9@][^\s\"'<>|,;]*")
+_SHAPED = re.compile(r"[^\s\"'<>|,;]+")
+_SIGN = re.compile("[0-9@]")
 #: Digits with marks and blanks, from the first digit of a word on; what precedes it is looked at afterwards.
 _RUN = re.compile(r"(?<![\w@])[0-9][0-9\x20\u00a0().+-]*")
 #: Words of a run that are identifiers by themselves: addresses of machines and numbers as long as a card's.
@@ -105,6 +107,8 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
     """Strings without blanks that hold a digit or an @, without the marks at their edges."""
     for m in _SHAPED.finditer(text):
         a, b = m.span()
+        if not _SIGN.search(text, a, b):
+            continue
         while a < b and not (text[a].isalnum() or text[a] in "_@+"):
             a += 1
         while b > a and not (text[b - 1].isalnum() or text[b - 1] in "_@+"):

@@ -151,10 +151,11 @@ def _stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` documents of each class of ``labels`` (doc_id, ``label``), chosen by hash of the id.
 
-    Rows with a null id or a label other than 0 and 1 teach nothing; of a repeated id one label is used.
+    Rows with a null id or a label other than 0 and 1 teach nothing; an id with both labels counts
+    as 1, rows that repeat an id all count, and null texts are empty.  Without any labelled document all score alike.
     """
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    chosen = bounded_sample(ids.dropDuplicates(["doc_id"]), "y", "doc_id", sample)
+    chosen = bounded_sample(ids.groupBy("doc_id").agg(F.max("y").alias("y")), "y", "doc_id", sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     got = rows.select("y", "text").mapInArrow(_stat_rows, "y int, x array<double>").collect()
     return fit(np.array([r["x"] for r in got]).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in got], int))

@@ -53,7 +53,11 @@ def pack(rules: list[tuple[str, str, str]]) -> bytes:
     offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
     strings = b"".join(keys)
     verdicts = np.array([table[k] for k in keys], np.uint8)
-    return _HEAD.pack(len(keys), len(strings)) + digests.tobytes() + offsets.tobytes() + strings + verdicts.tobytes()
+    # numbers of dots in hosts and lengths of paths, so that no reader has to go through the strings
+    parts = [k.partition(b"\0") for k in keys]
+    dots, lengths = sorted({h.count(b".") for h, _, _ in parts}), sorted({len(p) for _, _, p in parts})
+    shapes = np.array([len(dots), *dots, *lengths], np.int64)
+    return _HEAD.pack(len(keys), len(strings)) + digests.tobytes() + offsets.tobytes() + strings + verdicts.tobytes() + shapes.tobytes()
 
 
 class Digests:
@@ -70,13 +74,9 @@ class Digests:
         at += 8 * (n + 1)
         self.strings = view[at : at + size]
         self.verdicts = view[at + size : at + size + n]
-        # what rules look like: labels of hosts and lengths of paths
-        self.labels, self.paths = set(), set()
-        for k in range(n):
-            host, _, path = self.string(k).partition(b"\0")
-            self.labels.add(host.count(b"."))
-            self.paths.add(len(path))
-        self.labels, self.paths = sorted(self.labels), sorted(self.paths)
+        # what rules look like: labels of hosts and lengths of paths, in which candidates are made
+        shapes = view[at + size + n :].view(np.int64)
+        self.labels, self.paths = shapes[1 : shapes[0] + 1].tolist(), shapes[shapes[0] + 1 :].tolist()
 
     def string(self, k: int) -> bytes:
         return self.strings[self.offsets[k] : self.offsets[k + 1]].tobytes()
@@ -124,7 +124,7 @@ def _judge(name: str, default: str):
                 verdicts = [default] * len(split)
                 for row, rule in zip(owner[found >= 0].tolist(), found[found >= 0].tolist()):
                     text = table.string(rule).replace(b"\0", b"").decode()
-                    if rules[row] is None or len(text) > len(rules[row]):
+                    if rules[row] is None or (len(text), text) > (len(rules[row]), rules[row]):
                         rules[row] = text
                         verdicts[row] = "allow" if table.verdicts[rule] else "block"
                 yield pa.RecordBatch.from_arrays(
@@ -163,7 +163,8 @@ def filter_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict) of every url by the longest (verdict, host, path) rule that fits.
 
-    A rule fits its host and all subdomains where the path starts with the rule's; without one ``rule`` is
+    A rule fits its host and all subdomains where the path starts with the rule's; of equally long ones the last in the order of their
+    strings counts, and of verdicts on one rule ``allow``; without one ``rule`` is
     null and the verdict is ``default``.  A null url or one without ``://`` has an empty host and path and no
     rule.  Repeated rows and null ids are returned as they come; other columns are ignored.
     """
