@@ -16,11 +16,12 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import Chunks, scratch, text_segments
+from claimloom.llm.common import scratch, text_segments
 from claimloom.llm.token_counts import digest, tokenizer
 
 #: A round replaces all frequent pairs that occur at least this part as often as the most frequent one.
@@ -233,6 +234,17 @@ def _encoded(tok, chunks: list[str], memo: dict[str, bytes]) -> tuple[np.ndarray
     return _gather(np.frombuffer(b"".join(blobs), np.int32), sizes, picks), np.diff(ends, prepend=0)
 
 
+def _words(raw: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of UTF-8 texts cut at blanks and line ends, the words of all texts by number, and how many each text has.
+
+    This tokenizer drops white space, so any blank or line end is a safe place to cut.
+    """
+    texts = pa.array([t.decode("utf-8", "replace") if t else "" for t in raw], pa.large_string())
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
+
+
 def _gather(flat: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.ndarray:
     starts = np.cumsum(sizes) - sizes
     n = sizes[picks]
@@ -247,25 +259,12 @@ def _shards(spec, end_id: int, schema_names: list[str]):
         base = max(tok.get_vocab_size(with_added_tokens=True), end_id + 1)
         part = TaskContext.get().partitionId()
         for shard, (doc_ids, raw) in enumerate(text_segments(batches, SHARD_BYTES)):
-            # this tokenizer drops white space, so any blank or line end is a safe place to cut
-            cut = Chunks([t.decode("utf-8", "replace").replace("\n", " ") if t else "" for t in raw], anywhere=True)
-            head_flat, head_sizes = _encoded(tok, cut.heads, memo)
-            tail_flat, tail_sizes = _encoded(tok, cut.tails, memo)
-            ends = np.cumsum(cut.counts)
-            sizes = cut.sums(head_sizes, tail_sizes) + 1
-            flat = np.concatenate([head_flat, tail_flat, np.array([end_id], np.int32)])
-            every = np.concatenate([head_sizes, tail_sizes, [1]])
-            # order of pieces: for each text its head, its tails, the end
-            n = cut.counts + 2
-            stops = np.cumsum(n)
-            picks = np.empty(int(stops[-1]), np.int64)
-            inner = np.ones(len(picks), bool)
-            inner[stops - 1] = False
-            inner[stops - n] = False
-            picks[stops - n] = cut.first
-            picks[stops - 1] = len(every) - 1
-            picks[inner] = cut.codes.astype(np.int64) + len(head_sizes)
-            ids = _gather(flat, every, picks)
+            words, codes, counts = _words(raw)
+            flat, each = _encoded(tok, words, memo)
+            stops = np.cumsum(counts)
+            sizes = np.diff(np.concatenate([[0], np.cumsum(each[codes])])[stops], prepend=0) + 1
+            picks = np.insert(codes, stops, len(each))
+            ids = _gather(np.append(flat, np.int32(end_id)), np.append(each, 1), picks)
             sequence, starts, rules = compress(ids, sizes, base)
             lengths = expansion_lengths(rules, base)
             values = [
