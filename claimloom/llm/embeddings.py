@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import scratch, stored
@@ -155,9 +155,25 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+def _reach(threshold: float) -> float:
+    """The distance of two vectors of length one whose cosine is the threshold."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
+
+
+def _near(tile: list[dict], reach: float) -> Column:
+    """Whether a block's box is within reach of the box around all blocks of a tile, in its dimension."""
+    out = F.lit(False)
+    for dim in sorted({row["dim"] for row in tile}):
+        low = np.min([row["low"] for row in tile if row["dim"] == dim], axis=0).tolist()
+        high = np.max([row["high"] for row in tile if row["dim"] == dim], axis=0).tolist()
+        gaps = [F.greatest(F.lit(0.0), F.get("low", F.lit(k)) - high[k], low[k] - F.get("high", F.lit(k))) for k in range(len(low))]
+        out = out | ((F.col("dim") == dim) & (sum((g * g for g in gaps), F.lit(0.0)) <= reach * reach))
+    return out
+
+
 def linked(a: _Block, b: _Block, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``a`` and ``b`` with a cosine of at least ``threshold``; each pair once if a is b."""
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    reach = _reach(threshold)
     none = np.empty(0, np.int64)
     if a.dim != b.dim:
         return none, none
@@ -274,7 +290,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             these = [r.asDict() for r in blocks.where((F.col("block") >= at) & (F.col("block") < stop)).collect()]
             tile = context.broadcast(these)
             out = scratch(spark, "vector-links")
-            later = blocks.where(F.col("block") >= at)
+            # blocks that no vector of the tile can reach are neither shuffled nor compared
+            later = blocks.where((F.col("block") >= at) & _near(these, _reach(threshold)))
             later = later.repartition(max(2, min(context.defaultParallelism * 4, len(number) - at)), "block")
             later.mapInArrow(_tiles(held, tile, threshold), _LINKS).write.parquet(out)
             tile.unpersist()
