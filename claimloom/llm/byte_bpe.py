@@ -57,7 +57,14 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
             if left is not None and right is not None:
                 of.setdefault(left, []).append((right, rank))
     n_ids = max(ranks.values(), default=0) + 1
-    size = 4 * sum(map(len, of.values())) + n_ids
+    size = 3 * sum(map(len, of.values())) + n_ids
+    while (found := _displaced(of, n_ids, size)) is None:
+        size = size * 3 // 2
+    return found
+
+
+def _displaced(of: dict[int, list[tuple[int, int]]], n_ids: int, size: int) -> tuple[list[int], list[int]] | None:
+    """The table and places of rows of (right, rank) in ``size`` cells; None if a row finds no room."""
     owned = np.zeros(size, np.int64)
     rows = np.zeros(n_ids, np.int64)
     single = []
@@ -74,7 +81,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
             if len(fits):
                 break
         else:
-            raise ValueError("no room for a row of the rank map")
+            return None
         start = rows[left] = turns[fits[0]]
         owned[start + rights] = left + 1 << _RANK_BITS | found
     if single:
@@ -97,7 +104,6 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     """
     table, places = pair_table(ranks)
     cells, rows = _literal(table, "bigint"), _literal(places, "int")
-    owners = _literal([k + 1 << _RANK_BITS for k in range(len(places))], "bigint")
     of_byte = _literal([ranks.get(bytes([b]), -1) for b in range(256)], "int")
     none = 1 << (_RANK_BITS + 12)
 
@@ -106,7 +112,7 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
 
         def rated(left: Column, k: Column) -> Column:
             # rank * 4096 + position where the cell is this row's own; at least ``none`` where it is another's or nobody's; null beyond the table
-            rank = F.get(cells, F.get(rows, left) + F.get(ids, k + 1)).bitwiseXOR(F.get(owners, left))
+            rank = F.get(cells, F.get(rows, left) + F.get(ids, k + 1)).bitwiseXOR(F.shiftleft((left + 1).cast("bigint"), _RANK_BITS))
             return F.shiftleft(rank, 12).bitwiseOR(k.cast("bigint"))
 
         found = F.coalesce(F.array_min(F.transform(ids, rated)), F.lit(none).cast("bigint"))
@@ -123,22 +129,11 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
 
 def concat_pieces(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes that an array of ids stands for, as a column expression; unknown ids give nothing, null gives null."""
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token
-    every = F.lit(b"".join(pieces))
-    ends = np.cumsum([len(p) for p in pieces], dtype=np.int64).tolist() if pieces else []
-    # where a piece starts, and by 2**24 how long it is
-    places = _literal([(e - len(p)) << 24 | len(p) for e, p in zip(ends, pieces)] or [0], "bigint")
-
-    def piece(place: Column) -> Column:
-        return every.substr(F.shiftright(place, 24).cast("int") + 1, place.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))
-
-    return F.aggregate(
-        F.transform(ids, lambda k: F.coalesce(F.get(places, k), F.lit(0).cast("bigint"))),
-        F.lit(b""),
-        lambda done, place: F.concat(done, piece(place)),
-    )
+        pieces[rank] = token.hex()
+    every = F.split(F.lit(",".join(pieces)), ",")
+    return F.aggregate(ids, F.lit(b""), lambda done, k: F.concat(done, F.coalesce(F.unhex(F.get(every, k)), F.lit(b""))))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
