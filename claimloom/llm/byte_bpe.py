@@ -340,6 +340,20 @@ def _joined(with_ids: bool):
     return run
 
 
+def _folded_before(rows: DataFrame, held, pattern: str, fold: Column, n_words: int) -> _Memo:
+    """The commonest words of a few documents with their ids, folded by all tasks."""
+    spark = rows.sparkSession
+    schema = _schema(rows.schema["id"].dataType)
+    share = min(1.0, MEMO_DOCS / max(1, rows.count()))
+    few = rows.sample(share, seed=7).mapInArrow(frugal(_cut(held, pattern, schema)), schema).where("size(word) > 0")
+    common = few.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(n_words)
+    # written first: a plan that adapts is told anew after each stage, and the fold's literals would be told with it
+    common = stored(common.select("word").repartition(spark.sparkContext.defaultParallelism * 2, "word"), "common-words")
+    packed = common.select("word", fold.alias("ids")).mapInArrow(_packed, "words binary, word_sizes binary, ids binary, id_sizes binary")
+    blobs = [tuple(map(bytes, row)) for row in packed.collect()]
+    return _Memo(spark.sparkContext.broadcast(blobs), hash(tuple(blobs)))
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -347,26 +361,23 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     digests: bool = False,
+    memo_words: int | None = None,
 ) -> DataFrame:
     """Encode every whole text and decode its ids again.
 
     Returns (id, n_tokens, ids array<int>, decoded binary), or with ``digests`` (id, n_tokens, ids_sha256,
     decoded_sha256) where the ids are hashed as little-endian unsigned 32-bit integers.  A null text
     counts as empty; no special tokens are made; repeated rows and null ids are returned as they come; other
-    columns are ignored, whatever their names; an empty table gives an empty table.
+    columns are ignored, whatever their names; an empty table gives an empty table.  ``memo_words`` of the commonest words (MEMO_WORDS
+    unless given) are folded beforehand; with 0 every block folds all of its words, which takes longer and spares the driver a second plan.
     """
+    words = MEMO_WORDS if memo_words is None else memo_words
     ranks = read_ranks(ranks_path)
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fold = fold_merges(F.col("word"), ranks)
-    share = min(1.0, MEMO_DOCS / max(1, docs.count()))
-    few = rows.sample(share, seed=7).mapInArrow(frugal(_cut(held, pattern, _schema(kind))), _schema(kind)).where("size(word) > 0")
-    common = few.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MEMO_WORDS)
-    # written first: a plan that adapts is told anew after each stage, and the fold's literals would be told with it
-    common = stored(common.select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "word"), "common-words")
-    blobs = [tuple(map(bytes, row)) for row in common.select("word", fold.alias("ids")).mapInArrow(_packed, "words binary, word_sizes binary, ids binary, id_sizes binary").collect()]
-    memo = _Memo(docs.sparkSession.sparkContext.broadcast(blobs), hash(tuple(blobs)))
+    memo = _folded_before(rows, held, pattern, fold, words) if words else None
     cut = rows.mapInArrow(frugal(_cut(held, pattern, _schema(kind), memo)), _schema(kind))
     ids = F.when(F.size("word") > 0, fold).otherwise(F.col("known"))
     folded = cut.select("block", ids.alias("ids"), "keys", "counts", "codes")

@@ -110,6 +110,6 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_tokens", "ids")]
     row = F.struct(F.struct(*kept).alias("row"), F.lit(True).alias("there")).alias("row")
-    found = byte_bpe.encode(docs.select(row, "text"), path, public_tokenizers.PATTERN, id_col="row")
+    found = byte_bpe.encode(docs.select(row, "text"), path, public_tokenizers.PATTERN, id_col="row", memo_words=0)
     columns = [F.col("decoded").cast("string").alias(c) if c == "text" else F.col("id")["row"][c].alias(c) for c in docs.columns if c not in ("n_tokens", "ids")]
     return found.select(*columns, "n_tokens", "ids")
