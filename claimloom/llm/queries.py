@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import load, train_row
+from claimloom.llm.common import load, stored, train_row
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,28 @@ def op10_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.importance import resample
+
+    found = resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.line_dedup import drop_shared_lines
+
+    found = drop_shared_lines(load(spark, sf_dir, "documents"))
+    kept = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", kept)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.llm.variants import group_variants, word_counts
+
+    vocabulary = stored(word_counts(load(spark, sf_dir, "documents"), slip=97), "vocabulary")
+    return group_variants(vocabulary).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
@@ -124,6 +146,9 @@ QUERIES = {
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_pii": op9_pii,
     "op10_repair_token_shards": op10_repair_token_shards,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Words as the decontamination query defines them, windows as joined strings.
@@ -187,8 +212,97 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM embeddings JOIN c ON vec_id = c.u LEFT JOIN n ON vec_id = n.u
 """
 
+#: CRC-32 by bytes: the table from its polynomial, and a fold over a text's UTF-8 bytes (``$text``), started and complemented.
+_CRC_TABLE = """ct AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))
+)"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, strlen($text) + 1),
+    lambda k: CAST('0x' || substr(hex(encode($text)), 2 * k - 1, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"""
+
+_OP11 = r"""
+WITH """ + _CRC_TABLE + r""", d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), f AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+q AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+u AS (SELECT w FROM f UNION SELECT w FROM q),
+k AS (SELECT w, """ + _CRC.replace("$text", "w") + r""" % 10000 AS bucket FROM u, ct),
+s AS (SELECT bucket, sum(n) AS s FROM f JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM q JOIN k USING (w) GROUP BY bucket),
+total AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS ss, coalesce((SELECT sum(t) FROM t), 0) AS tt),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket), total
+), x AS (SELECT doc_id, sum(n * gain) AS weight FROM f JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+y AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN x USING (doc_id)
+), z AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM y
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM z
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM r
+"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), shared AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), m AS (SELECT k.*, keeper IS NOT NULL AND doc_id != keeper AS dropped FROM k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+#: Near words share a text with one code point cut out (a replaced one, marked by its place) or are such a text.
+_OP13 = r"""
+WITH RECURSIVE """ + _CRC_TABLE + r""", runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), f AS (SELECT doc_id || ':' || w AS s, w, count(*) AS n FROM runs GROUP BY doc_id, w),
+h AS (SELECT w, n, """ + _CRC.replace("$text", "s") + r""" AS h FROM f, ct),
+c AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n) AS n
+  FROM h GROUP BY 1
+), v AS (SELECT word, n::BIGINT AS n FROM c WHERE length(word) >= 5 AND n >= 3),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word != b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), forms AS (
+  SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form,
+    CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)
+), chain(word, seen) AS (
+  SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.seen = f.word WHERE f.form IS NOT NULL
+), roots AS (SELECT c.word, c.seen AS root FROM chain c JOIN forms f ON c.seen = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": _OP1,
     "op4_url_filter": _OP4,
     "op3_benchmark_decontamination": _OP3,
+    "op11_importance_resampling": _OP11,
+    "op12_line_dedup": _OP12,
+    "op13_spelling_variants": _OP13,
 }
