@@ -11,7 +11,7 @@ from claimloom import render
 from claimloom.config import FieldSpec, OutputConfig, default_config
 from claimloom.functions import dates, phones, places, skills, text
 from claimloom.operators import enrich, fuse, link
-from claimloom.plans import project
+from claimloom.plans import file_queries, project
 from claimloom.plans.tables import CLAIMS_SQL, CLUSTERS_SQL, FUSED_SQL, claims_from_tables, load
 from claimloom.sources import resume
 from claimloom.storage import stored
@@ -478,3 +478,10 @@ def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles as lines of JSON with sorted keys; the order of keys in nested text has no SQL form."""
     return render.ndjson(_profiles(spark, sf_dir), default_config())
+
+
+for _f, _sql in (
+    (file_queries.listed_files, file_queries.LISTED_FILES), (file_queries.table_claims, file_queries.TABLE_CLAIMS),
+    (file_queries.ats_claims, file_queries.ATS_CLAIMS), (file_queries.routed_kinds, file_queries.ROUTED_KINDS),
+):
+    query(_sql)(_f)

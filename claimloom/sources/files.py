@@ -1,8 +1,9 @@
 """Files of all kinds -> claims.
 
-Files are read whole, routed to the first kind whose rule fits, and taken apart by a small parser per kind inside an
-Arrow function that isolates failures, résumés by column expressions once their text is read: a broken file gives no claims and
-never stops a run.  Parsers only find strings; normalising them is left to column expressions over all claims at once.
+Files are listed by their literal names, routed to the first kind whose rule fits, and taken apart: tables, applicant systems' JSON
+and résumés by column expressions (long tables in byte ranges, long envelopes as one row a member), other kinds by a small parser
+each inside an Arrow function that isolates failures.  A broken file gives no claims and never stops a run.  Parsers only find
+strings; normalising them is left to column expressions over all claims at once.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import csv
 import io
 import json
 import re
-import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,25 +29,18 @@ from claimloom.functions.places import normalize_country, split_location
 from claimloom.functions.skills import canonical_skill, skills_in
 from claimloom.functions.text import BLANKS, EMAIL, blank_to_null, clean_email, emails_in
 from claimloom.schema import EDUCATION, EXPERIENCE
-from claimloom.sources import resume
+from claimloom.sources import ats, listing, resume, tables
 from claimloom.storage import stored
 
-# Headers of recruiters' tables and what they mean.
-HEADERS = {
-    "candidate_id": ("candidate_id", "candidateid", "candidate id", "id"),
-    "name": ("name", "full_name", "full name", "fullname", "candidate", "candidate name"),
-    "email": ("email", "e-mail", "email address"),
-    "phone": ("phone", "phone number", "phonenumber", "mobile", "cell", "telephone"),
-    "company": ("current_company", "company", "current company", "employer"),
-    "title": ("title", "job title", "current title", "role", "position"),
-}
 # Strings that mark an applicant system's JSON.
 ATS_MARKS = ("givenName", "surname", "skillTags", "currentTitle", "phoneNumber", "candidates")
 _EMAIL = re.compile(EMAIL)
 _NAME_LINE = re.compile(r"^\s*(?:candidate|name)\s*[:\-]\s*(?P<name>.+?)\s*$", re.I | re.M)
 _PLACE = re.compile(r"\b(?:based in|located in|lives in)\s+(?P<place>[A-Za-z .,'-]+)", re.I)
 
-RAW = "path string, text string, content binary"
+RAW = "path string, text string, content binary, error string"
+#: Names of tables, which are read in byte ranges.
+_TABLES = r"(?i)\.csv$"
 #: Parser output: a raw string per claim and how it is to be read; ``lower`` is the confidence of a name that is no known skill.
 PARSED = (
     "source string, record_key string, file_seq string, seq bigint, field_path string, raw string, num double,"
@@ -57,27 +50,29 @@ PARSED = (
 _COLUMNS = [c.split()[0] for c in re.sub(r"struct<[^>]*>", "struct", PARSED).split(",")]
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, text, content) of files and of all files below folders, each once; text is null unless it is UTF-8.
+def read_files(spark: SparkSession, paths: list[str], never: str | None = None) -> DataFrame:
+    """(path, text, content, error) of files and of all files below folders, each once; text is null unless it is UTF-8.
 
-    Paths that do not exist are left out with a warning.  A path that is given twice or lies below another one is read once; this is
-    settled by names, so no content is shuffled.
+    Names are taken literally, hidden ones too.  Paths that do not exist are left out with a warning; a file that cannot be read is a row
+    with an error.  A path that is given twice or lies below another one is read once; this is settled by names, so no content is
+    shuffled.  ``never`` is a pattern of names to leave out.
     """
-    jvm = spark._jvm
-    found: dict[str, str] = {}
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if system.exists(path):
-            found[system.resolvePath(path).toString().rstrip("/")] = p
-        else:
-            warnings.warn(f"no such input: {p}", stacklevel=2)
-    whole = [name for name in found if not any(name.startswith(f"{other}/") for other in found)]
-    if not whole:
-        return spark.createDataFrame([], RAW)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(found[name] for name in whole))
+    near, far = listing.present([p for p in paths if listing.known(p)]), [p for p in paths if not listing.known(p)]
+    raw = listing.pieces_of(spark, near, never=never)
+    if far:
+        others = listing.through_spark(spark, far)
+        raw = raw.union(others.where(~F.col("path").rlike(never)) if never else others)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return raw.select("path", text.alias("text"), "content")
+    return raw.select("path", text.alias("text"), "content", "error")
+
+
+def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, part, content, error) of files below ``paths`` that are named as tables, long ones in byte ranges."""
+    near, far = [p for p in paths if listing.known(p)], [p for p in paths if not listing.known(p)]
+    rows = listing.pieces_of(spark, near, only=_TABLES, range_bytes=listing.RANGE_BYTES)
+    if far:
+        rows = rows.union(listing.through_spark(spark, far).where(F.col("path").rlike(_TABLES)))
+    return rows.select("path", "part", "content", "error")
 
 
 @dataclass(frozen=True)
@@ -120,6 +115,7 @@ def kind_of(path: Column, text: Column) -> Column:
 def register(kind: str, rule: Callable[[File], Column], parser: Callable[[str, str], list[dict]], first: bool = False) -> None:
     """Read another kind of files: a rule over columns, and a parser (stem, text) -> claims that the executors can import."""
     PARSERS[kind] = parser
+    COLUMNS.pop(kind, None)
     others = {k: r for k, r in RULES.items() if k != kind}
     RULES.clear()
     RULES.update({kind: rule, **others} if first else {**others, kind: rule})
@@ -149,15 +145,12 @@ def _address(raw: str | None) -> str | None:
 
 
 def parse_csv(stem: str, text: str) -> list[dict]:
+    """Tables that ``tables.read`` leaves to the standard library's reader."""
     out: list[dict] = []
-    role_of = {alias: role for role, names in HEADERS.items() for alias in names}
-    table = csv.DictReader(io.StringIO(text.lstrip("﻿")))
-    roles = [(h, role_of[h.strip().lower()]) for h in table.fieldnames or () if h and h.strip().lower() in role_of]
+    table = csv.DictReader(io.StringIO(text.lstrip("\ufeff")))
+    roles = {h: tables.HEADERS[h.strip().lower()] for h in table.fieldnames or () if h and h.strip().lower() in tables.HEADERS}
     for k, row in enumerate(table):
-        v: dict[str, str] = {}
-        for header, role in roles:
-            if row.get(header):
-                v[role] = row[header].strip()
+        v = {role: row[header].strip() for header, role in roles.items() if row.get(header)}
         claims = _Claims(out, "csv_recruiter", v.get("candidate_id") or _address(v.get("email")) or f"{stem}#row{k}", "csv_column")
         claims.add("candidate_id", v.get("candidate_id") or None, 1.0)
         claims.add("full_name", v.get("name") or None, 0.95)
@@ -168,45 +161,6 @@ def parse_csv(stem: str, text: str) -> list[dict]:
     return out
 
 
-def _first(rec: dict, *keys: str) -> str | None:
-    return next((v.strip() for k in keys if isinstance(v := rec.get(k), str) and v.strip()), None)
-
-
-def parse_ats(stem: str, text: str) -> list[dict]:
-    doc = json.loads(text)
-    rows = doc if isinstance(doc, list) else doc.get("candidates") if isinstance(doc, dict) and isinstance(doc.get("candidates"), list) else [doc]
-    out: list[dict] = []
-    for k, rec in enumerate(rows):
-        if not isinstance(rec, dict):
-            continue
-        given = rec.get("emails") if isinstance(rec.get("emails"), list) else []
-        emails = [e for x in [*given, rec.get("email")] if isinstance(x, str) and (e := _address(x))]
-        identity = _first(rec, "candidate_id", "candidateId", "id")
-        claims = _Claims(out, "ats_json", identity or (emails[0] if emails else f"{stem}#{k}"), "ats_field_map")
-        claims.add("candidate_id", identity, 1.0)
-        parts = (_first(rec, "givenName", "firstName"), _first(rec, "surname", "lastName", "familyName"))
-        claims.add("full_name", _first(rec, "fullName", "name") or " ".join(filter(None, parts)) or None, 0.95)
-        for e in dict.fromkeys(emails):
-            claims.add("emails", e, 0.95)
-        claims.add("phones", _first(rec, "phoneNumber", "phone", "mobile"), 0.9, "phone")
-        title = _first(rec, "currentTitle", "title", "jobTitle")
-        company = _first(rec, "currentEmployer", "currentCompany", "company", "employer")
-        if title or company:
-            claims.add("experience", None, 0.92, exp=_job(company, title))
-        claims.add("location.city", _first(rec, "city", "locationCity"), 0.9)
-        claims.add("location.region", _first(rec, "state", "region", "province"), 0.9)
-        claims.add("location.country", _first(rec, "country", "countryCode"), 0.9, "country")
-        claims.add("links.linkedin", _first(rec, "linkedin", "linkedInUrl", "linkedIn"), 0.9)
-        years = rec.get("yearsExperience", rec.get("years_experience"))
-        if isinstance(years, (int, float)) and not isinstance(years, bool):
-            claims.add("years_experience", None, 0.9, num=float(years))
-        tags = rec.get("skillTags") or rec.get("skills") or []
-        for tag in tags if isinstance(tags, list) else []:
-            if isinstance(tag, str):
-                claims.add("skills", tag, 0.9, "skill", 0.6)
-    return out
-
-
 def parse_github(stem: str, text: str) -> list[dict]:
     doc = json.loads(text)
     user, repos, languages = (doc.get(k) for k in ("user", "repos", "languages")) if isinstance(doc, dict) else (None,) * 3
@@ -263,9 +217,7 @@ def resume_text(path: str, content: bytes) -> str:
 
 
 #: Parsers by kind: (stem, text) -> claims; see :func:`register`.
-PARSERS: dict[str, Callable[[str, str], list[dict]]] = {
-    "csv_recruiter": parse_csv, "ats_json": parse_ats, "github": parse_github, "notes": parse_notes,
-}
+PARSERS: dict[str, Callable[[str, str], list[dict]]] = {"csv_recruiter": parse_csv, "github": parse_github, "notes": parse_notes}
 
 
 def _parser(parsers: dict[str, Callable[[str, str], list[dict]]]):
@@ -286,11 +238,99 @@ def _parse(frames: Iterator[pd.DataFrame], parsers: dict[str, Callable[[str, str
         yield pd.DataFrame(out, columns=_COLUMNS).astype({"num": float, "confidence": float, "lower": float}).astype(object).where(lambda d: d.notna(), None)
 
 
+def _claim(field: str, confidence: float, raw: Column | None = None, how: str = "text", lower: float | None = None, exp: Column | None = None, num: Column | None = None) -> Column:
+    """A claim of a record taken apart by columns; null where it has no value."""
+    null = lambda kind: F.lit(None).cast(kind)
+    value = next(v for v in (raw, exp, num) if v is not None)
+    return F.when(
+        value.isNotNull(),
+        F.struct(
+            F.lit(field).alias("field_path"), (null("string") if raw is None else raw).alias("raw"), (null("double") if num is None else num).alias("num"),
+            (null(EXPERIENCE) if exp is None else exp.cast(EXPERIENCE)).alias("exp"), F.lit(how).alias("how"), F.lit(confidence).alias("confidence"),
+            F.lit(lower).cast("double").alias("lower"),
+        ),
+    )
+
+
+def _current(company: Column, title: Column) -> Column:
+    none = F.lit(None).cast("string")
+    job = F.struct(company.alias("company"), title.alias("title"), none.alias("start"), none.alias("end"), none.alias("summary"))
+    return F.when(company.isNotNull() | title.isNotNull(), job)
+
+
+def _rows(records: DataFrame, source: str, key: Column, method: str, claims: Column, error: Column | None = None) -> DataFrame:
+    """Parser rows of records (``path``, ``k``, ...): their claims in order; a record with an error is one row without claims."""
+    failed = F.lit(None).cast("string") if error is None else error
+    told = records.select("path", "k", key.alias("key"), failed.alias("failed"), F.posexplode_outer(F.when(failed.isNull(), F.array_compact(claims))).alias("at", "c"))
+    own = {
+        "source": F.lit(source), "record_key": F.col("key"), "file_seq": F.col("path"), "seq": (F.col("k").cast("bigint") * (1 << 24) + F.col("at")),
+        "edu": F.lit(None).cast(EDUCATION), "method": F.lit(method), "error": F.col("failed"),
+    }
+    return told.where("c is not null or failed is not null").select(*((own[n] if n in own else F.col(f"c.{n}")).alias(n) for n in _COLUMNS))
+
+
+def table_rows(ranges: DataFrame) -> DataFrame:
+    """Parser rows of recruiters' tables in ranges (``path``, ``part``, ``content``)."""
+    found, odd = tables.read(ranges)
+    some = lambda role: F.nullif(F.col(role), F.lit(""))
+    claims = F.array(
+        _claim("candidate_id", 1.0, some("candidate_id")),
+        _claim("full_name", 0.95, some("name")),
+        _claim("emails", 0.95, F.col("email"), "email"),
+        _claim("phones", 0.9, F.col("phone"), "phone"),
+        _claim("experience", 0.9, exp=_current(some("company"), some("title"))),
+    )
+    rows = _rows(found, "csv_recruiter", tables.key_of(F.col("path"), F.col("k")), "csv_column", claims)
+    whole = ranges.join(odd, "path").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", F.decode("content", "ISO-8859-1").alias("s")))).alias("all"))
+    content = F.encode(F.array_join(F.transform("all", lambda p: p["s"]), ""), "ISO-8859-1").cast("string")
+    left = whole.select("path", F.when(F.is_valid_utf8(content), content).alias("text"), F.lit("csv_recruiter").alias("kind"))
+    return rows.unionByName(left.mapInPandas(_parser({"csv_recruiter": parse_csv}), PARSED))
+
+
+def ats_rows(files: DataFrame) -> DataFrame:
+    """Parser rows of applicant systems' JSON (``path``, ``text``)."""
+    records = ats.members(files).withColumns({"identity": ats.first_string(*ats.IDENTITY), "found": ats.addresses()})
+    claims = F.concat(
+        F.array(_claim("candidate_id", 1.0, F.col("identity")), _claim("full_name", 0.95, ats.full_name())),
+        F.transform("found", lambda e: _claim("emails", 0.95, e)),
+        F.array(
+            _claim("experience", 0.92, exp=_current(ats.first_string(*ats.COMPANY), ats.first_string(*ats.TITLE))),
+            *(_claim(field, confidence, ats.first_string(*keys), how) for field, keys, confidence, how in ats.PLAIN),
+            _claim("years_experience", 0.9, num=ats.years()),
+        ),
+        F.transform(ats.tags(), lambda t: _claim("skills", 0.9, t, "skill", 0.6)),
+    )
+    key = F.coalesce(F.col("identity"), F.get("found", F.lit(0)), F.concat(tables.stem(F.col("path")), F.lit("#"), F.col("k").cast("string")))
+    return _rows(records, "ats_json", key, "ats_field_map", claims, F.col("error"))
+
+
+def _whole(files: DataFrame) -> DataFrame:
+    """Tables that were read whole as their only range."""
+    return table_rows(files.where("text is not null").select("path", F.lit(0).cast("bigint").alias("part"), F.col("text").cast("binary").alias("content")))
+
+
+#: Kinds that are taken apart by columns: files (path, text, content) -> parser rows.
+COLUMNS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "csv_recruiter": _whole, "ats_json": ats_rows, "resume": lambda files: resume_rows(files.where("error is null")),
+}
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """Raw strings of all files; rows with ``error`` tell which file could not be read and why."""
+    raw = raw if "error" in raw.columns else raw.withColumn("error", F.lit(None).cast("string"))
     routed = raw.withColumn("kind", kind_of(F.col("path"), F.col("text")))
-    others = routed.where("kind is not null and kind != 'resume'").drop("content").mapInPandas(_parser(dict(PARSERS)), PARSED)
-    return others.unionByName(resume_rows(routed.where("kind = 'resume'")))
+    others = routed.where(F.col("kind").isNotNull() & ~F.col("kind").isin(*COLUMNS)).drop("content", "error")
+    out = others.mapInPandas(_parser(dict(PARSERS)), PARSED).unionByName(unread(routed))
+    for kind, rows in COLUMNS.items():
+        out = out.unionByName(rows(routed.where(F.col("kind") == kind)))
+    return out
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """Parser rows of files that could not be opened."""
+    names = {"file_seq": F.col("path"), "error": F.col("error")}
+    kinds = dict(re.findall(r"(\w+) (string|bigint|double)", PARSED)) | {"exp": EXPERIENCE, "edu": EDUCATION}
+    return files.where("error is not null").select(*(names.get(n, F.lit(None).cast(kinds[n])).alias(n) for n in _COLUMNS))
 
 
 def _read_resumes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -414,8 +454,7 @@ def normalized(rows: DataFrame) -> DataFrame:
     return out.select(
         "source",
         "record_key",
-        # order of the file, then of the claim in it, then of the value in the claim
-        (F.dense_rank().over(_by_file()).cast("bigint") * (1 << 48) + F.col("seq") * (1 << 16) + F.col("_pos")).alias("seq"),
+        F.row_number().over(_in_order()).cast("bigint").alias("seq"),
         F.col("_item.field").alias("field_path"),
         F.col("_item.value").alias("value_str"),
         F.col("num").alias("value_num"),
@@ -427,13 +466,16 @@ def normalized(rows: DataFrame) -> DataFrame:
     )
 
 
-def _by_file():
-    """Files that speak of one record, in order of their paths."""
+def _in_order():
+    """Claims of one record in order of the file, then of the claim in it, then of the value in the claim."""
     from pyspark.sql import Window
 
-    return Window.partitionBy("source", "record_key").orderBy("file_seq")
+    return Window.partitionBy("source", "record_key").orderBy("file_seq", "seq", "_pos")
 
 
 def claims_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Claims of all files below ``paths``; the parsed strings are stored once, as linking and fusing read them often."""
-    return stored(normalized(parsed(read_files(spark, paths))), "claims")
+    rows = parsed(read_files(spark, paths, never=_TABLES if "csv_recruiter" in COLUMNS else None))
+    if "csv_recruiter" in COLUMNS:
+        rows = rows.unionByName(table_rows(read_tables(spark, paths)))
+    return stored(normalized(rows), "claims")

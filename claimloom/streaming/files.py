@@ -30,7 +30,8 @@ def follow(
     """
 
     def batch(files: DataFrame, number: int) -> None:
-        normalized(parsed(files)).write.mode("overwrite").parquet(f"{claims_path}/batch={number}")
+        # claims of later batches come after those of earlier ones
+        normalized(parsed(files)).withColumn("seq", F.col("seq") + F.lit(number << 32)).write.mode("overwrite").parquet(f"{claims_path}/batch={number}")
         if on_profiles:
             on_profiles(build_profiles(spark.read.parquet(claims_path).drop("batch")), number)
 
