@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions import dates
 from claimloom.plans.tables import load
 from claimloom.sources import files, listing, tables
 from claimloom.storage import scratch
@@ -125,3 +126,22 @@ ROUTED_KINDS = r"""WITH t AS (SELECT doc_id, doc_id % 8 AS k, ltrim(coalesce(tex
  SELECT doc_id, CASE WHEN k IN (0, 6) THEN 'csv_recruiter' WHEN k = 1 THEN 'ats_json' WHEN k = 2 THEN 'github' WHEN k = 3 THEN
    CASE WHEN regexp_matches(text, '"(givenName|surname|skillTags|currentTitle|phoneNumber|candidates)"') THEN 'ats_json' END
    WHEN tabular THEN 'csv_recruiter' WHEN k = 4 THEN 'resume' WHEN k = 5 THEN 'notes' END AS kind, CAST(doc_id AS VARCHAR) AS stem FROM s"""
+
+
+def free_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in thirteen ways, times, zones and days of the week among them, and one that is no date."""
+    k, fmt = F.col("o_orderkey") % 14, lambda f: F.date_format("o_orderdate", f)
+    day = F.dayofmonth("o_orderdate").cast("string")
+    shapes = [
+        fmt("yyyy MMM d"), fmt("yyyyMMdd"), F.concat(fmt("EEE "), day, fmt(" MMM yyyy")), fmt("yyyy-MM-dd'T'10:30:00+02:00"), F.concat(fmt("M"), F.lit(" "), fmt("yyyy")),
+        F.concat(fmt("MM/dd/yyyy "), F.lit("11:59 PM EST")), F.concat(day, F.lit("th of "), fmt("MMMM, yyyy")), fmt("dd-MMM-yyyy"), fmt("yyyyMMdd'T'1030"),
+        fmt("yyyy.MM.dd"), F.concat(F.lit("10:30 "), fmt("MMM yyyy")), F.concat(fmt("EEEE, "), fmt("MMMM d, yyyy")), F.concat(fmt("yyyy/MM")),
+    ]
+    raw = F.when(k == 0, shapes[0])
+    for n, shape in enumerate(shapes[1:], 1):
+        raw = raw.when(k == n, shape)
+    raw = raw.otherwise(F.concat(F.lit("fiscal "), fmt("yyyy")))
+    return load(spark, sf_dir, "orders").select("o_orderkey", dates.year_month(raw).alias("month"))
+
+
+FREE_DATES = "SELECT o_orderkey, CASE WHEN o_orderkey % 14 < 13 THEN strftime(o_orderdate, '%Y-%m') END AS month FROM orders"

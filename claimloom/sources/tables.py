@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import clean_email, strip
+from claimloom.functions.text import clean_email, once, strip
 from claimloom.storage import stored
 
 # Headers of recruiters' tables and what they mean.
@@ -45,11 +45,6 @@ def _lines_in(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _quoted(pieces: Column, before: Column | int = 0) -> Column:
-    """Pieces between quotes as structs (text, inside): inside where an odd number of quotes stands before."""
-    return F.transform(pieces, lambda s, i: F.struct(s.alias("text"), ((i + before) % 2 == 1).alias("inside")))
-
-
 def records(ranges: DataFrame) -> DataFrame:
     """``path``, ``part`` (range where it begins), ``number`` from 0, ``record`` of all lines of files in ranges (``path``, ``part``, ``content``).
 
@@ -68,7 +63,7 @@ def records(ranges: DataFrame) -> DataFrame:
     known = parity.withColumn("first", F.coalesce(F.sum(real).over(earlier), F.lit(0))).select("path", "part", "odd", "first")
 
     masked = F.array_join(
-        F.transform(_quoted(F.col("pieces"), F.col("odd").cast("int")), lambda p: F.when(p["inside"], F.translate(p["text"], "\n", _LINE)).otherwise(p["text"])), '"'
+        F.transform("pieces", lambda s, i: F.when((i + F.col("odd").cast("int")) % 2 == 1, F.translate(s, "\n", _LINE)).otherwise(s)), '"'
     )
     lines = cut.join(known, ["path", "part"]).select("path", "part", "first", F.split(masked, "\n", -1).alias("lines"))
     each = lines.select("path", "part", "first", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "record"))
@@ -78,23 +73,25 @@ def records(ranges: DataFrame) -> DataFrame:
     return each.where("whole").select("path", "part", "number", "record").union(joined)
 
 
-def fields(record: Column) -> tuple[Column, Column]:
-    """Fields of a record, and whether quotes enclose whole fields only and nothing else is amiss."""
-    line = F.regexp_replace(record, "\r$", "")
-    pieces = F.split(line, '"', -1)
-    last = F.size(pieces) - 1
-    fits = F.transform(
-        pieces,
-        lambda s, i: F.when(i % 2 == 1, True).otherwise(
+def fields(record: Column) -> Column:
+    """struct(fields, sound): fields of a record, and whether quotes enclose whole fields only and nothing else is amiss."""
+
+    def fits(pieces: Column, last: Column) -> Column:
+        fine = lambda s, i: (i % 2 == 1) | (
             ((s == "") | (((i == 0) | s.startswith(",")) & ((i == last) | s.endswith(",")))) & ~F.contains(s, F.lit("\r"))
-        ),
-    )
-    sound = (last % 2 == 0) & F.forall(fits, lambda x: x)
-    masked = F.array_join(F.transform(_quoted(pieces), lambda p: F.when(p["inside"], F.translate(p["text"], ",", _COMMA)).otherwise(p["text"])), '"')
-    bare = lambda f: F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
-    plain = F.transform(F.split(masked, ",", -1), lambda f: F.translate(bare(f), _LINE + _COMMA, "\n,"))
-    decoded = F.transform(plain, _text)
-    return decoded, sound & F.forall(decoded, F.is_valid_utf8)
+        )
+        return (last % 2 == 0) & F.forall(F.transform(pieces, fine), lambda x: x)
+
+    def taken(pieces: Column) -> Column:
+        masked = F.array_join(F.transform(pieces, lambda s, i: F.when(i % 2 == 1, F.translate(s, ",", _COMMA)).otherwise(s)), '"')
+        bare = lambda f: F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+        return F.transform(F.split(masked, ",", -1), lambda f: _text(F.translate(bare(f), _LINE + _COMMA, "\n,")))
+
+    def both(pieces: Column) -> Column:
+        regular = once(F.size(pieces) - 1, lambda last: fits(pieces, last))
+        return once(taken(pieces), lambda all: F.struct(all.alias("fields"), (regular & F.forall(all, F.is_valid_utf8)).alias("sound")))
+
+    return once(F.split(F.regexp_replace(record, "\r$", ""), '"', -1), both)
 
 
 def _places(header: Column, role: str) -> Column:
@@ -111,8 +108,7 @@ def read(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows gives none.
     """
     record = F.when(F.col("number") == 0, F.regexp_replace("record", f"^(?:{_MARK})+", "")).otherwise(F.col("record"))
-    split, sound = fields(record)
-    kept = stored(records(ranges).select("path", "part", "number", split.alias("fields"), sound.alias("sound"), (F.regexp_replace(record, "\r$", "") != "").alias("filled")), "table-records")
+    kept = stored(records(ranges).select("path", "part", "number", F.inline(F.array(fields(record))), (F.regexp_replace(record, "\r$", "") != "").alias("filled")), "table-records")
     data = F.col("filled") & (F.col("number") > 0)
     earlier = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     small = kept.groupBy("path", "part").agg(

@@ -16,6 +16,17 @@ def test_year_month(spark):
     assert values(spark, dates.year_month, bad) == [None] * len(bad)
 
 
+def test_free_dates(spark):
+    good = {
+        "2020 Jan 5": "2020-01", "31/12/2020": "2020-12", "12/31/2020": "2020-12", "20200115": "2020-01", "Mon 5 Jan 2020": "2020-01", "1 2020": "2020-01",
+        "2020-01-15T10:30:00+02:00": "2020-01", "2020-03-15 10:30:15.5Z": "2020-03", "10:30 PM EST, 5th of March 2020": "2020-03", "20200115T1030": "2020-01",
+        "Feb 29 2020": "2020-02", "31.12.2020": "2020-12", "5/4/2020": "2020-05", "13/4/2020": "2020-04", "10:30 JAN 2020": "2020-01", "Sep. 1999": "1999-09",
+    }
+    assert values(spark, dates.year_month, list(good)) == list(good.values())
+    bad = ["Feb 29 2021", "Jan-Mar 2020", "2019 2020", "25:00 Jan 2020", "Jan 2020 EST", "12.2020", "5/2020/10", "2020-13", "Jan 32 2020", "5/4/20", "Jan 15,2020", "2020-Mon", "01/02/03/2020"]
+    assert values(spark, dates.year_month, bad) == [None] * len(bad)
+
+
 def test_date_range(spark):
     cases = {
         "Jan 2021 - Present": ("2021-01", None), "2019-2021": ("2019-01", "2021-01"), "2019 to 2021": ("2019-01", "2021-01"),
