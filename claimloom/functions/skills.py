@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from claimloom.functions.text import strip
+from claimloom.functions.text import once, strip
 
 # Canonical skills and their other spellings; the canonical name is a spelling too.
 TAXONOMY = {
@@ -93,34 +92,74 @@ def likeness(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def _canonical(raw: str | None) -> tuple[str, bool, str, float]:
-    cleaned = (raw or "").strip()
-    if not cleaned:
-        return "", False, "empty", 0.0
-    known, key = aliases(), cleaned.lower()
-    if key in known:
-        return known[key], True, "exact_alias", 100.0
-    score, name = max(((likeness(key, alias), alias) for alias in known), key=lambda p: (p[0], [-ord(c) for c in known[p[1]]]))
-    if score >= THRESHOLD:
-        return known[name], True, "fuzzy_match", score
-    return cleaned, False, "passthrough", score
+def _sorted_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(strip(c), r"(?U)\s+")), " ")
 
 
-_CANON = T.StructType(
-    [T.StructField("name", T.StringType()), T.StructField("canonical", T.BooleanType()), T.StructField("method", T.StringType()), T.StructField("score", T.DoubleType())]
-)
+@lru_cache(maxsize=1)
+def _spellings() -> str:
+    """All spellings as JSON: sorted words, their length, a bit for each place, the name, and for each letter a number with a bit for each of its places."""
+    rows = []
+    for alias, name in sorted(aliases().items()):
+        words = " ".join(sorted(alias.split()))
+        letters = "".join(dict.fromkeys(words))
+        rows.append({"n": len(words), "full": (1 << len(words)) - 1, "name": name, "letters": letters, "places": [sum(1 << i for i, c in enumerate(words) if c == x) for x in letters]})
+    return json.dumps(rows)
+
+
+_SPELLINGS = "array<struct<n:int,full:bigint,name:string,letters:string,places:array<bigint>>>"
+
+
+def _common(spelling: Column, letters: Column) -> Column:
+    """Length of the longest common subsequence: bits of a row that end as zeros, by one sum and difference a letter."""
+    full = spelling["full"]
+
+    def step(row: Column, c: Column) -> Column:
+        hit = row.bitwiseAND(F.coalesce(F.get(spelling["places"], F.instr(spelling["letters"], c) - 1), F.lit(0).cast("bigint")))
+        return once(hit, lambda h: (row + h).bitwiseOR(row - h).bitwiseAND(full))
+
+    return spelling["n"] - F.bit_count(F.aggregate(letters, full, step))
 
 
-@F.pandas_udf(_CANON)
-def _near(raw: pd.Series) -> pd.DataFrame:
-    seen = {r: _canonical(r) for r in raw.dropna().unique()}
-    empty = _canonical(None)
-    return pd.DataFrame([seen.get(r, empty) for r in raw], columns=["name", "canonical", "method", "score"])
+def _nearest(key: Column) -> Column:
+    """struct(score, name) of the most alike spelling; of equal ones the first name.  Spellings whose length alone rules them out aren't compared."""
+    words = _sorted_words(key)
+
+    def search(w: Column) -> Column:
+        letters, length = F.split(w, ""), F.length(w)
+
+        def better(best: Column, spelling: Column) -> Column:
+            total = length + spelling["n"]
+            compared = once(
+                200.0 * _common(spelling, letters) / total,
+                lambda score: F.when(
+                    (score > best["score"]) | ((score == best["score"]) & (spelling["name"] < best["name"])), F.struct(score.alias("score"), spelling["name"].alias("name"))
+                ).otherwise(best),
+            )
+            return F.when(200.0 * F.least(length, spelling["n"]) / total < best["score"], best).otherwise(compared)
+
+        return F.aggregate(F.from_json(F.lit(_spellings()), _SPELLINGS), F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("name")), better)
+
+    return once(words, search)
 
 
 def canonical_skill(raw: Column) -> Column:
     """struct(name, canonical, method, score): exact spelling, near miss, or the trimmed string as it is."""
-    return _near(raw)
+
+    def told(clean: Column) -> Column:
+        judged = lambda name, canonical, method, score: F.struct(
+            name.alias("name"), F.lit(canonical).alias("canonical"), F.lit(method).alias("method"), score.cast("double").alias("score")
+        )
+        near = once(
+            _nearest(F.lower(clean)),
+            lambda best: F.when(best["score"] >= THRESHOLD, judged(best["name"], True, "fuzzy_match", best["score"])).otherwise(
+                judged(clean, False, "passthrough", best["score"])
+            ),
+        )
+        known = once(exact_skill(clean), lambda name: F.when(name.isNotNull(), judged(name, True, "exact_alias", F.lit(100.0))).otherwise(near))
+        return F.when(clean == "", judged(F.lit(""), False, "empty", F.lit(0.0))).otherwise(known)
+
+    return once(F.coalesce(strip(raw), F.lit("")), told)
 
 
 def exact_skill(raw: Column) -> Column:
@@ -154,7 +193,6 @@ def skills_in(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(seen, lambda a: F.try_element_at(table, a)))))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def canonical_each(lists: pd.Series) -> pd.Series:
+def canonical_each(lists: Column) -> Column:
     """Canonical names of the elements of arrays; blank elements become null."""
-    return pd.Series([None if items is None else [_canonical(i)[0] or None if i is not None else None for i in items] for items in lists], dtype=object)
+    return F.transform(lists, lambda i: F.nullif(canonical_skill(i)["name"], F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions import dates
+from claimloom.functions import dates, skills
 from claimloom.plans.tables import load
 from claimloom.sources import files, listing, tables
 from claimloom.storage import scratch
@@ -145,3 +145,38 @@ def free_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FREE_DATES = "SELECT o_orderkey, CASE WHEN o_orderkey % 14 < 13 THEN strftime(o_orderdate, '%Y-%m') END AS month FROM orders"
+
+
+def skill_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, spellings with a letter lost or doubled at places that the key tells, and words of documents as skills."""
+    known = sorted(skills.aliases())
+    alias = F.element_at(F.array(*map(F.lit, known)), (F.col("p_partkey") % len(known)).cast("int") + 1)
+    at = (F.col("p_partkey") % F.length("alias")).cast("int")
+    lost = F.concat(F.substring("alias", F.lit(1), at), F.substring("alias", at + 2, F.lit(99)))
+    doubled = F.concat(F.substring("alias", F.lit(1), at + 1), F.substring("alias", at + 1, F.lit(99)))
+    parts = load(spark, sf_dir, "part").withColumn("alias", alias)
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, lost).when(k == 1, F.upper(doubled)).when(k == 2, F.concat(F.lit(" "), F.col("p_name"))).otherwise(F.concat("p_type", F.lit(" "), "alias"))
+    made = parts.select(F.lit("p").alias("k"), F.col("p_partkey").alias("id"), raw.alias("raw"))
+    firsts = load(spark, sf_dir, "documents").select(F.lit("d"), "doc_id", F.substring_index(F.coalesce("text", F.lit("")), " ", 1))
+    return made.union(firsts).select("k", "id", skills.canonical_skill(F.col("raw")).alias("s")).select("k", "id", "s.*")
+
+
+_SPELLED = ", ".join(f"({n}, '{a}', '{' '.join(sorted(a.split()))}', '{skills.aliases()[a]}')" for n, a in enumerate(sorted(skills.aliases())))
+SKILL_NEAR_MISSES = rf"""WITH known(i, alias, words, name) AS (VALUES {_SPELLED}),
+ part2 AS (SELECT *, p_partkey % length(alias) AS pos FROM part JOIN known ON i = p_partkey % (SELECT count(*) FROM known)),
+ raw AS (SELECT 'p' AS k, p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN left(alias, pos) || substr(alias, pos + 2) WHEN 1 THEN upper(left(alias, pos + 1) || substr(alias, pos + 1))
+   WHEN 2 THEN ' ' || p_name ELSE p_type || ' ' || alias END AS raw FROM part2
+   UNION ALL SELECT 'd', doc_id, string_split(coalesce(text, ''), ' ')[1] FROM documents),
+ clean AS (SELECT k, id, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS c FROM raw),
+ vals AS (SELECT DISTINCT lower(c) AS low, array_to_string(list_sort(string_split_regex(lower(c), '\s+')), ' ') AS w FROM clean WHERE c != ''),
+ pairs AS (SELECT low, w, words, name, CAST((1 << length(words)) - 1 AS BIGINT) AS full_row, length(w) + length(words) AS total FROM vals, known),
+ reduced AS (SELECT *, list_reduce(list_concat([full_row], list_transform(range(1, length(w) + 1), lambda j:
+     list_sum(list_transform(range(length(words)), lambda i: CASE WHEN words[i + 1] = w[j] THEN CAST(1 << i AS BIGINT) ELSE 0 END))::BIGINT)),
+     lambda r, m: ((r + (r & m)) | (r - (r & m))) & full_row) AS r FROM pairs),
+ scored AS (SELECT low, name, 200.0::DOUBLE * (length(words) - bit_count(r)) / total AS score FROM reduced),
+ best AS (SELECT low, name, score FROM scored QUALIFY row_number() OVER (PARTITION BY low ORDER BY score DESC, name) = 1)
+ SELECT k, id, CASE WHEN e.name IS NOT NULL THEN e.name WHEN score >= 90 THEN b.name ELSE c END AS name, c != '' AND (e.name IS NOT NULL OR score >= 90) AS canonical,
+   CASE WHEN c = '' THEN 'empty' WHEN e.name IS NOT NULL THEN 'exact_alias' WHEN score >= 90 THEN 'fuzzy_match' ELSE 'passthrough' END AS method,
+   CASE WHEN c = '' THEN 0.0::DOUBLE WHEN e.name IS NOT NULL THEN 100.0::DOUBLE ELSE score END AS score
+ FROM clean LEFT JOIN known e ON lower(c) = e.alias LEFT JOIN best b ON lower(c) = b.low"""

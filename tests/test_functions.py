@@ -65,6 +65,27 @@ def test_skills(spark):
     assert values(spark, skills.skills_in, ["Mentorship; java script on redis. Go!", None]) == [["Java", "JavaScript", "Mentoring", "Redis"], []]
 
 
+def test_near_misses_by_brute_force(spark):
+    import random
+
+    rng, known = random.Random(8), skills.aliases()
+    made = ["a b", "é" * 3, "Spring  Boot", "boot spring", "C", "x" * 80, "  js "]
+    for alias in rng.choices(sorted(known), k=60):
+        at = rng.randrange(len(alias))
+        made.append(rng.choice([alias[:at] + alias[at + 1 :], alias[:at] + "q" + alias[at:], alias.upper(), alias[::-1]]))
+    expected = []
+    for raw in made:
+        clean = raw.strip()
+        score, name = min(((-skills.likeness(clean.lower(), a), known[a]) for a in known), default=None)
+        if not clean:
+            expected.append(("", "empty", 0.0))
+        elif clean.lower() in known:
+            expected.append((known[clean.lower()], "exact_alias", 100.0))
+        else:
+            expected.append((name, "fuzzy_match", -score) if -score >= 90 else (clean, "passthrough", -score))
+    assert [(g["name"], g["method"], g["score"]) for g in values(spark, skills.canonical_skill, made)] == expected
+
+
 def test_common_subsequence_is_exact():
     import random
 
