@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import company_key, name_key
 from claimloom.schema import LISTS, SCALARS, trust, weight
-from claimloom.storage import stored
 
 # Fixed values, in ten-thousandths: boost per further source and at most, highest confidence, share left after a conflict.
 BOOST, BOOST_MOST, HIGHEST, AFTER_CONFLICT = 500, 1500, 9900, 7000
@@ -45,9 +44,8 @@ def resolve(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame
         F.min_by("source", F.struct(-F.col("trust"), F.col("source"))).alias("winner"),
         F.min(F.struct("source", "record_key", "seq")).alias("first"),
         F.max("support").alias("support"),
-        F.count_distinct("source").alias("n_sources"),
         F.collect_set(F.struct("source", "method", "normalize_method")).alias("lineage"),
-    )
+    ).withColumn("n_sources", F.size(F.array_distinct("lineage.source")))
     best = F.struct(value, "winner", "support", "n_sources", "lineage")
     picked = backed.groupBy(*keys).agg(
         F.min_by(best, F.struct(-F.col("t"), F.col("winner"), F.col("first"))).alias("best"), (F.count("*") > 1).alias("conflict")
@@ -233,5 +231,7 @@ def _newest(entry: Column, by: str, then: str) -> Column:
 
 
 def fuse(claims: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Profiles of all clusters: (cluster, *PROFILE); clustered claims are stored once, as every branch reads them."""
-    return Parts(stored(clustered(claims, clusters), "clustered-claims")).profiles()
+    """Profiles of all clusters: (cluster, *PROFILE), in one pass over the claims."""
+    from claimloom.operators.assemble import profiles
+
+    return profiles(clustered(claims, clusters))

@@ -44,7 +44,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> fuse.Parts:
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).profiles()
+    claims = stored(claims_from_tables(spark, sf_dir), "claims")
+    return fuse.fuse(claims, _strong(claims))
 
 
 @query(f"WITH {CLAIMS_SQL} SELECT source, record_key, CAST(seq AS BIGINT) AS seq, field_path, value_str, value_num, company, start, institution, end_year, CAST(conf AS INT) AS conf, method, norm FROM claims")
