@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions import dates, skills
+from claimloom.functions import dates, phones, skills
 from claimloom.plans.tables import load
 from claimloom.sources import files, listing, tables
 from claimloom.storage import scratch
@@ -180,3 +180,19 @@ SKILL_NEAR_MISSES = rf"""WITH known(i, alias, words, name) AS (VALUES {_SPELLED}
    CASE WHEN c = '' THEN 'empty' WHEN e.name IS NOT NULL THEN 'exact_alias' WHEN score >= 90 THEN 'fuzzy_match' ELSE 'passthrough' END AS method,
    CASE WHEN c = '' THEN 0.0::DOUBLE WHEN e.name IS NOT NULL THEN 100.0::DOUBLE ELSE score END AS score
  FROM clean LEFT JOIN known e ON lower(c) = e.alias LEFT JOIN best b ON lower(c) = b.low"""
+
+
+def phone_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that keys are spread to, with the calling codes of eight plans in turn, written with marks; many are not valid."""
+    n = F.lpad(((F.col("o_orderkey") * 7368787 + 1234567) % 10000000000).cast("string"), 10, "0")
+    codes = ["44", "49", "33", "91", "61", "55", "353", "1"]
+    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    national = F.substring(n, F.lit(1), 8 + (F.col("o_orderkey") % 3).cast("int"))
+    raw = F.concat(F.lit(" +"), code, F.lit(" ("), F.substring(national, 1, 3), F.lit(") "), F.substring(national, 4, 3), F.lit("-"), F.substring(national, 7, 9))
+    return load(spark, sf_dir, "orders").select("o_orderkey", phones.normalize_phone(raw).alias("phone"))
+
+
+_PLAN_VALUES = ", ".join(f"({k}, '{c}', '{phones.PLANS[c]}')" for k, c in enumerate(("44", "49", "33", "91", "61", "55", "353", "1")))
+PHONE_PLANS = f"""SELECT o_orderkey, CASE WHEN regexp_full_match(d, plan) THEN '+' || code || d END AS phone FROM (
+ SELECT o_orderkey, code, plan, left(lpad(CAST((o_orderkey * 7368787 + 1234567) % 10000000000 AS VARCHAR), 10, '0'), 8 + o_orderkey % 3) AS d
+ FROM orders JOIN (VALUES {_PLAN_VALUES}) p(k, code, plan) ON k = o_orderkey % 8)"""

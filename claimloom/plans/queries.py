@@ -484,6 +484,6 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _f, _sql in (
     (file_queries.listed_files, file_queries.LISTED_FILES), (file_queries.table_claims, file_queries.TABLE_CLAIMS),
     (file_queries.ats_claims, file_queries.ATS_CLAIMS), (file_queries.routed_kinds, file_queries.ROUTED_KINDS), (file_queries.free_dates, file_queries.FREE_DATES),
-    (file_queries.skill_near_misses, file_queries.SKILL_NEAR_MISSES),
+    (file_queries.skill_near_misses, file_queries.SKILL_NEAR_MISSES), (file_queries.phone_plans, file_queries.PHONE_PLANS),
 ):
     query(_sql)(_f)

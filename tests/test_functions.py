@@ -46,6 +46,15 @@ def test_phones(spark):
     assert values(spark, phones.phones_in, ["call 415-555-0177 or 415-555-0177 today", None]) == [["+14155550177"], []]
 
 
+def test_phones_of_other_plans(spark):
+    good = {"+33 1 42 68 53 00": "+33142685300", "+49 (0)30 901820": None, "+49 30 901820": "+4930901820", "+91 98765 43210": "+919876543210", "+353 87 123 4567": "+353871234567",
+            "+33 0 42 68 53 00": None, "+34 512 345 678": None, "+44 6 1234 5678": None, "+65 6123 4567": "+6561234567"}
+    assert values(spark, phones.normalize_phone, list(good)) == list(good.values())
+    assert values(spark, lambda c: phones.normalize_phone(c, "FR"), ["01 42 68 53 00"]) == ["+33142685300"]
+    texts = ["415-555-0177 / 415-555-0178", "on 12/31/2020 5550177", "2020-12-31 10", "415-555-0177 (212) 555-0144"]
+    assert values(spark, phones.phones_in, texts) == [["+14155550177", "+14155550178"], [], [], ["+12125550144", "+14155550177"]]
+
+
 def test_countries_and_locations(spark):
     good = {"U.S.A.": "US", "England": "GB", "DEU": "DE", "SF, CA, USA": "US", " united states ": "US"}
     assert values(spark, places.normalize_country, list(good)) == list(good.values())
