@@ -58,6 +58,13 @@ def test_phones_of_other_plans(spark):
 def test_countries_and_locations(spark):
     good = {"U.S.A.": "US", "England": "GB", "DEU": "DE", "SF, CA, USA": "US", " united states ": "US"}
     assert values(spark, places.normalize_country, list(good)) == list(good.values())
+    formal = {
+        "Republic of Korea": "KR", "Korea, Republic of": "KR", "Democratic People's Republic of Korea": "KP", "Cote d'Ivoire": "CI", "Côte d’Ivoire": "CI", "CÔTE D'IVOIRE": "CI",
+        "Federal Republic of Germany": "DE", "Islamic Republic of Iran": "IR", "Tanzania, United Republic of": "TZ", "Kingdom of Spain": "ES", "the Republic of the Union of Myanmar": "MM",
+        "Hong Kong": "HK", "Congo": "CG", "Saint Lucia": "LC", "Trinidad and Tobago": "TT", "Curacao": "CW", "Republic of China": None, "Republic of": None, "Republic of Nowhere": None,
+        "Plurinational State of Bolivia": "BO", "Viet Nam": "VN", "Seoul, Republic of Korea": "KR", "Turkiye": "TR", "Dominican Republic": "DO", "French Republic": "FR",
+    }
+    assert values(spark, places.normalize_country, list(formal)) == list(formal.values())
     assert values(spark, places.normalize_country, ["Nowhere", "XYZ", "12345", "", None]) == [None] * 5
     cases = {
         "SF, CA, USA": ("SF", "CA", "US"), "London, UK": ("London", None, "GB"), "San Francisco, CA": ("San Francisco", "CA", None),
