@@ -19,6 +19,7 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("-o", "--output", help="file to write; standard output if absent")
     run.add_argument("-f", "--format", default="json", help="json or ndjson")
     run.add_argument("--enrich", metavar="CACHE", help="Parquet table (key, answer) that may fill empty fields")
+    run.add_argument("--client", metavar="MODULE:FUNCTION", help="asked (prompt -> answer) for what the cache of --enrich lacks; its answers are kept there")
     run.add_argument("-v", "--verbose", action="store_true", help="report sources without trust and over-merged clusters")
     sub.add_parser("schema", help="JSON Schema of the profile")
     lint = sub.add_parser("lint", help="check a configuration without data")
@@ -28,22 +29,25 @@ def _parser() -> argparse.ArgumentParser:
 
 def _run(args: argparse.Namespace) -> int:
     from claimloom import engine, render
-    from claimloom.operators import enrich, link
+    from claimloom.operators import enrich, fuse, link
     from claimloom.sources.files import claims_of, prose_of, read_files
+    from claimloom.storage import stored
 
     config = OutputConfig.from_file(args.config) if args.config and not args.default else default_config()
     spark = engine.session()
     claims = claims_of(spark, args.input)
-    profiles = engine.build_profiles(claims)
+    clusters = stored(link.link(claims), "clusters")
+    profiles = fuse.fuse(claims, clusters)
     if args.verbose:
         for row in link.unknown_sources(claims).take(20):
             print(f"unknown source: {row['source']}", file=sys.stderr)
-        for row in link.over_merged(claims, link.link(claims)).take(20):
+        for row in link.over_merged(claims, clusters).take(20):
             print(f"possible over-merge: {', '.join(row['candidate_ids'])}", file=sys.stderr)
     settings = config.enrichment
     if args.enrich and settings and settings.enabled:
         context = enrich.contexts(profiles, claims, prose_of(read_files(spark, args.input)))
-        profiles = enrich.run(profiles, context, args.enrich, settings.model, settings.fields)
+        client = enrich.client_named(args.client) if args.client else None
+        profiles = enrich.run(profiles, context, args.enrich, settings.model, settings.fields, client)
     if args.format not in ("json", "ndjson"):
         print(f"unknown format {args.format!r}", file=sys.stderr)
         return 1

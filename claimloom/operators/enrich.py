@@ -5,6 +5,9 @@ Off by default.  Answers never overwrite a value and never change a confidence;
 
 from __future__ import annotations
 
+import importlib
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,6 +57,7 @@ def misses(profiles: DataFrame, context: DataFrame, cache: DataFrame, model: str
     """(key, candidate_id, prompt) of profiles with gaps whose answer is not in ``cache`` (key, answer)."""
     asked = profiles.where(has_gaps(fields)).select("candidate_id").join(context, "candidate_id")
     asked = asked.select("candidate_id", cache_key(F.col("context"), model).alias("key"), prompt(F.col("context")).alias("prompt"))
+    asked = asked.groupBy("key").agg(F.min("candidate_id").alias("candidate_id"), F.min("prompt").alias("prompt"))  # profiles with the same prose ask once
     return asked.join(cache.select("key"), "key", "left_anti")
 
 
@@ -77,7 +81,7 @@ def answers(context: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """(candidate_id, answer) as ``ANSWER``; text that is no such JSON gives nothing."""
     keyed = context.select("candidate_id", cache_key(F.col("context"), model).alias("key"))
     read = F.from_json("answer", ANSWER, {"mode": "PERMISSIVE"})
-    return keyed.join(cache.dropDuplicates(["key"]), "key").select("candidate_id", read.alias("answer")).where("answer is not null")
+    return keyed.join(cache.groupBy("key").agg(F.min("answer").alias("answer")), "key").select("candidate_id", read.alias("answer")).where("answer is not null")
 
 
 def fill(profiles: DataFrame, given: DataFrame, model: str, fields: tuple[str, ...] = ("headline", "summary")) -> DataFrame:
@@ -112,11 +116,31 @@ def fill(profiles: DataFrame, given: DataFrame, model: str, fields: tuple[str, .
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(key, answer) of a cache; one that isn't there yet is empty."""
+    """(key, answer) of a cache, one row a key; one that isn't there yet is empty.
+
+    Of several answers to a key that of the earliest run holds, answers without a run before all others: runs that go on at the
+    same time, or again, never change what has been answered.
+    """
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], "key string, answer string")
-    return spark.read.parquet(path).select("key", "answer")
+    kept = spark.read.option("mergeSchema", "true").parquet(path)
+    run = F.coalesce("run", F.lit("")) if "run" in kept.columns else F.lit("")
+    return kept.where("key is not null").groupBy("key").agg(F.min(F.struct(run.alias("run"), "answer"))["answer"].alias("answer"))
+
+
+def put(given: DataFrame, path: str) -> None:
+    """Add answers (key, answer) to a cache as those of a run of their own."""
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    given.select("key", "answer", F.lit(run).alias("run")).write.mode("append").parquet(path)
+
+
+def client_named(name: str) -> Callable[[str], str]:
+    """The client ``module:function`` (prompt -> answer), which executors must be able to import."""
+    module, _, function = name.partition(":")
+    if not function:
+        raise ValueError(f"a client is named module:function, not {name!r}")
+    return getattr(importlib.import_module(module), function)
 
 
 def run(
@@ -126,7 +150,7 @@ def run(
     """Profiles with gaps filled from the cache at ``cache`` (Parquet); a client's answers are put there first, as they come."""
     spark = profiles.sparkSession
     if client is not None:
-        complete(misses(profiles, context, read_cache(spark, cache), model, fields), client, most).write.mode("append").parquet(cache)
+        put(complete(misses(profiles, context, read_cache(spark, cache), model, fields), client, most), cache)
     return fill(profiles, answers(context, read_cache(spark, cache), model), model, fields)
 
 

@@ -137,6 +137,27 @@ def test_answers_of_a_client_are_kept(spark, tmp_path):
     assert enrich.run(profiles, context, cache, "other").first()["headline"] is None
 
 
+def test_the_first_answer_to_a_key_holds(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    row = lambda *pairs: spark.createDataFrame(list(pairs), "key string, answer string")
+    row(("a", "old")).write.parquet(cache)  # as written before runs were told apart
+    enrich.put(row(("a", "x"), ("b", "first"), (None, "z")), cache)
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda n: enrich.put(row(("b", f"later{n}"), ("c", f"both{n}")), cache), range(2)))
+    first = sorted(tuple(r) for r in enrich.read_cache(spark, cache).collect())
+    assert [k for k, _ in first] == ["a", "b", "c"] and first[:2] == [("a", "old"), ("b", "first")]
+    enrich.put(row(("c", "latest")), cache)
+    assert sorted(tuple(r) for r in enrich.read_cache(spark, cache).collect()) == first
+
+
+def test_clients_have_names():
+    assert enrich.client_named("json:dumps") is json.dumps
+    with pytest.raises(ValueError, match="module:function"):
+        enrich.client_named("json")
+
+
 def test_lines_are_written_one_by_one(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\nc-2,Bob Roy\nc-1,Ann Lee\n")
     profiles = engine.profiles_of_files(spark, [str(tmp_path / "a.csv")])
