@@ -304,9 +304,10 @@ def ats_rows(files: DataFrame) -> DataFrame:
     return _rows(records, "ats_json", key, "ats_field_map", claims, F.col("error"))
 
 
-def _whole(files: DataFrame) -> DataFrame:
-    """Tables that were read whole as their only range."""
-    return table_rows(files.where("text is not null").select("path", F.lit(0).cast("bigint").alias("part"), F.col("text").cast("binary").alias("content")))
+def _whole(files: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Tables that were read whole as their only range, and those in ``ranges``."""
+    own = files.where("text is not null").select("path", F.lit(0).cast("bigint").alias("part"), F.col("text").cast("binary").alias("content"))
+    return table_rows(own if ranges is None else own.union(ranges.select("path", "part", "content")))
 
 
 #: Kinds that are taken apart by columns: files (path, text, content) -> parser rows.
@@ -315,15 +316,16 @@ COLUMNS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """Raw strings of all files; rows with ``error`` tell which file could not be read and why."""
+def parsed(raw: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Raw strings of all files, of tables in ``ranges`` too; rows with ``error`` tell which file could not be read and why."""
     raw = raw if "error" in raw.columns else raw.withColumn("error", F.lit(None).cast("string"))
     routed = raw.withColumn("kind", kind_of(F.col("path"), F.col("text")))
     others = routed.where(F.col("kind").isNotNull() & ~F.col("kind").isin(*COLUMNS)).drop("content", "error")
     out = others.mapInPandas(_parser(dict(PARSERS)), PARSED).unionByName(unread(routed))
     for kind, rows in COLUMNS.items():
-        out = out.unionByName(rows(routed.where(F.col("kind") == kind)))
-    return out
+        files = routed.where(F.col("kind") == kind)
+        out = out.unionByName(rows(files) if ranges is None or kind != "csv_recruiter" else rows(files, ranges))
+    return out if ranges is None else out.unionByName(unread(ranges))
 
 
 def unread(files: DataFrame) -> DataFrame:
@@ -474,8 +476,7 @@ def _in_order():
 
 
 def claims_of(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Claims of all files below ``paths``; the parsed strings are stored once, as linking and fusing read them often."""
-    rows = parsed(read_files(spark, paths, never=_TABLES if "csv_recruiter" in COLUMNS else None))
-    if "csv_recruiter" in COLUMNS:
-        rows = rows.unionByName(table_rows(read_tables(spark, paths)))
-    return stored(normalized(rows), "claims")
+    """Claims of all files below ``paths``; strings are stored as parsed, which keeps plans small, and as claims, which are read often."""
+    split = "csv_recruiter" in COLUMNS
+    rows = parsed(read_files(spark, paths, never=_TABLES if split else None), read_tables(spark, paths) if split else None)
+    return stored(normalized(stored(rows, "parsed")), "claims")
