@@ -1,17 +1,16 @@
 """Records and their links: which records speak of one entity.
 
-Everything is keyed by strings and joined by equality; the only step that looks at several records at once in
-Python is the name step inside groups of clusters that share names and hold conflicting explicit ids.
+Everything is keyed by strings and joined by equality; no step gathers the records of a key in one row or one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import name_key
 from claimloom.operators.components import components
+from claimloom.operators.reserve import in_order
 from claimloom.storage import stored
 
 _IDS = ("candidate_ids", "emails", "phones")
@@ -49,36 +48,6 @@ def strong_clusters(recs: DataFrame) -> DataFrame:
     return recs.select("rid").join(comp, "rid", "left").select("rid", F.coalesce("component", "rid").alias("cluster"))
 
 
-def _sequential(stale: bool):
-    def attach(group: pd.DataFrame) -> pd.DataFrame:
-        """Merge clusters by name, names in order, unless the merge would hold two explicit ids."""
-        root = {c: c for c in group["cluster"]}
-        ids = {c: set(i) for c, i in zip(group["cluster"], group["ids"])}
-
-        def find(c: str) -> str:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        by_name: dict[str, set[str]] = {}
-        for c, names in zip(group["cluster"], group["names"]):
-            for n in names:
-                by_name.setdefault(n, set()).add(c)
-        for name in sorted(by_name):
-            roots = {find(c) for c in by_name[name]}
-            # ``stale``: of the clusters as they were, only those that still stand by themselves are looked at
-            seen = set().union(*(ids[r] for r in (roots & by_name[name] if stale else roots)))
-            if len(roots) > 1 and len(seen) < 2:
-                least = min(roots)
-                for r in roots - {least}:
-                    root[r] = least
-                    ids[least] |= ids.pop(r)
-        return pd.DataFrame({"cluster": list(root), "merged": [find(c) for c in root]})
-
-    return attach
-
-
 def attach_by_name(recs: DataFrame, strong: DataFrame, compat: str = "default") -> DataFrame:
     """(rid, cluster): clusters that share a name key become one, unless they hold two explicit ids.
 
@@ -103,14 +72,8 @@ def attach_by_name(recs: DataFrame, strong: DataFrame, compat: str = "default")
     per_super = group.join(ids, "cluster").groupBy("super").agg(F.count_distinct("id").alias("n_ids"))
     judged = stored(group.join(per_super, "super", "left").withColumn("n_ids", F.coalesce("n_ids", F.lit(0))), "name-groups")
     free = judged.where("n_ids < 2").select("cluster", F.col("super").alias("merged"))
-    tight = (
-        judged.where("n_ids >= 2")
-        .join(ties.groupBy("cluster").agg(F.collect_set("name").alias("names")), "cluster")
-        .join(ids.groupBy("cluster").agg(F.collect_set("id").alias("ids")), "cluster", "left")
-        .select("super", "cluster", "names", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
-        .groupBy("super")
-        .applyInPandas(_sequential(compat == "reference"), "cluster string, merged string")
-    )
+    torn_groups = judged.where("n_ids >= 2").select("cluster")
+    tight = in_order(ties.join(torn_groups, "cluster", "left_semi").select("cluster", "name"), ids, compat == "reference")
     moved = free.union(tight)
     return strong.join(moved, "cluster", "left").select("rid", F.coalesce("merged", "cluster").alias("cluster"))
 
@@ -136,10 +99,25 @@ def unknown_sources(claims: DataFrame) -> DataFrame:
     return claims.where(trust(F.col("source")) == 0).groupBy("source").agg(F.count("*").alias("claims"))
 
 
-def attribute_sources(profiles: DataFrame, claims: DataFrame, by: str = "record_key") -> DataFrame:
-    """(candidate_id, source, ``by``): sources that share an identifier or a name key with a profile."""
+#: Rows of one identifier on either side that one cell of the join may hold.
+CELL_ROWS = 4096
+
+
+def _cells(side: DataFrame, heavy: DataFrame, own: str, other: str, by: list[str]) -> DataFrame:
+    """Rows of ``side`` under (id, ``own``, ``other``): their own cell by a hash of ``by``, and every cell of the other side."""
+    split = lambda n: F.coalesce(F.col(n), F.lit(1))
+    cut = side.join(heavy, "id", "left").withColumn("mine", F.pmod(F.xxhash64(*by), split(f"{own}_cells")).cast("int"))
+    return cut.select(*side.columns, F.col("mine").alias(own), F.explode(F.sequence(F.lit(0), (split(f"{other}_cells") - 1).cast("int"))).alias(other))
+
+
+def attribute_sources(profiles: DataFrame, claims: DataFrame, by: str = "record_key", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(candidate_id, source, ``by``): sources that share an identifier or a name key with a profile.
+
+    Identifiers are counted on both sides first; one that many bear is joined in cells of about ``cell_rows`` rows of each side, so a
+    task sees a bounded part of it.  Empty tables give an empty table; rows with nulls in the place of identifiers match nothing.
+    """
     mine = F.array_compact(F.concat("emails", "phones", F.array("candidate_id", name_key(F.col("full_name")))))
-    wanted = profiles.select("candidate_id", F.explode(F.array_distinct(mine)).alias("id"))
+    wanted = profiles.select("candidate_id", F.explode(F.array_distinct(mine)).alias("id")).distinct()
     theirs = claims.select(
         "source",
         by,
@@ -147,4 +125,15 @@ def attribute_sources(profiles: DataFrame, claims: DataFrame, by: str = "record_
         .when(F.col("field_path") == "full_name", name_key(F.col("value_str")))
         .alias("id"),
     )
-    return theirs.where("id is not null").distinct().join(wanted, "id").select("candidate_id", "source", by).distinct()
+    theirs = stored(theirs.where("id is not null").distinct(), "attributed-records")
+    wanted = stored(wanted, "attributed-profiles")
+    cells = lambda n: F.ceil(F.col(n) / F.lit(cell_rows))
+    heavy = (
+        wanted.groupBy("id").agg(F.count("*").alias("a"))
+        .join(theirs.groupBy("id").agg(F.count("*").alias("b")), "id")
+        .where((F.col("a") > cell_rows) | (F.col("b") > cell_rows))
+        .select("id", cells("a").alias("p_cells"), cells("b").alias("r_cells"))
+    )
+    heavy = stored(heavy, "attributed-heavy")
+    pairs = _cells(theirs, heavy, "r", "p", ["source", by]).join(_cells(wanted, heavy, "p", "r", ["candidate_id"]), ["id", "p", "r"])
+    return pairs.select("candidate_id", "source", by).distinct()

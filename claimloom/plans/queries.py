@@ -107,6 +107,28 @@ def name_attach_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.link(_people(spark, sf_dir)).select("record_key", "cluster")
 
 
+@query("""WITH p AS (SELECT c_custkey AS k, c_custkey // 40 AS g, 'csv_recruiter' || chr(1) || CAST(c_custkey AS VARCHAR) AS rid, c_custkey % 7 = 3 OR c_mktsegment = 'MACHINERY' AS has,
+   md5(CAST(c_custkey AS VARCHAR)) AS back FROM customer),
+ s AS (SELECT *, sum(CAST(has AS INT)) OVER (PARTITION BY g ORDER BY k) AS seg, sum(CAST(has AS INT)) OVER (PARTITION BY g) AS ids, k = min(k) OVER (PARTITION BY g) AS first FROM p),
+ e AS (SELECT *, CASE WHEN has THEN seg - 1 ELSE seg END AS gap FROM s),
+ m AS (SELECT *, NOT first AND gap >= 1 AND gap < ids AND back = max(back) FILTER (NOT first) OVER (PARTITION BY g, gap) AS cut FROM e),
+ c AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY g ORDER BY k) AS part FROM m)
+ SELECT CAST(k AS VARCHAR) AS record_key, min(rid) OVER (PARTITION BY g, part) AS cluster FROM c""")
+def name_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 40 customers, each with a name in common with the one before; between two ids the last name in order is cut."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    claim = lambda field, value: F.struct(F.lit(field).alias("field_path"), value.alias("value_str"))
+    has = (k % 7 == 3) | (F.col("c_mktsegment") == "MACHINERY")
+    claims = F.array(
+        F.when(has, claim("candidate_id", k.cast("string"))),
+        F.when(k % 40 != 0, claim("full_name", F.md5(k.cast("string").cast("binary")))),
+        F.when(k % 40 != 39, claim("full_name", F.md5((k + 1).cast("string").cast("binary")))),
+    )
+    rows = c.select(F.lit("csv_recruiter").alias("source"), k.cast("string").alias("record_key"), F.explode(F.array_compact(claims)).alias("c"))
+    return link.link(rows.select("source", "record_key", "c.*")).select("record_key", "cluster")
+
+
 @query(f"WITH RECURSIVE {CLUSTERS_SQL} SELECT cluster, string_agg(DISTINCT value_str, ',' ORDER BY value_str) AS candidate_ids FROM cl WHERE field_path = 'candidate_id' GROUP BY cluster HAVING count(DISTINCT value_str) > 1")
 def over_merge_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = claims_from_tables(spark, sf_dir)
