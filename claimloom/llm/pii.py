@@ -1,9 +1,10 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual patterns that find further identifiers.
 
 Four fixed rules (e-mail, address of a machine, payment card, telephone) give the base spans.  They seed a graph of patterns
-(the words around an entity, and what it is made of) and instances (identifier-shaped strings in those
-contexts: single tokens of any length, and runs of digits with blanks, brackets, dots and dashes).  Spark scores the graph in rounds: a pattern is as good as the share of its instances that are
-known, weighed by how many distinct ones back it; an instance is as good as its patterns make it.
+(the words around an entity with what it is made of; and its form, digit by digit, between what kind of character stands
+on either side) and instances (identifier-shaped strings in those contexts: single tokens of any length, and runs of digits
+with blanks, brackets, dots and dashes).  Spark scores the graph in rounds until no score changes: a pattern is as good as the
+share of its instances that are known, weighed by how many distinct ones back it; an instance is as good as its patterns make it.
 Patterns that end with high confidence add spans for the unseen identifiers they hold.
 """
 
@@ -15,7 +16,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import stored, text_segments
@@ -28,7 +29,6 @@ RULES = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-ROUNDS = 3
 #: Shorter strings are no candidates.
 LEAST_CHARS = 5
 #: A pattern needs so many distinct known instances and such a score to add spans.
@@ -103,6 +103,24 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return " ".join(before)[-24:], "".join(after)[:16]
 
 
+def _beside(text: str, at: int, step: int) -> str:
+    """What stands next to a span: a line's end (^), a letter (a), a digit (9) or a mark itself; a blank before it if blanks lie between."""
+    k = at
+    while 0 <= k < len(text) and text[k] in " \t\u00a0":
+        k += step
+    c = text[k] if 0 <= k < len(text) else "\n"
+    kind = "^" if c in "\r\n" else "a" if c.isalpha() else "9" if c.isdecimal() else c
+    return (" " if k != at else "") + kind
+
+
+def form(value: str) -> str:
+    """A value with 9 for digits and a for letters, runs as one where it has letters; ! if it is an address or a card that fails its check."""
+    if any(map(str.isalpha, value)):
+        return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value))
+    failed = any(_COMPILED[k].fullmatch(value) and not _passes(k, value) for k in ("ip", "card"))
+    return re.sub(r"\d", "9", value) + ("!" if failed else "")
+
+
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
     """Strings without blanks that hold a digit or an @, without the marks at their edges."""
     for m in _SHAPED.finditer(text):
@@ -163,8 +181,8 @@ def _runs(text: str, busy: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
                     yield c, d
 
 
-def occurrences(text: str) -> list[tuple[str | None, int, int, str, str, str]]:
-    """(kind or None, start, end, value, left and right context) of base spans and of identifier-shaped strings beside them.
+def occurrences(text: str) -> list[tuple[str | None, int, int, str, str, str, str, str]]:
+    """(kind or None, start, end, value, words left and right, characters left and right) of base spans and of identifier-shaped strings beside them.
 
     Identifier-shaped are single tokens and runs of several words; these may overlap one another, but no base span.
     """
@@ -176,15 +194,16 @@ def occurrences(text: str) -> list[tuple[str | None, int, int, str, str, str]]:
         else:
             busy.append((a, b))
     out = []
+    around = lambda a, b: (*_context(text, a, b), _beside(text, a - 1, -1), _beside(text, b, 1))
     for kind, a, b in spans:
-        out.append((kind, a, b, text[a:b], *_context(text, a, b)))
+        out.append((kind, a, b, text[a:b], *around(a, b)))
     if not ("@" in text or any(c.isdigit() for c in text)):
         return out
     ends = [b for _, b in busy]
     for a, b in sorted({*_tokens(text), *_runs(text, busy)}):
         k = bisect_right(ends, a)
         if b - a >= LEAST_CHARS and not (k < len(busy) and busy[k][0] < b):
-            out.append((None, a, b, text[a:b], *_context(text, a, b)))
+            out.append((None, a, b, text[a:b], *around(a, b)))
     return out
 
 
@@ -203,68 +222,83 @@ def _short(value: str) -> str:
     return value if len(value) <= VALUE_CHARS else hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()
 
 
-_FOUND = "array<struct<kind:string,start:int,stop:int,value:string,left:string,right:string,shape:string>>"
+_FOUND = "array<struct<kind:string,start:int,stop:int,value:string,left:string,right:string,near:string,next:string,shape:string,form:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = ("kind", "start", "stop", "value", "left", "right", "shape")
+    fields = ("kind", "start", "stop", "value", "left", "right", "near", "next", "shape", "form")
     kind = pa.list_(pa.struct([(f, pa.int32() if f in ("start", "stop") else pa.string()) for f in fields]))
     for ids, raw in text_segments(batches):
         found = [
-            [dict(zip(fields, (*o[:3], _short(o[3]), *o[4:], shape(o[3])))) for o in occurrences(t.decode("utf-8", "replace"))] if t else []
+            [dict(zip(fields, (*o[:3], _short(o[3]), *o[4:], shape(o[3]), _short(form(o[3]))))) for o in occurrences(t.decode("utf-8", "replace"))] if t else []
             for t in raw
         ]
         yield pa.RecordBatch.from_arrays([ids, pa.array(found, kind)], names=["id", "found"])
 
 
-def learn(occurring: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def patterns(o: Column) -> Column:
+    """Patterns of an occurrence: words on a side with its shape; its form with the character on a side, or on both."""
+    tab = F.lit("\t")
+    return F.array(
+        F.concat(F.lit("<"), o["left"], tab, o["shape"]),
+        F.concat(F.lit(">"), o["right"], tab, o["shape"]),
+        F.concat(F.lit("["), o["near"], tab, o["form"]),
+        F.concat(F.lit("]"), o["next"], tab, o["form"]),
+        F.concat(F.lit("="), o["near"], tab, o["next"], tab, o["form"]),
+    )
+
+
+def learn(occurring: DataFrame, rounds: int | None = None) -> DataFrame:
     """(kind, pattern, score) of confident patterns from rows (kind or null, value, pattern).
 
     A pattern is scored for each kind that backs it: the mean belief in its distinct instances, times n / (n + 1)
     for n known ones of that kind.  An instance that a base rule knows has belief 1 in its own kind and 0 in the
     others, any other the belief 1 - prod(1 - score) over its patterns that reached the threshold for the kind.
+    Beliefs are whole millionths that only rise, so the rounds end by themselves; ``rounds`` ends them before.
     """
     edges = occurring.groupBy("pattern", "value").agg(F.collect_set("kind").alias("kinds"))
     backed = edges.select("pattern", F.explode("kinds").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("backing"))
     graph = stored(edges.join(backed.where(F.col("backing") >= LEAST_BACKING), "pattern"), "pii-graph")
-    seeded = F.array_contains("kinds", F.col("kind")).cast("double")
-    scores = None
-    for _ in range(rounds):
-        rows = graph if scores is None else graph.join(scores, ["value", "kind"], "left")
-        now = seeded if scores is None else F.when(F.size("kinds") > 0, seeded).otherwise(F.coalesce("known", F.lit(0.0)))
-        patterns = rows.groupBy("pattern", "kind", "backing").agg(F.avg(now).alias("mean"))
-        patterns = patterns.withColumn("score", F.col("mean") * F.col("backing") / (F.col("backing") + 1))
-        sure = patterns.where(F.col("score") >= LEAST_SCORE)
-        scores = (
-            graph.join(sure.select("pattern", "kind", "score"), ["pattern", "kind"])
+    seeded = F.array_contains("kinds", F.col("kind")).cast("bigint") * 1000000
+    known, total, done = None, -1, 0
+    while True:
+        rows = graph if known is None else graph.join(known, ["value", "kind"], "left")
+        now = seeded if known is None else F.when(F.size("kinds") > 0, seeded).otherwise(F.coalesce("known", F.lit(0)))
+        scored = rows.groupBy("pattern", "kind", "backing").agg(F.sum(now).alias("sum"), F.count("*").alias("n"))
+        scored = scored.withColumn("score", F.col("sum") / 1e6 / F.col("n") * F.col("backing") / (F.col("backing") + 1))
+        sure = stored(scored.where(F.col("score") >= LEAST_SCORE).select("kind", "pattern", "score"), "pii-patterns")
+        done += 1
+        if done == rounds:
+            return sure
+        known = (
+            graph.where("size(kinds) = 0")
+            .join(sure, ["pattern", "kind"])
             .groupBy("value", "kind")
-            .agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("known"))
+            .agg(F.floor((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))) * 1e6).alias("known"))
         )
-    return stored(sure.select("kind", "pattern", "score"), "pii-patterns")
+        known = stored(known, "pii-beliefs")
+        before, total = total, known.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+        if total <= max(before, 0):
+            return sure
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): arrays of (kind, start, stop) in code points, end exclusive; ``spans`` has base ones and learnt ones.
 
     A null text counts as empty and has none.  Repeated rows and null ids are returned as they come; other
-    columns are ignored; an empty table gives an empty table.
+    columns are ignored; an empty table gives an empty table.  Long texts are read in whole segments.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = stored(rows.mapInArrow(_scan, f"id {kind}, found {_FOUND}"), "pii-found")
-    # a pattern: context on the left with the shape, or on the right with the shape
-    flat = scanned.where("size(found) > 0").select(F.explode("found").alias("o"))
-    shaped = F.col("o.shape")
-    sides = F.explode(
-        F.array(F.concat(F.lit("<"), F.col("o.left"), F.lit("\t"), shaped), F.concat(F.lit(">"), F.col("o.right"), F.lit("\t"), shaped))
-    )
-    sure = learn(flat.select(F.col("o.kind").alias("kind"), F.col("o.value").alias("value"), sides.alias("pattern")))
+    scanned = rows.mapInArrow(_scan, f"id {kind}, found {_FOUND}").withColumn("row", F.monotonically_increasing_id())
+    keyed = stored(scanned, "pii-found")
+    flat = keyed.where("size(found) > 0").select(F.explode("found").alias("o"))
+    sure = learn(flat.select(F.col("o.kind").alias("kind"), F.col("o.value").alias("value"), F.explode(patterns(F.col("o"))).alias("pattern")))
     span = lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["stop"].alias("stop"))
-    keyed = scanned.withColumn("row", F.monotonically_increasing_id())
     candidates = (
         keyed.where("exists(found, o -> o.kind is null)")
         .select("row", F.explode(F.filter("found", lambda o: o["kind"].isNull())).alias("o"))
-        .select("row", "o", sides.alias("pattern"))
+        .select("row", "o", F.explode(patterns(F.col("o"))).alias("pattern"))
         .join(sure, "pattern")
         .groupBy("row", F.col("o.start").alias("start"), F.col("o.stop").alias("stop"))
         .agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))

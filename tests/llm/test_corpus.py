@@ -338,6 +338,80 @@ def test_instances_of_other_kinds_count_against_a_pattern(spark):
     assert got == {("p", "ip"): pytest.approx(30 / 36 * 30 / 31)}
 
 
+def plain_detect(texts):
+    """Spans by the definition, in plain loops: beliefs and scores until nothing changes."""
+    seen = [(t, o) for t, text in enumerate(texts) for o in pii.occurrences(text)]
+
+    def made(o):
+        _, _, _, value, left, right, near, nxt = o
+        return [("<", left, pii.shape(value)), (">", right, pii.shape(value)), ("[", near, pii.form(value)), ("]", nxt, pii.form(value)), ("=", near, nxt, pii.form(value))]
+
+    kinds, members = {}, {}
+    for _, o in seen:
+        for p in made(o):
+            members.setdefault(p, set()).add(o[3])
+            if o[0]:
+                kinds.setdefault((p, o[3]), set()).add(o[0])
+    belief, score = {}, {}
+    while True:
+        before = dict(belief)
+        score = {}
+        for p, values in members.items():
+            for kind in pii.KINDS:
+                backing = sum(kind in kinds.get((p, v), ()) for v in values)
+                if backing >= pii.LEAST_BACKING:
+                    mean = sum((kind in kinds[p, v]) if (p, v) in kinds else belief.get((v, kind), 0) / 1e6 for v in values) / len(values)
+                    if mean * backing / (backing + 1) >= pii.LEAST_SCORE:
+                        score[p, kind] = mean * backing / (backing + 1)
+        for v, kind in {(v, k) for p, k in score for v in members[p] if (p, v) not in kinds}:
+            rest = 1.0
+            for (p, k), s in score.items():
+                if k == kind and v in members[p] and (p, v) not in kinds:
+                    rest *= 1 - min(s, 0.999)
+            belief[v, kind] = int((1 - rest) * 1e6)
+        if belief == before:
+            break
+    out = [{(o[0], o[1], o[2]) for t, o in seen if t == k and o[0]} for k in range(len(texts))]
+    for k in range(len(texts)):
+        added = []
+        for t, o in seen:
+            best = max(((score[p, kind], kind) for p in made(o) for kind in pii.KINDS if (p, kind) in score), default=None)
+            if t == k and o[0] is None and best:
+                added.append((best[1], o[1], o[2]))
+        out[k] |= {a for a in added if not any(a[0] == b[0] and b != a and b[1] <= a[1] and a[2] <= b[2] for b in added)}
+    return out
+
+
+def test_detection_equals_plain_loops(spark):
+    rng = random.Random(11)
+    lead = ["call", "ring at", "from", "host:", "(", "| ", '"', "pay", ""]
+    made = {
+        "phone": lambda: f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(0, 9999):04}",
+        "ip": lambda: ".".join(str(rng.randint(1, 290)) for _ in range(4)),
+        "card": lambda: f"4111{rng.randint(0, 10**12):012}",
+        "mail": lambda: f"u{rng.randint(1, 99)}@{rng.choice(['host', 'site.org'])}",
+        "part": lambda: f"{rng.randint(100, 999)}-555-{rng.randint(0, 9999):04}",
+        "hex": lambda: f"{rng.getrandbits(80):x}",
+    }
+    texts = []
+    for k in range(240):
+        kind = rng.choice(list(made))
+        after = rng.choice([" now", ".", " | x", f" {made['ip']()} x", "\n", ""])
+        texts.append(f"w{chr(97 + k % 26)} {rng.choice(lead)} {made[kind]()}{after}")
+    found = {r["id"]: {(s["kind"], s["start"], s["stop"]) for s in r["spans"]} for r in pii.detect(documents(spark, texts)).collect()}
+    want = plain_detect(texts)
+    assert [found[k] for k in range(len(texts))] == want
+    assert sum(map(len, want)) > sum(len(pii.base_spans(t)) for t in texts)
+
+
+def test_numbers_that_a_rule_swallows_are_found_in_any_words(spark):
+    texts = [f"w{chr(97 + k % 26)}x{chr(97 + k // 26)}{'.' * (k % 2)} +1 ({200 + k}) 555-0{k:03} z{chr(97 + k % 25)}" for k in range(60)]
+    cards = [f"q{chr(97 + k % 26)} {c} r{chr(97 + k % 23)}" for k, c in enumerate(luhn_cards(40))]
+    odd = ["un. +1 (843) 555-7672 170.106.47.21 in", "vn 4111222233000001 und"]
+    found = found_spans(spark, [*texts, *cards, *odd])
+    assert found[-2:] == [{("ip", "170.106.47.21"), ("phone", "+1 (843) 555-7672")}, set()]
+
+
 def toxic_corpus(n):
     rng = random.Random(5)
     calm = ["".join(rng.choice(["an", "the", "re", "on", "is", "ou", "ti"]) for _ in range(rng.randint(1, 3))) for _ in range(200)]
