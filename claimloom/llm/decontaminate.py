@@ -1,8 +1,9 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
-The index is cut by documents: a segment holds some megabytes of text and stores, sorted by term, the positions
-of every token whose term occurs in the benchmark.  It is written to the shared folder.  A search sends the
-benchmark's windows to the segments in blocks of bounded size.  In a segment each window starts with
+The index is cut by documents: a segment holds some megabytes of text and stores its terms and, term by term, the
+positions of every token.  It knows nothing of the benchmark and is written once to the shared folder.  The
+benchmark's windows come in blocks of bounded size, one after another, and each block is looked up in all segments,
+which leave the lists of terms that it does not ask for alone.  In a segment each window starts with
 the posting list of its rarest term, moved to the window's start, and is intersected with the offset-adjusted
 lists of the other terms, rarest first, until every list has agreed: exact phrases.  Windows of which
 all terms, each as often as the window has it, lie in any order in a span of ``slop`` extra words around an
@@ -12,14 +13,18 @@ occurrence of the rarest one are proximity matches.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SEGMENT_BYTES, scratch, stored, text_segments
+from claimloom.llm.common import SEGMENT_BYTES, scratch, text_segments
 
 WINDOW = 10
 #: Benchmark words that one broadcast holds; larger benchmarks are searched block after block.
@@ -52,7 +57,7 @@ class Windows:
                     rows[key] = len(terms)
                     terms.append(window)
                 owner.append((rows[key], at))
-        self.vocabulary = number
+        self.vocabulary = pa.array(list(number), pa.binary())
         self.size = np.array([len(t) for t in terms], np.int64)
         self.terms = np.full((len(terms), width), -1, np.int64)
         for k, window in enumerate(terms):
@@ -76,62 +81,56 @@ def query_blocks(items: DataFrame, id_col: str, text_col: str, width: int = WIND
         yield Windows(block, width)
 
 
-INDEX = "ids array<{kind}>, n_words binary, n_terms int, terms binary, term_starts binary, positions binary"
+INDEX = "segment bigint, ids array<{kind}>, n_words binary, terms array<binary>, lengths binary, steps binary"
 
 
-def _index(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = vocabulary.value
-        for ids, texts in text_segments(batches, SEGMENT_BYTES):
-            found, counts = [], []
-            for text in texts:
-                words = words_of(text)
-                counts.append(len(words))
-                found.append(np.fromiter(map(number.get, words, [-1] * len(words)), np.int32, len(words)))
-            codes = np.concatenate(found) if found else np.empty(0, np.int32)
-            at = np.flatnonzero(codes >= 0)
-            order = np.argsort(codes[at], kind="stable")
-            at = at[order].astype(np.int32)
-            sorted_codes = codes[at]
-            starts = np.flatnonzero(np.diff(sorted_codes, prepend=-1))
-            blobs = [
-                np.array(counts, np.int64), sorted_codes[starts].astype(np.int32), starts.astype(np.int32), at
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    pa.array([blobs[0].tobytes()], pa.binary()),
-                    pa.array([len(starts)], pa.int32()),
-                    *(pa.array([b.tobytes()], pa.binary()) for b in blobs[1:]),
-                ],
-                names=[c.split()[0] for c in INDEX.split(", ")],
-            )
-
-    return run
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId() << 32
+    for segment, (ids, texts) in enumerate(text_segments(batches, SEGMENT_BYTES)):
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        found, counts = [], []
+        for text in texts:
+            words = words_of(text)
+            counts.append(len(words))
+            found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        codes = np.concatenate(found)
+        positions = np.argsort(codes, kind="stable")  # list after list, each in order
+        blobs = np.array(counts, np.int64), np.bincount(codes, minlength=len(number)).astype(np.int32), np.diff(positions, prepend=0).astype(np.int32)
+        n_words, lengths, steps = (pa.array([b.tobytes()], pa.binary()) for b in blobs)
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part + segment], pa.int64()), whole(ids), n_words, whole(pa.array(list(number), pa.binary())), lengths, steps],
+            names=[c.split()[0] for c in INDEX.split(", ")],
+        )
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the positional index of ``docs`` over the terms of ``vocabulary`` to the shared folder; returns its table."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the positional index of all tokens of ``docs`` to the shared folder; returns its table, a row per segment."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = spark.sparkContext.broadcast(vocabulary)
-    schema = INDEX.format(kind=kind)
+    schema = INDEX.format(kind=docs.schema[id_col].dataType.simpleString())
     path = scratch(spark, "positional-index")
-    rows.mapInArrow(_index(held), schema).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_index, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 class _Segment:
-    def __init__(self, row: dict):
+    """A segment's documents and its posting lists of the terms that the block ``q`` asks for."""
+
+    def __init__(self, row: dict, q: Windows):
         blob = lambda n, kind: np.frombuffer(row[n].as_buffer(), kind)
         self.n_words = blob("n_words", np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n_words)])
-        self.terms = blob("terms", np.int32).astype(np.int64)
-        self.positions = blob("positions", np.int32).astype(np.int64)
-        bounds = np.concatenate([blob("term_starts", np.int32), [len(self.positions)]]).astype(np.int64)
-        self.lengths = np.diff(bounds)
-        self.list_starts = bounds[:-1]
+        terms = row["terms"].values
+        places = pc.fill_null(pc.index_in(q.vocabulary.cast(terms.type), value_set=terms), -1).to_numpy()
+        self.terms = np.flatnonzero(places >= 0)
+        lists = places[self.terms]
+        lengths = blob("lengths", np.int32).astype(np.int64)
+        self.lengths = lengths[lists]
+        self.list_starts = np.cumsum(self.lengths) - self.lengths
+        first = (np.cumsum(lengths) - lengths)[lists]
+        positions = np.cumsum(blob("steps", np.int32), dtype=np.int64)
+        self.positions = positions[np.arange(int(self.lengths.sum())) + np.repeat(first - self.list_starts, self.lengths)]
         self.span = int(self.starts[-1]) + 1
         # one sorted array of (term, position): the posting lists one after another
         self.keys = np.repeat(self.terms, self.lengths) * self.span + self.positions
@@ -230,63 +229,83 @@ def _scalars(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(k)[row] for k, n in enumerate(batch.schema.names)}
 
 
+RANGES = "starts array<bigint>, stops array<bigint>, items array<string>"
+
+
+def _hits(seg: _Segment, q: Windows) -> dict[int, tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Of each document with a phrase: starts and stops of its hit ranges, and the items found."""
+    window, start = seg.phrases(q)
+    marks = np.zeros(seg.span + 1, np.int64)
+    np.add.at(marks, start, 1)
+    np.add.at(marks, start + q.size[window], -1)
+    hit = np.cumsum(marks) > 0
+    doc = np.searchsorted(seg.starts, start, "right") - 1
+    items: dict[int, set[int]] = {}
+    for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist() if len(doc) else []:
+        items.setdefault(d, set()).update(q.owner_items[q.owner_starts[w] : q.owner_starts[w + 1]].tolist())
+    out = {}
+    for d, found in items.items():
+        inside = np.diff(hit[seg.starts[d] : seg.starts[d + 1]].astype(np.int8), prepend=0, append=0)
+        out[d] = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1), sorted(str(q.item_ids[i]) for i in found)
+    return out
+
+
+def _listed(ranges: list[tuple]) -> list[pa.Array]:
+    starts, stops, items = zip(*ranges) if ranges else ((), (), ())
+    return [pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+
+
 def _reports(held):
-    """Segments -> per document: n_words, hit ranges and ids of the items found."""
+    """Segments -> per document: id, n_words and its hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = held.value
         for row in _scalars(batches):
-            seg = _Segment(row)
-            window, start = seg.phrases(q)
-            marks = np.zeros(seg.span + 1, np.int64)
-            np.add.at(marks, start, 1)
-            np.add.at(marks, start + q.size[window], -1)
-            hit = np.cumsum(marks) > 0
-            doc = np.searchsorted(seg.starts, start, "right") - 1
-            items: dict[int, set[int]] = {}
-            for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist() if len(doc) else []:
-                items.setdefault(d, set()).update(q.owner_items[q.owner_starts[w] : q.owner_starts[w + 1]].tolist())
-            starts, stops, names = [], [], []
-            for d in range(len(seg.n_words)):
-                if d in items:
-                    inside = np.diff(hit[seg.starts[d] : seg.starts[d + 1]].astype(np.int8), prepend=0, append=0)
-                    starts.append(np.flatnonzero(inside == 1))
-                    stops.append(np.flatnonzero(inside == -1))
-                    names.append(sorted(str(q.item_ids[i]) for i in items[d]))
-                else:
-                    starts.append([])
-                    stops.append([])
-                    names.append([])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    row["ids"].values,
-                    pa.array(seg.n_words),
-                    pa.array(starts, pa.list_(pa.int64())),
-                    pa.array(stops, pa.list_(pa.int64())),
-                    pa.array(names, pa.list_(pa.string())),
-                ],
-                names=["id", "n_words", "starts", "stops", "items"],
-            )
+            seg = _Segment(row, held.value)
+            hits = _hits(seg, held.value)
+            ranges = _listed([hits.get(d, ((), (), ())) for d in range(len(seg.n_words))])
+            yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(seg.n_words), *ranges], names=["id", "n_words", "starts", "stops", "items"])
 
     return run
 
 
+def _hit_documents(held):
+    """Segments -> per document with hits: segment, place in it and the hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _scalars(batches):
+            hits = _hits(_Segment(row, held.value), held.value)
+            at = [pa.array([row["segment"].as_py()] * len(hits), pa.int64()), pa.array(list(hits), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*at, *_listed(list(hits.values()))], names=["segment", "doc", "starts", "stops", "items"])
+
+    return run
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _scalars(batches):
+        ids, n_words = row["ids"].values, np.frombuffer(row["n_words"].as_buffer(), np.int64)
+        at = [pa.array(np.full(len(ids), row["segment"].as_py(), np.int64)), pa.array(np.arange(len(ids), dtype=np.int32))]
+        yield pa.RecordBatch.from_arrays([*at, ids, pa.array(n_words)], names=["segment", "doc", "id", "n_words"])
+
+
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hits, counts, digests = [], [], []
+        hits, counts, digests, ranges = [], [], [], []
         for row in batch.select(["starts", "stops", "items"]).to_pylist():
-            merged = reach = 0
-            for a, b in sorted(zip(row["starts"], row["stops"])):
-                merged += max(0, b - max(a, reach))
-                reach = max(reach, b)
-            items = sorted(set(row["items"]))
-            hits.append(merged)
+            merged: list[list[int]] = []
+            for a, b in sorted(zip(row["starts"] or (), row["stops"] or ())):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            items = sorted(set(row["items"] or ()))
+            hits.append(sum(b - a for a, b in merged))
             counts.append(len(items))
             digests.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+            ranges.append(([a for a, _ in merged], [b for _, b in merged], items))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()),
-                pa.array(digests), batch.column("starts"), batch.column("stops"), batch.column("items"),
+                pa.array(digests, pa.string()), *_listed(ranges),
             ],
             names=["id", "n_words", "n_hit", "n_items", "items_sha256", "starts", "stops", "items"],
         )
@@ -305,50 +324,46 @@ def contamination(
 
     ``starts``/``stops`` are the ranges of hit words.  Items of fewer than ``width`` words, but not none, are
     one window of their own length.  Null texts have no words; null and empty items match nothing; an empty
-    benchmark leaves every document clean.  Rows of the benchmark that repeat an id count once.  If ids of
-    documents repeat, each row is judged alone.  Other columns are ignored.
+    benchmark leaves every document clean and an empty table gives an empty table.  Rows of the benchmark that repeat an id count
+    once.  If ids of documents repeat, each row is judged alone.  Other columns are ignored.  A text is indexed whole
+    whatever its length; it must fit a task, as a row does.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    report = "id {kind}, n_words bigint, starts array<bigint>, stops array<bigint>, items array<string>"
-    blocks = list(_broadcast_blocks(spark, query_blocks(items, item_id_col, item_text_col, width)))
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(Windows([], width))]
-    if len(blocks) == 1:
-        index = build_index(docs, blocks[0].value.vocabulary, id_col, text_col)
-        found = index.mapInArrow(_reports(blocks[0]), report.format(kind=kind))
+    blocks = query_blocks(items, item_id_col, item_text_col, width)
+    block, more = next(blocks, Windows([], width)), next(blocks, None)
+    index = build_index(docs, id_col, text_col)
+    if more is None:
+        held = spark.sparkContext.broadcast(block)
+        found = index.mapInArrow(_reports(held), f"id {kind}, n_words bigint, {RANGES}")
     else:
-        # ids may repeat or be null, so the results of blocks are put together by a number that each row is written with
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
-        found = None
-        for held in blocks:
-            index = build_index(rows, held.value.vocabulary, "row", "text")
-            part = index.mapInArrow(_reports(held), report.format(kind="bigint"))
-            found = part if found is None else found.union(part)
-        found = found.groupBy(F.col("id").alias("row"), "n_words").agg(
-            F.flatten(F.collect_list("starts")).alias("starts"),
-            F.flatten(F.collect_list("stops")).alias("stops"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        )
-        found = found.join(rows.select("row", "id"), "row").select("id", "n_words", "starts", "stops", "items")
+        # a block's hits are written before the next one is fetched; only documents with hits are shuffled with them
+        schema = f"segment bigint, doc int, {RANGES}"
+        hits = _by_block(index, chain([block, more], blocks), _hit_documents, schema, "benchmark-hits")
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "stops", "items")]
+        rows = index.select("segment", "ids", "n_words").mapInArrow(_documents, f"segment bigint, doc int, id {kind}, n_words bigint")
+        found = rows.join(hits.groupBy("segment", "doc").agg(*lists), ["segment", "doc"], "left").drop("segment", "doc")
     return found.mapInArrow(
-        _summary,
-        f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string,"
-        " starts array<bigint>, stops array<bigint>, items array<string>",
+        _summary, f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, {RANGES}"
     )
 
 
-def _broadcast_blocks(spark: SparkSession, blocks: Iterator[Windows]):
+def _by_block(index: DataFrame, blocks: Iterable[Windows], search, schema: str, name: str) -> DataFrame:
+    """What ``search`` finds in the segments, a job for each block; one block at a time is held."""
+    spark = index.sparkSession
+    path = scratch(spark, name)
     for block in blocks:
-        yield spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast(block)
+        index.mapInArrow(search(held), schema).write.mode("append").parquet(path)
+        held.unpersist()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _matches(held, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = held.value
         for row in _scalars(batches):
-            seg = _Segment(row)
+            seg = _Segment(row, q)
             out: dict[str, list] = {"id": [], "item": [], "kind": [], "position": []}
             exact = seg.phrases(q)
             keys = row["ids"].values.to_pylist()
@@ -390,11 +405,11 @@ def matches(
 
     A window is matched by proximity at an occurrence of its rarest term where some ``size + slop`` words in a row hold
     that and all other terms, each as often as the window has it; windows that the document holds as a phrase are not repeated.
+    Null and empty texts and items match nothing; an empty table on either side gives an empty table.  Rows of ``docs`` that
+    share an id, or have none, are searched each by itself and give rows each.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    out = spark.createDataFrame([], f"id {kind}, item string, kind string, position bigint")
-    for held in _broadcast_blocks(spark, query_blocks(items, item_id_col, item_text_col, width)):
-        index = build_index(docs, held.value.vocabulary, id_col, text_col)
-        out = out.union(index.mapInArrow(_matches(held, slop), out.schema))
-    return out
+    blocks = query_blocks(items, item_id_col, item_text_col, width)
+    blocks = chain([next(blocks, Windows([], width))], blocks)
+    schema = f"id {kind}, item string, kind string, position bigint"
+    return _by_block(build_index(docs, id_col, text_col), blocks, lambda held: _matches(held, slop), schema, "benchmark-matches")
