@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import frugal, stored, text_segments
-from claimloom.llm.components import components
+from claimloom.operators.components import components
 
 SHINGLE = 3
 SEED = 42
@@ -137,17 +137,16 @@ def links(prints: DataFrame) -> DataFrame:
         )
         .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     )
-    salt = F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / BLOCK))
+    parts = F.ceil(F.col("n") / BLOCK)
+    salt = F.pmod(F.xxhash64("fp", F.lit(7)), parts)
     blocks = (
         posts.where(F.col("n") > SMALL_LIST)
-        .groupBy("key", salt.alias("salt"))
+        .groupBy("key", parts.alias("parts"), salt.alias("salt"))
         .agg(F.collect_list("fp").alias("fps"))
     )
-    tiles = (
-        blocks.alias("a")
-        .join(blocks.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") <= F.col("b.salt")))
-        .select(F.col("a.fps").alias("x"), F.col("b.fps").alias("y"))
-    )
+    # each block goes to its partners, so the tiles of one list are dealt out by list and block
+    sent = blocks.select("key", F.explode(F.sequence("salt", F.col("parts") - 1)).alias("salt"), F.col("fps").alias("x"))
+    tiles = sent.join(blocks.select("key", "salt", F.col("fps").alias("y")), ["key", "salt"]).select("x", "y")
     return pairs.union(tiles.mapInArrow(_tiles, "u bigint, v bigint")).distinct()
 
 
