@@ -75,7 +75,9 @@ def test_triples_cover_every_choice_of_shared_bytes():
     assert all(any(set(t) <= set(c) for t in simhash.TRIPLES) for c in combinations(range(8), simhash.MIN_SHARED_BYTES))
 
 
-def test_long_lists_link_like_short_ones(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])  # one block, several blocks and their pairs
+def test_long_lists_link_like_short_ones(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     base = RNG.getrandbits(64)
     prints = {base} | {base ^ sum(1 << b for b in RNG.sample(range(64), 2)) for _ in range(80)} | {RNG.getrandbits(64) for _ in range(50)}
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
@@ -198,6 +200,35 @@ def test_blocks_of_queries_keep_rows_of_repeated_and_null_ids_apart(spark, monke
         assert sorted((str(r["id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == want
 
 
+def test_index_holds_every_token_of_whole_texts(spark):
+    texts = ["b A b", None, "", "c-a", prose(30_000)]
+    rows = decontaminate.build_index(documents(spark, texts).repartition(1)).collect()
+    got = Counter()
+    for row in rows:
+        starts = np.cumsum([0, *np.frombuffer(row["n_words"], np.int64)])
+        positions = np.cumsum(np.frombuffer(row["steps"], np.int32))
+        words = np.repeat(np.array([bytes(t).decode() for t in row["terms"]]), np.frombuffer(row["lengths"], np.int32))
+        for word, at in zip(words.tolist(), positions.tolist()):
+            doc = int(np.searchsorted(starts, at, "right")) - 1
+            got[row["ids"][doc], word, at - int(starts[doc])] += 1
+    want = Counter((k, w, at) for k, t in enumerate(texts) for at, w in enumerate((t or "").lower().replace("-", " ").split()))
+    assert got == want
+
+
+def test_matches_of_odd_rows_in_several_blocks(spark, monkeypatch):
+    items = [(1, prose(12)), (1, "lone"), (2, prose(15)), (3, None), (4, "")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = [items[0][1], None, "", "x lone y lone", items[2][1] + " " + items[0][1]]
+    docs = spark.createDataFrame([(i, t, "z") for i in (5, 5, None) for t in texts], "doc_id bigint, text string, item string")
+    for words in (1 << 20, 10):
+        monkeypatch.setattr(decontaminate, "QUERY_WORDS", words)
+        got = Counter((r["id"], r["item"], r["position"]) for r in decontaminate.matches(docs, table).collect() if r["kind"] == "phrase")
+        each = Counter({("1", at): 1 for at in (0, 1, 2)}) + Counter([("1", 1), ("1", 3)]) + Counter([("2", k) for k in range(6)] + [("1", 15 + k) for k in range(3)])
+        assert got == Counter({(i, *key): n * times for i, times in ((5, 2), (None, 1)) for key, n in each.items()})
+        assert decontaminate.matches(docs.limit(0), table).count() == 0
+        assert decontaminate.matches(docs, table.limit(0)).count() == 0
+
+
 def test_phrase_and_proximity_matches(spark):
     item = "one two three four five six seven eight nine ten"
     near = "one two three four five x six seven eight nine y ten"
@@ -525,7 +556,7 @@ def test_each_group_of_near_copies_keeps_one_row(spark):
 
 
 def test_components(spark):
-    from claimloom.llm.components import components
+    from claimloom.operators.components import components
 
     edges = [(k, k + 1) for k in range(20)] + [(30, k) for k in range(31, 60)] + [(70, 70), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
