@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+_runs: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where it is unset and the master is local (tests, a laptop) a local folder."""
@@ -22,9 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """(file system, path) as the JVM knows them."""
+    sc = spark.sparkContext
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(sc._jsc.hadoopConfiguration()), there
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's own part of the shared folder, which goes when the driver's JVM ends in order."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        folder = f"{shared_folder(spark)}/claimloom-{app}-{uuid.uuid4().hex}"
+        files, there = _hadoop(spark, folder)
+        files.mkdirs(there)
+        files.deleteOnExit(there)
+        _runs[app] = folder
+    return f"{_runs[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a path of :func:`scratch`; for data that nothing reads any more."""
+    files, there = _hadoop(spark, path)
+    files.delete(there, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
