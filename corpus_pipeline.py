@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import stages
 from claimloom.llm.common import load, scratch
+from claimloom.storage import drop
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -24,10 +25,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for the ``documents`` of ``sf_dir``."""
-    docs = load(spark, sf_dir, "documents")
+    """The rows of the last stage for the ``documents`` of ``sf_dir``.  A stage's table goes when the next one is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
