@@ -55,7 +55,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimloom.llm.pii import KINDS, detect, text_of_spans
 
     found = detect(load(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select(
         F.col("id").alias("doc_id"),
         *(count(k) for k in KINDS),

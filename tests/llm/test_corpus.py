@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from claimloom.llm import byte_bpe, decontaminate, embeddings, pii, quality, repair, simhash, token_counts, toxicity, urls
+from claimloom.llm import byte_bpe, decontaminate, embeddings, pii, quality, queries, repair, simhash, token_counts, toxicity, urls
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(1, 6))) for _ in range(60)]
@@ -330,6 +330,19 @@ def test_discovery_of_each_kind_outlives_strays_of_the_others(spark, kind):
     assert found_spans(spark, texts)[-1] == {(kind, unseen[kind])}
 
 
+def test_counts_of_the_query_are_those_of_the_fixed_rules_beside_learned_spans(spark, tmp_path):
+    texts = [*(f"so reach at +14155550{k:03d} today" for k in range(40)), "so reach at 415-555-0199 today", None]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op9_pii(spark, str(tmp_path)).collect()}
+    learned = 0
+    for k, text in enumerate(texts):
+        base = pii.base_spans(text or "")
+        assert [rows[k][f"n_{kind}"] for kind in pii.KINDS] == [sum(s[0] == kind for s in base) for kind in pii.KINDS]
+        assert rows[k]["base_sha256"] == hashlib.sha256(pii.joined_spans(base).encode()).hexdigest()
+        learned += len(rows[k]["spans"].split(",")) - len(base) if rows[k]["spans"] else 0
+    assert learned == 1
+
+
 def test_identifiers_of_several_words_and_long_ones_are_found(spark):
     cards = [" ".join(c[k : k + 4] for k in range(0, 16, 4)) for c in luhn_cards(60)]
     mail = "n" * 90 + "7@localhost"
