@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom import render
@@ -12,7 +12,7 @@ from claimloom.config import FieldSpec, OutputConfig, default_config
 from claimloom.functions import dates, phones, places, skills, text
 from claimloom.operators import enrich, fuse, link
 from claimloom.plans import file_queries, project
-from claimloom.plans.tables import CLAIMS_SQL, CLUSTERS_SQL, FUSED_SQL, claims_from_tables, load
+from claimloom.plans.tables import CLAIMS_SQL, CLUSTERS_SQL, FUSED_SQL, claims_from_tables, dealt, load
 from claimloom.sources import resume
 from claimloom.storage import stored
 
@@ -209,7 +209,8 @@ def skill_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelled names; the likeness of common subsequences has no SQL form."""
     k = F.col("p_partkey") % 6
     raw = F.when(k == 0, "kubernets").when(k == 1, "pythonn").when(k == 2, "machne learning").when(k == 3, "apis rest").when(k == 4, F.col("p_brand")).otherwise("postgresq")
-    return load(spark, sf_dir, "part").select("p_partkey", skills.canonical_skill(raw).alias("s")).select("p_partkey", "s.*")
+    parts = dealt(load(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return parts.select("p_partkey", skills.canonical_skill(raw).alias("s")).select("p_partkey", "s.*")
 
 
 _SCAN_VALUES = ", ".join(f"('{a}', '{skills.aliases()[a]}')" for a in skills.prose_aliases())
@@ -316,7 +317,16 @@ def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.coalesce("text", F.lit(""))
     entry = F.concat(F.lit("B.S. in "), F.coalesce("lang", F.lit("x")), F.lit(", 2014 - 2018"))
     parts = [whole, F.lit("Education:"), entry, F.lit("GPA 3.9"), whole, F.lit(" SUMMARY "), whole, F.lit("education"), entry, whole]
-    return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("text"))
+    return dealt(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id").select("doc_id", F.concat_ws("\n", *parts).alias("text"))
+
+
+def _unrolled(rows: DataFrame, key: str, items: Column) -> DataFrame:
+    """(key, pos, *fields) of each of the structs in ``items``.
+
+    Of an outer explosion Spark infers no filter on the array's size, which it would push below and work out again, unfolded, for every row.
+    """
+    each = rows.select(key, items.alias("items")).select(key, F.posexplode_outer("items").alias("pos", "item"))
+    return each.where("pos is not null").select(key, "pos", "item.*")
 
 
 _HEADING_VALUES = ", ".join(f"('{h}', '{s}')" for h, s in resume.HEADINGS.items())
@@ -335,23 +345,23 @@ _HEADING_VALUES = ", ".join(f"('{h}', '{s}')" for h, s in resume.HEADINGS.items(
 def resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each section by the résumé reader, as count and digest; every document has a header, if an empty one."""
     cut = _resumes(spark, sf_dir).select("doc_id", resume.spans(resume.lines_of(F.col("text"))).alias("spans"))
-    names = cut.select("doc_id", "spans", F.explode(F.array_distinct(F.col("spans.section"))).alias("section"))
-    lines = F.flatten(F.transform(F.filter("spans", lambda s: s["section"] == F.col("section")), lambda s: s["lines"]))
-    return names.select("doc_id", "section", lines.alias("lines")).select(
-        "doc_id", "section", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256")
-    )
+    of = lambda spans, name: F.flatten(F.transform(F.filter(spans, lambda s: s["section"] == name), lambda s: s["lines"]))
+    told = lambda name, lines: F.struct(name.alias("section"), F.size(lines).alias("n_lines"), F.sha2(F.array_join(lines, "\n"), 256).alias("lines_sha256"))
+    each = text.once(F.col("spans"), lambda spans: F.transform(F.array_distinct(spans["section"]), lambda name: text.once(of(spans, name), lambda lines: told(name, lines))))
+    return _unrolled(cut.select("doc_id", each.alias("each")), "doc_id", F.col("each")).drop("pos")
 
 
 @query()
 def resume_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schools by the résumé reader, which looks ahead for the institution."""
     found = resume.take_apart(_resumes(spark, sf_dir))
-    return found.select("doc_id", F.posexplode("found.schools").alias("pos", "s")).select("doc_id", "pos", "s.*")
+    return _unrolled(found, "doc_id", F.col("found.schools"))
 
 
 def _curricula(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, found): a résumé of every customer, taken apart."""
-    rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = dealt(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    rows = customers.join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key, segment = F.col("c_custkey").cast("string"), F.lower("c_mktsegment")
     year = lambda start, of: (F.col("c_custkey") % of + start).cast("string")
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
@@ -384,13 +394,13 @@ def resume_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, unnest(['links.github', 'links.linkedin', 'links.portfolio', 'links.other']) AS field,
  unnest(['https://github.com/user' || c_custkey, 'https://linkedin.com/in/p' || c_custkey, 'https://' || lower(c_mktsegment) || '.example.org/' || c_custkey, 'https://more.example.net/' || c_custkey]) AS url FROM customer""")
 def resume_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curricula(spark, sf_dir).select("c_custkey", F.explode("found.links").alias("u")).select("c_custkey", "u.*")
+    return _unrolled(_curricula(spark, sf_dir), "c_custkey", F.col("found.links")).drop("pos")
 
 
 @query("""SELECT c_custkey, 0 AS pos, 'Engineer' AS title, lower(c_mktsegment) || ' Corp' AS company, 'Jan 2019 - Present' AS dates FROM customer
  UNION ALL SELECT c_custkey, 1, n_name || ' Analyst', 'Firm ' || c_custkey, '2011 to 2014' FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def resume_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curricula(spark, sf_dir).select("c_custkey", F.posexplode("found.jobs").alias("pos", "j")).select("c_custkey", "pos", "j.*")
+    return _unrolled(_curricula(spark, sf_dir), "c_custkey", F.col("found.jobs"))
 
 
 @query("""WITH c AS (SELECT c_custkey, lower(c_mktsegment) AS s, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -399,7 +409,7 @@ def resume_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT c_custkey, 2, NULL, 'Class XII', NULL, CAST(1980 + c_custkey % 10 AS INT) FROM c
  UNION ALL SELECT c_custkey, 3, NULL, 'Diploma', NULL, 1979 FROM c""")
 def resume_education(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curricula(spark, sf_dir).select("c_custkey", F.posexplode("found.schools").alias("pos", "e")).select("c_custkey", "pos", "e.*")
+    return _unrolled(_curricula(spark, sf_dir), "c_custkey", F.col("found.schools"))
 
 
 @query("""SELECT c_custkey, concat_ws(',', lower(c_mktsegment), 'k8s', 'c++', n_name, 'Python') AS skills FROM customer JOIN nation ON c_nationkey = n_nationkey""")

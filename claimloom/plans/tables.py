@@ -14,6 +14,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Tasks a core that rows with much work each are dealt out to.
+TASKS_A_CORE = 4
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key: a small file is one range or row group, so one task would do all the work on its rows."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * TASKS_A_CORE, key)
+
+
 def _claim(path: str, conf: str, seq, value: Column | None = None, num: Column | None = None, exp: Column | None = None, edu: Column | None = None, norm: str | None = None) -> Column:
     empty = lambda kind: F.lit(None).cast(kind)
     return F.struct(
