@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import dates, phones, skills
-from claimloom.plans.tables import load
+from claimloom.plans.tables import dealt, load
 from claimloom.sources import files, listing, tables
 from claimloom.storage import scratch
 
@@ -41,6 +41,35 @@ def _claims(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Keys that one window over the lines of a file spans.
+KEYS_A_WINDOW = 4096
+
+
+def _ranges(lines: DataFrame, file: str, key: str, header: str, end: str, size: int) -> DataFrame:
+    """(``file``, part, content): files of lines in order of a key, below a header and ``end`` between them, in ranges of ``size`` bytes.
+
+    No file is put together: sums of the lengths over windows of keys, and inside of them, tell where a line stands, and each
+    range gathers the lines that it holds.
+    """
+    spaced = lines.withColumn("_window", F.floor(F.col(key) / KEYS_A_WINDOW)).withColumn("_size", F.octet_length("line") + len(end))
+    windows = spaced.groupBy(file, "_window").agg(F.sum("_size").alias("_all"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    windows = windows.select(file, "_window", F.coalesce(F.sum("_all").over(earlier(file).orderBy("_window")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_size").over(earlier(file, "_window").orderBy(key, "line")), F.lit(0))
+    placed = spaced.withColumn("_inside", inside).join(windows, [file, "_window"]).withColumn("_told", F.col("_before") + F.col("_inside"))
+    first = F.col("_told") == 0
+    bytes = F.concat(F.when(first, header).otherwise(end), "line").cast("binary")
+    start = F.when(first, 0).otherwise(F.col("_told") + len(header.encode()) - len(end)).cast("bigint")
+    pieces = placed.select(file, start.alias("start"), bytes.alias("bytes"))
+    to = F.floor((F.col("start") + F.octet_length("bytes") - 1) / size)
+    cut = pieces.select("*", F.explode(F.sequence(F.floor(F.col("start") / size), to)).alias("part"))
+    at = F.greatest(F.lit(0), F.col("part") * size - F.col("start")).cast("int")
+    upto = F.least(F.octet_length("bytes"), (F.col("part") + 1) * size - F.col("start")).cast("int")
+    cut = cut.select(file, "part", "start", F.decode(F.substring("bytes", at + 1, upto - at), "ISO-8859-1").alias("plain"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "plain"))), lambda p: p["plain"]), "")
+    return cut.groupBy(file, "part").agg(F.encode(whole, "ISO-8859-1").alias("content"))
+
+
 def table_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as recruiters' tables, one for each nation, cut into ranges of 997 bytes that split quotes and characters."""
     rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -54,13 +83,10 @@ def table_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 2 == 0, quote("c_mktsegment")).otherwise(F.col("c_mktsegment")),
         F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("n_name")),
     ]
-    line = F.concat_ws(",", *cells)
-    ordered = F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line"))))
-    texts = rows.groupBy("n_nationkey").agg(F.concat(F.lit("Candidate ID,Full Name,E-Mail,employer,Role\r\n"), F.array_join(F.transform(ordered, lambda r: r["line"]), "\r\n\n")).alias("text"))
-    plain = F.decode(F.col("text").cast("binary"), "ISO-8859-1")
-    starts = F.sequence(F.lit(0), F.ceil(F.length(plain) / 997).cast("int") - 1)
-    cut = texts.select(F.concat(F.lit("nation"), "n_nationkey", F.lit(".csv")).alias("path"), plain.alias("plain"), F.explode(starts).alias("part"))
-    ranges = cut.select("path", F.col("part").cast("bigint").alias("part"), F.encode(F.substring("plain", F.col("part") * 997 + 1, 997), "ISO-8859-1").alias("content"))
+    lines = rows.select("n_nationkey", "c_custkey", F.concat_ws(",", *cells).alias("line"))
+    path = F.concat(F.lit("nation"), "n_nationkey", F.lit(".csv"))
+    ranges = _ranges(lines, "n_nationkey", "c_custkey", "Candidate ID,Full Name,E-Mail,employer,Role\r\n", "\r\n\n", 997)
+    ranges = ranges.select(path.alias("path"), "part", "content")
     return _claims(files.table_rows(ranges))
 
 
@@ -154,11 +180,12 @@ def skill_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("p_partkey") % F.length("alias")).cast("int")
     lost = F.concat(F.substring("alias", F.lit(1), at), F.substring("alias", at + 2, F.lit(99)))
     doubled = F.concat(F.substring("alias", F.lit(1), at + 1), F.substring("alias", at + 1, F.lit(99)))
-    parts = load(spark, sf_dir, "part").withColumn("alias", alias)
+    parts = dealt(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey").withColumn("alias", alias)
     k = F.col("p_partkey") % 4
     raw = F.when(k == 0, lost).when(k == 1, F.upper(doubled)).when(k == 2, F.concat(F.lit(" "), F.col("p_name"))).otherwise(F.concat("p_type", F.lit(" "), "alias"))
     made = parts.select(F.lit("p").alias("k"), F.col("p_partkey").alias("id"), raw.alias("raw"))
-    firsts = load(spark, sf_dir, "documents").select(F.lit("d"), "doc_id", F.substring_index(F.coalesce("text", F.lit("")), " ", 1))
+    firsts = load(spark, sf_dir, "documents").select(F.lit("d"), "doc_id", F.substring_index(F.coalesce("text", F.lit("")), " ", 1).alias("raw"))
+    firsts = dealt(firsts, "doc_id")
     return made.union(firsts).select("k", "id", skills.canonical_skill(F.col("raw")).alias("s")).select("k", "id", "s.*")
 
 
