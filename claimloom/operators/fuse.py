@@ -230,8 +230,22 @@ def _newest(entry: Column, by: str, then: str) -> Column:
     return F.transform(F.sort_array(F.collect_list(keyed), asc=False), lambda k: k["e"])
 
 
-def fuse(claims: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Profiles of all clusters: (cluster, *PROFILE), in one pass over the claims."""
+def asked(claims: DataFrame, fields: set[str]) -> DataFrame:
+    """Claims that the given fields of profiles and their ids rest on; of other claims their records once, without what they say."""
+    root = F.coalesce(F.substring_index("field_path", ".", 1), F.lit(""))
+    wanted = root.isin(*{"candidate_id", "emails", "full_name", *fields})
+    # a record may hold nothing else, and its key may still name the profile
+    bare = claims.where(~wanted).select("source", "record_key").distinct()
+    empty = [F.col(f.name) if f.name in bare.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in claims.schema]
+    return claims.where(wanted).union(bare.select(*empty))
+
+
+def fuse(claims: DataFrame, clusters: DataFrame, fields: set[str] | None = None) -> DataFrame:
+    """Profiles of all clusters: (cluster, *PROFILE), in one pass over the claims.
+
+    ``fields`` names the parts of profiles that are read afterwards, if not all are; others but the id, name and
+    addresses are left empty, so neither confidences nor traces may be read then.
+    """
     from claimloom.operators.assemble import profiles
 
-    return profiles(clustered(claims, clusters))
+    return profiles(clustered(claims if fields is None else asked(claims, fields), clusters))

@@ -167,6 +167,12 @@ def _extras(config: OutputConfig) -> list[str]:
     return ["overall_confidence"] * config.include_confidence + ["provenance"] * config.include_provenance
 
 
+def roots(config: OutputConfig) -> set[str] | None:
+    """Parts of profiles that a configuration reads; None if these rest on all claims, as confidences and traces do."""
+    read = {segments(spec.source_path)[0][0] for spec in config.fields} | set(_extras(config))
+    return None if read & {"overall_confidence", "provenance"} else read
+
+
 def project(profiles: DataFrame, config: OutputConfig, mode: str = "strict") -> DataFrame:
     """The configured columns of every profile.
 

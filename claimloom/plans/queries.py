@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _strong(claims: DataFrame) -> DataFrame:
-    recs = link.records(claims)
+    recs = stored(link.records(claims), "records")
     return recs.select("rid", "source", "record_key").join(link.strong_clusters(recs), "rid").drop("rid")
 
 
@@ -43,9 +43,9 @@ def _parts(spark: SparkSession, sf_dir: str) -> fuse.Parts:
     return fuse.Parts(stored(fuse.clustered(claims, _strong(claims)), "clustered-claims"))
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profiles(spark: SparkSession, sf_dir: str, fields: set[str] | None = None) -> DataFrame:
     claims = stored(claims_from_tables(spark, sf_dir), "claims")
-    return fuse.fuse(claims, _strong(claims))
+    return fuse.fuse(claims, _strong(claims), fields)
 
 
 @query(f"WITH {CLAIMS_SQL} SELECT source, record_key, CAST(seq AS BIGINT) AS seq, field_path, value_str, value_num, company, start, institution, end_year, CAST(conf AS INT) AS conf, method, norm FROM claims")
@@ -437,32 +437,32 @@ _SCALAR = lambda f: f"(SELECT value FROM scalars s WHERE s.cluster = c.cluster A
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT candidate_id AS id, {_SCALAR('full_name')} AS name, {_SCALAR('location.region')} AS area, overall_confidence FROM cids c JOIN overall USING (cluster)")
 def project_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = OutputConfig((FieldSpec("id", "candidate_id", "string", True), FieldSpec("name", "full_name"), FieldSpec("area", "location.region", "string")), include_confidence=True)
-    return project.project(_profiles(spark, sf_dir), config)
+    return project.project(_profiles(spark, sf_dir, project.roots(config)), config)
 
 
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT candidate_id, items[1] AS first_email, items[3] AS third_email FROM cids c LEFT JOIN lists l ON l.cluster = c.cluster")
 def project_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = OutputConfig((FieldSpec("candidate_id"), FieldSpec("first_email", "emails[0]", "string"), FieldSpec("third_email", "emails[2]", "string")))
-    return project.project(_profiles(spark, sf_dir), config)
+    return project.project(_profiles(spark, sf_dir, project.roots(config)), config)
 
 
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT candidate_id, coalesce((SELECT string_agg(upper(name), ',' ORDER BY name) FROM skills s WHERE s.cluster = c.cluster), '') AS skills FROM cids c")
 def project_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = OutputConfig((FieldSpec("candidate_id"), FieldSpec("skills", "skills[].name", "string[]", normalize="upper")))
-    return project.project(_profiles(spark, sf_dir), config).withColumn("skills", F.array_join("skills", ","))
+    return project.project(_profiles(spark, sf_dir, project.roots(config)), config).withColumn("skills", F.array_join("skills", ","))
 
 
 @query(f"""WITH RECURSIVE {FUSED_SQL} SELECT candidate_id, '{{"candidate_id":"' || candidate_id || '"' || coalesce(',"region":"' || {_SCALAR('location.region')} || '"', '') || ',"headline":null}}' AS json FROM cids c""")
 def project_on_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = OutputConfig((FieldSpec("candidate_id"), FieldSpec("region", "location.region", on_missing="omit"), FieldSpec("headline")))
-    return project.to_json(_profiles(spark, sf_dir), config)
+    return project.to_json(_profiles(spark, sf_dir, project.roots(config)), config)
 
 
 @query(f"""WITH RECURSIVE {FUSED_SQL} SELECT candidate_id, CASE WHEN {_SCALAR('full_name')} IS NULL THEN 'required field ''full_name'' is missing or null' ELSE '' END
  || CASE WHEN {_SCALAR('years_experience')} IS NOT NULL THEN CASE WHEN {_SCALAR('full_name')} IS NULL THEN '|' ELSE '' END || 'field ''years'' expected type ''string'' but got ''number''' ELSE '' END AS errors FROM cids c""")
 def project_type_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = OutputConfig((FieldSpec("candidate_id"), FieldSpec("full_name", required=True), FieldSpec("years", "years_experience", "string")))
-    rows = project.project(_profiles(spark, sf_dir), config, "permissive")
+    rows = project.project(_profiles(spark, sf_dir, project.roots(config)), config, "permissive")
     return rows.select("candidate_id", F.array_join("_errors", "|").alias("errors"))
 
 
@@ -472,7 +472,7 @@ def project_type_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
  theirs AS (SELECT DISTINCT source, record_key, CASE WHEN field_path = 'full_name' THEN lower(value_str) ELSE value_str END AS id FROM claims WHERE field_path IN ('emails', 'phones', 'candidate_id', 'full_name'))
  SELECT DISTINCT candidate_id, source, record_key FROM theirs JOIN mine USING (id)""")
 def identifier_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link.attribute_sources(_profiles(spark, sf_dir), claims_from_tables(spark, sf_dir))
+    return link.attribute_sources(_profiles(spark, sf_dir, {"candidate_id", "emails", "phones", "full_name"}), claims_from_tables(spark, sf_dir))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS candidate_id, CASE WHEN c_custkey % 4 = 0 THEN 'Set' WHEN c_custkey % 2 = 0 THEN 'Works on ' || c_mktsegment END AS headline,

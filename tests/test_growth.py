@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.plans import file_queries, queries
+from claimloom.config import FieldSpec, OutputConfig
+from claimloom.operators import fuse
+from claimloom.plans import file_queries, project, queries
+from claimloom.schema import CLAIMS
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +42,19 @@ def test_ranges_are_those_of_whole_files(spark):
         whole = ("Kopf é\r\n" + "\r\n\n".join(line for g, _, line in lines if g == f)).encode()
         want |= {(f, n): whole[7 * n : 7 * n + 7] for n in range(-(-len(whole) // 7))}
     assert {(r["f"], r["part"]): bytes(r["content"]) for r in got} == want and len(got) == len(want)
+
+
+def test_claims_that_a_projection_does_not_read_are_not_fused(spark):
+    job = ("Acme", "Clerk", "2020-01", None, None)
+    rows = [("csv_recruiter", "a", k, "experience", None, None, (f"Acme{k}", *job[1:]), None, None, "m", None) for k in range(50)]
+    rows += [("csv_recruiter", r, 90, f, v, None, None, None, None, "m", None) for r, f, v in (("a", "emails", "x@y.z"), ("b", "location.region", "R"), ("c", None, "v"), ("c", "skills", "go"))]
+    claims = spark.createDataFrame(rows, CLAIMS).withColumn("raw_confidence", F.lit("0.90").cast("decimal(3,2)"))
+    config = OutputConfig((FieldSpec("candidate_id"), FieldSpec("mail", "emails[0]"), FieldSpec("region", "location.region")))
+    assert project.roots(config) == {"candidate_id", "emails", "location"}
+    assert project.roots(OutputConfig(config.fields, include_confidence=True)) is None
+    assert project.roots(OutputConfig((FieldSpec("t", "provenance"),))) is None
+    kept = fuse.asked(claims, project.roots(config))
+    assert kept.schema == claims.schema and kept.where("value_exp is not null").isEmpty() and kept.count() == 4
+    clusters = claims.select("source", "record_key").distinct().withColumn("cluster", F.col("record_key"))
+    of = lambda fields: sorted(map(tuple, project.project(fuse.fuse(claims, clusters, fields), config).collect()), key=str)
+    assert of(project.roots(config)) == of(None) and len(of(None)) == 3
