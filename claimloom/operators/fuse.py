@@ -6,13 +6,11 @@ on the order of additions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import company_key, name_key
-from claimloom.schema import LISTS, SCALARS, trust, weight
+from claimloom.functions.text import name_key
+from claimloom.schema import LISTS, SCALARS, trust
 
 # Fixed values, in ten-thousandths: boost per further source and at most, highest confidence, share left after a conflict.
 BOOST, BOOST_MOST, HIGHEST, AFTER_CONFLICT = 500, 1500, 9900, 7000
@@ -33,106 +31,63 @@ def confidence(support: Column, sources: Column, conflict: Column) -> Column:
     return F.when(conflict, F.round(sure * AFTER_CONFLICT / 10000)).otherwise(sure).cast("int")
 
 
-def resolve(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """keys + (value, winner, conflict, support, n_sources, lineage): the value with the most trusted backer.
-
-    Ties go to the alphabetically first source, then to the first value seen (record, then order inside).
-    ``support``, ``n_sources`` and ``lineage`` speak of the winner's backers only.
-    """
-    backed = rows.groupBy(*keys, value).agg(
-        F.max("trust").alias("t"),
-        F.min_by("source", F.struct(-F.col("trust"), F.col("source"))).alias("winner"),
-        F.min(F.struct("source", "record_key", "seq")).alias("first"),
-        F.max("support").alias("support"),
-        F.collect_set(F.struct("source", "method", "normalize_method")).alias("lineage"),
-    ).withColumn("n_sources", F.size(F.array_distinct("lineage.source")))
-    best = F.struct(value, "winner", "support", "n_sources", "lineage")
-    picked = backed.groupBy(*keys).agg(
-        F.min_by(best, F.struct(-F.col("t"), F.col("winner"), F.col("first"))).alias("best"), (F.count("*") > 1).alias("conflict")
-    )
-    return picked.select(*keys, "best.*", "conflict")
-
-
 def scalars(claims: DataFrame) -> DataFrame:
-    """(cluster, field_path, value, winner, conflict, units, lineage) of single-valued fields; numbers as text."""
-    value = F.coalesce("value_str", F.col("value_num").cast("string"))
-    rows = claims.where(F.col("field_path").isin(*SCALARS)).withColumn("value", value).where("value is not null")
-    found = resolve(rows, ["cluster", "field_path"])
-    return found.withColumn("units", confidence(F.col("support"), F.col("n_sources"), F.col("conflict")))
+    """(cluster, field_path, value, winner, conflict, units) of single-valued fields; numbers as text."""
+    best = F.col("best")
+    return _entries(claims, *SCALARS).select(
+        "cluster", F.col("field").alias("field_path"), best["value"].alias("value"), best["backer"]["winner"].alias("winner"), "conflict", _units(False)
+    )
 
 
 def string_lists(claims: DataFrame) -> DataFrame:
-    """(cluster, field_path, items, units, lineage): sorted union of values; lists never conflict."""
+    """(cluster, field_path, items, units): sorted union of values; lists never conflict."""
     rows = claims.where(F.col("field_path").isin(*LISTS) & F.col("value_str").isNotNull())
     return rows.groupBy("cluster", "field_path").agg(
         F.array_sort(F.collect_set("value_str")).alias("items"),
         confidence(F.max("support"), F.count_distinct("source"), F.lit(False)).alias("units"),
-        F.collect_set(F.struct("source", "method", "normalize_method")).alias("lineage"),
     )
 
 
 def skills(claims: DataFrame) -> DataFrame:
     """(cluster, name, sources, units)."""
-    rows = claims.where("field_path = 'skills' and value_str != ''")
-    return rows.groupBy("cluster", F.col("value_str").alias("name")).agg(
-        F.array_sort(F.collect_set("source")).alias("sources"),
-        confidence(F.max("support"), F.count_distinct("source"), F.lit(False)).alias("units"),
-    )
+    return _entries(claims, "skills").select("cluster", F.col("entry").alias("name"), F.array_sort("sources").alias("sources"), _units(False))
 
 
-def _grouped(rows: DataFrame, struct: str, keys: list[str], subfields: tuple[str, ...], empty_counts: bool) -> DataFrame:
-    """Entries with their resolved subfields: (keys, one struct per subfield, entry support, sources, lineage).
+def _entries(claims: DataFrame, *fields: str, jobs: tuple[str, ...] = (), schools: tuple[str, ...] = ()) -> DataFrame:
+    """Entries of some fields; see :func:`claimloom.operators.assemble.entries`."""
+    from claimloom.operators import assemble
 
-    The entry as a whole is resolved with its subfields, as one value that every claim backs.
-    """
-    whole = F.struct(F.lit("").alias("sub"), F.lit("").alias("value"))
-    told = lambda value: value.isNotNull() if empty_counts else value != ""
-    parts = [(f, F.col(f"{struct}.{f}").cast("string")) for f in subfields]
-    each = [F.when(told(v), F.struct(F.lit(f).alias("sub"), v.alias("value"))) for f, v in parts]
-    long = rows.select(
-        *keys, "source", "record_key", "seq", "trust", "support", "method", "normalize_method", F.explode(F.array_compact(F.array(whole, *each))).alias("s")
-    ).select("*", "s.sub", "s.value")
-    won = resolve(long, [*keys, "sub"])
-    own = lambda f, *names: F.max_by(F.struct(*names), F.col("sub") == f)
-    wide = won.groupBy(*keys).agg(
-        own("", "support", "n_sources", "lineage").alias("whole"),
-        *(F.max(F.when(F.col("sub") == f, F.struct("value", "winner", "conflict"))).alias(f) for f in subfields),
-    )
-    return wide.select(*keys, "whole.*", *subfields)
+    rows = claims.where(F.col("field_path").isin(*fields))
+    return assemble.entries(assemble.values(rows, jobs, schools, False), jobs, schools).where("best is not null and field != ''")
+
+
+def _units(title: bool) -> Column:
+    from claimloom.operators import assemble
+
+    return assemble.units(title).alias("units")
 
 
 def experience(claims: DataFrame) -> DataFrame:
-    """(cluster, company, title, start, end, units, title_winner, lineage): one entry per employer."""
-    key = F.when(F.coalesce("value_exp.company", F.lit("")) != "", company_key(F.col("value_exp.company"))).otherwise(F.col("record_key"))
-    rows = claims.where("field_path = 'experience' and value_exp is not null").withColumn("entry", key)
-    got = _grouped(rows, "value_exp", ["cluster", "entry"], ("company", "title", "start", "end"), False)
-    contested = F.coalesce("title.conflict", F.lit(False))
-    return got.select(
+    """(cluster, company, title, start, end, units, title_winner): one entry per employer."""
+    parts = ("company", "title", "start", "end")
+    return _entries(claims, "experience", jobs=parts).select(
         "cluster",
-        *(F.col(f"{f}.value").alias(f) for f in ("company", "title", "start", "end")),
-        confidence(F.col("support"), F.col("n_sources"), contested).alias("units"),
-        F.when(contested, F.col("title.winner")).alias("title_winner"),
-        "lineage",
+        *(F.col(f"of_{f}.value").alias(f) for f in parts),
+        _units(True),
+        F.when(F.col("of_title.conflict"), F.col("of_title.winner")).alias("title_winner"),
     )
 
 
 def education(claims: DataFrame) -> DataFrame:
-    """(cluster, institution, degree, field, end_year, units, lineage): one entry per institution and year."""
-    key = company_key(F.coalesce("value_edu.institution", F.lit("")))
-    rows = claims.where("field_path = 'education' and value_edu is not null")
-    rows = rows.withColumn("entry", key).withColumn("year", F.col("value_edu.end_year"))
-    got = _grouped(rows, "value_edu", ["cluster", "entry", "year"], ("institution", "degree", "field"), True)
-    return got.select(
-        "cluster",
-        *(F.col(f"{f}.value").alias(f) for f in ("institution", "degree", "field")),
-        F.col("year").alias("end_year"),
-        confidence(F.col("support"), F.col("n_sources"), F.lit(False)).alias("units"),
-        "lineage",
+    """(cluster, institution, degree, field, end_year, units): one entry per institution and year."""
+    parts = ("institution", "degree", "field")
+    return _entries(claims, "education", schools=parts).select(
+        "cluster", *(F.col(f"of_{f}.value").alias(f) for f in parts), F.col("year").alias("end_year"), _units(False)
     )
 
 
 class Parts:
-    """The branches that a profile is put together from; each is lazy."""
+    """The branches of a profile by themselves; each is lazy and reads its own fields only."""
 
     def __init__(self, claims: DataFrame):
         self.claims = claims
@@ -144,11 +99,14 @@ class Parts:
 
     def candidate_ids(self) -> DataFrame:
         """(cluster, candidate_id, derived): the explicit id, else the first address, name key or record key."""
+        told = F.col("field_path").isin("emails", "full_name")
+        # most claims only name their record: these become one row a record, by the layout of their join, before they are dealt out
+        said = self.claims.select("cluster", "source", "record_key", F.when(told, F.col("field_path")).alias("field_path"), F.when(told, F.col("value_str")).alias("value_str"))
         pick = lambda field: F.min(F.when(F.col("field_path") == field, F.col("value_str")))
-        offered = self.claims.groupBy("cluster").agg(
+        offered = said.distinct().groupBy("cluster").agg(
             pick("emails").alias("email"), pick("full_name").alias("name"), F.min(F.nullif("record_key", F.lit(""))).alias("key")
         )
-        explicit = self.scalars.where("field_path = 'candidate_id' and value != ''").select("cluster", F.col("value").alias("explicit"))
+        explicit = _entries(self.claims, "candidate_id").select("cluster", F.nullif("best.value", F.lit("")).alias("explicit"))
         from_name = F.coalesce(F.nullif(F.replace(name_key(F.col("name")), F.lit(" "), F.lit("_")), F.lit("")), F.col("name"))
         return offered.join(explicit, "cluster", "left").select(
             "cluster",
@@ -158,76 +116,16 @@ class Parts:
 
     def provenance(self) -> DataFrame:
         """(cluster, field, source, method): distinct."""
-        parts = []
-        for rows, field in ((self.scalars, F.col("field_path")), (self.lists, F.col("field_path")), (self.experience, F.lit("experience"))):
-            each = rows.select("cluster", field.alias("field"), F.explode("lineage").alias("l"))
-            methods = F.explode(F.array_compact(F.array("l.method", "l.normalize_method")))
-            parts.append(each.select("cluster", "field", "l.source", methods.alias("method")))
-        edu = self.education.select("cluster", F.explode("lineage").alias("l"))
-        mark = lambda rows, field, source, method: rows.select("cluster", field.alias("field"), source.alias("source"), F.lit(method).alias("method"))
-        parts += [
-            edu.select("cluster", F.lit("education").alias("field"), "l.source", "l.method"),
-            mark(self.scalars.where("conflict"), F.col("field_path"), F.col("winner"), "merge_winner"),
-            mark(self.experience.where("title_winner is not null"), F.lit("experience.title"), F.col("title_winner"), "merge_winner"),
-            mark(self.skills.select("cluster", F.explode("sources").alias("s")), F.lit("skills"), F.col("s"), "skill_canonicalize"),
-            mark(self.candidate_ids().where("derived"), F.lit("candidate_id"), F.lit("merge"), "derived_id"),
-        ]
-        return reduce(DataFrame.union, parts).where("method is not null").distinct()
-
-    def confidences(self) -> DataFrame:
-        """(cluster, field, units): one row per confidence that counts."""
-        rows = [self.scalars.select("cluster", F.col("field_path").alias("field"), "units"), self.lists.select("cluster", F.col("field_path").alias("field"), "units")]
-        for name in ("skills", "experience", "education"):
-            rows.append(getattr(self, name).select("cluster", F.lit(name).alias("field"), "units"))
-        return reduce(DataFrame.union, rows)
+        from claimloom.operators.assemble import origins
+
+        derived = self.candidate_ids().where("derived")
+        return origins(self.claims).union(derived.select("cluster", F.lit("candidate_id"), F.lit("merge"), F.lit("derived_id")))
 
     def overall(self) -> DataFrame:
         """(cluster, overall_confidence): weighted mean, four places."""
-        w = weight(F.col("field"))
-        mean = F.bround(F.sum(w * F.col("units")) / F.sum(w), 0) / 10000
-        return self.confidences().groupBy("cluster").agg(mean.alias("overall_confidence"))
-
-    def profiles(self) -> DataFrame:
-        """One row per cluster in the shape of ``schema.PROFILE``, with its cluster."""
-        one = lambda f: F.max(F.when(F.col("field_path") == f, F.col("value"))).alias(f)
-        many = lambda f: F.max(F.when(F.col("field_path") == f, F.col("items"))).alias(f)
-        single = self.scalars.groupBy("cluster").agg(*map(one, SCALARS))
-        lists = self.lists.groupBy("cluster").agg(*map(many, LISTS))
-        skill = self.skills.groupBy("cluster").agg(
-            F.array_sort(F.collect_list(F.struct("name", (F.col("units") / 10000).alias("confidence"), "sources"))).alias("skills")
-        )
-        exp = self.experience.groupBy("cluster").agg(
-            _newest(F.struct("company", "title", "start", "end", F.lit(None).cast("string").alias("summary")), "start", "company").alias("experience")
-        )
-        edu = self.education.groupBy("cluster").agg(
-            _newest(F.struct("institution", "degree", "field", "end_year"), "end_year", "institution").alias("education")
-        )
-        trace = self.provenance().groupBy("cluster").agg(F.array_sort(F.collect_set(F.struct("field", "source", "method"))).alias("provenance"))
-        out = self.candidate_ids()
-        for part in (single.drop("candidate_id"), lists, skill, exp, edu, trace, self.overall()):
-            out = out.join(part, "cluster", "left")
-        full = lambda c, kind="array<string>": F.coalesce(F.col(c), F.array().cast(kind)).alias(c.split(".")[-1].strip("`"))
-        kinds = {n: t for n, t in out.dtypes}
-        return out.select(
-            "cluster",
-            "candidate_id",
-            "full_name",
-            full("emails"),
-            full("phones"),
-            F.struct(*(F.col(f"`location.{p}`").alias(p) for p in ("city", "region", "country"))).alias("location"),
-            F.struct(*(F.col(f"`links.{p}`").alias(p) for p in ("linkedin", "github", "portfolio")), full("`links.other`")).alias("links"),
-            "headline",
-            F.col("years_experience").cast("double").alias("years_experience"),
-            *(full(c, kinds[c]) for c in ("skills", "experience", "education", "provenance")),
-            F.coalesce("overall_confidence", F.lit(0.0)).alias("overall_confidence"),
-        )
-
+        from claimloom.operators.assemble import overall
 
-def _newest(entry: Column, by: str, then: str) -> Column:
-    """Collected entries, descending by two parts; missing parts come last."""
-    low = F.lit("") if by == "start" else F.lit(0)
-    keyed = F.struct(F.coalesce(F.col(by), low).alias("a"), F.coalesce(F.col(then), F.lit("")).alias("b"), entry.alias("e"))
-    return F.transform(F.sort_array(F.collect_list(keyed), asc=False), lambda k: k["e"])
+        return overall(self.claims)
 
 
 def asked(claims: DataFrame, fields: set[str]) -> DataFrame:
@@ -240,12 +138,12 @@ def asked(claims: DataFrame, fields: set[str]) -> DataFrame:
     return claims.where(wanted).union(bare.select(*empty))
 
 
-def fuse(claims: DataFrame, clusters: DataFrame, fields: set[str] | None = None) -> DataFrame:
-    """Profiles of all clusters: (cluster, *PROFILE), in one pass over the claims.
+def fuse(claims: DataFrame, clusters: DataFrame, fields: set[str] | None = None, traced: bool = True) -> DataFrame:
+    """Profiles of all clusters: (cluster, *PROFILE), in one pass over the claims, and one more for traces.
 
     ``fields`` names the parts of profiles that are read afterwards, if not all are; others but the id, name and
-    addresses are left empty, so neither confidences nor traces may be read then.
+    addresses are left empty, so neither confidences nor traces may be read then.  ``traced=False`` leaves traces empty.
     """
     from claimloom.operators.assemble import profiles
 
-    return profiles(clustered(claims if fields is None else asked(claims, fields), clusters))
+    return profiles(clustered(claims if fields is None else asked(claims, fields), clusters), traced and fields is None)

@@ -40,12 +40,13 @@ def _strong(claims: DataFrame) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str) -> fuse.Parts:
     claims = stored(claims_from_tables(spark, sf_dir), "claims")
-    return fuse.Parts(stored(fuse.clustered(claims, _strong(claims)), "clustered-claims"))
+    # each branch joins its own fields' claims only
+    return fuse.Parts(fuse.clustered(claims, stored(_strong(claims), "clusters")))
 
 
-def _profiles(spark: SparkSession, sf_dir: str, fields: set[str] | None = None) -> DataFrame:
+def _profiles(spark: SparkSession, sf_dir: str, fields: set[str] | None = None, traced: bool = True) -> DataFrame:
     claims = stored(claims_from_tables(spark, sf_dir), "claims")
-    return fuse.fuse(claims, _strong(claims), fields)
+    return fuse.fuse(claims, stored(_strong(claims), "clusters"), fields, traced)
 
 
 @query(f"WITH {CLAIMS_SQL} SELECT source, record_key, CAST(seq AS BIGINT) AS seq, field_path, value_str, value_num, company, start, institution, end_year, CAST(conf AS INT) AS conf, method, norm FROM claims")
@@ -437,7 +438,7 @@ _SCALAR = lambda f: f"(SELECT value FROM scalars s WHERE s.cluster = c.cluster A
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT candidate_id AS id, {_SCALAR('full_name')} AS name, {_SCALAR('location.region')} AS area, overall_confidence FROM cids c JOIN overall USING (cluster)")
 def project_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = OutputConfig((FieldSpec("id", "candidate_id", "string", True), FieldSpec("name", "full_name"), FieldSpec("area", "location.region", "string")), include_confidence=True)
-    return project.project(_profiles(spark, sf_dir, project.roots(config)), config)
+    return project.project(_profiles(spark, sf_dir, project.roots(config), config.include_provenance), config)
 
 
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT candidate_id, items[1] AS first_email, items[3] AS third_email FROM cids c LEFT JOIN lists l ON l.cluster = c.cluster")
@@ -501,7 +502,7 @@ def gap_fill_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM cids c LEFT JOIN lists l USING (cluster) LEFT JOIN overall USING (cluster)""")
 def profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain: claims, links, fusion, profile."""
-    return _profiles(spark, sf_dir).select(
+    return _profiles(spark, sf_dir, traced=False).select(
         "cluster", "candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), F.col("location.region").alias("region"), "years_experience",
         F.size("skills").alias("n_skills"), F.get(F.col("experience.start"), F.lit(0)).alias("latest"), F.size("education").alias("n_schools"), "overall_confidence",
     )

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.config import FieldSpec, OutputConfig
-from claimloom.operators import fuse
+from claimloom.functions import text
+from claimloom.operators import assemble, fuse
 from claimloom.plans import file_queries, project, queries
 from claimloom.schema import CLAIMS
 
@@ -58,3 +59,54 @@ def test_claims_that_a_projection_does_not_read_are_not_fused(spark):
     clusters = claims.select("source", "record_key").distinct().withColumn("cluster", F.col("record_key"))
     of = lambda fields: sorted(map(tuple, project.project(fuse.fuse(claims, clusters, fields), config).collect()), key=str)
     assert of(project.roots(config)) == of(None) and len(of(None)) == 3
+
+
+def _odd_claims(spark):
+    """Claims of two clusters: ties between values, a value backed by a less trusted source that sorts first, empty and missing parts."""
+    job = lambda company, title, start=None: (company, title, start, None, None)
+    said = [
+        ("resume", "r", "headline", "late", None, None), ("resume", "s", "headline", "by notes too", None, None), ("notes", "n", "headline", "by notes too", None, None),
+        ("resume", "r", "experience", None, job("Acme, Inc.", "T1"), None), ("resume", "s", "experience", None, job("ACME", "T0", "2020-01"), None),
+        ("notes", "n", "experience", None, job("acme", "", "2019-01"), None), ("resume", "r", "experience", None, job(None, "T9"), None),
+        ("resume", "r", "education", None, None, (None, "B.S.", None, None)), ("resume", "r", "emails", "", None, None), ("resume", "s", "emails", "b@c.de", None, None),
+        ("resume", "r", "skills", "go", None, None), ("notes", "n", "skills", "go", None, None), ("notes", "m", None, "v", None, None),
+    ]
+    rows = [(s, r, k, f, v, None, e, d, None, f"by-{s}", "norm" if f == "skills" else None) for k, (s, r, f, v, e, d) in enumerate(said)]
+    claims = spark.createDataFrame(rows, CLAIMS).withColumn("raw_confidence", F.lit("0.80").cast("decimal(3,2)"))
+    return fuse.clustered(claims, claims.select("source", "record_key").distinct().withColumn("cluster", F.when(F.col("record_key") == "m", "two").otherwise("one")))
+
+
+def test_values_of_a_cluster_are_not_collected_before_its_profile(spark):
+    parts = fuse.Parts(_odd_claims(spark))
+    for rows in (parts.overall(), parts.experience, parts.education, parts.scalars, parts.provenance()):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_" not in plan and plan.count("RepartitionByExpression") <= 2
+    # the sources of a value over rows in order, and the lists of a profile
+    untraced = assemble.profiles(_odd_claims(spark), False)._jdf.queryExecution().optimizedPlan().toString()
+    assert untraced.count("collect_list") == 2 and "collect_set" not in untraced and untraced.count("RepartitionByExpression") == 1
+
+
+def test_odd_claims_fuse_as_before(spark):
+    parts = fuse.Parts(_odd_claims(spark))
+    assert [tuple(r) for r in parts.scalars.select("value", "winner", "conflict", "units").collect()] == [("by notes too", "resume", True, 3150)]
+    jobs = sorted((tuple(r) for r in parts.experience.drop("cluster").collect()), key=str)
+    assert jobs == [("Acme, Inc.", "T1", "2020-01", None, 3150, "resume"), (None, "T9", None, None, 4000, None)]
+    assert [tuple(r) for r in parts.education.drop("cluster").collect()] == [(None, "B.S.", None, None, 4000)]
+    assert [tuple(r) for r in parts.skills.drop("cluster").collect()] == [("go", ["notes", "resume"], 4500)]
+    want = {("headline", "resume", "by-resume"), ("headline", "notes", "by-notes"), ("headline", "resume", "merge_winner"), ("education", "resume", "by-resume")}
+    want |= {("experience", s, f"by-{s}") for s in ("resume", "notes")} | {("experience.title", "resume", "merge_winner"), ("emails", "resume", "by-resume")}
+    want |= {("skills", s, "skill_canonicalize") for s in ("resume", "notes")}
+    traced = parts.provenance().collect()
+    derived = ("candidate_id", "merge", "derived_id")
+    assert {tuple(r)[1:] for r in traced if r["cluster"] == "one"} == want | {derived} and len(traced) == len(want) + 2
+    whole = {r["cluster"]: r for r in assemble.profiles(_odd_claims(spark)).collect()}
+    assert {tuple(t) for t in whole["one"]["provenance"]} == want | {derived} and [tuple(t) for t in whole["two"]["provenance"]] == [derived]
+    assert whole["one"]["emails"] == ["", "b@c.de"] and whole["two"]["emails"] == [] and whole["two"]["candidate_id"] == "m"
+    assert [tuple(r) for r in parts.overall().collect()] == [("one", whole["one"]["overall_confidence"])] and whole["two"]["overall_confidence"] == 0
+
+
+def test_plain_company_names_have_the_key_of_their_tokens(spark):
+    names = ["Acme", "Acme, Inc.", "inc", "Co Co", "A  B", " a", "a ", "a\tb", "x\n", "Income Co-op", "Ltd Acme", "Acme LTD", "ÉCOLE co", "a b", "", ".", "4-NOT SPECIFIED", "A-B/C", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    slow = F.coalesce(F.nullif(F.array_join(F.filter(text._tokens(F.col("n")), lambda t: (t != "") & ~t.isin(*text.LEGAL_FORMS)), " "), F.lit("")), text.strip(F.regexp_replace(F.lower("n"), "[.,]", " ")))
+    assert all(r[0] == r[1] for r in rows.select(text.company_key(F.col("n")), slow).collect())
