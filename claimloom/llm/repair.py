@@ -9,10 +9,11 @@ can be expanded without the others.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from functools import cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -50,21 +51,27 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
     keep[gap] = False
     s[keep] = ids
     rules = np.empty((0, 2), np.int32)
-    newest = None  # rules of the last round, if only pairs with one of them can have become frequent
+    live = keep.copy()  # places whose pair may still be frequent; a pair of old symbols only becomes rarer
+    live[:-1] &= keep[1:]
+    touched = None  # places with a rule of the last round, if only their pairs can have become frequent
     while len(s) > 1:
-        at, pairs, distinct, n = _frequent(s) if newest is None else _counted(s, _touching(s, base + newest))
+        at, pairs, distinct, n = _frequent(s, live) if touched is None else _counted(s, touched)
         if not len(n):
-            if newest is None:
+            if touched is None:
                 break
-            newest = None  # a last look at all pairs
+            touched = None  # a last look at all pairs
             continue
         least = n.max() / SPREAD
-        newest = len(rules) if least <= LEAST_USES else None
         at, rule, chosen = _places(at, pairs, distinct[n >= least], n[n >= least])
         s[at] = base + len(rules) + rule
         left = np.ones(len(s), bool)
         left[at + 1] = False
-        s = s[left]
+        s, live = s[left], live[left]
+        at = at - np.arange(len(at))
+        fresh = _touching(s, at)
+        live[at] = False  # its neighbour went, and the next one may be a gap
+        live[fresh] = True
+        touched = fresh if least <= LEAST_USES else None
         rules = np.concatenate([rules, np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1).astype(np.int32)])
     gaps = np.flatnonzero(s == _GAP)
     starts = np.concatenate([[0], gaps[:-1] + 1]) - np.arange(len(gaps)) if len(gaps) else np.empty(0, np.int64)
@@ -78,26 +85,32 @@ def _counted(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return at, pairs, distinct[n >= LEAST_USES], n[n >= LEAST_USES]
 
 
-def _frequent(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same of the whole sequence, but for pairs that are far less frequent than the first of all."""
-    a, b = s[:-1], s[1:]
+def _frequent(s: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of all ``live`` places, but for pairs that are far less frequent than the first of all.
+
+    Places whose pair cannot be frequent any more are struck off ``live``.
+    """
+    at = np.flatnonzero(live)
     # buckets only leave out pairs that cannot be frequent; what is left is counted exactly
-    code = (a.astype(np.uint32) * np.uint32(0x9E3779B1) ^ b.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-    code[(a == _GAP) | (b == _GAP)] = _BUCKETS
-    uses = np.bincount(code, minlength=_BUCKETS + 1)
-    uses[_BUCKETS] = 0
+    mixed = s[at].view(np.uint32) * np.uint32(0x9E3779B1) ^ s[at + 1].view(np.uint32) * np.uint32(0x85EBCA6B)
+    mixed >>= np.uint32(12)
+    code = mixed.astype(np.int64)
+    uses = np.bincount(code, minlength=_BUCKETS)
+    may = (uses >= LEAST_USES)[code]
+    live[at[~may]] = False
     # the fullest buckets first; only if they hold no frequent pair all others
     for low in dict.fromkeys((max(LEAST_USES, uses.max() / SPREAD), LEAST_USES)):
-        found = _counted(s, np.flatnonzero(uses[code] >= low))
+        found = _counted(s, at[(uses >= low)[code] if low > LEAST_USES else may])
         if len(found[3]):
             break
     return found
 
 
-def _touching(s: np.ndarray, first: int) -> np.ndarray:
-    """Places of pairs that hold a symbol from ``first`` on."""
-    fresh = s >= first
-    return np.flatnonzero((fresh[:-1] | fresh[1:]) & (s[:-1] != _GAP) & (s[1:] != _GAP))
+def _touching(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of pairs that hold a symbol at one of the places ``at``, in order."""
+    both = np.stack([at - 1, at], axis=1).ravel()
+    both = both[(both >= 0) & (np.diff(both, prepend=-2) > 0)]
+    return both[(s[both] != _GAP) & (s[both + 1] != _GAP)]
 
 
 def _places(at: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +124,9 @@ def _places(at: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, n: np.ndarray
     rank = np.empty(len(chosen), np.int64)
     rank[np.lexsort((mixed, -n))] = np.arange(len(chosen))
     # of pairs in one bucket the more frequent one counts, the other is left for a later round
-    bucket = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
-    of = np.zeros(_BUCKETS, np.int64)
+    bits = min(20, max(10, 6 + len(chosen).bit_length()))  # few pairs share one, and the table stays near the processor
+    bucket = lambda x: (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    of = np.zeros(1 << bits, np.int32)
     worst_first = np.argsort(-rank)
     of[bucket(chosen[worst_first])] = worst_first
     k = of[bucket(pairs)]
@@ -176,14 +190,87 @@ MEMO = 500_000
 
 #: A sign that stands between words encoded in one call; words that hold it are encoded alone.
 _BETWEEN = "\u00ae"
-_STOPS = frozenset(".,;:!?")
+_STOPS = b".,;:!?#$%&*)\""
+_BLANKS = b" \n"
+#: Words of letters up to U+00FF, and kinds of bytes; a letter is one byte, or _LEAD and any byte but those of the two signs.
+_LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_LETTER, _STOP, _BLANK, _LEAD, _SIGN = range(1, 6)
+_KINDS = bytearray(256)
+for _signs, _kind in ((ascii_letters.encode(), _LETTER), (_STOPS, _STOP), (_BLANKS, _BLANK), (b"\xc3", _LEAD), (b"\x97\xb7", _SIGN)):
+    for _sign in _signs:
+        _KINDS[_sign] = _kind
+
+
+def _byte_signs() -> dict[int, str]:
+    """The signs that byte-level tokenizers write for the bytes of each character up to U+00FF."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    sign = dict(zip(shown, map(chr, shown))) | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_SIGNS = _byte_signs()
+
+
+@cache
+def _letters_only(tok):
+    """(the library's tokenizer with the same merges for words of letters alone, the ids that end a word), or None.
+
+    Such words, in lower case and up to U+00FF, pass normalising and cutting unchanged, so both are left out; they are most of the work.
+    """
+    spec = json.loads(tok.to_str())
+    model, cuts = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    end = model.get("end_of_word_suffix")
+    bytewise = len(cuts) == 2 and cuts[0]["type"] == "Split" and cuts[0]["pattern"].get("Regex") == _CUTS and cuts[1]["type"] == "ByteLevel"
+    changes = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    others = (model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+    if model["type"] != "BPE" or not end or any(others) or not bytewise or cuts[1]["add_prefix_space"] or not {*changes} <= {"NFC", "Replace", "Lowercase"}:
+        return None
+    if not all(x in model["vocab"] and x + end in model["vocab"] for signs in _SIGNS.values() for x in signs):
+        return None
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    # no word comes twice, so nothing is kept for the next time
+    plain = Tokenizer(models.BPE(model["vocab"], [tuple(m) for m in model["merges"]], cache_capacity=0, end_of_word_suffix=end))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    closes = np.zeros(max(model["vocab"].values()) + 1, bool)
+    closes[[k for token, k in model["vocab"].items() if token.endswith(end)]] = True
+    return plain, closes
+
+
+#: The cuts at which words of letters are known to stay whole.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+
+
+def _of_letters(tok, words: list[str]) -> dict[str, bytes]:
+    """Ids as bytes of those ``words`` that are letters up to U+00FF in lower case; none if the tokenizer is another one."""
+    made = _letters_only(tok)
+    if not made:
+        return {}
+    plain, closes = made
+    table = pa.array(words, pa.large_string())
+    known = _strings(table.filter(pc.and_(pc.match_substring_regex(table, _LETTERS), pc.equal(table, pc.utf8_lower(table)))))
+    out: dict[str, bytes] = {}
+    for at in range(0, len(known), 50_000):
+        part = known[at : at + 50_000]
+        signs = [w if w.isascii() else w.translate(_SIGNS) for w in part]
+        texts = [" ".join(signs[k : k + 64]) for k in range(0, len(signs), 64)]
+        ids = np.array([i for e in plain.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        raw, start = ids.tobytes(), 0
+        for word, stop in zip(part, (4 * np.flatnonzero(closes[ids]) + 4).tolist(), strict=True):
+            out[word] = raw[start:stop]
+            start = stop
+    return out
 
 
 def _fresh(tok, words: list[str]) -> dict[str, bytes]:
     """Ids of words as bytes; many words share a call, kept apart by a sign that always is one id of its own."""
     sign = tok.encode(_BETWEEN, add_special_tokens=False).ids
-    plain = [w for w in words if _BETWEEN not in w] if len(sign) == 1 else []
-    out: dict[str, bytes] = {}
+    out = _of_letters(tok, words)
+    plain = [w for w in words if w not in out and _BETWEEN not in w] if len(sign) == 1 else []
     for at in range(0, len(plain), 50_000):
         part = plain[at : at + 50_000]
         texts = [f" {_BETWEEN} ".join([*part[k : k + 64], ""]) for k in range(0, len(part), 64)]
@@ -199,27 +286,14 @@ def _fresh(tok, words: list[str]) -> dict[str, bytes]:
     return out
 
 
-def _encoded(tok, chunks: list[str], memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(tok, chunks: list[str] | pa.Array, memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the chunks one after another, and how many each has.
 
-    The tokenizer lower-cases and never joins letters and marks, so plain words are looked up in lower case and
-    without the mark at their end.
+    The tokenizer lower-cases, so words of letters are looked up in lower case.
     """
-    number: dict[str, int] = defaultdict(count().__next__)
-    code = number.__getitem__
-    flat: list[int] = []
-    parts = np.ones(len(chunks), np.int64)
-    for k, chunk in enumerate(chunks):
-        if chunk.isalpha():
-            flat.append(code(chunk.lower() if chunk.isascii() or max(chunk) <= "\u00ff" else chunk))
-        elif chunk[-1:] in _STOPS and chunk[:-1].isalpha():
-            word = chunk[:-1]
-            flat.append(code(word.lower() if word.isascii() or max(word) <= "\u00ff" else word))
-            flat.append(code(chunk[-1]))
-            parts[k] = 2
-        else:
-            flat.append(code(chunk))
-    words = list(number)
+    forms = chunks if isinstance(chunks, pa.Array) else pa.array(chunks, pa.large_string())
+    forms = pc.if_else(pc.match_substring_regex(forms, _LETTERS), pc.utf8_lower(forms), forms).dictionary_encode()
+    words = _strings(forms.dictionary)
     blobs = [memo.get(w) for w in words]
     missing = [w for w, got in zip(words, blobs) if got is None]
     if missing:
@@ -229,20 +303,41 @@ def _encoded(tok, chunks: list[str], memo: dict[str, bytes]) -> tuple[np.ndarray
         memo.update([(w, v) for w, v in found.items() if len(w) <= 64][:room])
         blobs = [found[w] if got is None else got for w, got in zip(words, blobs)]
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    picks = np.array(flat, np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes[picks])])[np.cumsum(parts)]
-    return _gather(np.frombuffer(b"".join(blobs), np.int32), sizes, picks), np.diff(ends, prepend=0)
+    picks = forms.indices.to_numpy().astype(np.int64)
+    return _gather(np.frombuffer(b"".join(blobs), np.int32), sizes, picks), sizes[picks]
 
 
-def _words(raw: list) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of UTF-8 texts cut at blanks and line ends, the words of all texts by number, and how many each text has.
+def _words(raw: list) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of UTF-8 texts, the words of all texts by number, and how many each text has.
 
-    This tokenizer drops white space, so any blank or line end is a safe place to cut.
+    Texts are cut at blanks and line ends, which this tokenizer drops, and before marks that end a word behind a letter up to
+    U+00FF, as it never joins the two.  Marks that special strings are made of stay where they are.
     """
-    texts = pa.array([t.decode("utf-8", "replace") if t else "" for t in raw], pa.large_string())
-    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
+    texts = [t or b"" for t in raw]
+    joined = b"\n".join([*texts, b""])
+    try:
+        joined.decode()
+    except UnicodeDecodeError:
+        texts = [t.decode("utf-8", "replace").encode() for t in texts]
+        joined = b"\n".join([*texts, b""])
+    kind = np.frombuffer(joined.translate(_KINDS), np.uint8)
+    blank, letter = kind == _BLANK, kind == _LETTER
+    letter[1:] |= (kind[:-1] == _LEAD) & (kind[1:] != _SIGN)
+    cut = blank.copy()  # a word ends at this byte: before it if it is blank, else behind it
+    edges = np.flatnonzero(np.diff(kind == _STOP))  # no run of marks is the last, which is a line end
+    if len(kind) and kind[0] == _STOP:
+        edges = edges[1:]
+    before, last = edges[::2], edges[1::2]
+    cut[before[letter[before] & blank[last + 1]]] = True
+    at = np.flatnonzero(cut)
+    ends = at + 1 - np.cumsum(blank[at])  # places in the bytes without blanks
+    full = np.diff(ends, prepend=0) > 0
+    offsets = np.append(0, ends[full])
+    packed = joined.translate(None, _BLANKS)
+    words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(packed)).dictionary_encode()
+    closed = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    counts = np.diff(np.cumsum(full)[np.searchsorted(at, closed)], prepend=0)
+    return words.dictionary, words.indices.to_numpy().astype(np.int64), counts
 
 
 def _gather(flat: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.ndarray:

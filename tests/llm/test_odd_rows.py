@@ -87,6 +87,25 @@ def test_two_tokenizers_in_one_session(spark):
         assert np.split(flat, np.cumsum(sizes)[:-1])[0].tolist() == tok.encode(chunks[0], add_special_tokens=False).ids
 
 
+def test_words_are_cut_before_marks_and_encoded_as_by_the_library():
+    tok = token_counts.tokenizer(open(WORD, encoding="utf-8").read())
+    words, codes, counts = repair._words(["word, word### café.\n a <|endoftext|>".encode(), None, b"b\xff."])
+    assert words.to_pylist() == ["word", ",", "###", "café", ".", "a", "<|endoftext|>", "b\ufffd."]
+    assert codes.tolist() == [0, 1, 0, 2, 3, 4, 5, 6, 7] and counts.tolist() == [8, 0, 1]
+    # words of letters up to U+00FF in lower case go to the merges at once
+    assert set(repair._of_letters(tok, ["word", "café", "Word", "a1", "œuf"])) == {"word", "café"}
+    rng = random.Random(7)
+    signs = "abzAZIKéÉßµªºñÿÀ×÷®Ã.,;:!?'-_ \n\t\r\u00a0\u2028\u0301\u0307İıK…»09²½中Ωσςﬁ\x00<|>😀   ..aaaeeé#$s"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    texts += ["", "<|endoftext|> a", "<|ENDOFTEXT|> b.", "x<|startoftext|>.", "İ. É. ×. a÷. 's. we'll, ®. a®. Ã.", ".a", ". .", "a##"]
+    words, codes, counts = repair._words([t.encode() for t in texts])
+    flat, sizes = repair._encoded(tok, words, {})
+    each, ends = np.split(flat, np.cumsum(sizes)[:-1]), np.cumsum(counts)
+    for text, n, end in zip(texts, counts, ends):
+        got = [i for k in codes[end - n : end] for i in each[k].tolist()]
+        assert got == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_words_of_a_megabyte_take_linear_time():
     for text in ("x1" + "a" * (1 << 20), "1" * (1 << 20), "a" * (1 << 20) + "@", "1." * (1 << 18)):
         began = time.time()
