@@ -64,6 +64,26 @@ def test_chain_needs_few_rounds_and_no_names_give_nothing(spark, monkeypatch):
     assert in_order(none, spark.createDataFrame([], "cluster string, id string")).collect() == []
 
 
+def test_groups_are_told_apart_only_where_three_clusters_share_a_name(spark, monkeypatch):
+    calls = []
+    found = link.components
+    monkeypatch.setattr(link, "components", lambda *a: calls.append(1) or found(*a))
+    draw = random.Random(3)
+    recs = []
+    for g in range(12):
+        order = draw.sample(range(100), 11)
+        for k in range(10):
+            recs.append((f"g{g:02}c{draw.randrange(100):02}-{k}", [f"n{g:02} {order[k]:02}", f"n{g:02} {order[k + 1]:02}"], [f"i{g}-{k}"] if g % 3 and k % (g + 1) == 0 else []))
+    for more, times in (([], 0), ([(f"z{k}", ["of three"], []) for k in range(3)], 1)):
+        rows = recs + more
+        table = spark.createDataFrame(rows, "rid string, names array<string>, candidate_ids array<string>")
+        got = link.attach_by_name(table, table.selectExpr("rid", "rid AS cluster")).collect()
+        ids = [(rid, i) for rid, _, own in rows for i in own]
+        want = sequence([(rid, name) for rid, names, _ in rows for name in names], ids, False)
+        assert {r["rid"]: r["cluster"] for r in got} == want
+        assert len(calls) == times
+
+
 def test_hot_identifiers_are_joined_in_cells(spark):
     rows = []
     for k in range(40):
