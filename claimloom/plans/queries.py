@@ -117,7 +117,7 @@ def name_attach_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT CAST(k AS VARCHAR) AS record_key, min(rid) OVER (PARTITION BY g, part) AS cluster FROM c""")
 def name_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of 40 customers, each with a name in common with the one before; between two ids the last name in order is cut."""
-    c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    c = dealt(load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
     k = F.col("c_custkey")
     claim = lambda field, value: F.struct(F.lit(field).alias("field_path"), value.alias("value_str"))
     has = (k % 7 == 3) | (F.col("c_mktsegment") == "MACHINERY")
