@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by id, encoded, closed with an end id, and packed into shards.  In a shard frequent
 neighbouring pairs are replaced by nonterminals, round after round, until no pair is frequent; a round replaces many of
-the most frequent pairs at once, the more frequent one where two overlap.  No pair crosses a document.  A shard stores its rules,
+the most frequent pairs at once, the more frequent one where two overlap.  Pairs inside words go first, on the distinct words,
+where each counts as often as its word occurs; then all pairs do.  No pair crosses a document.  A shard stores its rules,
 the expansion length of each rule, the compressed sequence and each document's place in it, so one document
 can be expanded without the others.
 """
@@ -30,8 +31,8 @@ SPREAD = 64
 #: A pair must occur so often to get a rule.
 LEAST_USES = 8
 SHARD_BYTES = 20 << 20
-_BUCKETS = 1 << 20
-_GAP = -1
+#: What stands in the place of a symbol: the end of a document; the second half of a pair that was replaced.
+_GAP, _GONE = -1, -2
 
 SHARD = (
     "part int, shard int, n_ids bigint, base int, doc_ids array<{kind}>, doc_starts binary, doc_sizes binary,"
@@ -44,115 +45,182 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray,
 
     Nonterminals are numbered from ``base`` on, in the order of ``rules``.
     """
-    ends = np.cumsum(sizes)
-    s = np.full(len(ids) + len(sizes), _GAP, np.int32)
-    gap = ends + np.arange(len(sizes))
-    keep = np.ones(len(s), bool)
-    keep[gap] = False
-    s[keep] = ids
-    rules = np.empty((0, 2), np.int32)
-    live = keep.copy()  # places whose pair may still be frequent; a pair of old symbols only becomes rarer
-    live[:-1] &= keep[1:]
-    touched = None  # places with a rule of the last round, if only their pairs can have become frequent
-    while len(s) > 1:
-        at, pairs, distinct, n = _frequent(s, live) if touched is None else _counted(s, touched)
-        if not len(n):
-            if touched is None:
+    return _reduced(_Sequence(ids, sizes), base, np.empty((0, 2), np.int32))
+
+
+def compress_words(
+    flat: np.ndarray, each: np.ndarray, codes: np.ndarray, counts: np.ndarray, end_id: int, base: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of ``each`` ids, and documents of ``counts`` of them by number -> (ids of each document, and as above).
+
+    A document has ``end_id`` behind its words.
+    """
+    stops = np.cumsum(counts)
+    words, starts, rules = _reduced(_Sequence(flat, each, np.bincount(codes, minlength=len(each))), base, np.empty((0, 2), np.int32))
+    short = np.diff(starts, append=len(words))
+    picks = np.insert(codes, stops, len(each))
+    ids = _gather(np.append(words, np.int32(end_id)), np.append(short, 1), picks)
+    of_docs = lambda n: np.diff(np.concatenate([[0], np.cumsum(n[codes])])[stops], prepend=0) + 1
+    return of_docs(each), *_reduced(_Sequence(ids, of_docs(short)), base, rules)
+
+
+def _reduced(seq: _Sequence, base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of a sequence that ``rules`` were used in already."""
+    newest = 0  # number of the first pair with a rule of the last round, if those come first
+    while True:
+        chosen = newest + np.flatnonzero(seq.uses[newest:] >= LEAST_USES)
+        if not len(chosen):
+            if not newest:
                 break
-            touched = None  # a last look at all pairs
+            newest = 0  # a last look at all pairs
             continue
+        n = seq.uses[chosen]
         least = n.max() / SPREAD
-        at, rule, chosen = _places(at, pairs, distinct[n >= least], n[n >= least])
-        s[at] = base + len(rules) + rule
-        left = np.ones(len(s), bool)
-        left[at + 1] = False
-        s, live = s[left], live[left]
-        at = at - np.arange(len(at))
-        fresh = _touching(s, at)
-        live[at] = False  # its neighbour went, and the next one may be a gap
-        live[fresh] = True
-        touched = fresh if least <= LEAST_USES else None
-        rules = np.concatenate([rules, np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1).astype(np.int32)])
+        chosen = chosen[n >= least]
+        at, rule, used = _places(seq, *seq.places(chosen), chosen)
+        pairs = seq.pairs[chosen[used]]
+        first = len(seq.uses)
+        seq.replace(at, base + len(rules) + rule)
+        newest = first if least <= LEAST_USES else 0
+        rules = np.concatenate([rules, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1).astype(np.int32)])
+    s = seq.symbols[seq.symbols != _GONE]
     gaps = np.flatnonzero(s == _GAP)
     starts = np.concatenate([[0], gaps[:-1] + 1]) - np.arange(len(gaps)) if len(gaps) else np.empty(0, np.int64)
     return s[s != _GAP], starts.astype(np.int64), rules
 
 
-def _counted(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, pair at each, distinct frequent pairs, how often each occurs) among the given places, counted exactly."""
-    pairs = s[at].astype(np.int64) << 32 | s[at + 1]
-    distinct, n = np.unique(pairs, return_counts=True)
-    return at, pairs, distinct[n >= LEAST_USES], n[n >= LEAST_USES]
-
+class _Sequence:
+    """Symbols of documents, a gap behind each, with the places of every frequent pair.
 
-def _frequent(s: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same of all ``live`` places, but for pairs that are far less frequent than the first of all.
-
-    Places whose pair cannot be frequent any more are struck off ``live``.
+    Places stay where they are: a replaced pair's first place gets the new symbol, its second one is passed over.  A pair is
+    numbered from 1 on when it first occurs LEAST_USES times, which is when its newer symbol is made, as it only becomes rarer
+    later.  ``pairs`` and ``uses`` hold each pair and how often it occurs now, counted exactly; in a document with a weight that often.
     """
-    at = np.flatnonzero(live)
-    # buckets only leave out pairs that cannot be frequent; what is left is counted exactly
-    mixed = s[at].view(np.uint32) * np.uint32(0x9E3779B1) ^ s[at + 1].view(np.uint32) * np.uint32(0x85EBCA6B)
-    mixed >>= np.uint32(12)
-    code = mixed.astype(np.int64)
-    uses = np.bincount(code, minlength=_BUCKETS)
-    may = (uses >= LEAST_USES)[code]
-    live[at[~may]] = False
-    # the fullest buckets first; only if they hold no frequent pair all others
-    for low in dict.fromkeys((max(LEAST_USES, uses.max() / SPREAD), LEAST_USES)):
-        found = _counted(s, at[(uses >= low)[code] if low > LEAST_USES else may])
-        if len(found[3]):
-            break
-    return found
-
-
-def _touching(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places of pairs that hold a symbol at one of the places ``at``, in order."""
-    both = np.stack([at - 1, at], axis=1).ravel()
-    both = both[(both >= 0) & (np.diff(both, prepend=-2) > 0)]
-    return both[(s[both] != _GAP) & (s[both + 1] != _GAP)]
-
-
-def _places(at: np.ndarray, pairs: np.ndarray, chosen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, number of the pair at each, pairs): where pairs of ``chosen``, which occur ``n`` times, are replaced.
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None = None):
+        length = len(ids) + len(sizes)
+        kind = np.int32 if length < 1 << 31 else np.int64
+        gap = np.cumsum(sizes) + np.arange(len(sizes))
+        keep = np.ones(length, bool)
+        keep[gap] = False
+        self.symbols = np.full(length, _GAP, np.int32)
+        self.symbols[keep] = ids
+        self.weights = None if weights is None else np.repeat(weights, sizes + 1)  # of each place
+        self.after, self.before = np.arange(1, length + 1, dtype=kind), np.arange(-1, length - 1, dtype=kind)
+        self.number = np.zeros(length, np.int32)  # of the pair at each place, 0 for rare ones and none
+        self.pairs, self.uses = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.lists: list[tuple[int, np.ndarray, np.ndarray]] = []  # (first number, sizes of the lists, places)
+        keep[:-1] &= keep[1:]
+        self._add(np.flatnonzero(keep))
+
+    def _add(self, at: np.ndarray) -> None:
+        """Number the frequent ones of the pairs at the places ``at``, which occur nowhere else."""
+        if not len(at):
+            return
+        a, b = self.symbols[at].astype(np.int64), self.symbols[self.after[at]]
+        bits, low = int(max(a.max(), b.max())).bit_length(), len(self.symbols).bit_length()
+        if 2 * bits + low < 64:  # pair and place fit one number, which sorts fastest
+            a <<= bits
+            a |= b
+            a <<= low
+            a |= at
+            a.sort()
+            at = a & ((1 << low) - 1)
+            a >>= low
+        else:
+            bits = 32
+            a = a << bits | b
+            order = np.argsort(a, kind="stable")
+            a, at = a[order], at[order]
+        starts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+        n = np.diff(starts, append=len(a))
+        uses = n if self.weights is None else np.add.reduceat(self.weights[at], starts)
+        frequent = uses >= LEAST_USES
+        pairs = a[starts[frequent]]
+        at, n = at[np.repeat(frequent, n)], n[frequent]
+        first = len(self.uses)
+        size = (first + len(n)).bit_length()
+        both = at << size
+        both |= np.repeat(np.arange(first, first + len(n)), n)
+        both.sort()
+        self.number[both >> size] = both & ((1 << size) - 1)
+        self.lists.append((first, n, at.astype(self.after.dtype)))
+        self.pairs = np.concatenate([self.pairs, (pairs >> bits) << 32 | pairs & ((1 << bits) - 1)])
+        self.uses = np.concatenate([self.uses, uses[frequent]])
+
+    def places(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the pairs of the ascending numbers ``chosen``, in order, and which of them is at each)."""
+        bits = len(chosen).bit_length()
+        found = []
+        for first, sizes, places in self.lists:
+            low, high = np.searchsorted(chosen, [first, first + len(sizes)])
+            if low < high:
+                picks = chosen[low:high] - first
+                both = _gather(places, sizes, picks).astype(np.int64) << bits
+                both |= np.repeat(np.arange(low, high), sizes[picks])
+                found.append(both)
+        both = np.concatenate(found)
+        both.sort()  # before the look at what stands there now, which is faster in order
+        at = both >> bits
+        both &= (1 << bits) - 1
+        still = np.flatnonzero(self.number[at] == chosen.astype(np.int32)[both])
+        return at[still], both[still]
+
+    def replace(self, at: np.ndarray, symbols: np.ndarray) -> None:
+        """Put ``symbols`` in the place of the pairs at ``at``, which do not overlap, and number the pairs they form."""
+        second = self.after[at]
+        right = self.after[second]
+        self.symbols[at], self.symbols[second] = symbols, _GONE
+        self.after[at], self.before[right] = right, at
+        left = self.before[at]
+        for gone in (at, second, left):  # before the first place of all stands the last gap, which has no pair
+            np.subtract.at(self.uses, self.number[gone], 1 if self.weights is None else self.weights[gone])
+            self.number[gone] = 0
+        self.uses[0] = 0
+        both = np.stack([left, at], axis=1).ravel()
+        both = both[np.flatnonzero((both >= 0) & (np.diff(both, prepend=-2) > 0))]
+        self._add(both[np.flatnonzero((self.symbols[both] != _GAP) & (self.symbols[self.after[both]] != _GAP))])
+
+
+def _places(seq: _Sequence, at: np.ndarray, rule: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, which ones are used): where the pairs ``chosen``, found at ``at``, are replaced.
 
     Of two that overlap the more frequent one is, of equally frequent ones that with the less hash, so copies of a passage
     are cut alike; in runs of one pair the leftmost.  Pairs that are replaced at less than half of LEAST_USES places are
     left out; the first of all never is.
     """
-    mixed = chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    rank = np.empty(len(chosen), np.int64)
-    rank[np.lexsort((mixed, -n))] = np.arange(len(chosen))
-    # of pairs in one bucket the more frequent one counts, the other is left for a later round
-    bits = min(20, max(10, 6 + len(chosen).bit_length()))  # few pairs share one, and the table stays near the processor
-    bucket = lambda x: (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
-    of = np.zeros(1 << bits, np.int32)
-    worst_first = np.argsort(-rank)
-    of[bucket(chosen[worst_first])] = worst_first
-    k = of[bucket(pairs)]
-    same = chosen[k] == pairs
-    at, rule = at[same], k[same]
-    place, touch = rank[rule], np.diff(at) == 1
+    after, pairs = seq.after, seq.pairs[chosen]
+    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rank = np.empty(len(pairs), np.int32)
+    rank[np.lexsort((mixed, -seq.uses[chosen]))] = np.arange(len(pairs))
+    place, touch = rank[rule], after[at[:-1]] == at[1:]
     free = np.ones(len(at), bool)
     free[1:] &= ~(touch & (place[:-1] < place[1:]))
     free[:-1] &= ~(touch & (place[1:] < place[:-1]))
+    free = np.flatnonzero(free)
     at, rule = at[free], rule[free]
-    fresh = np.diff(at, prepend=-2) != 1
-    run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-    taken = (np.arange(len(at)) - run) % 2 == 0
-    at, rule = at[taken], rule[taken]
-    used = np.bincount(rule, minlength=len(chosen)) >= LEAST_USES // 2
-    ok = used[rule]
-    return at[ok], (np.cumsum(used) - 1)[rule[ok]], chosen[used]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = after[at[:-1]] != at[1:]
+    later = np.flatnonzero(~fresh)
+    if len(later):
+        k = np.arange(len(later))
+        nth = k - np.maximum.accumulate(np.where(np.diff(later, prepend=-2) != 1, k, 0))  # in its run, behind the leftmost
+        at, rule = np.delete(at, later[nth % 2 == 0]), np.delete(rule, later[nth % 2 == 0])
+    used = np.bincount(rule, None if seq.weights is None else seq.weights[at], len(pairs)) >= LEAST_USES // 2
+    ok = np.flatnonzero(used[rule])
+    return at[ok], (np.cumsum(used) - 1)[rule[ok]], used
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule stands for; a rule only uses earlier ones."""
-    out = np.ones(len(rules), np.int64)
-    deep = (rules >= base).any(axis=1)
-    out[~deep] = 2
-    for k in np.flatnonzero(deep):
-        out[k] = sum(out[x - base] if x >= base else 1 for x in rules[k].tolist())
+    out = np.zeros(len(rules), np.int64)
+    deepest = np.maximum.accumulate(rules.max(axis=1, initial=0)) - base
+    start = 0
+    while start < len(rules):
+        stop = int(np.searchsorted(deepest, start))  # up to there rules only use those that are done
+        part = rules[start:stop]
+        out[start:stop] = np.where(part < base, 1, out[np.maximum(part - base, 0)]).sum(axis=1)
+        start = stop
     return out
 
 
@@ -183,7 +251,7 @@ def expand_all(sequence: np.ndarray, rules: np.ndarray, lengths: np.ndarray, bas
     return _gather(table, sizes, np.asarray(sequence, np.int64))
 
 
-_memos: dict[bytes, dict[str, bytes]] = {}
+_memos: dict[bytes, dict] = {}
 #: Words whose ids a Python worker remembers for each tokenizer; a bound on memory, without effect on results.
 MEMO = 500_000
 
@@ -286,25 +354,35 @@ def _fresh(tok, words: list[str]) -> dict[str, bytes]:
     return out
 
 
-def _encoded(tok, chunks: list[str] | pa.Array, memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(tok, chunks: list[str] | pa.Array, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the chunks one after another, and how many each has.
 
-    The tokenizer lower-cases, so words of letters are looked up in lower case.
+    The tokenizer lower-cases, so words of letters are looked up in lower case.  ``memo`` holds words as one Arrow array, their
+    ids one after another and how many each has; words are looked up there all at once.
     """
     forms = chunks if isinstance(chunks, pa.Array) else pa.array(chunks, pa.large_string())
-    forms = pc.if_else(pc.match_substring_regex(forms, _LETTERS), pc.utf8_lower(forms), forms).dictionary_encode()
-    words = _strings(forms.dictionary)
-    blobs = [memo.get(w) for w in words]
-    missing = [w for w, got in zip(words, blobs) if got is None]
-    if missing:
-        found = _fresh(tok, missing)
+    forms = pc.if_else(pc.match_substring_regex(forms, _LETTERS), pc.utf8_lower(forms), forms)
+    if not memo:
+        memo.update(words=pa.array([], pa.large_string()), ids=np.empty(0, np.int32), sizes=np.empty(0, np.int64))
+    known, flat, sizes = memo["words"], memo["ids"], memo["sizes"]
+    found = pc.index_in(forms, value_set=known)
+    picks = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+    if found.null_count:
+        missing = forms.filter(pc.is_null(found)).dictionary_encode()
+        picks[picks < 0] = len(known) + missing.indices.to_numpy()
+        words = _strings(missing.dictionary)
+        made = _fresh(tok, words)
+        blobs = [made[w] for w in words]
+        fresh = np.frombuffer(b"".join(blobs), np.int32)
+        n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         # the commonest words come early; when the memo is full it stays as it is
-        room = max(0, MEMO - len(memo))
-        memo.update([(w, v) for w, v in found.items() if len(w) <= 64][:room])
-        blobs = [found[w] if got is None else got for w, got in zip(words, blobs)]
-    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    picks = forms.indices.to_numpy().astype(np.int64)
-    return _gather(np.frombuffer(b"".join(blobs), np.int32), sizes, picks), sizes[picks]
+        short = np.flatnonzero(pc.less_equal(pc.utf8_length(missing.dictionary), 64))[: max(0, MEMO - len(known))]
+        if len(short):
+            memo["words"] = pa.concat_arrays([known, missing.dictionary.take(pa.array(short))])
+            memo["ids"] = np.concatenate([flat, _gather(fresh, n, short)])
+            memo["sizes"] = np.concatenate([sizes, n[short]])
+        flat, sizes = np.concatenate([flat, fresh]), np.concatenate([sizes, n])
+    return _gather(flat, sizes, picks), sizes[picks]
 
 
 def _words(raw: list) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -356,16 +434,12 @@ def _shards(spec, end_id: int, schema_names: list[str]):
         for shard, (doc_ids, raw) in enumerate(text_segments(batches, SHARD_BYTES)):
             words, codes, counts = _words(raw)
             flat, each = _encoded(tok, words, memo)
-            stops = np.cumsum(counts)
-            sizes = np.diff(np.concatenate([[0], np.cumsum(each[codes])])[stops], prepend=0) + 1
-            picks = np.insert(codes, stops, len(each))
-            ids = _gather(np.append(flat, np.int32(end_id)), np.append(each, 1), picks)
-            sequence, starts, rules = compress(ids, sizes, base)
+            sizes, sequence, starts, rules = compress_words(flat, each, codes, counts, end_id, base)
             lengths = expansion_lengths(rules, base)
             values = [
                 pa.array([part], pa.int32()),
                 pa.array([shard], pa.int32()),
-                pa.array([len(ids)], pa.int64()),
+                pa.array([int(sizes.sum())], pa.int64()),
                 pa.array([base], pa.int32()),
                 pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
                 *(

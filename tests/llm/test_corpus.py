@@ -148,6 +148,35 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert max(Counter(zip(s[:-1].tolist(), s[1:].tolist())).values()) < repair.LEAST_USES
 
 
+@pytest.mark.parametrize("base", [60, 1 << 30])  # symbols that leave no room for places beside pairs, too
+def test_words_are_cut_first_and_pairs_until_none_is_frequent(base):
+    rng = np.random.default_rng(5)
+    each = rng.integers(0, 6, 300)  # some words have no ids
+    flat = rng.integers(base - 60, base - 1, each.sum()).astype(np.int32)
+    counts = np.array([0, 1, *rng.integers(0, 60, 400), 0])
+    codes = np.minimum(rng.zipf(1.3, counts.sum()), len(each)) - 1
+    words = np.split(flat, np.cumsum(each)[:-1])
+    docs = [[*(i for k in part for i in words[k].tolist()), base - 1] for part in np.split(codes, np.cumsum(counts)[:-1])]
+    sizes, s, starts, rules = repair.compress_words(flat, each, codes, counts, base - 1, base)
+    parts = [part.tolist() for part in np.split(s, starts[1:])]
+    assert sizes.tolist() == [len(d) for d in docs] and [repair.expand(part, rules, base).tolist() for part in parts] == docs
+    assert repair.expansion_lengths(rules, base).tolist() == [len(repair.expand(r, rules, base)) for r in rules]
+    assert max(Counter(pair for part in parts for pair in zip(part, part[1:])).values()) < repair.LEAST_USES
+    plain, _, others = repair.compress(np.array(sum(docs, []), np.int32), sizes, base)
+    assert len(s) + 2 * len(rules) < len(plain) + 2 * len(others)
+
+
+def test_a_full_memo_of_words_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(repair, "MEMO", 3)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tok, memo = token_counts.tokenizer(f.read()), {}
+    for words in (["the", "x" * 65, "The", "a1"], ["a1", "of", "no", "the"], ["no", "a1", "<|endoftext|>"]):
+        flat, sizes = repair._encoded(tok, words, memo)
+        got = [part.tolist() for part in np.split(flat, np.cumsum(sizes)[:-1])]
+        assert got == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    assert memo["words"].to_pylist() == ["the", "a1", "of"]
+
+
 def test_frequent_pair_behind_a_rare_one_of_its_bucket_gets_the_rule():
     code = lambda a, b: ((a * 0x9E3779B1 ^ b * 0x85EBCA6B) & 0xFFFFFFFF) >> 12
     first, rare, frequent = {}, None, None
