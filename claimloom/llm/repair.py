@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import scratch, text_segments
+from claimloom.llm.common import frugal, scratch, text_segments
 from claimloom.llm.token_counts import digest, tokenizer
 
 #: A round replaces all frequent pairs that occur at least this part as often as the most frequent one.
@@ -469,7 +469,7 @@ def write_shards(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     names = [c.split()[0] for c in SHARD.split(", ")]
-    packed = rows.mapInArrow(_shards(spec, end_id, names), SHARD.format(kind=kind))
+    packed = rows.mapInArrow(frugal(_shards(spec, end_id, names)), SHARD.format(kind=kind))
     packed.write.option("compression", "zstd").parquet(path)
 
 
